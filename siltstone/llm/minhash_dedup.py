@@ -30,7 +30,7 @@ from siltstone.llm.components import components
 
 BANDS, ROWS = 40, 6
 #: Cross-component comparisons per document that are made at once; beyond it, more pivots first.
-CROSS_PER_DOCUMENT, PIVOT_ROUNDS = 4, 6
+CROSS_PER_DOCUMENT, PIVOT_ROUNDS = 8, 6
 
 
 class _WordHashes(dict):
@@ -185,42 +185,38 @@ def _merge(docs: DataFrame, members: DataFrame, width: int, percent: int) -> Dat
     texts = written(_packed_words(docs).join(candidates, "rep", "left_semi").dropDuplicates(["rep"]))
     n_documents = texts.count()
     tested = spark.createDataFrame([], "a long, b long")
-    links = spark.createDataFrame([], "a long, b long")
+    links = tested
     sizes_fit = F.expr(f"100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)")
+    # Buckets with the same members ask the same questions: one of them stays.
+    alike = members.groupBy("key").agg(F.count("*").alias("n"), F.min("rep").alias("lo"), F.max("rep").alias("hi"), F.bit_xor(F.xxhash64("rep")).alias("x"), F.sum(F.hash("rep")).alias("s")).groupBy("n", "lo", "hi", "x", "s").agg(F.min("key").alias("key")).select("key")
+    open_ = written(members.join(alike, "key").withColumn("label", F.col("rep")))
     for turn in range(PIVOT_ROUNDS + 1):
-        placed = members.join(labels, members.rep == labels.node, "left").select("key", "rep", "n_shingles", F.coalesce("label", "rep").alias("label"))
-        spread = placed.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.min("rep").alias("first"), F.max("rep").alias("last"), F.count("*").alias("n")).where("lo < hi")
-        open_ = written(placed.join(spread.select("key", "first", "last"), "key"))
-        if not open_.take(1):
-            return labels
-        if turn >= 2:
+        last_turn = False
+        if turn:
             parts = open_.groupBy("key", "label").count().groupBy("key").agg(F.sum("count").alias("n"), F.sum(F.col("count") * F.col("count")).alias("sq"))
             cross = parts.agg(F.sum((F.col("n") * F.col("n") - F.col("sq")) / 2)).first()[0]
-        else:
-            cross = float("inf")
-        last_turn = cross <= max(200_000, CROSS_PER_DOCUMENT * n_documents) or turn == PIVOT_ROUNDS
+            if not cross:
+                break
+            last_turn = cross <= max(200_000, CROSS_PER_DOCUMENT * n_documents) or turn == PIVOT_ROUNDS
         one = open_.select("key", F.col("rep").alias("a"), F.col("n_shingles").alias("n_a"), F.col("label").alias("l_a"))
-        other = open_.select("key", F.col("rep").alias("b"), F.col("n_shingles").alias("n_b"), F.col("label").alias("l_b"), "first", "last")
+        other = open_.select("key", F.col("rep").alias("b"), F.col("n_shingles").alias("n_b"), F.col("label").alias("l_b"))
         if not last_turn:
-            pivot = "first" if turn == 0 else "last" if turn == 1 else None
-            if pivot is None:
-                chosen = open_.groupBy("key").agg(F.min_by("rep", F.xxhash64("rep", F.lit(turn))).alias("b")).join(other.drop("first", "last"), ["key", "b"])
-            else:
-                chosen = other.where(F.col("b") == F.col(pivot)).drop("first", "last")
-            found = one.join(chosen, "key").where("l_a <> l_b").where(sizes_fit)
-            # One pivot a class and turn: the one that shares the most buckets with it.
-            pairs = found.groupBy("a", "b").agg(F.count("*").alias("shared")).join(tested, ["a", "b"], "left_anti")
-            pairs = pairs.groupBy("a").agg(F.max_by("b", F.struct("shared", -F.col("b"))).alias("b"))
+            pivot = F.min_by("rep", F.xxhash64("rep", F.lit(turn))) if turn else F.min("rep")
+            other = open_.groupBy("key").agg(pivot.alias("b")).join(other, ["key", "b"])
+            differ = F.expr("l_a <> l_b")
         else:
-            pairs = one.join(other.drop("first", "last"), "key").where("l_a <> l_b and a < b").where(sizes_fit).select("a", "b").distinct()
-            pairs = pairs.join(tested, ["a", "b"], "left_anti").join(tested.select(F.col("b").alias("a"), F.col("a").alias("b")), ["a", "b"], "left_anti")
-        pairs = written(pairs)
-        good = written(_confirmed(pairs, texts, width, percent))
-        links = links.union(good)
+            differ = F.expr("l_a <> l_b AND a < b")
+        found = one.join(other, "key").where(differ & sizes_fit).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        pairs = written(found.join(tested, ["a", "b"], "left_anti") if turn else found)
+        links = links.union(written(_confirmed(pairs, texts, width, percent)))
         labels = components(links)
         if last_turn:
             break
         tested = tested.union(pairs)
+        # Components only grow, so a bucket that lies in one of them is done.
+        placed = open_.drop("label").join(labels, F.col("rep") == labels.node, "left").select("key", "rep", "n_shingles", F.coalesce("label", "rep").alias("label"))
+        spread = placed.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("key")
+        open_ = written(placed.join(spread, "key"))
     return labels
 
 
