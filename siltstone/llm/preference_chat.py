@@ -88,29 +88,29 @@ def stale_reply(conversations: DataFrame) -> DataFrame:
 
 STALE_REPLY_SQL = """
 WITH t AS (
-  SELECT conv_id AS pair_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS at, turn, role, coalesce(text, '') AS text,
+  SELECT conv_id AS pair_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS pos, turn, role, coalesce(text, '') AS text,
     min(CASE WHEN role = 'assistant' THEN turn END) OVER (PARTITION BY conv_id) AS first_turn,
     max(CASE WHEN role = 'assistant' THEN turn END) OVER (PARTITION BY conv_id) AS last_turn
   FROM conversations WHERE conv_id IS NOT NULL),
 f AS (SELECT pair_id, any_value(text) AS first_text FROM t WHERE turn = first_turn GROUP BY pair_id),
 b AS (
-  SELECT t.pair_id, at, role, text AS c_text,
+  SELECT t.pair_id, pos, role, text AS c_text,
     CASE WHEN turn = last_turn THEN CASE WHEN first_turn = last_turn THEN '' ELSE first_text END ELSE text END AS r_text
   FROM t LEFT JOIN f ON t.pair_id = f.pair_id),
-s AS (SELECT *, min(CASE WHEN c_text <> r_text THEN at END) OVER (PARTITION BY pair_id) AS split FROM b),
+s AS (SELECT *, min(CASE WHEN c_text <> r_text THEN pos END) OVER (PARTITION BY pair_id) AS split FROM b),
 p AS (
-  SELECT pair_id, at, role, c_text, r_text, split IS NULL OR at < split AS shared,
+  SELECT pair_id, pos, role, c_text, r_text, split IS NULL OR pos < split AS shared,
     '<|' || role || '|>' || chr(10) || c_text || '<|end|>' || chr(10) AS c_piece, '<|' || role || '|>' || chr(10) || r_text || '<|end|>' || chr(10) AS r_piece
   FROM s),
 q AS (
   SELECT *, coalesce(sum(CASE WHEN NOT shared THEN length(c_piece) END) OVER w, 0) + length(role) + 5 AS c_at,
     coalesce(sum(CASE WHEN NOT shared THEN length(r_piece) END) OVER w, 0) + length(role) + 5 AS r_at
-  FROM p WINDOW w AS (PARTITION BY pair_id ORDER BY at ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
-SELECT pair_id, coalesce(string_agg(c_piece, '' ORDER BY at) FILTER (WHERE shared), '') AS prompt,
-  coalesce(string_agg(c_piece, '' ORDER BY at) FILTER (WHERE NOT shared), '') AS chosen,
-  coalesce(string_agg(r_piece, '' ORDER BY at) FILTER (WHERE NOT shared), '') AS rejected,
-  coalesce(string_agg(CAST(c_at AS BIGINT) || ':' || (length(c_text) + 7), ',' ORDER BY at) FILTER (WHERE NOT shared AND role = 'assistant'), '') AS chosen_mask,
-  coalesce(string_agg(CAST(r_at AS BIGINT) || ':' || (length(r_text) + 7), ',' ORDER BY at) FILTER (WHERE NOT shared AND role = 'assistant'), '') AS rejected_mask,
+  FROM p WINDOW w AS (PARTITION BY pair_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
+SELECT pair_id, coalesce(string_agg(c_piece, '' ORDER BY pos) FILTER (WHERE shared), '') AS prompt,
+  coalesce(string_agg(c_piece, '' ORDER BY pos) FILTER (WHERE NOT shared), '') AS chosen,
+  coalesce(string_agg(r_piece, '' ORDER BY pos) FILTER (WHERE NOT shared), '') AS rejected,
+  coalesce(string_agg(CAST(c_at AS BIGINT) || ':' || (length(c_text) + 7), ',' ORDER BY pos) FILTER (WHERE NOT shared AND role = 'assistant'), '') AS chosen_mask,
+  coalesce(string_agg(CAST(r_at AS BIGINT) || ':' || (length(r_text) + 7), ',' ORDER BY pos) FILTER (WHERE NOT shared AND role = 'assistant'), '') AS rejected_mask,
   count(*) FILTER (WHERE shared) AS n_shared, bool_and(shared) AS tie
 FROM q GROUP BY pair_id
 """
