@@ -30,7 +30,7 @@ from siltstone.llm.common import written
 
 #: Quantiles of chi-square with eight degrees of freedom (fixed values).
 CHI2_8 = {0.9: 13.362, 0.95: 15.507, 0.98: 18.168, 0.99: 20.090, 0.995: 21.955}
-DIMS, LEAF = 8, 24
+DIMS, LEAF = 8, 256
 
 
 def projection(size: int, seed: int = 11) -> np.ndarray:
@@ -85,7 +85,9 @@ class KDTree:
                     if g <= ratio * limit * limit:
                         heapq.heappush(heap, (g, child))
                 continue
-            for d, i in zip(*verify(rows), strict=True):
+            distances, ids = verify(rows)
+            near = distances <= limit
+            for d, i in zip(distances[near].tolist(), ids[near].tolist(), strict=True):
                 item = (-d, -i)
                 if len(best) < k:
                     heapq.heappush(best, item)
