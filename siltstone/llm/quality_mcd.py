@@ -50,18 +50,20 @@ def text_statistics(docs: DataFrame, whole_row: bool = False) -> DataFrame:
     body = F.btrim("text", F.lit(SPACE))
     split = base.select("*", F.when(body == "", F.array().cast("array<string>")).otherwise(F.split(body, "[ \\x09-\\x0D]+")).alias("words"))
     split = split.withColumn("n", F.size("words"))
-    starts = F.when(F.col("n") >= 8, F.sequence(F.lit(1), F.col("n") - 7)).otherwise(F.array().cast("array<int>"))
-    marks = F.transform("words", lambda w: F.xxhash64(w))
-    split = split.withColumn("marks", marks)
-    prints = F.transform(starts, lambda i: F.xxhash64(F.slice("marks", i, 8)))
+    # Prints of windows of one, two, four and eight words, each from two of the size before.
+    split = split.withColumn("print_1", F.transform("words", lambda w: F.xxhash64(w)))
+    for size in (1, 2, 4):
+        last = f"print_{size}"
+        split = split.withColumn(f"print_{2 * size}", F.zip_with(last, F.slice(last, size + 1, F.greatest("n", F.lit(1))), lambda x, y: F.xxhash64(x, y)))
+    prints = F.slice("print_8", 1, F.greatest(F.col("n") - 7, F.lit(0)))
     lines = F.filter(F.split("text", "\n", -1), lambda x: F.btrim(x, F.lit(SPACE)) != "")
     split = split.select("*", prints.alias("prints"), lines.alias("lines"))
     # Equal windows have equal prints, so only texts with a repeated print need the windows themselves.
     maybe = F.size(F.array_distinct("prints")) < F.size("prints")
     stats = split.select(
         *["row"] * whole_row, "doc_id", "lang", "source", F.col("n").cast("long").alias("n_words"),
-        F.length(F.translate("text", SPACE, "")).cast("long").alias("word_chars"),
-        (F.length("text") - F.length(F.translate("text", "#*$%&|<>", ""))).cast("long").alias("n_symbols"),
+        F.length(F.array_join("words", "")).cast("long").alias("word_chars"),
+        (F.length("text") - F.length(F.regexp_replace("text", "[#*$%&|<>]+", ""))).cast("long").alias("n_symbols"),
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
         F.size("lines").cast("long").alias("n_lines"),
         F.when(maybe, _n_repeat_words(F.col("words"), F.col("n"))).otherwise(F.lit(0)).cast("long").alias("n_repeat_words"),
