@@ -70,3 +70,16 @@ def staleness(df: DataFrame, ts: str, as_of: str) -> DataFrame:
 def flow_window(df: DataFrame, ts: str, condition: str) -> DataFrame:
     """Days that a filtered flow spans, corrected for the period that its last day opens."""
     return df.where(condition).agg(F.datediff(F.max(ts), F.min(ts)).alias("span"), F.count_distinct(F.to_date(ts)).alias("n")).selectExpr("span", "n", "CASE WHEN n > 1 THEN span * n / (n - 1D) END AS window_days")
+
+
+def profile_temporal(df: DataFrame) -> DataFrame:
+    """Bounds, gap statistics and grain of every time column, one row each."""
+    from functools import reduce
+
+    from pyspark.sql.types import DateType, TimestampNTZType, TimestampType
+
+    times = [f.name for f in df.schema if isinstance(f.dataType, (DateType, TimestampType, TimestampNTZType))]
+    if not times:
+        raise ValueError("no time column")
+    one = lambda c: bounds(df, c).crossJoin(F.broadcast(granularity(df, c))).select(F.lit(c).alias("column"), "first_ts", "last_ts", "distinct_ts", "span_days", "median_gap", "grain")
+    return reduce(DataFrame.unionByName, map(one, times))

@@ -85,3 +85,20 @@ def detect_unit(df: DataFrame, column: str) -> DataFrame:
     counts = df.where(F.col(column).isNotNull()).groupBy(unit.alias("unit")).agg(F.count("*").alias("n"))
     total = counts.agg(F.sum("n").alias("total"), F.sum(F.when(F.col("unit") != "", F.col("n"))).alias("parsed"))
     return counts.where("unit <> ''").crossJoin(F.broadcast(total)).orderBy(F.desc("n"), "unit").limit(1).selectExpr("unit", "(n / parsed + parsed / total) / 2 AS confidence").where("confidence > 0.5")
+
+
+def failing_examples(df: DataFrame, column: str, pattern: str, most: int = 5) -> DataFrame:
+    """The first distinct values, in value order, that the pattern's expression cannot parse."""
+    return df.where(_failed({column: pattern})[column]).select(F.col(column).alias("value")).distinct().orderBy("value").limit(most)
+
+
+def mixed_formats(df: DataFrame, column: str, min_cast: float = 0.8) -> DataFrame:
+    """Per type with several patterns: the share of values that any of them parses, and whether only they together pass.
+
+    A type passes alone if one of its patterns parses ``min_cast`` of the values.
+    """
+    kinds = {t: [e.format(c=f"`{column}`") for _, _, kind, e in PATTERNS if kind == t] for t in dict.fromkeys(p[2] for p in PATTERNS)}
+    several = {t: es for t, es in kinds.items() if len(es) > 1}
+    one = df.selectExpr(f"count(`{column}`) AS n", *[f"count(coalesce({', '.join(es)})) AS all_{t}" for t, es in several.items()], *[f"greatest({', '.join(f'count({e})' for e in es)}) AS best_{t}" for t, es in several.items()])
+    rows = one.selectExpr("stack({}, {}) AS (type, together, best, total)".format(len(several), ", ".join(f"'{t}', all_{t}, best_{t}, n" for t in several)))
+    return rows.selectExpr("type", "try_divide(together, total) AS rate", "try_divide(best, total) AS best_alone", f"coalesce(try_divide(together, total) >= {min_cast} AND try_divide(best, total) < {min_cast}, false) AS needs_mix")

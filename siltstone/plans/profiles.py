@@ -172,3 +172,10 @@ def _(table):
 @query("x09_flow_window", "SELECT date_diff('day', min(o_orderdate), max(o_orderdate)) AS span, count(DISTINCT o_orderdate::DATE) AS n, round(date_diff('day', min(o_orderdate), max(o_orderdate)) * count(DISTINCT o_orderdate::DATE) / (count(DISTINCT o_orderdate::DATE) - 1.0), 6) AS window_days FROM orders WHERE o_orderstatus = 'F'")
 def _(table):
     return rounded(t.flow_window(table("orders"), "o_orderdate", "o_orderstatus = 'F'"))
+
+
+@query("x08_profile_temporal", "WITH d AS (SELECT DISTINCT l_shipdate AS t FROM lineitem WHERE l_shipdate IS NOT NULL), n AS (SELECT epoch(lead(t) OVER (ORDER BY t)) - epoch(t) AS gap FROM d) SELECT 'l_shipdate' AS \"column\", min(t)::TIMESTAMP AS first_ts, max(t)::TIMESTAMP AS last_ts, count(*) AS distinct_ts, date_diff('day', min(t), max(t)) AS span_days, (SELECT median(gap) FROM n) AS median_gap FROM d")
+def _(table):
+    from siltstone.operators.temporal import profile_temporal
+
+    return rounded(profile_temporal(table("lineitem")).drop("grain").withColumn("first_ts", F.col("first_ts").cast("timestamp")).withColumn("last_ts", F.col("last_ts").cast("timestamp")))

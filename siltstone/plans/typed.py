@@ -56,3 +56,21 @@ def _(table):
 @query("t12_promote", "SELECT c_custkey, c_name FROM customer")
 def _(table):
     return table("customer").select("c_custkey", F.col("c_name"))
+
+
+@query("t03_failing_examples", f"SELECT DISTINCT day AS value FROM {_RAW} WHERE NOT regexp_matches(day, '^[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}$') ORDER BY value LIMIT 5")
+def _(table):
+    return t.failing_examples(_raw(table), "day", "iso_date")
+
+
+_ISO, _US = "count(*) FILTER (WHERE day LIKE '____-__-__')", "count(*) FILTER (WHERE day LIKE '__/__/____')"
+
+
+@query("t04_mixed_formats", f"SELECT 'DATE' AS type, round(({_ISO} + {_US}) / count(day), 6) AS rate, round(greatest({_ISO}, {_US}) / count(day), 6) AS best_alone, greatest({_ISO}, {_US}) / count(day) < 0.8 AS needs_mix FROM {_RAW} UNION ALL SELECT 'DOUBLE', 0, 0, false")
+def _(table):
+    return rounded(t.mixed_formats(_raw(table), "day"))
+
+
+@query("t06_type_candidates", f"SELECT 'id' AS \"column\", 'integer' AS pattern, 'BIGINT' AS type, 1.0::DOUBLE AS confidence UNION ALL SELECT 'id', 'text', 'VARCHAR', 0.5::DOUBLE UNION ALL SELECT 'price', 'text', 'VARCHAR', 0.5::DOUBLE UNION ALL SELECT 'price', 'integer', 'BIGINT', round((avg(CASE WHEN regexp_matches(v, '^[0-9]+$') THEN 1.0 ELSE 0 END) + (SELECT count(TRY_CAST(price AS BIGINT)) / count(price) FROM {_RAW})) / 2, 6) FROM (SELECT DISTINCT price AS v FROM {_RAW} ORDER BY v LIMIT 10000)")
+def _(table):
+    return rounded(t.type_candidates(_raw(table).select("id", "price"), ["id", "price"]).select("column", "pattern", "type", "confidence"))
