@@ -32,12 +32,14 @@ def cast_tests(df: DataFrame, column: str) -> DataFrame:
 
 
 def type_candidates(df: DataFrame, columns: list[str], min_match: float = 0.5, min_cast: float = 0.8) -> DataFrame:
+    """Patterns that enough values match and parse; text, with confidence 1, only where none does."""
     parts = []
     for c in columns:
         both = pattern_match_rates(df, c).join(F.broadcast(cast_tests(df, c)), "pattern", "right")
         rate = both.selectExpr("pattern", "type", "coalesce(rate, 0) AS match_rate", "try_divide(parsed, total) AS cast_rate")
-        parts.append(rate.where(f"(match_rate >= {min_match} AND cast_rate >= {min_cast}) OR pattern = 'text'").selectExpr(f"'{c}' AS column", "pattern", "type", "CASE WHEN pattern = 'text' THEN 0.5D ELSE (match_rate + cast_rate) / 2 END AS confidence"))
-    return reduce(DataFrame.unionByName, parts)
+        parts.append(rate.where(f"(match_rate >= {min_match} AND cast_rate >= {min_cast}) OR pattern = 'text'").selectExpr(f"'{c}' AS column", "pattern", "type", "CASE WHEN pattern = 'text' THEN 1D ELSE (match_rate + cast_rate) / 2 END AS confidence"))
+    alone = F.count("*").over(Window.partitionBy("column")) == 1
+    return reduce(DataFrame.unionByName, parts).withColumn("alone", alone).where("pattern <> 'text' OR alone").drop("alone")
 
 
 def decide_types(candidates: DataFrame, overrides: DataFrame | None = None, least: float = 0.85) -> DataFrame:
