@@ -1,20 +1,25 @@
 """Toxicity by a weighted finite-state grammar over clauses.
 
-Five small transducers read a clause: one maps words to symbols (insult, threat, target,
-negation, reported speech), one per context keeps how long a negation, a report or a target
-stays in force, and their composition emits at most one kind per clause - the heaviest match
-in it.  A document's score is the logistic sum of its clause kinds, with weights learned from
-labelled training rows around prior weights, so that isolated words never count twice.
+Five small transducers read a clause: one maps words to symbols (insult, threat, loaded word,
+target, negation, reported speech), one per context keeps how long a negation, a report or a
+target stays in force, and their composition emits at most one kind per clause - the heaviest
+match in it.  A document's score is the logistic sum of its clause kinds, with weights learned
+from labelled training rows around prior weights, so that isolated words never count twice.
+
+The words of the grammar are the fixed ones below and, whatever the language, those that stand
+in toxic training rows far more often than chance allows: ``learned_words`` counts every word of
+every training row by label.
 
 Defined results: null and empty texts have no clauses and get the base score; rows without a
 doc_id are scored but never train; labels that are null, or not 0 or 1, are ignored; without any
-usable label the prior weights stand; repeated rows are scored one by one.
+usable label the prior weights and the fixed words stand; repeated rows are scored one by one.
 """
 
 from __future__ import annotations
 
 import re
 import unicodedata
+from collections import Counter
 
 import numpy as np
 import pandas as pd
@@ -25,7 +30,7 @@ from pyspark.sql.types import IntegerType, StructField, StructType
 
 from siltstone.llm.common import document_columns, map_rows, written
 
-INSULT, THREAT, TARGET, NEGATION, REPORT = range(1, 6)
+INSULT, THREAT, TARGET, NEGATION, REPORT, LOADED = range(1, 7)
 
 #: The grammar's vocabulary in the four languages of the corpus.
 LEXICON = {
@@ -44,11 +49,17 @@ CLASS_OF = {unicodedata.normalize("NFC", w): c for c, words in LEXICON.items() f
 REACH = {TARGET: 6, NEGATION: 3, REPORT: 6}
 
 #: Clause kinds, heaviest first, with the prior weight of each.
-KINDS = {"threat_at_target": 3.5, "insult_at_target": 4.0, "insult": 3.5, "threat": 0.5, "reported": 0.3, "negated": 0.3}
+KINDS = {"threat_at_target": 3.5, "insult_at_target": 4.0, "insult": 3.5, "threat": 0.5, "loaded": 2.5, "reported": 0.3, "negated": 0.3}
 KIND_NAMES = list(KINDS)
 PRIOR = np.array([-2.5, *KINDS.values()])
 #: Clauses of one kind count up to this many.
 MOST = 3
+#: Symbols that make a clause worth matching.
+MARKED = {INSULT, THREAT, LOADED}
+
+#: A learned word's least log-likelihood ratio against the share of toxic rows (one word in 10,000 by chance, and
+#: half of these on the clean side), and the lower bound of its toxic share from which it is an insult, not just loaded.
+LEAST_RATIO, INSULT_SHARE = 15.0, 0.9
 
 COUNTS = StructType([StructField(f"k_{k}", IntegerType()) for k in KIND_NAMES])
 
@@ -68,11 +79,13 @@ def match_clause(symbols: list[int]) -> str | None:
                     if at - word <= REACH[TARGET]:
                         best = min(best, KIND_NAMES.index("insult_at_target" if base == INSULT else "threat_at_target"))
                 pending = []
-        elif symbol in (INSULT, THREAT):
+        elif symbol in MARKED:
             if until[NEGATION] >= at:
                 kind = "negated"
             elif until[REPORT] >= at:
                 kind = "reported"
+            elif symbol == LOADED:
+                kind = "loaded"
             elif until[TARGET] >= at:
                 kind = "insult_at_target" if symbol == INSULT else "threat_at_target"
             else:
@@ -82,16 +95,16 @@ def match_clause(symbols: list[int]) -> str | None:
     return KIND_NAMES[best] if best < len(KIND_NAMES) else None
 
 
-def clauses(text: str) -> list[tuple[str, str]]:
+def clauses(text: str, class_of: dict[str, int] = CLASS_OF) -> list[tuple[str, str]]:
     """(kind, words) of every matched clause of a text."""
     tokens = _TOKENS(text.lower())
-    symbols = list(map(CLASS_OF.get, tokens))
-    if INSULT not in symbols and THREAT not in symbols:
+    symbols = list(map(class_of.get, tokens))
+    if MARKED.isdisjoint(symbols):
         return []
     out, start = [], 0
     for end in [*(i for i, t in enumerate(tokens) if t in ".!?;:\n"), len(tokens)]:
         part = symbols[start:end]
-        if INSULT in part or THREAT in part:
+        if not MARKED.isdisjoint(part):
             kind = match_clause([s or 0 for s in part])
             if kind:
                 out.append((kind, " ".join(tokens[start:end])))
@@ -99,45 +112,75 @@ def clauses(text: str) -> list[tuple[str, str]]:
     return out
 
 
-def match_documents(docs: DataFrame) -> DataFrame:
+def match_documents(docs: DataFrame, class_of: dict[str, int] = CLASS_OF) -> DataFrame:
     """``doc_id`` and, for every whole text, ``clauses array<struct<kind, words>>``."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         kind = pa.list_(pa.struct([("kind", pa.string()), ("words", pa.string())]))
-        found = [[{"kind": k, "words": w} for k, w in clauses(t)] if t else [] for t in batch.column(1).to_pylist()]
+        found = [[{"kind": k, "words": w} for k, w in clauses(t, class_of)] if t else [] for t in batch.column(1).to_pylist()]
         return pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, kind)], ["doc_id", "clauses"])
 
     return map_rows(document_columns(docs), run, "doc_id long, clauses array<struct<kind string, words string>>")
 
 
-@F.pandas_udf(COUNTS)
-def clause_counts(texts: pd.Series) -> pd.DataFrame:
-    """Clauses of each kind in whole texts, up to ``MOST``, as columns ``k_<kind>``."""
-    rows = np.zeros((len(texts), len(KIND_NAMES)), np.int32)
-    for i, text in enumerate(texts):
-        for kind, _ in clauses(text) if text else []:
-            rows[i, KIND_NAMES.index(kind)] += 1
-    return pd.DataFrame(np.minimum(rows, MOST), columns=[f"k_{k}" for k in KIND_NAMES])
+def clause_counts(class_of: dict[str, int], text: str) -> Column:
+    """Clauses of each kind in whole texts, up to ``MOST``, as a struct of ``k_<kind>``."""
 
+    @F.pandas_udf(COUNTS)
+    def count(texts: pd.Series) -> pd.DataFrame:
+        rows = np.zeros((len(texts), len(KIND_NAMES)), np.int32)
+        for i, text in enumerate(texts):
+            for kind, _ in clauses(text, class_of) if text else []:
+                rows[i, KIND_NAMES.index(kind)] += 1
+        return pd.DataFrame(np.minimum(rows, MOST), columns=[f"k_{k}" for k in KIND_NAMES])
 
-def counted(docs: DataFrame) -> DataFrame:
-    """``doc_id`` and the clause counts of every document."""
-    return document_columns(docs).select("doc_id", clause_counts("text").alias("k")).select("doc_id", "k.*")
+    return count(F.col(text).cast("string")).alias("k")
 
 
 def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
-def fit(counts: DataFrame, labels: DataFrame, ridge: float = 1.0) -> np.ndarray:
+def training_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """``text, toxic`` of every labelled document that is not held out, written once; labels grow with the documents and are never broadcast."""
+    train = F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))
+    marked = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where(F.col("toxic").isin(0, 1) & train)
+    return written(document_columns(docs).where(train).join(marked.hint("merge"), "doc_id").select("text", "toxic"))
+
+
+def learned_words(training: DataFrame) -> dict[str, int]:
+    """Words that mark toxic training rows, each with its class; no fixed word among them.
+
+    Rows are counted per word and label; the row of the empty word holds the totals.
+    """
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        seen: tuple[Counter, Counter] = (Counter(), Counter())
+        for text, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            seen[toxic].update({"", *_TOKENS(text.lower())} if text else {""})
+        parts = [(w, y, n) for y in (0, 1) for w, n in seen[y].items()]
+        return pa.RecordBatch.from_arrays([pa.array([p[k] for p in parts], t) for k, t in enumerate((pa.string(), pa.int32(), pa.int64()))], ["word", "toxic", "n"])
+
+    per_word = written(map_rows(training, run, "word string, toxic int, n long").groupBy("word").agg(*[F.coalesce(F.sum(F.when(F.col("toxic") == y, F.col("n"))), F.lit(0)).alias(c) for y, c in ((1, "bad"), (0, "good"))]))
+    total = per_word.where("word = ''").first()
+    if total is None or not total.bad or not total.good:
+        return {}
+    base = total.bad / (total.bad + total.good)
+    found = per_word.where("word <> '' AND bad >= good").withColumns({"n": F.expr("bad + good"), "share": F.expr("bad / (bad + good)")})
+    ratio = F.expr(f"2 * (bad * ln(share / {base}D) + CASE WHEN good > 0 THEN good * ln((1 - share) / (1 - {base}D)) ELSE 0 END)")
+    lower = F.expr("(share + 2 / n - 2 * sqrt(share * (1 - share) / n + 1 / (n * n))) / (1 + 4 / n)")
+    rows = found.where((F.col("share") > base) & (ratio >= LEAST_RATIO)).select("word", (lower >= INSULT_SHARE).alias("strong")).collect()
+    return {r.word: INSULT if r.strong else LOADED for r in rows if r.word not in CLASS_OF and r.word.isalpha()}
+
+
+def fit(training: DataFrame, class_of: dict[str, int] = CLASS_OF, ridge: float = 1.0) -> np.ndarray:
     """Intercept and kind weights from all training rows.
 
     Rows are summed up per combination of counts first: at most ``(MOST + 1) ** len(KINDS)``
     sums reach the driver, whatever the number of documents.
     """
-    marked = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     names = [f"k_{k}" for k in KIND_NAMES]
-    sums = counts.join(marked, "doc_id").groupBy(*names).agg(F.count("*").alias("n"), F.sum("toxic").alias("y")).collect()
+    sums = training.select(clause_counts(class_of, "text"), "toxic").select("k.*", "toxic").groupBy(*names).agg(F.count("*").alias("n"), F.sum("toxic").alias("y")).collect()
     weights = PRIOR.copy()
     if not sums:
         return weights
@@ -163,15 +206,23 @@ def score_of(weights: np.ndarray, prefix: str = "") -> Column:
     return F.lit(1.0) / (F.lit(1.0) + F.exp(-z))
 
 
+def fitted(docs: DataFrame, labels: DataFrame) -> tuple[dict[str, int], np.ndarray]:
+    """The classes of fixed and learned words, and the weights."""
+    training = training_rows(docs, labels)
+    class_of = learned_words(training) | CLASS_OF
+    return class_of, fit(training, class_of)
+
+
 def score_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """``doc_id, held_out, score, predicted`` of every document; texts are read once."""
-    counts = written(counted(docs))
-    out = counts.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), score_of(fit(counts, labels)).alias("score"))
+    """``doc_id, held_out, score, predicted`` of every document; only training texts are shuffled and read again."""
+    class_of, weights = fitted(docs, labels)
+    counts = document_columns(docs).select("doc_id", clause_counts(class_of, "text"))
+    out = counts.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), score_of(weights, "k.").alias("score"))
     return out.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 
 def kept_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that score under 0.5, all columns; texts are read twice and never shuffled."""
-    weights = fit(counted(docs), labels)
-    whole = docs.select(F.struct("*").alias("row"), clause_counts(F.col("text").cast("string")).alias("k"))
+    """The rows of ``docs`` that score under 0.5, all columns, never shuffled whole."""
+    class_of, weights = fitted(docs, labels)
+    whole = docs.select(F.struct("*").alias("row"), clause_counts(class_of, "text"))
     return whole.where(score_of(weights, "k.") < 0.5).select("row.*")

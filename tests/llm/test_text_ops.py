@@ -233,3 +233,18 @@ def test_toxicity(spark, docs, none):
     assert all(r.predicted == int(r.doc_id % 4 == 0) for r in out if r.held_out)
     assert toxicity_fst.score_documents(docs, labels.limit(0)).where("score is null or score < 0 or score > 1").count() == 0
     assert toxicity_fst.score_documents(none, labels).count() == 0
+
+
+def test_toxicity_learns_words(spark):
+    rng = random.Random(6)
+    plain = [" ".join(rng.choice(["das", "haus", "le", "chat", "la", "casa"]) for _ in range(30)) for _ in range(400)]
+    rows = [(i, t + (". das garstnix flegelo." if i % 4 == 0 else "")) for i, t in enumerate(plain)]
+    labels = spark.createDataFrame([(i, int(i % 4 == 0)) for i, _ in rows], "doc_id long, toxic int")
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    assert set(toxicity_fst.learned_words(toxicity_fst.training_rows(table, labels))) == {"garstnix", "flegelo"}
+    out = toxicity_fst.score_documents(table, labels).collect()
+    assert sum(r.held_out for r in out) > 40
+    assert all(r.predicted == int(r.doc_id % 4 == 0) for r in out)
+    assert sorted(r.doc_id for r in toxicity_fst.kept_documents(table, labels).collect()) == [i for i in range(400) if i % 4]
+    for one in (0, 1):
+        assert toxicity_fst.learned_words(toxicity_fst.training_rows(table, labels.where(f"toxic = {one}"))) == {}
