@@ -45,12 +45,12 @@ def completeness(df: DataFrame, ts: str, grain: str) -> DataFrame:
     return df.agg(F.count_distinct(cut).alias("present"), F.min(cut).alias("lo"), F.max(cut).alias("hi")).selectExpr("present", f"cast({step} + 1 AS bigint) AS expected", f"present / ({step} + 1) AS completeness")
 
 
-def significant_gaps(df: DataFrame, ts: str, limit: int = 100) -> DataFrame:
-    """Gaps over twice the median, with severity and missing periods."""
+def significant_gaps(df: DataFrame, ts: str) -> DataFrame:
+    """Every gap over twice the median, with severity and missing periods."""
     found = gaps(df, ts)
     mid = found.agg(F.expr("percentile(gap_s, 0.5D)").alias("mid"))
     big = found.crossJoin(F.broadcast(mid)).where("gap_s > 2 * mid")
-    return big.orderBy(F.desc("gap_s"), "ts").limit(limit).selectExpr("ts", "next_ts", "gap_s", "cast(floor(gap_s / mid) - 1 AS bigint) AS missing", "CASE WHEN gap_s >= 10 * mid THEN 'severe' WHEN gap_s >= 5 * mid THEN 'moderate' ELSE 'minor' END AS severity")
+    return big.selectExpr("ts", "next_ts", "gap_s", "cast(floor(gap_s / mid) - 1 AS bigint) AS missing", "CASE WHEN gap_s >= 10 * mid THEN 'severe' WHEN gap_s >= 5 * mid THEN 'moderate' ELSE 'minor' END AS severity")
 
 
 def last_period_fill(df: DataFrame, ts: str, grain: str = "month") -> DataFrame:
