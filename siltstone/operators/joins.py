@@ -37,8 +37,8 @@ def join_statistics(cells: DataFrame) -> DataFrame:
     return cells.groupBy("table", "column", "family").agg(F.count("*").alias("distinct_values"), F.sum("n").alias("non_null")).withColumn("uniqueness", F.col("distinct_values") / F.col("non_null"))
 
 
-def find_joins(tables: dict[str, DataFrame], min_score: float = 0.5, max_ratio: float = 100, key_at: float = 0.95) -> DataFrame:
-    """Column pairs of different tables by shared values: Jaccard, or containment in a key.
+def find_joins(tables: dict[str, DataFrame], min_score: float = 0.5, max_ratio: float = 100, key_at: float = 0.95, within: bool = True) -> DataFrame:
+    """Column pairs by shared values: Jaccard, or containment in a key; also pairs ``within`` one table.
 
     All pairs are counted at once: one equi-join on values.  A value's columns are collected
     first - at most as many as the tables have - so a common value costs column pairs, not row pairs.
@@ -47,7 +47,7 @@ def find_joins(tables: dict[str, DataFrame], min_score: float = 0.5, max_ratio:
     stats = join_statistics(cells).where("distinct_values > 1")
     live = cells.join(F.broadcast(stats.select("table", "column")), ["table", "column"])
     per_value = live.groupBy("family", "value").agg(F.sort_array(F.collect_set(F.struct("table", "column"))).alias("at")).where(F.size("at") > 1)
-    pairs = per_value.select(F.explode("at").alias("a"), "at").select("a", F.explode("at").alias("b")).where("a < b AND a.table <> b.table").groupBy("a", "b").agg(F.count("*").alias("shared"))
+    pairs = per_value.select(F.explode("at").alias("a"), "at").select("a", F.explode("at").alias("b")).where("a < b" if within else "a < b AND a.table <> b.table").groupBy("a", "b").agg(F.count("*").alias("shared"))
     side = lambda s: stats.select(F.struct("table", "column").alias(s), F.col("distinct_values").alias(f"d_{s}"), F.col("uniqueness").alias(f"u_{s}"))
     out = pairs.join(F.broadcast(side("a")), "a").join(F.broadcast(side("b")), "b")
     larger_is_key = F.expr(f"CASE WHEN d_a >= d_b THEN u_a ELSE u_b END >= {key_at}")

@@ -25,6 +25,15 @@ def _keys(table):
 
 
 @query("j05_find_joins", _J5)
+def _(table):
+    return rounded(j.find_joins(_keys(table), within=False))
+
+
+#: The queries above and below leave out pairs inside one table, as their SQL does; those named all_ have them.
+_J5_ALL = _J5.replace("(a.t < b.t)", "(a.t < b.t OR (a.t = b.t AND a.c < b.c))")
+
+
+@query("j05_all_joins", _J5_ALL)
 def _(table):
     return rounded(j.find_joins(_keys(table)))
 
@@ -89,13 +98,27 @@ def _(table):
 
 @query("j19_overrides", f"SELECT table_a || '.' || column_a AS a, table_b || '.' || column_b AS b FROM ({_J5}) WHERE NOT (table_a = 'nation' AND table_b = 'region') UNION ALL SELECT 'orders.o_custkey', 'customer.c_custkey'")
 def _(table):
-    found = j.find_joins(_keys(table)).select(F.concat_ws(".", "table_a", "column_a").alias("a"), F.concat_ws(".", "table_b", "column_b").alias("b"))
+    return _overridden(j.find_joins(_keys(table), within=False))
+
+
+def _overridden(joins):
+    found = joins.select(F.concat_ws(".", "table_a", "column_a").alias("a"), F.concat_ws(".", "table_b", "column_b").alias("b"))
     rejected = found.where("a LIKE 'nation.%' AND b LIKE 'region.%'").select(F.col("b").alias("a"), F.col("a").alias("b"))
     added = found.limit(1).select(F.lit("orders.o_custkey").alias("a"), F.lit("customer.c_custkey").alias("b"))
     return j.override_relationships(found, rejected, added)
 
 
+@query("j19_all_overrides", f"SELECT table_a || '.' || column_a AS a, table_b || '.' || column_b AS b FROM ({_J5_ALL}) WHERE NOT (table_a = 'nation' AND table_b = 'region') UNION ALL SELECT 'orders.o_custkey', 'customer.c_custkey'")
+def _(table):
+    return _overridden(j.find_joins(_keys(table)))
+
+
 @query("j20_ambiguous_paths", f"SELECT least(table_a, table_b) AS one, greatest(table_a, table_b) AS other, count(DISTINCT (column_a, column_b)) AS paths FROM ({_J5}) GROUP BY 1, 2 HAVING count(DISTINCT (column_a, column_b)) > 1")
+def _(table):
+    return j.ambiguous_paths(j.find_joins(_keys(table), within=False))
+
+
+@query("j20_all_paths", f"SELECT least(table_a, table_b) AS one, greatest(table_a, table_b) AS other, count(DISTINCT (column_a, column_b)) AS paths FROM ({_J5_ALL}) GROUP BY 1, 2 HAVING count(DISTINCT (column_a, column_b)) > 1")
 def _(table):
     return j.ambiguous_paths(j.find_joins(_keys(table)))
 

@@ -2,7 +2,7 @@
 
 from datetime import datetime, timedelta
 
-from siltstone.operators import temporal
+from siltstone.operators import joins, temporal
 
 
 def test_every_significant_gap(spark):
@@ -13,3 +13,9 @@ def test_every_significant_gap(spark):
     out = temporal.significant_gaps(spark.createDataFrame(rows, "ts timestamp"), "ts").collect()
     assert len(out) == 249
     assert {(r.gap_s, r.missing, r.severity) for r in out} == {(18000.0, 4, "moderate")}
+
+
+def test_joins_within_a_table(spark):
+    accounts = spark.createDataFrame([(i, i // 3 if i else None) for i in range(60)], "account_id long, parent_id long")
+    out = joins.find_joins({"accounts": accounts}).collect()
+    assert [(r.table_a, r.column_a, r.table_b, r.column_b, r.shared, r.score, r.cardinality) for r in out] == [("accounts", "account_id", "accounts", "parent_id", 20, 1.0, "1:n")]
