@@ -11,33 +11,57 @@ _E = "(SELECT DISTINCT 'o' || o_orderkey AS a, 'c' || o_custkey AS b FROM orders
 _U = f"(SELECT DISTINCT least(a, b) AS a, greatest(a, b) AS b FROM {_E})"
 
 
-def _edges(table):
-    return table("orders").where("o_orderpriority LIKE '1%'").select(F.concat(F.lit("o"), "o_orderkey").alias("a"), F.concat(F.lit("c"), "o_custkey").alias("b"))
+def _edges(table, which="o_orderpriority LIKE '1%'"):
+    return table("orders").where(which).select(F.concat(F.lit("o"), "o_orderkey").alias("a"), F.concat(F.lit("c"), "o_custkey").alias("b"))
 
 
-def _nodes(table):
-    e = _edges(table)
+def _nodes(table, e):
     return e.select(F.col("a").alias("node")).union(e.select("b")).union(table("customer").select(F.concat(F.lit("c"), "c_custkey"))).distinct()
 
 
+#: The queries named all_ have every order as an edge; the others only the urgent ones, as their SQL does.
+_EVERY = "true"
 _N = f"(SELECT a AS node FROM {_E} UNION SELECT b FROM {_E} UNION SELECT 'c' || c_custkey FROM customer)"
 
 
 @query("g01_node_roles", f"SELECT node, coalesce(d, 0) AS degree, CASE WHEN coalesce(d, 0) = 0 THEN 'isolated' WHEN d = 1 THEN 'dimension' WHEN d = 2 THEN 'bridge' ELSE 'hub' END AS role FROM {_N} LEFT JOIN (SELECT node, count(*) AS d FROM (SELECT a AS node FROM {_U} UNION ALL SELECT b FROM {_U}) GROUP BY 1) USING (node)")
 def _(table):
-    return g.node_roles(_nodes(table), _edges(table))
+    e = _edges(table)
+    return g.node_roles(_nodes(table, e), e)
+
+
+@query("g01_all_roles", f"SELECT node, coalesce(d, 0) AS degree, CASE WHEN coalesce(d, 0) = 0 THEN 'isolated' WHEN d = 1 THEN 'dimension' WHEN d = 2 THEN 'bridge' ELSE 'hub' END AS role FROM {_N} LEFT JOIN (SELECT node, count(*) AS d FROM (SELECT a AS node FROM {_U} UNION ALL SELECT b FROM {_U}) GROUP BY 1) USING (node)".replace(" WHERE o_orderpriority LIKE '1%'", ""))
+def _(table):
+    e = _edges(table, _EVERY)
+    return g.node_roles(_nodes(table, e), e)
 
 
 @query("g02_topology", f"SELECT v, e, c, e - v + c AS circuit_rank, round(2.0 * e / (v * (v - 1)), 9) AS density FROM (SELECT (SELECT count(*) FROM {_N}) AS v, (SELECT count(*) FROM {_U}) AS e, (SELECT count(*) FROM {_N} WHERE node LIKE 'c%') AS c)")
 def _(table):
     # Every order belongs to one customer, so a component is a customer with its orders.
-    return rounded(g.topology(_nodes(table), _edges(table)), 9)
+    e = _edges(table)
+    return rounded(g.topology(_nodes(table, e), e), 9)
+
+
+@query("g02_all_topology", f"SELECT v, e, c, e - v + c AS circuit_rank, round(2.0 * e / (v * (v - 1)), 9) AS density FROM (SELECT (SELECT count(*) FROM {_N}) AS v, (SELECT count(*) FROM {_U}) AS e, (SELECT count(*) FROM {_N} WHERE node LIKE 'c%') AS c)".replace(" WHERE o_orderpriority LIKE '1%'", ""))
+def _(table):
+    e = _edges(table, _EVERY)
+    return rounded(g.topology(_nodes(table, e), e), 9)
 
 
 @query("g05_hop", f"SELECT a, b FROM {_E} WHERE b IN (SELECT 'c' || c_custkey FROM customer WHERE c_acctbal > 0)")
 def _(table):
+    return _rich_hops(table, _edges(table))
+
+
+def _rich_hops(table, e):
     rich = table("customer").where("c_acctbal > 0").select(F.concat(F.lit("c"), "c_custkey").alias("node"))
-    return g.hop(_edges(table).select(F.col("a").alias("node")).distinct(), _edges(table), rich)
+    return g.hop(e.select(F.col("a").alias("node")).distinct(), e, rich)
+
+
+@query("g05_all_hops", f"SELECT a, b FROM {_E} WHERE b IN (SELECT 'c' || c_custkey FROM customer WHERE c_acctbal > 0)".replace(" WHERE o_orderpriority LIKE '1%'", ""))
+def _(table):
+    return _rich_hops(table, _edges(table, _EVERY))
 
 
 _L = "(SELECT DISTINCT 'n' || s_nationkey AS a, 'r' || n_regionkey AS b FROM supplier JOIN nation ON s_nationkey = n_nationkey UNION SELECT DISTINCT 's' || s_suppkey, 'n' || s_nationkey FROM supplier UNION SELECT DISTINCT 'r' || r_regionkey, 'world' FROM region)"

@@ -3,6 +3,7 @@
 from datetime import datetime, timedelta
 
 from siltstone.operators import joins, temporal
+from siltstone.plans.registry import QUERIES
 
 
 def test_every_significant_gap(spark):
@@ -19,3 +20,11 @@ def test_joins_within_a_table(spark):
     accounts = spark.createDataFrame([(i, i // 3 if i else None) for i in range(60)], "account_id long, parent_id long")
     out = joins.find_joins({"accounts": accounts}).collect()
     assert [(r.table_a, r.column_a, r.table_b, r.column_b, r.shared, r.score, r.cardinality) for r in out] == [("accounts", "account_id", "accounts", "parent_id", 20, 1.0, "1:n")]
+
+
+def test_graph_of_every_order(spark):
+    data = "/root/testdata/sf0.001"
+    orders = spark.read.parquet(f"{data}/orders.parquet").count()
+    assert QUERIES["g02_all_topology"](spark, data).first().e == orders
+    assert QUERIES["g01_all_roles"](spark, data).where("node LIKE 'o%'").count() == orders
+    assert QUERIES["g05_all_hops"](spark, data).count() > orders / 2
