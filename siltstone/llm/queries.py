@@ -20,7 +20,7 @@ def op1_quality_mcd(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_wordpiece_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return wordpiece_count.count_tokens(_table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+    return wordpiece_count.count_tokens(_table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"), max_chars=None)
 
 
 def op3_bpe_prefix_dp(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,8 +6,8 @@ takes.  A word is read once, character by character, and only counts are added u
 string is ever built.  The counts equal greedy longest-match-first segmentation.
 
 Defined results: null and empty texts have no words and no tokens; a word that the
-vocabulary cannot spell, or one of more than ``max_chars`` characters, is one unknown token;
-repeated rows are counted one by one; extra columns are ignored.
+vocabulary cannot spell is one unknown token, as is one of more than ``max_chars`` characters
+where that is given (None: words of any length are spelled); repeated rows are counted one by one; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -26,7 +26,7 @@ START = "▁"
 class CountAutomaton:
     """Children, failure node and popped-token count of every trie node."""
 
-    def __init__(self, pieces: list[str], max_chars: int = 200) -> None:
+    def __init__(self, pieces: list[str], max_chars: int | None = 200) -> None:
         self.max_chars = max_chars
         self.children: list[dict[str, int]] = [{}]
         whole = [False]
@@ -63,7 +63,7 @@ class CountAutomaton:
 
     def count(self, word: str) -> int:
         """Pieces of ``word``; 0 where it cannot be spelled."""
-        if len(word) > self.max_chars:
+        if self.max_chars is not None and len(word) > self.max_chars:
             return 0
         node, total = 0, 0
         children, fail, popped = self.children, self.fail, self.popped
@@ -85,21 +85,25 @@ class CountAutomaton:
 
 
 class _Counts(dict):
-    """Counts of words by their UTF-8 bytes, worked out on first sight; forgets when full."""
+    """Counts of words by their UTF-8 bytes, worked out on first sight; forgets when full, never keeps long words."""
+
+    LONG = 400
 
     def __init__(self, automaton: CountAutomaton, most: int = 300_000) -> None:
         super().__init__()
         self.automaton, self.most = automaton, most
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= self.most:
-            self.clear()
-        n = self[word] = self.automaton.count(word.decode("utf-8", "replace"))
+        n = self.automaton.count(word.decode("utf-8", "replace"))
+        if len(word) <= self.LONG:
+            if len(self) >= self.most:
+                self.clear()
+            self[word] = n
         return n
 
 
 @lru_cache(2)
-def _counts(vocabulary: str, max_chars: int) -> _Counts:
+def _counts(vocabulary: str, max_chars: int | None) -> _Counts:
     return _Counts(CountAutomaton(load_pieces(vocabulary), max_chars))
 
 
@@ -111,7 +115,7 @@ def load_pieces(vocabulary: str) -> list[str]:
     return [model.id_to_piece(i) for i in range(model.get_piece_size()) if not (model.is_control(i) or model.is_unknown(i) or model.is_byte(i) or model.is_unused(i))]
 
 
-def count_tokens(docs: DataFrame, vocabulary: str, max_chars: int = 200) -> DataFrame:
+def count_tokens(docs: DataFrame, vocabulary: str, max_chars: int | None = 200) -> DataFrame:
     """``doc_id, n_words, n_tokens, n_unknown`` of every whole text.
 
     vocabulary: path of a sentencepiece model, present on every executor.

@@ -12,6 +12,7 @@ import pytest
 from tokenizers import Tokenizer
 
 from siltstone.llm import bpe_dp, minhash_dedup, packing, quality_mcd, suffix_dedup, token_binary, toxicity_fst, wordpiece_count
+from siltstone.llm.queries import op2_wordpiece_counts
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, words string, body string, label long"
 BYTE, WORD = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("word_bpe_49k.json")
@@ -248,3 +249,24 @@ def test_toxicity_learns_words(spark):
     assert sorted(r.doc_id for r in toxicity_fst.kept_documents(table, labels).collect()) == [i for i in range(400) if i % 4]
     for one in (0, 1):
         assert toxicity_fst.learned_words(toxicity_fst.training_rows(table, labels.where(f"toxic = {one}"))) == {}
+
+
+def test_wordpiece_spells_long_words(spark, tmp_path):
+    pieces = set(wordpiece_count.load_pieces(public_tokenizers.path("piece_bpe_32k.model")))
+    longest = max(map(len, pieces))
+
+    def greedy(word):
+        word, at, n = "▁" + word, 0, 0
+        while at < len(word):
+            size = next((k for k in range(longest, 0, -1) if word[at : at + k] in pieces and at + k <= len(word)), 0)
+            if not size:
+                return 0
+            at, n = at + size, n + 1
+        return n
+
+    rng = random.Random(8)
+    words = ["".join(rng.choice("abdeginorst") for _ in range(n)) for n in (200, 201, 5000, 30_000)]
+    spark.createDataFrame([(i, f"{w} {w}") for i, w in enumerate(words)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    out = op2_wordpiece_counts(spark, str(tmp_path))
+    assert all(greedy(w) > 1 for w in words)
+    assert _got(out, "doc_id", "n_words", "n_tokens", "n_unknown") == collections.Counter((i, 2, 2 * greedy(w), 0) for i, w in enumerate(words))
