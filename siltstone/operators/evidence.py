@@ -141,25 +141,23 @@ def profile_counts(df: DataFrame, columns: list[str]) -> DataFrame:
     return one.selectExpr("stack({}, {}) AS (column, total, nulls, distinct_values)".format(len(columns), ", ".join(f"'{c}', total, total - n{i}, d{i}" for i, c in enumerate(columns))))
 
 
-def chain_edges(edges: DataFrame, depth: int = 6) -> DataFrame:
-    """``a, b`` edges that lie on no cycle and that no longer path implies; paths up to ``depth`` steps."""
-    from siltstone.operators.graph import bounded_walk
+def chain_edges(edges: DataFrame) -> DataFrame:
+    """``a, b`` edges that lie on no cycle and that no longer path implies, whatever the length of either."""
+    from siltstone.operators.graph import reachable, strong_components
 
     e = edges.where("a <> b").select("a", "b").distinct()
-    reach = bounded_walk(e, depth).select("a", "b")
-    back = reach.select(F.col("b").alias("a"), F.col("a").alias("b"))
-    free = e.join(back, ["a", "b"], "left_anti")
-    implied = free.select("a", F.col("b").alias("mid")).join(bounded_walk(free, depth).select(F.col("a").alias("mid"), "b"), "mid").select("a", "b").distinct()
+    groups = strong_components(e)
+    side = lambda key: groups.select(F.col("node").alias(key), F.col("grp").alias(f"grp_{key}"))
+    free = e.join(side("a"), "a", "left").join(side("b"), "b", "left").where("NOT coalesce(grp_a = grp_b, false)").select("a", "b")
+    implied = free.select("a", F.col("b").alias("mid")).join(reachable(free).select(F.col("a").alias("mid"), "b"), "mid").select("a", "b").distinct()
     return free.join(implied, ["a", "b"], "left_anti")
 
 
-def cyclic_groups(edges: DataFrame, depth: int = 6) -> DataFrame:
-    """``node, grp``: nodes that reach each other, by their smallest one; cycles up to twice ``depth`` long."""
-    from siltstone.operators.graph import bounded_walk
+def cyclic_groups(edges: DataFrame) -> DataFrame:
+    """``node, grp``: nodes that reach each other, by their smallest one; cycles of any length."""
+    from siltstone.operators.graph import strong_components
 
-    reach = bounded_walk(edges, depth).select("a", "b")
-    both = reach.join(reach.select(F.col("b").alias("a"), F.col("a").alias("b")), ["a", "b"], "left_semi")
-    return both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.col("a")).alias("grp"))
+    return strong_components(edges)
 
 
 def pattern_class(roles: DataFrame, topology: DataFrame, n_cyclic: int = 0) -> DataFrame:

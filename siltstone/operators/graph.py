@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import tempfile
+import uuid
+from functools import reduce
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -17,17 +21,18 @@ def node_roles(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return nodes.select("node").join(degree, "node", "left").selectExpr("node", "coalesce(degree, 0) AS degree", "CASE WHEN coalesce(degree, 0) = 0 THEN 'isolated' WHEN degree = 1 THEN 'dimension' WHEN degree = 2 THEN 'bridge' ELSE 'hub' END AS role")
 
 
-def connected_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """``node, component``: the smallest node reached.  Labels flow both ways and halve their paths; each round is
-    checkpointed to the shared folder, so a lost executor costs one round at most."""
-    spark = nodes.sparkSession
+def _set_checkpoints(spark: SparkSession) -> None:
     if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
         folder = spark.conf.get("spark.checkpoint.dir", None)
         if not folder and not spark.sparkContext.master.startswith("local["):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        import tempfile
-
         spark.sparkContext.setCheckpointDir(folder or tempfile.mkdtemp(prefix="siltstone-"))
+
+
+def connected_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """``node, component``: the smallest node reached.  Labels flow both ways and halve their paths; each round is
+    checkpointed to the shared folder, so a lost executor costs one round at most."""
+    _set_checkpoints(nodes.sparkSession)
     e = undirected(edges)
     both = e.union(e.select("b", "a")).checkpoint()
     labels = nodes.select("node", F.col("node").alias("component")).distinct().checkpoint()
@@ -67,3 +72,58 @@ def bounded_walk(edges: DataFrame, depth: int = 4) -> DataFrame:
         front = nxt.join(seen, ["a", "b"], "left_anti")
         seen = seen.union(front.withColumn("steps", F.lit(n)))
     return seen.groupBy("a", "b").agg(F.min("steps").alias("steps"))
+
+
+def _stored(df: DataFrame) -> DataFrame:
+    """``df`` as Parquet below the shared checkpoint folder, read back: lineage and size estimates end there."""
+    spark = df.sparkSession
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        base = "file://" + tempfile.mkdtemp(prefix="siltstone-")
+    path = f"{base.rstrip('/')}/siltstone-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def strong_components(edges: DataFrame) -> DataFrame:
+    """``node, grp`` of every node that lies on a cycle of two nodes or more, by the smallest node of its component.
+
+    Each node learns the smallest node that reaches it and the smallest it reaches, until nothing
+    changes; labels halve their paths where they can, else a round is one step.  Where both agree the component is settled, and only edges
+    between nodes of equal labels are looked at again.
+    """
+    left = _stored(edges.where("a <> b").select("a", "b").distinct())
+    parts = []
+    while left.take(1):
+        state = _stored(left.select(F.col("a").alias("node")).union(left.select("b")).distinct().selectExpr("node", "node AS lo", "node AS hi"))
+        moved = True
+        while moved:
+            at = lambda key, label: state.select(F.col("node").alias(key), F.col(label).alias("label"))  # noqa: E731, B023
+            none = lambda c: F.lit(None).cast(state.schema["node"].dataType).alias(c)  # noqa: E731, B023
+            lower = left.join(at("a", "lo"), "a").select(F.col("b").alias("node"), "label").union(state.select("node", "lo").join(at("lo", "lo"), "lo").select("node", "label"))
+            higher = left.join(at("b", "hi"), "b").select(F.col("a").alias("node"), "label").union(state.select("node", "hi").join(at("hi", "hi"), "hi").select("node", "label"))
+            every = state.selectExpr("node", "lo", "hi", "lo AS old_lo", "hi AS old_hi").union(lower.select("node", F.col("label").alias("lo"), none("hi"), none("old_lo"), none("old_hi"))).union(higher.select("node", none("lo"), F.col("label").alias("hi"), none("old_lo"), none("old_hi")))
+            new = _stored(every.groupBy("node").agg(*[F.min(c).alias(c) for c in ("lo", "hi", "old_lo", "old_hi")]))
+            moved = bool(new.where("lo <> old_lo OR hi <> old_hi").take(1))
+            state = new.select("node", "lo", "hi")
+        parts.append(state.where("lo = hi").select("node", F.col("lo").alias("grp")))
+        open_nodes = state.where("lo <> hi")
+        ends = lambda key: open_nodes.select(F.col("node").alias(key), F.struct("lo", "hi").alias(f"of_{key}"))  # noqa: E731, B023
+        left = _stored(left.join(ends("a"), "a").join(ends("b"), "b").where("of_a = of_b").select("a", "b"))
+    if not parts:
+        return left.select(F.col("a").alias("node"), F.col("b").alias("grp"))
+    found = reduce(DataFrame.union, parts)
+    return found.join(found.groupBy("grp").count().where("count > 1").select("grp"), "grp", "left_semi").select("node", "grp")
+
+
+def reachable(edges: DataFrame) -> DataFrame:
+    """``a, b``: every pair with a path from ``a`` to ``b``, of any length; walks double until none is new."""
+    seen = _stored(edges.where("a <> b").select("a", "b").distinct())
+    n, before = seen.count(), -1
+    while n > before:
+        longer = seen.select("a", F.col("b").alias("mid")).join(seen.select(F.col("a").alias("mid"), "b"), "mid").where("a <> b").select("a", "b")
+        seen = _stored(seen.union(longer).distinct())
+        n, before = seen.count(), n
+    return seen

@@ -146,7 +146,7 @@ def _(table):
     # Customer to region is given as well; the path over the nation implies it.
     both = table("customer").join(table("nation"), F.col("c_nationkey") == F.col("n_nationkey"))
     edges = both.selectExpr("concat('c', c_custkey) AS a", "concat('n', n_nationkey) AS b").union(both.selectExpr("concat('c', c_custkey)", "concat('r', n_regionkey)"))
-    return e.chain_edges(edges.union(table("nation").selectExpr("concat('n', n_nationkey)", "concat('r', n_regionkey)")), 3)
+    return e.chain_edges(edges.union(table("nation").selectExpr("concat('n', n_nationkey)", "concat('r', n_regionkey)")))
 
 
 @query("g03_cyclic_groups", "SELECT 'n' || n_nationkey AS node, min('n' || n_nationkey) OVER (PARTITION BY n_regionkey) AS grp FROM nation")
@@ -156,7 +156,7 @@ def _(table):
 
     w = Window.partitionBy("n_regionkey").orderBy("n_nationkey")
     ring = table("nation").select(F.concat(F.lit("n"), "n_nationkey").alias("a"), F.concat(F.lit("n"), F.coalesce(F.lead("n_nationkey").over(w), F.min("n_nationkey").over(Window.partitionBy("n_regionkey")))).alias("b"))
-    return e.cyclic_groups(ring, 6)
+    return e.cyclic_groups(ring)
 
 
 @query("g04_pattern_class", "SELECT (SELECT count(*) FROM nation) + (SELECT count(*) FROM region) AS v, (SELECT count(*) FROM nation) AS e, (SELECT count(*) FROM region) AS c, (SELECT count(*) FROM region) AS hubs, (SELECT count(*) FROM nation) AS leaves, 'disconnected' AS pattern")

@@ -2,7 +2,7 @@
 
 from datetime import datetime, timedelta
 
-from siltstone.operators import joins, temporal
+from siltstone.operators import evidence, joins, temporal
 from siltstone.plans.registry import QUERIES
 
 
@@ -28,3 +28,14 @@ def test_graph_of_every_order(spark):
     assert QUERIES["g02_all_topology"](spark, data).first().e == orders
     assert QUERIES["g01_all_roles"](spark, data).where("node LIKE 'o%'").count() == orders
     assert QUERIES["g05_all_hops"](spark, data).count() > orders / 2
+
+
+def test_cycles_and_chains_of_any_length(spark):
+    ring = [(i, (i + 1) % 15) for i in range(15)]
+    order = [3, 17, 8, 1, 12, 5, 19, 0, 14, 9, 2, 16]
+    second = [(100 + order[i], 100 + order[(i + 1) % 12]) for i in range(12)]
+    path = [(200 + i, 201 + i) for i in range(9)]
+    edges = spark.createDataFrame([*ring, *second, *path, (5, 103), (103, 200), (200, 209), (7, 7)], "a long, b long")
+    got = {(r.node, r.grp) for r in evidence.cyclic_groups(edges).collect()}
+    assert got == {(i, 0) for i in range(15)} | {(100 + k, 100) for k in order}
+    assert {tuple(r) for r in evidence.chain_edges(edges).select("a", "b").collect()} == {*path, (5, 103), (103, 200)}
