@@ -18,9 +18,11 @@ PATTERNS = [
 ]
 
 
-def pattern_match_rates(df: DataFrame, column: str, most: int = 10_000) -> DataFrame:
-    """Share of up to ``most`` distinct values that each pattern matches."""
-    values = df.where(F.col(column).isNotNull()).select(F.col(column).alias("v")).distinct().orderBy("v").limit(most)
+def pattern_match_rates(df: DataFrame, column: str, most: int | None = None) -> DataFrame:
+    """Share of the distinct values that each pattern matches; with ``most``, of the first so many in value order."""
+    values = df.where(F.col(column).isNotNull()).select(F.col(column).alias("v")).distinct()
+    if most is not None:
+        values = values.orderBy("v").limit(most)
     one = values.agg(*[F.avg(F.col("v").rlike(p).cast("double")).alias(n) for n, p, _, _ in PATTERNS])
     return one.selectExpr("stack({}, {}) AS (pattern, rate)".format(len(PATTERNS), ", ".join(f"'{n}', {n}" for n, *_ in PATTERNS)))
 
@@ -31,11 +33,11 @@ def cast_tests(df: DataFrame, column: str) -> DataFrame:
     return one.selectExpr("stack({}, {}) AS (pattern, type, parsed, total)".format(len(PATTERNS) + 1, ", ".join([f"'{n}', '{t}', {n}, n" for n, _, t, _ in PATTERNS] + ["'text', 'VARCHAR', n, n"])))
 
 
-def type_candidates(df: DataFrame, columns: list[str], min_match: float = 0.5, min_cast: float = 0.8) -> DataFrame:
+def type_candidates(df: DataFrame, columns: list[str], min_match: float = 0.5, min_cast: float = 0.8, most: int | None = None) -> DataFrame:
     """Patterns that enough values match and parse; text, with confidence 1, only where none does."""
     parts = []
     for c in columns:
-        both = pattern_match_rates(df, c).join(F.broadcast(cast_tests(df, c)), "pattern", "right")
+        both = pattern_match_rates(df, c, most).join(F.broadcast(cast_tests(df, c)), "pattern", "right")
         rate = both.selectExpr("pattern", "type", "coalesce(rate, 0) AS match_rate", "try_divide(parsed, total) AS cast_rate")
         parts.append(rate.where(f"(match_rate >= {min_match} AND cast_rate >= {min_cast}) OR pattern = 'text'").selectExpr(f"'{c}' AS column", "pattern", "type", "CASE WHEN pattern = 'text' THEN 1D ELSE (match_rate + cast_rate) / 2 END AS confidence"))
     alone = F.count("*").over(Window.partitionBy("column")) == 1

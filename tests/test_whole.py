@@ -2,7 +2,7 @@
 
 from datetime import datetime, timedelta
 
-from siltstone.operators import evidence, joins, temporal
+from siltstone.operators import evidence, joins, temporal, typing
 from siltstone.plans.registry import QUERIES
 
 
@@ -39,3 +39,9 @@ def test_cycles_and_chains_of_any_length(spark):
     got = {(r.node, r.grp) for r in evidence.cyclic_groups(edges).collect()}
     assert got == {(i, 0) for i in range(15)} | {(100 + k, 100) for k in order}
     assert {tuple(r) for r in evidence.chain_edges(edges).select("a", "b").collect()} == {*path, (5, 103), (103, 200)}
+
+
+def test_rates_of_all_distinct_values(spark):
+    mixed = spark.range(24_000).selectExpr("CASE WHEN id < 12000 THEN cast(10000 + id AS string) ELSE concat('x', id) END AS v")
+    rates = {r.pattern: r.rate for r in typing.pattern_match_rates(mixed, "v").collect()}
+    assert rates["integer"] == 0.5
