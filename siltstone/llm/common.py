@@ -36,6 +36,12 @@ def written(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(df: DataFrame) -> None:
+    """Empties the folders that ``written`` made for ``df``; it must not be read again."""
+    for path in {f.rpartition("/")[0] for f in df.inputFiles()}:
+        df.sparkSession.createDataFrame([], df.schema).write.mode("overwrite").parquet(path)
+
+
 def map_rows(df: DataFrame, fn: Callable[[pa.Table], pa.RecordBatch], schema: str) -> DataFrame:
     """``mapInArrow`` with a function of one batch."""
 

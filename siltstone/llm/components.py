@@ -26,3 +26,15 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         labels = new.select("node", "label")
         if not new.where("old <> label").take(1):
             return labels
+
+
+def contracted(labels: DataFrame | None, links: DataFrame) -> DataFrame:
+    """``labels`` after further ``links`` ``a, b`` between nodes: only links between components are followed."""
+    if labels is None:
+        return components(links)
+    to = lambda c: labels.select(F.col("node").alias(c), F.col("label").alias(f"l_{c}"))
+    between = links.join(to("a"), "a", "left").join(to("b"), "b", "left").select(F.coalesce("l_a", "a").alias("a"), F.coalesce("l_b", "b").alias("b"))
+    joined = components(between).withColumnRenamed("label", "to")
+    moved = labels.join(joined, labels.label == joined.node, "left").select(labels.node, F.coalesce("to", "label").alias("label"))
+    fresh = joined.join(labels.select("node"), "node", "left_anti").select("node", F.col("to").alias("label"))
+    return written(moved.unionByName(fresh))

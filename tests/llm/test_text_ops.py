@@ -270,3 +270,46 @@ def test_wordpiece_spells_long_words(spark, tmp_path):
     out = op2_wordpiece_counts(spark, str(tmp_path))
     assert all(greedy(w) > 1 for w in words)
     assert _got(out, "doc_id", "n_words", "n_tokens", "n_unknown") == collections.Counter((i, 2, 2 * greedy(w), 0) for i, w in enumerate(words))
+
+
+def test_near_duplicates_tie_texts_of_one_document(spark):
+    a = " ".join(f"a{i}" for i in range(80))
+    b = " ".join(f"b{i}" for i in range(80))
+    rows = [(1, a), (1, b), (2, f"{a} end"), (3, f"{b} end"), (4, "else where it is"), (-5, f"start {b}")]
+    out = minhash_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert {r.doc_id: r.component_id for r in out.collect()} == {1: -5, 2: -5, 3: -5, 4: 4, -5: -5}
+    kept = minhash_dedup.kept_documents(spark.createDataFrame([*rows, (4, "another text of four"), (None, a)], "doc_id long, text string"))
+    assert sorted(map(tuple, kept.collect()), key=str) == sorted([(-5, f"start {b}"), (4, "another text of four"), (None, a)], key=str)
+
+
+@pytest.mark.parametrize("block", [4, 512])
+def test_loose_copies_are_compared_in_blocks(spark, monkeypatch, block):
+    """Copies of one text with up to half of their words changed: components as brute force has them, from few comparisons."""
+    rng = random.Random(3)
+    base = [f"w{rng.randrange(500)}" for _ in range(150)]
+    texts = []
+    for i in range(80):
+        words = list(base)
+        for _ in range(i % 20):
+            words[rng.randrange(150)] = f"x{rng.randrange(10_000)}"
+        texts.append(" ".join(words))
+    sets = [minhash_dedup.shingle_set(t.encode().split(), 4) for t in texts]
+    near = [[100 * (both := len(np.intersect1d(a, b))) >= 80 * (len(a) + len(b) - both) for b in sets] for a in sets]
+    label = list(range(80))
+    while any(near[i][j] and label[j] < label[i] for i in range(80) for j in range(80)):
+        label = [min(label[j] for j in range(80) if near[i][j]) for i in range(80)]
+    monkeypatch.setattr(minhash_dedup, "BLOCK", block)
+    out = minhash_dedup.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    assert {r.doc_id: r.component_id for r in out.collect()} == dict(enumerate(label))
+
+
+def test_sketches_never_part_a_link():
+    rng = np.random.default_rng(2)
+    for n in (3, 60, 64, 65, 130, 700):
+        own = np.unique(rng.integers(0, 2**63, n).astype(np.uint64))
+        for changed in range(0, n // 4 + 1, max(1, n // 30)):
+            other = np.unique(np.concatenate([own[changed:], rng.integers(0, 2**63, changed).astype(np.uint64)]))
+            both = len(np.intersect1d(own, other))
+            link = 100 * both >= 80 * (len(own) + len(other) - both)
+            found = minhash_dedup._near_pairs([minhash_dedup.parity_sketch(x) for x in (own, other)], np.array([len(own), len(other)]), lambda i, j: j != i, 80)
+            assert found or not link
