@@ -1,10 +1,12 @@
 """Toxicity by a weighted finite-state grammar over clauses.
 
-Five small transducers read a clause: one maps words to symbols (insult, threat, loaded word,
-target, negation, reported speech), one per context keeps how long a negation, a report or a
-target stays in force, and their composition emits at most one kind per clause - the heaviest
-match in it.  A document's score is the logistic sum of its clause kinds, with weights learned
-from labelled training rows around prior weights, so that isolated words never count twice.
+Words become symbols (insult, threat, loaded word, target, negation, reported speech), and four
+transducers rewrite them, each in its own concern: one marks what a negation governs, one what
+is reported speech, one whom an insult or a threat is aimed at - before or after it, so it may
+guess a target that must follow - and one chooses which match the clause counts for.  They are
+composed into one weighted transducer, whose best path through a clause gives its kind.  A
+document's score is the logistic sum over its clause kinds, with weights learned from labelled
+training rows around prior weights, so that isolated words never count twice.
 
 The words of the grammar are the fixed ones below and, whatever the language, those that stand
 in toxic training rows far more often than chance allows: ``learned_words`` counts every word of
@@ -20,6 +22,8 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections import Counter
+from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -30,7 +34,7 @@ from pyspark.sql.types import IntegerType, StructField, StructType
 
 from siltstone.llm.common import document_columns, map_rows, written
 
-INSULT, THREAT, TARGET, NEGATION, REPORT, LOADED = range(1, 7)
+OTHER, INSULT, THREAT, TARGET, NEGATION, REPORT, LOADED = range(7)
 
 #: The grammar's vocabulary in the four languages of the corpus.
 LEXICON = {
@@ -52,52 +56,151 @@ REACH = {TARGET: 6, NEGATION: 3, REPORT: 6}
 KINDS = {"threat_at_target": 3.5, "insult_at_target": 4.0, "insult": 3.5, "threat": 0.5, "loaded": 2.5, "reported": 0.3, "negated": 0.3}
 KIND_NAMES = list(KINDS)
 PRIOR = np.array([-2.5, *KINDS.values()])
-#: Clauses of one kind count up to this many.
-MOST = 3
 #: Symbols that make a clause worth matching.
 MARKED = {INSULT, THREAT, LOADED}
 
 #: A learned word's least log-likelihood ratio against the share of toxic rows (one word in 10,000 by chance, and
 #: half of these on the clean side), and the lower bound of its toxic share from which it is an insult, not just loaded.
 LEAST_RATIO, INSULT_SHARE = 15.0, 0.9
+#: Learned words that a lexicon holds at most, those with the highest ratio.
+MOST_WORDS = 200_000
 
 COUNTS = StructType([StructField(f"k_{k}", IntegerType()) for k in KIND_NAMES])
 
 _TOKENS = re.compile(r"[^\W\d_]+|[.!?;:\n]").findall
 
 
-def match_clause(symbols: list[int]) -> str | None:
-    """The heaviest kind that the composed transducers accept in one clause of symbols (0: any word)."""
-    until = {TARGET: -1, NEGATION: -1, REPORT: -1}
-    best = len(KIND_NAMES)
-    pending: list[tuple[int, int]] = []  # (word, kind) of insults and threats that a later target may reach
-    for at, symbol in enumerate(symbols):
-        if symbol in REACH:
-            until[symbol] = at + REACH[symbol]
-            if symbol == TARGET:
-                for word, base in pending:
-                    if at - word <= REACH[TARGET]:
-                        best = min(best, KIND_NAMES.index("insult_at_target" if base == INSULT else "threat_at_target"))
-                pending = []
-        elif symbol in MARKED:
-            if until[NEGATION] >= at:
-                kind = "negated"
-            elif until[REPORT] >= at:
-                kind = "reported"
-            elif symbol == LOADED:
-                kind = "loaded"
-            elif until[TARGET] >= at:
-                kind = "insult_at_target" if symbol == INSULT else "threat_at_target"
-            else:
-                kind = "insult" if symbol == INSULT else "threat"
-                pending.append((at, symbol))
-            best = min(best, KIND_NAMES.index(kind))
-    return KIND_NAMES[best] if best < len(KIND_NAMES) else None
+@dataclass(frozen=True)
+class Transducer:
+    """A weighted finite-state transducer that writes one symbol for each it reads.
+
+    ``arcs[state][symbol]`` lists (written symbol, next state, weight); a path's weight is the sum of
+    its arcs', and of the paths that end in a final state the heaviest counts.
+    """
+
+    start: object
+    arcs: dict
+    final: frozenset
+
+    def then(self, other: Transducer) -> Transducer:
+        """The composition: ``other`` reads what this one writes.  Only reachable states are built."""
+        start = (self.start, other.start)
+        arcs: dict = {}
+        todo = [start]
+        while todo:
+            state = todo.pop()
+            if state in arcs:
+                continue
+            own = arcs[state] = {}
+            for symbol, outs in self.arcs[state[0]].items():
+                own[symbol] = [(y, (p, q), v + w) for x, p, v in outs for y, q, w in other.arcs[state[1]].get(x, ())]
+                todo += [q for _, q, _ in own[symbol]]
+        return Transducer(start, arcs, frozenset(s for s in arcs if s[0] in self.final and s[1] in other.final))
+
+
+MATCHES = (INSULT, THREAT, LOADED)
+#: What the transducers write in place of a match.
+NEGATED, REPORTED, INSULT_AT, THREAT_AT = "negated", "reported", "insult_at_target", "threat_at_target"
+
+
+def governed(by: int, reach: int, written: str, alphabet: list) -> Transducer:
+    """Writes ``written`` for the matches among the ``reach`` words after a ``by``; states count the words left."""
+    arcs = {}
+    for left in range(reach + 1):
+        after = max(0, left - 1)
+        arcs[left] = {x: [(x, after, 0)] for x in alphabet}
+        arcs[left] |= {x: [(written, after, 0)] for x in MATCHES if left}
+        arcs[left][by] = [(by, reach, 0)]
+    return Transducer(0, arcs, frozenset(arcs))
+
+
+def aimed(reach: int, alphabet: list) -> Transducer:
+    """Writes ``*_at_target`` for insults and threats with a target up to ``reach`` words before or after.
+
+    States: (words left since a target, words left for a target that was guessed; none: 0).
+    """
+    arcs: dict = {}
+    for left in range(reach + 1):
+        for owed in range(reach + 1):
+            own = arcs[left, owed] = {}
+            # A guess whose time is up has no arc: that path ends.
+            after = (max(0, left - 1), owed - 1) if owed > 1 else (max(0, left - 1), 0)
+            alive = owed != 1
+            for x in alphabet:
+                own[x] = [(x, after, 0)] if alive else []
+            for x, aimed_x in ((INSULT, INSULT_AT), (THREAT, THREAT_AT)):
+                if left:
+                    own[x] = [(aimed_x, after, 0)] if alive else []
+                elif alive:
+                    own[x] = [(x, after, 0), (aimed_x, (after[0], after[1] or reach), 0)]
+            own[TARGET] = [(TARGET, (reach, 0), 0)]
+    return Transducer((0, 0), arcs, frozenset(s for s in arcs if not s[1]))
+
+
+def chosen(alphabet: list) -> Transducer:
+    """Writes the kind of one match of the clause and nothing for the rest; heavier kinds have heavier arcs."""
+    kinds = {INSULT: "insult", THREAT: "threat", LOADED: "loaded", NEGATED: "negated", REPORTED: "reported", INSULT_AT: INSULT_AT, THREAT_AT: THREAT_AT}
+    before, after = {}, {}
+    for x in alphabet:
+        before[x], after[x] = [("", "before", 0)], [("", "after", 0)]
+        if x in kinds:
+            before[x].append((kinds[x], "after", len(KIND_NAMES) - KIND_NAMES.index(kinds[x])))
+    return Transducer("before", {"before": before, "after": after}, frozenset(["before", "after"]))
+
+
+class Grammar:
+    """The composed transducer with its best paths, made deterministic as clauses ask for it."""
+
+    def __init__(self) -> None:
+        plain = [OTHER, INSULT, THREAT, TARGET, NEGATION, REPORT, LOADED]
+        self.whole = (
+            governed(NEGATION, REACH[NEGATION], NEGATED, plain)
+            .then(governed(REPORT, REACH[REPORT], REPORTED, [*plain, NEGATED]))
+            .then(aimed(REACH[TARGET], [*plain, NEGATED, REPORTED]))
+            .then(chosen([*plain, NEGATED, REPORTED, INSULT_AT, THREAT_AT]))
+        )
+        self._places: dict[tuple, int] = {}
+        self._weights: list[dict] = []
+        self._steps: dict[tuple[int, int], int] = {}
+        self._place({self.whole.start: 0})
+
+    def _place(self, weights: dict) -> int:
+        """The number of a set of states with the best weight that reaches each."""
+        key = tuple(sorted(weights.items(), key=repr))
+        if key not in self._places:
+            self._places[key] = len(self._weights)
+            self._weights.append(weights)
+        return self._places[key]
+
+    def kind(self, symbols: list[int]) -> str | None:
+        """The kind of the heaviest path through a clause, if it matches at all."""
+        at = 0
+        for symbol in symbols:
+            step = self._steps.get((at, symbol))
+            if step is None:
+                reached: dict = {}
+                for state, weight in self._weights[at].items():
+                    for _, to, w in self.whole.arcs[state][symbol]:
+                        reached[to] = max(reached.get(to, 0), weight + w)
+                step = self._steps[at, symbol] = self._place(reached)
+            at = step
+        best = max((w for state, w in self._weights[at].items() if state in self.whole.final), default=0)
+        return KIND_NAMES[len(KIND_NAMES) - best] if best else None
+
+
+@lru_cache(1)
+def grammar() -> Grammar:
+    return Grammar()
+
+
+def tokens_of(text: str) -> list[str]:
+    """Lower-cased words and clause ends of a text in composed form."""
+    return _TOKENS((text if text.isascii() else unicodedata.normalize("NFC", text)).lower())
 
 
 def clauses(text: str, class_of: dict[str, int] = CLASS_OF) -> list[tuple[str, str]]:
     """(kind, words) of every matched clause of a text."""
-    tokens = _TOKENS(text.lower())
+    tokens = tokens_of(text)
     symbols = list(map(class_of.get, tokens))
     if MARKED.isdisjoint(symbols):
         return []
@@ -105,7 +208,7 @@ def clauses(text: str, class_of: dict[str, int] = CLASS_OF) -> list[tuple[str, s
     for end in [*(i for i, t in enumerate(tokens) if t in ".!?;:\n"), len(tokens)]:
         part = symbols[start:end]
         if not MARKED.isdisjoint(part):
-            kind = match_clause([s or 0 for s in part])
+            kind = grammar().kind([s or OTHER for s in part])
             if kind:
                 out.append((kind, " ".join(tokens[start:end])))
         start = end + 1
@@ -124,7 +227,7 @@ def match_documents(docs: DataFrame, class_of: dict[str, int] = CLASS_OF) -> Dat
 
 
 def clause_counts(class_of: dict[str, int], text: str) -> Column:
-    """Clauses of each kind in whole texts, up to ``MOST``, as a struct of ``k_<kind>``."""
+    """Clauses of each kind in whole texts, as a struct of ``k_<kind>``."""
 
     @F.pandas_udf(COUNTS)
     def count(texts: pd.Series) -> pd.DataFrame:
@@ -132,7 +235,7 @@ def clause_counts(class_of: dict[str, int], text: str) -> Column:
         for i, text in enumerate(texts):
             for kind, _ in clauses(text, class_of) if text else []:
                 rows[i, KIND_NAMES.index(kind)] += 1
-        return pd.DataFrame(np.minimum(rows, MOST), columns=[f"k_{k}" for k in KIND_NAMES])
+        return pd.DataFrame(rows, columns=[f"k_{k}" for k in KIND_NAMES])
 
     return count(F.col(text).cast("string")).alias("k")
 
@@ -157,7 +260,7 @@ def learned_words(training: DataFrame) -> dict[str, int]:
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         seen: tuple[Counter, Counter] = (Counter(), Counter())
         for text, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            seen[toxic].update({"", *_TOKENS(text.lower())} if text else {""})
+            seen[toxic].update({"", *tokens_of(text)} if text else {""})
         parts = [(w, y, n) for y in (0, 1) for w, n in seen[y].items()]
         return pa.RecordBatch.from_arrays([pa.array([p[k] for p in parts], t) for k, t in enumerate((pa.string(), pa.int32(), pa.int64()))], ["word", "toxic", "n"])
 
@@ -169,31 +272,38 @@ def learned_words(training: DataFrame) -> dict[str, int]:
     found = per_word.where("word <> '' AND bad >= good").withColumns({"n": F.expr("bad + good"), "share": F.expr("bad / (bad + good)")})
     ratio = F.expr(f"2 * (bad * ln(share / {base}D) + CASE WHEN good > 0 THEN good * ln((1 - share) / (1 - {base}D)) ELSE 0 END)")
     lower = F.expr("(share + 2 / n - 2 * sqrt(share * (1 - share) / n + 1 / (n * n))) / (1 + 4 / n)")
-    rows = found.where((F.col("share") > base) & (ratio >= LEAST_RATIO)).select("word", (lower >= INSULT_SHARE).alias("strong")).collect()
+    rows = found.withColumn("ratio", ratio).where((F.col("share") > base) & (F.col("ratio") >= LEAST_RATIO)).orderBy(F.desc("ratio"), "word").limit(MOST_WORDS).select("word", (lower >= INSULT_SHARE).alias("strong")).collect()
     return {r.word: INSULT if r.strong else LOADED for r in rows if r.word not in CLASS_OF and r.word.isalpha()}
 
 
+def _feature(column: str) -> str:
+    """How a count of clauses enters the score: every further clause adds, each less than the one before."""
+    return f"log2(1D + {column})"
+
+
 def fit(training: DataFrame, class_of: dict[str, int] = CLASS_OF, ridge: float = 1.0) -> np.ndarray:
-    """Intercept and kind weights from all training rows.
+    """Intercept and kind weights from all training rows, by Newton steps.
 
-    Rows are summed up per combination of counts first: at most ``(MOST + 1) ** len(KINDS)``
-    sums reach the driver, whatever the number of documents.
+    Rows are summed up per combination of counts and written once; each step sums up the gradient and
+    the curvature of that table, so a fixed number of sums reaches the driver.
     """
     names = [f"k_{k}" for k in KIND_NAMES]
-    sums = training.select(clause_counts(class_of, "text"), "toxic").select("k.*", "toxic").groupBy(*names).agg(F.count("*").alias("n"), F.sum("toxic").alias("y")).collect()
+    sums = written(training.select(clause_counts(class_of, "text"), "toxic").select("k.*", "toxic").groupBy(*names).agg(F.count("*").alias("n"), F.sum("toxic").alias("y")))
     weights = PRIOR.copy()
-    if not sums:
-        return weights
-    x = np.array([[1.0, *(r[c] for c in names)] for r in sums])
-    n, y = (np.array([r[c] for r in sums], float) for c in ("n", "y"))
+    x = sums.selectExpr("n", "y", "1D AS x_0", *[f"{_feature(c)} AS x_{i}" for i, c in enumerate(names, 1)])
+    size = range(len(weights))
     pull = np.array([1e-3, *[ridge] * len(names)])
     for _ in range(50):
-        p = 1 / (1 + np.exp(-np.clip(x @ weights, -30, 30)))
-        gradient = x.T @ (y - n * p) - pull * (weights - PRIOR)
-        hessian = (x * (n * p * (1 - p))[:, None]).T @ x + np.diag(pull)
-        step = np.linalg.solve(hessian, gradient)
+        z = " + ".join(f"{float(w)!r}D * x_{i}" for i, w in enumerate(weights))
+        at = x.withColumn("p", F.expr(f"1D / (1D + exp(-greatest(least({z}, 30D), -30D)))"))
+        row = at.selectExpr(*[f"sum((y - n * p) * x_{i})" for i in size], *[f"sum(n * p * (1D - p) * x_{i} * x_{j})" for i in size for j in size]).first()
+        if row[0] is None:
+            return weights
+        flat = np.array(row, float)
+        gradient = flat[: len(weights)] - pull * (weights - PRIOR)
+        step = np.linalg.solve(flat[len(weights) :].reshape(len(weights), -1) + np.diag(pull), gradient)
         weights = weights + step * min(1.0, 4.0 / max(np.abs(step).max(), 1e-12))
-        if np.abs(step).max() < 1e-9:
+        if np.abs(step).max() < 1e-6:
             break
     return weights
 
@@ -202,7 +312,7 @@ def score_of(weights: np.ndarray, prefix: str = "") -> Column:
     """The score as an expression over the columns ``k_<kind>`` below ``prefix``."""
     z = F.lit(float(weights[0]))
     for kind, w in zip(KIND_NAMES, weights[1:], strict=True):
-        z = z + F.lit(float(w)) * F.col(f"{prefix}k_{kind}")
+        z = z + F.lit(float(w)) * F.expr(_feature(f"{prefix}k_{kind}"))
     return F.lit(1.0) / (F.lit(1.0) + F.exp(-z))
 
 

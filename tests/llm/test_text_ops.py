@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import itertools
 import random
 import re
 import zlib
@@ -272,6 +273,40 @@ def test_wordpiece_spells_long_words(spark, tmp_path):
     assert _got(out, "doc_id", "n_words", "n_tokens", "n_unknown") == collections.Counter((i, 2, 2 * greedy(w), 0) for i, w in enumerate(words))
 
 
+def _heaviest(clause):
+    """The kind of a clause by looking at each match and what stands around it."""
+    fst = toxicity_fst
+    within = lambda i, what, back, ahead: any(clause[j] == what for j in range(max(0, i - back), min(len(clause), i + ahead + 1)) if j != i)
+    kinds = set()
+    for i, x in enumerate(clause):
+        if x not in (fst.INSULT, fst.THREAT, fst.LOADED):
+            continue
+        if within(i, fst.NEGATION, 3, 0):
+            kinds.add("negated")
+        elif within(i, fst.REPORT, 6, 0):
+            kinds.add("reported")
+        elif x == fst.LOADED:
+            kinds.add("loaded")
+        else:
+            kinds.add({fst.INSULT: "insult", fst.THREAT: "threat"}[x] + ("_at_target" if within(i, fst.TARGET, 6, 6) else ""))
+    return next((k for k in fst.KIND_NAMES if k in kinds), None)
+
+
+def test_grammar_accepts_what_brute_force_does():
+    kind = toxicity_fst.Grammar().kind
+    for n in range(6):
+        for clause in itertools.product(range(7), repeat=n):
+            assert kind(clause) == _heaviest(clause), clause
+    rng = random.Random(4)
+    for _ in range(20_000):
+        clause = rng.choices(range(7), weights=[12, 2, 2, 1, 1, 1, 1], k=rng.randrange(6, 30))
+        assert kind(clause) == _heaviest(clause), clause
+
+
+def test_composed_letters_are_one_word():
+    assert [k for k, _ in toxicity_fst.clauses("du bist erba\u0308rmlich")] == ["insult_at_target"]
+
+
 def test_near_duplicates_tie_texts_of_one_document(spark):
     a = " ".join(f"a{i}" for i in range(80))
     b = " ".join(f"b{i}" for i in range(80))
