@@ -13,8 +13,8 @@ each occurrence reaches.  All occurrences of a group are reported, not only neig
 Groups of more than ``MOST_IN_GROUP`` different surroundings are resolved by counting the
 hashes of their windows instead, spread over the cluster, with the same result.
 
-Equality of grams, surroundings and half windows is taken from 64-bit prints; what decides
-partial overlaps compares bytes (or, in the largest groups, prints).
+Surroundings are equal if their own and their gram's 64-bit prints are; partial overlaps are
+decided by comparing bytes (or, in the largest groups, prints).
 
 Defined results: a null text counts as empty; texts under ``width`` bytes keep everything;
 a repeated row is another occurrence of all its strings; rows without a doc_id take part like
@@ -26,6 +26,7 @@ from __future__ import annotations
 import hashlib
 import zlib
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -37,6 +38,8 @@ from siltstone.llm.common import document_columns, map_rows, written
 
 WIDTH, GRAM = 200, 32
 MOST_IN_GROUP = 20_000
+#: Bytes of texts whose anchors are found at a time, longer texts alone.
+CHUNK = 1 << 20
 
 _RNG = np.random.default_rng(7)
 _BYTE = _RNG.integers(0, 2**63, 256, np.uint64) * np.uint64(2) + np.uint64(1)
@@ -91,28 +94,39 @@ def _sliding(a: np.ndarray, w: int, ufunc: np.ufunc, fill: int) -> np.ndarray:
     return ufunc(behind[: n - w + 1], ahead[w - 1 : n])
 
 
-def anchors(prints: Prints, n: int, width: int = WIDTH, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray]:
-    """Anchor positions and their gram hashes."""
-    grams = prints.all_of(gram)
+def anchors(prints: Prints, starts: np.ndarray, sizes: np.ndarray, width: int = WIDTH, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray]:
+    """Anchor positions and the text of each, for texts that lie one after another, none shorter than ``width``."""
+    # Half of the print is enough to choose by; a tie only adds an anchor.
+    grams = (prints.all_of(gram) >> np.uint64(32)).astype(np.uint32)
     w = width - gram + 1
-    least = _sliding(grams, w, np.minimum, 2**64 - 1)
-    pad = np.zeros(w - 1, np.uint64)
+    least = _sliding(grams, w, np.minimum, 2**32 - 1)
+    # Windows that reach into the next text decide nothing.
+    ends = starts + sizes
+    for end in ends[:-1].tolist():
+        least[end - width + 1 : end] = 0
+    pad = np.zeros(w - 1, np.uint32)
     of_windows = _sliding(np.concatenate([pad, least, pad]), w, np.maximum, 0)
     at = np.flatnonzero(grams == of_windows)
-    return at, grams[at]
+    text = np.searchsorted(starts, at, "right") - 1
+    inside = at + gram <= ends[text]
+    return at[inside], text[inside]
 
 
-def _anchor_arrays(data: bytes, width: int, gram: int) -> list[np.ndarray]:
-    """Position, gram, surroundings and the right and left half keys (0: none) of each anchor."""
-    n, reach = len(data), width - gram
+def _anchor_arrays(texts: list[bytes], width: int, gram: int) -> list[np.ndarray]:
+    """Text, position in it, gram, surroundings and the right and left half keys (0: none) of each anchor."""
+    sizes = np.array(list(map(len, texts)))
+    starts = np.cumsum(sizes) - sizes
+    reach = width - gram
     half = reach // 2
-    prints = Prints(data)
-    at, grams = anchors(prints, n, width, gram)
-    left, right = np.minimum(reach, at), np.minimum(reach, n - at - gram)
+    prints = Prints(b"".join(texts))
+    at, text = anchors(prints, starts, sizes, width, gram)
+    first, n = at - starts[text], sizes[text]
+    left, right = np.minimum(reach, first), np.minimum(reach, n - first - gram)
+    grams = prints.of(at, at + gram)
     around = _mixed(prints.of(at - left, at + gram + right) + (left * 1000 + right).astype(np.uint64))
-    to_right = np.where(right >= half, _mixed(prints.of(at, np.minimum(at + gram + half, n)) + np.uint64(1)), 0).astype(np.uint64)
-    to_left = np.where(left >= half, _mixed(prints.of(np.maximum(at - half, 0), at + gram) + np.uint64(2)), 0).astype(np.uint64)
-    return [at.astype(np.int32), *(x.view(np.int64) for x in (grams, around, to_right, to_left))]
+    to_right = np.where(right >= half, _mixed(prints.of(at, at + gram + np.minimum(right, half)) + np.uint64(1)), 0).astype(np.uint64)
+    to_left = np.where(left >= half, _mixed(prints.of(at - np.minimum(left, half), at + gram) + np.uint64(2)), 0).astype(np.uint64)
+    return [text, first.astype(np.int32), *(x.view(np.int64) for x in (grams, around, to_right, to_left))]
 
 
 def _data(text: str | None) -> bytes:
@@ -122,36 +136,28 @@ def _data(text: str | None) -> bytes:
 def anchor_rows(docs: DataFrame, width: int, gram: int) -> DataFrame:
     """One row per anchor: ``doc_id, mark, at, gram, around, to_right, to_left``; mark tells texts of one doc_id apart."""
 
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        ids, marks, columns = [], [], []
-        for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            data = _data(text)
-            if len(data) >= width:
-                columns.append(_anchor_arrays(data, width, gram))
-                ids.append((doc_id, len(columns[-1][0])))
-                marks.append(zlib.crc32(data) - 2**31)
-        if not columns:
-            return None
-        count = [c for _, c in ids]
-        index = pa.array(np.repeat(np.arange(len(ids)), count))
-        arrays = [pa.array([d for d, _ in ids], pa.int64()).take(index), pa.array(marks, pa.int32()).take(index), *(pa.array(np.concatenate(x)) for x in zip(*columns, strict=True))]
-        return pa.RecordBatch.from_arrays(arrays, ["doc_id", "mark", "at", "gram", "around", "to_right", "to_left"])
-
-    return map_rows(document_columns(docs), run, "doc_id long, mark int, at int, gram long, around long, to_right long, to_left long")
-
-
-def _common(a: bytes, b: bytes) -> int:
-    n = min(len(a), len(b))
-    if a[:n] == b[:n]:
-        return n
-    lo, hi = 0, n
-    while hi - lo > 1:
-        mid = (lo + hi) // 2
-        if a[lo:mid] == b[lo:mid]:
-            lo = mid
-        else:
-            hi = mid
-    return lo
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, own = [], []
+            size = 0
+            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                data = _data(text)
+                if len(data) >= width:
+                    ids.append(doc_id), own.append(data)
+                    size += len(data)
+                if size > CHUNK:
+                    yield rows(ids, own)
+                    ids, own, size = [], [], 0
+            if own:
+                yield rows(ids, own)
+
+    def rows(ids: list, own: list[bytes]) -> pa.RecordBatch:
+        text, *columns = _anchor_arrays(own, width, gram)
+        index = pa.array(text)
+        marks = pa.array([zlib.crc32(d) - 2**31 for d in own], pa.int32())
+        return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()).take(index), marks.take(index), *map(pa.array, columns)], ["doc_id", "mark", "at", "gram", "around", "to_right", "to_left"])
+
+    return document_columns(docs).mapInArrow(run, "doc_id long, mark int, at int, gram long, around long, to_right long, to_left long")
 
 
 def repeat_spans(before: list[bytes], after: list[bytes], need: int) -> list[list[tuple[int, int]]]:
@@ -160,10 +166,18 @@ def repeat_spans(before: list[bytes], after: list[bytes], need: int) -> list[lis
     Only spans with at least ``need`` bytes beyond the core count.  ``before`` is read backwards.
     """
     m = len(after)
-    order = sorted(range(m), key=after.__getitem__)
-    prefix = [0, *(_common(after[order[i - 1]], after[order[i]]) for i in range(1, m)), -1]
-    flipped = [b[::-1] for b in before]
-    by_left = sorted(range(m), key=flipped.__getitem__)
+    # As numbers of one size, the first bit in which two strings differ tells what they share.
+    size = max(map(len, [*before, *after]), default=0)
+    sizes = [[len(x) for x in part] for part in (before, after)]
+    numbers = [[int.from_bytes(x.ljust(size, b"\0")) for x in part] for part in ([b[::-1] for b in before], after)]
+
+    def common(part: int, i: int, j: int) -> int:
+        shared = size - (((numbers[part][i] ^ numbers[part][j]).bit_length() + 7) >> 3)
+        return min(shared, sizes[part][i], sizes[part][j])
+
+    order = sorted(range(m), key=lambda i: (numbers[1][i], sizes[1][i]))
+    prefix = [0, *(common(1, order[i - 1], order[i]) for i in range(1, m)), -1]
+    by_left = sorted(range(m), key=lambda i: (numbers[0][i], sizes[0][i]))
     place = [0] * m
     for i, x in enumerate(by_left):
         place[x] = i
@@ -174,7 +188,7 @@ def repeat_spans(before: list[bytes], after: list[bytes], need: int) -> list[lis
         inside = sorted(order[lo:hi], key=place.__getitem__)
         previous = 0
         for i, x in enumerate(inside):
-            following = _common(flipped[x], flipped[inside[i + 1]]) if i + 1 < len(inside) else 0
+            following = common(0, x, inside[i + 1]) if i + 1 < len(inside) else 0
             reach = max(previous, following)
             if reach + depth >= need and not any(a >= reach and b >= depth for a, b in spans[x]):
                 spans[x].append((reach, depth))
@@ -191,39 +205,48 @@ def repeat_spans(before: list[bytes], after: list[bytes], need: int) -> list[lis
     return spans
 
 
-def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[list[dict]]:
-    """Rows of one key at a time, from batches that are sorted by key."""
-    open_: list[dict] = []
-    for batch in batches:
-        for row in batch.to_pylist():
-            if open_ and row["key"] != open_[0]["key"]:
-                yield open_
-                open_ = []
-            open_.append(row)
-    if open_:
-        yield open_
+SPAN = "doc_id long, mark int, start int, stop int"
 
 
-SPAN = "doc_id long, mark int, start int, stop int"
+def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Rows of whole keys, from batches that are sorted by key."""
+    open_: list[pa.RecordBatch] = []
+    for batch in batches:
+        keys = batch.column("key").to_numpy()
+        if not len(keys):
+            continue
+        cuts = np.flatnonzero(keys[1:] != keys[:-1]) + 1
+        if open_ and open_[-1].column("key")[-1].as_py() != keys[0]:
+            yield pa.Table.from_batches(open_)
+            open_ = []
+        if len(cuts):
+            yield pa.Table.from_batches([*open_, batch.slice(0, cuts[-1])])
+            open_ = [batch.slice(cuts[-1])]
+        else:
+            open_.append(batch)
+    if open_:
+        yield pa.Table.from_batches(open_)
 
 
 def _resolve_groups(surroundings: DataFrame, need: int) -> DataFrame:
     """Spans of the single members of small groups."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out: list[list] = [[], [], [], []]
-        schema = pa.schema([("doc_id", pa.int64()), ("mark", pa.int32()), ("start", pa.int32()), ("stop", pa.int32())])
-        for rows in _groups(batches):
-            if len(rows) < 2:
-                continue
-            for row, found in zip(rows, repeat_spans([r["before"] for r in rows], [r["after"] for r in rows], need), strict=True):
-                for reach, depth in found if row["n"] == 1 else []:
-                    for values, v in zip(out, (row["doc_id"], row["mark"], row["core"] - reach, row["core_end"] + depth), strict=True):
-                        values.append(v)
-            if len(out[0]) > 50_000:
-                yield pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip(out, schema, strict=True)], schema=schema)
-                out = [[], [], [], []]
-        yield pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip(out, schema, strict=True)], schema=schema)
+        for table in _groups(batches):
+            keys = table.column("key").to_numpy()
+            cuts = [0, *(np.flatnonzero(keys[1:] != keys[:-1]) + 1).tolist(), len(keys)]
+            before, after, single = table.column("before").to_pylist(), table.column("after").to_pylist(), (table.column("n").to_numpy() == 1).tolist()
+            rows, reach, depth = [], [], []
+            for lo, hi in zip(cuts, cuts[1:], strict=False):
+                if hi - lo < 2:
+                    continue
+                for i, found in enumerate(repeat_spans(before[lo:hi], after[lo:hi], need), lo):
+                    for r, d in found if single[i] else ():
+                        rows.append(i), reach.append(r), depth.append(d)
+            at = np.array(rows, np.int64)
+            start, stop = table.column("core").to_numpy()[at] - np.array(reach, np.int32), table.column("core_end").to_numpy()[at] + np.array(depth, np.int32)
+            who = [table.column(c).combine_chunks().take(pa.array(at)) for c in ("doc_id", "mark")]
+            yield pa.RecordBatch.from_arrays([*who, pa.array(start, pa.int32()), pa.array(stop, pa.int32())], ["doc_id", "mark", "start", "stop"])
 
     return surroundings.repartition("key").sortWithinPartitions("key").mapInArrow(run, SPAN)
 
@@ -253,7 +276,7 @@ def packed(docs: DataFrame, carry: list[str] | None = None) -> DataFrame:
     """``doc_id, mark, body``: whole texts, compressed so that shuffles stay small; ``carry``: columns to keep as ``rest``."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        pack = zstandard.ZstdCompressor(level=3).compress
+        pack = zstandard.ZstdCompressor(level=1).compress
         data = [_data(t) for t in batch.column(1).to_pylist()]
         return pa.RecordBatch.from_arrays([batch.column(0), pa.array([zlib.crc32(d) - 2**31 for d in data], pa.int32()), pa.array([pack(d) if d else b"" for d in data], pa.binary()), *batch.columns[2:]], ["doc_id", "mark", "body", *["rest"] * bool(carry)])
 
@@ -280,31 +303,37 @@ def repeated_spans(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, most_i
     half = (width - gram) // 2
     need = width - gram - half
     rows = anchor_rows(docs, width, gram)
-    grams = rows.groupBy(F.col("gram").alias("g")).agg(F.count("*").alias("n"), F.min("around").alias("lo"), F.max("around").alias("hi")).where("n > 1").select("g", (F.col("lo") == F.col("hi")).alias("settled"))
-    again = written(rows.join(grams, F.col("gram") == F.col("g")).drop("gram", "g"))
+    # Written, so that the join below deals both sides anew and Spark can split a gram that stands in very many places.
+    grams = written(rows.groupBy(F.col("gram").alias("g")).agg(F.count("*").alias("n"), F.min("around").alias("lo"), F.max("around").alias("hi")).where("n > 1").select("g", (F.col("lo") == F.col("hi")).alias("settled")))
+    again = written(rows.join(grams, F.col("gram") == F.col("g")).drop("g"))
     whole = again.where("settled").select("doc_id", "mark", F.col("at").alias("start"), F.lit(-1).alias("stop"))
-    sides = again.where("not settled").select("doc_id", "mark", "at", "around", F.explode(F.array(F.struct(F.lit(True).alias("ahead"), F.col("to_right").alias("key")), F.struct(F.lit(False).alias("ahead"), F.col("to_left").alias("key")))).alias("s"))
-    sides = sides.select("doc_id", "mark", "at", "around", "s.ahead", "s.key").where("key <> 0")
-    members = written(sides.groupBy("key", "around").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "mark", "at", "ahead")).alias("one")))
+    sides = again.where("not settled").select("doc_id", "mark", "at", "gram", "around", F.explode(F.array(F.struct(F.lit(True).alias("ahead"), F.col("to_right").alias("key")), F.struct(F.lit(False).alias("ahead"), F.col("to_left").alias("key")))).alias("s"))
+    sides = sides.select("doc_id", "mark", "at", "gram", "around", "s.ahead", "s.key").where("key <> 0")
+    members = written(sides.groupBy("key", "around", "gram").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "mark", "at", "ahead")).alias("one")))
     # Surroundings that occur again are covered wherever they stand, in whichever group they were seen.
-    known = members.where("n > 1").select(F.col("around").alias("a")).distinct()
-    more = again.where("not settled").join(known, F.col("around") == F.col("a"), "left_semi").select("doc_id", "mark", F.col("at").alias("start"), F.lit(-1).alias("stop"))
+    known = members.where("n > 1").select(F.col("around").alias("a"), F.col("gram").alias("g")).distinct()
+    more = again.where("not settled").join(known, F.expr("around = a AND gram = g"), "left_semi").select("doc_id", "mark", F.col("at").alias("start"), F.lit(-1).alias("stop"))
     kinds = members.groupBy("key").agg(F.count("*").alias("kinds")).where("kinds > 1")
     asked = members.join(kinds, "key").select("key", "n", "kinds", "one.*")
     per_document = asked.groupBy("doc_id", "mark").agg(F.collect_list(F.struct("key", "n", "kinds", "at", "ahead")).alias("asked"))
 
     def cut(batch: pa.RecordBatch) -> pa.RecordBatch:
-        out: dict[str, list] = {k: [] for k in ("key", "n", "kinds", "doc_id", "mark", "core", "core_end", "before", "after")}
-        for row in batch.to_pylist():
-            data = _unpack(row["body"])
-            for x in row["asked"]:
-                core = x["at"] if x["ahead"] else x["at"] - half
-                end = core + gram + half
-                values = (x["key"], x["n"], x["kinds"], row["doc_id"], row["mark"], core, end, data[max(0, core - need) : core], data[end : end + need])
-                for k, v in zip(out, values, strict=True):
-                    out[k].append(v)
-        types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary()]
-        return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out.values(), types, strict=True)], list(out))
+        asked = batch.column("asked")
+        each = asked.flatten()
+        counts = np.diff(asked.offsets.to_numpy())
+        column = lambda name: each.field(each.type.get_field_index(name))
+        core = column("at").to_numpy() - np.where(column("ahead").to_numpy(zero_copy_only=False), 0, half).astype(np.int32)
+        before, after = [], []
+        places = iter(core.tolist())
+        for body, k in zip(batch.column("body").to_pylist(), counts.tolist(), strict=True):
+            data = _unpack(body)
+            for start in islice(places, k):
+                end = start + gram + half
+                before.append(data[max(0, start - need) : start])
+                after.append(data[end : end + need])
+        row = pa.array(np.repeat(np.arange(len(counts)), counts))
+        arrays = [column("key"), column("n"), column("kinds"), batch.column("doc_id").take(row), batch.column("mark").take(row), pa.array(core, pa.int32()), pa.array(core + gram + half, pa.int32()), pa.array(before, pa.binary()), pa.array(after, pa.binary())]
+        return pa.RecordBatch.from_arrays(arrays, ["key", "n", "kinds", "doc_id", "mark", "core", "core_end", "before", "after"])
 
     bodies = _on_document(per_document, packed(docs), "inner")
     surroundings = written(map_rows(bodies.select("doc_id", "mark", "asked", "body"), cut, "key long, n long, kinds long, doc_id long, mark int, core int, core_end int, before binary, after binary"))
@@ -333,11 +362,7 @@ def merged(spans: list[tuple[int, int]], n: int, width: int, gram: int) -> list[
 
 def _with_spans(docs: DataFrame, width: int, gram: int, most_in_group: int, carry: list[str] | None = None) -> DataFrame:
     spans = repeated_spans(docs, width, gram, most_in_group).groupBy("doc_id", "mark").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
-    return _on_document(packed(docs, carry), spans, "left").select("doc_id", "body", "spans", *["rest"] * bool(carry))
-
-
-def _spans_of(row: dict, data: bytes, width: int, gram: int) -> list[tuple[int, int]]:
-    return merged([(s["start"], s["stop"]) for s in row["spans"] or []], len(data), width, gram)
+    return _on_document(packed(docs, carry), spans, "left").select("doc_id", "body", F.col("spans.start").alias("span_start"), F.col("spans.stop").alias("span_stop"), *["rest"] * bool(carry))
 
 
 def _rest(data: bytes, spans: list[tuple[int, int]]) -> bytes:
@@ -357,16 +382,17 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, most_i
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         texts, total, removed, count, digest = [], [], [], [], []
-        for row in batch.select(["body", "spans"]).to_pylist():
-            data = _unpack(row["body"])
-            spans = _spans_of(row, data, width, gram)
+        starts, stops = (batch.column(f"span_{x}").to_pylist() for x in ("start", "stop"))
+        for body, start, stop in zip(batch.column("body").to_pylist(), starts, stops, strict=True):
+            data = _unpack(body)
+            spans = merged(list(zip(start, stop, strict=True)), len(data), width, gram) if start else []
             rest = _rest(data, spans)
             texts.append(rest.decode("utf-8", "ignore"))
             total.append(len(data))
             removed.append(len(data) - len(rest))
             count.append(len(spans))
             digest.append(hashlib.sha256(rest).hexdigest())
-        return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(texts, pa.string()), *(pa.array(x, pa.int64()) for x in (total, removed, count)), pa.array(digest, pa.string()), *batch.columns[3:]], ["doc_id", "text", "n_bytes", "n_removed", "n_spans", "kept_sha256", *["rest"] * bool(carry)])
+        return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(texts, pa.string()), *(pa.array(x, pa.int64()) for x in (total, removed, count)), pa.array(digest, pa.string()), *batch.columns[4:]], ["doc_id", "text", "n_bytes", "n_removed", "n_spans", "kept_sha256", *["rest"] * bool(carry)])
 
     rows = _with_spans(docs, width, gram, most_in_group, carry)
     schema = "doc_id long, text string, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
