@@ -1,10 +1,16 @@
 """Approximate nearest neighbours: stable projections, a kd-tree, and a chi-square stop.
 
-Vectors are projected to a few dimensions by a Gaussian matrix.  If two vectors are ``d`` apart,
+Vectors are projected to fewer dimensions by a Gaussian matrix.  If two vectors are ``d`` apart,
 their squared projected distance divided by ``d * d`` follows chi-square; so once the next
 projected neighbour is farther than the ``confidence`` quantile allows for the k-th distance
-found so far, a true neighbour is still missing with small probability only, and the search stops.
-Each neighbour met before is verified on the original vectors.
+found so far, a neighbour is still missing with probability ``1 - confidence`` at most, and the
+search stops.  Projected neighbours come in the order of their projected distance, from a
+kd-tree, and each one met is verified on the original vectors.
+
+That bound holds for any number of dimensions; which one costs least depends on the data, so it
+is chosen on the sample: vectors with structure in few dimensions need few, while among nearly
+uniform ones (as in the shipped tables, whose tenth neighbour is at three quarters of the usual
+distance) few dimensions leave most vectors to verify.  Each query reports how many it verified.
 
 On Spark the top of the kd-tree is fitted on a bounded sample of projections (``sample_rows``)
 and cuts space into cells; every row is indexed.  A query first searches its own cell, then, with
@@ -20,6 +26,7 @@ from __future__ import annotations
 
 import heapq
 from collections.abc import Iterator
+from statistics import NormalDist
 
 import numpy as np
 import pandas as pd
@@ -28,19 +35,44 @@ from pyspark.sql import functions as F
 
 from siltstone.llm.common import written
 
-#: Quantiles of chi-square with eight degrees of freedom (fixed values).
-CHI2_8 = {0.9: 13.362, 0.95: 15.507, 0.98: 18.168, 0.99: 20.090, 0.995: 21.955}
-DIMS, LEAF = 8, 256
+#: Numbers of projected dimensions to choose from, rows of a leaf, and neighbours verified at a time.
+DIMS, LEAF, RUN = (8, 16, 32, 48), 256, 64
+#: Verifying a vector costs about as much as reading so many times its length of projections, as it is fetched from anywhere.
+FETCH = 3
+
+
+def chi_square(dims: int, confidence: float) -> float:
+    """The quantile of chi-square, by the cube-root normal approximation (Wilson and Hilferty)."""
+    spread = 2 / (9 * dims)
+    return dims * (1 - spread + NormalDist().inv_cdf(confidence) * spread**0.5) ** 3
+
+
+def projection(size: int, dims: int, seed: int = 11) -> np.ndarray:
+    return np.random.default_rng([seed, size, dims]).standard_normal((size, dims))
 
 
-def projection(size: int, seed: int = 11) -> np.ndarray:
-    return np.random.default_rng([seed, size]).standard_normal((size, DIMS))
+def cheapest_dims(sample: np.ndarray, k: int, confidence: float, queries: int = 64) -> int:
+    """The number of dimensions with the least cost of projected and verified distances on a sample."""
+    if len(sample) <= k:
+        return DIMS[0]
+    asked = np.arange(min(queries, len(sample)))
+
+    def squares(x: np.ndarray) -> np.ndarray:
+        d = (x[asked] ** 2).sum(1)[:, None] + (x**2).sum(1)[None] - 2 * x[asked] @ x.T
+        d[asked, asked] = np.inf
+        return d
+
+    kth = np.partition(squares(sample), k - 1, axis=1)[:, k - 1]
+    size = sample.shape[1]
+    share = {m: (squares(sample @ projection(size, m)) <= chi_square(m, confidence) * kth[:, None]).mean() for m in DIMS}
+    return min(DIMS, key=lambda m: m + FETCH * size * share[m])
 
 
 class KDTree:
     """A kd-tree over projected points, searched in the order of projected distance."""
 
     def __init__(self, points: np.ndarray, leaf: int = LEAF) -> None:
+        self.points = points
         self.nodes: list[tuple] = []  # (box low, box high, left, right, rows)
         self._build(points, np.arange(len(points)), leaf)
 
@@ -65,37 +97,50 @@ class KDTree:
         d = np.maximum(np.maximum(low - q, q - high), 0.0)
         return float(d @ d)
 
-    def search(self, q: np.ndarray, verify, k: int, bound: float, ratio: float) -> list[tuple[float, int]]:
-        """The best ``k`` of ``verify(rows) -> (distances, ids)``, given that ``bound`` is already reached.
+    def search(self, q: np.ndarray, verify, k: int, bound: float, ratio: float) -> tuple[list[tuple[float, int]], int]:
+        """The best ``k`` of ``verify(rows) -> (distances, ids)``, given that ``bound`` is already reached, and how many were verified.
 
-        Stops once the projected squared distance of all that is left exceeds ``ratio`` times
+        Stops once the projected squared distance of the next neighbour exceeds ``ratio`` times
         the square of the k-th distance.
         """
         best: list[tuple[float, int]] = []  # negated, the worst first
-        limit = bound
-        heap = [(self._gap(0, q), 0)]
+        limit, verified = bound, 0
+        # Nodes by the gap of their box; rows of an opened leaf by their own projected distance.
+        heap: list[tuple[float, int, int, np.ndarray | None, np.ndarray | None]] = [(self._gap(0, q), 0, 0, None, None)]
+        tick = 0
         while heap:
-            gap, node = heapq.heappop(heap)
+            gap, _, node, own, rows = heapq.heappop(heap)
             if gap > ratio * limit * limit:
                 break
-            _, _, left, right, rows = self.nodes[node]
-            if rows is None:
-                for child in (left, right):
-                    g = self._gap(child, q)
-                    if g <= ratio * limit * limit:
-                        heapq.heappush(heap, (g, child))
-                continue
-            distances, ids = verify(rows)
-            near = distances <= limit
-            for d, i in zip(distances[near].tolist(), ids[near].tolist(), strict=True):
-                item = (-d, -i)
-                if len(best) < k:
-                    heapq.heappush(best, item)
-                elif item > best[0]:
-                    heapq.heapreplace(best, item)
-            if len(best) == k:
-                limit = min(limit, -best[0][0])
-        return sorted((-d, -i) for d, i in best)
+            if own is None:
+                _, _, left, right, inside = self.nodes[node]
+                if inside is None:
+                    for child in (left, right):
+                        tick += 1
+                        heapq.heappush(heap, (self._gap(child, q), tick, child, None, None))
+                    continue
+                d = self.points[inside] - q
+                gaps = (d * d).sum(1)
+                order = gaps.argsort(kind="stable")
+                own, rows = gaps[order], inside[order]
+            else:
+                take = max(1, int(np.searchsorted(own[:RUN], ratio * limit * limit, "right")))
+                distances, ids = verify(rows[:take])
+                verified += len(ids)
+                near = distances <= limit
+                for d, i in zip(distances[near].tolist(), ids[near].tolist(), strict=True):
+                    item = (-d, -i)
+                    if len(best) < k:
+                        heapq.heappush(best, item)
+                    elif item > best[0]:
+                        heapq.heapreplace(best, item)
+                if len(best) == k:
+                    limit = min(limit, -best[0][0])
+                own, rows = own[take:], rows[take:]
+            if len(own):
+                tick += 1
+                heapq.heappush(heap, (float(own[0]), tick, node, own, rows))
+        return sorted((-d, -i) for d, i in best), verified
 
 
 def usable_vectors(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding") -> DataFrame:
@@ -136,34 +181,38 @@ def _cell_of(points: np.ndarray, cuts: list[tuple[int, float]]) -> np.ndarray:
     return node
 
 
-def nearest(vectors: DataFrame, is_query: Column, k: int = 10, confidence: float = 0.98, block_rows: int = 4096, most_cells: int = 1024, sample_rows: int = 16_384, vec_id: str = "vec_id", embedding: str = "embedding") -> DataFrame:
-    """``query_id, rank, vec_id, score``: for each row that ``is_query`` selects (an expression over
-    ``vec_id``), its ``k`` nearest other rows by Euclidean distance, ties to the smaller vec_id."""
+def nearest(vectors: DataFrame, is_query: Column, k: int = 10, confidence: float = 0.95, block_rows: int = 4096, most_cells: int = 1024, sample_rows: int = 16_384, vec_id: str = "vec_id", embedding: str = "embedding") -> DataFrame:
+    """``query_id, rank, vec_id, score, verified``: for each row that ``is_query`` selects (an expression over
+    ``vec_id``), its ``k`` nearest other rows by Euclidean distance, ties to the smaller vec_id.
+
+    confidence: least probability that a neighbour is met before the search stops.  most_cells: cells of
+    the top of the tree, whose boxes the driver holds; beyond, cells have more blocks.
+    """
     spark = vectors.sparkSession
-    ratio = CHI2_8[confidence]
     rows = written(usable_vectors(vectors, vec_id, embedding))
-    result = "query_id long, rank int, vec_id long, score double"
+    result = "query_id long, rank int, vec_id long, score double, verified long"
     sizes = rows.groupBy(F.size("v").alias("size")).count().orderBy(F.desc("count"), "size").first()
     if sizes is None:
         return spark.createDataFrame([], result)
     size, total = sizes["size"], sizes["count"]
     rows = rows.where(F.size("v") == size)
-    matrix = projection(size)
     depth = max(0, min(most_cells, -(-total // block_rows)) - 1).bit_length()
-    sample = rows.orderBy(F.xxhash64("vec_id")).limit(sample_rows).select("v").toPandas()
-    cuts = _fit_cells(_matrix(sample.v) @ matrix, depth)
+    sample = _matrix(rows.orderBy(F.xxhash64("vec_id")).limit(sample_rows).select("v").toPandas().v)
+    dims = cheapest_dims(sample, k, confidence)
+    matrix, ratio = projection(size, dims), chi_square(dims, confidence)
+    cuts = _fit_cells(sample @ matrix, depth)
 
     def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for df in batches:
-            points = _matrix(df.v) @ matrix if len(df) else np.empty((0, DIMS))
+            points = _matrix(df.v) @ matrix if len(df) else np.empty((0, dims))
             yield pd.DataFrame({"vec_id": df.vec_id, "v": df.v, "p": list(points), "cell": _cell_of(points, cuts)})
 
     placed = written(rows.mapInPandas(place, "vec_id long, v array<double>, p array<double>, cell long"))
     # At most ``most_cells`` boxes and counts.
-    agg = [F.min(F.col("p")[i]).alias(f"lo{i}") for i in range(DIMS)] + [F.max(F.col("p")[i]).alias(f"hi{i}") for i in range(DIMS)]
+    agg = [F.min(F.col("p")[i]).alias(f"lo{i}") for i in range(dims)] + [F.max(F.col("p")[i]).alias(f"hi{i}") for i in range(dims)]
     cells = placed.groupBy("cell").agg(F.count("*").alias("n"), F.count_if(is_query).alias("n_q"), *agg).orderBy("cell").collect()
-    low = np.array([[c[f"lo{i}"] for i in range(DIMS)] for c in cells])
-    high = np.array([[c[f"hi{i}"] for i in range(DIMS)] for c in cells])
+    low = np.array([[c[f"lo{i}"] for i in range(dims)] for c in cells])
+    high = np.array([[c[f"hi{i}"] for i in range(dims)] for c in cells])
     ids = np.array([c["cell"] for c in cells])
     blocks = {c["cell"]: -(-c["n"] // block_rows) for c in cells}
     block_count = F.create_map(*[F.lit(int(x)) for kv in blocks.items() for x in kv])
@@ -171,7 +220,7 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 10, confidence: float
     queries = placed.where(is_query).select(F.col("vec_id").alias("query_id"), F.col("v").alias("q"), F.col("p").alias("qp"), "cell")
 
     def search(key: tuple, own: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
-        out: list[tuple[int, int, float]] = []
+        out: list[tuple[int, int | None, float | None, int]] = []
         if len(own) and len(asked):
             v, who = _matrix(own.v), own.vec_id.to_numpy()
             tree = KDTree(_matrix(own.p))
@@ -183,18 +232,21 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 10, confidence: float
                     d = v[found] - q
                     return np.sqrt((d * d).sum(1)), who[found]
 
-                out += [(query_id, i, d) for d, i in tree.search(np.asarray(qp), verify, k, bound, ratio)]
-        return pd.DataFrame(out, columns=["query_id", "vec_id", "score"])
+                found, verified = tree.search(np.asarray(qp), verify, k, bound, ratio)
+                out += [(query_id, i, d, 0) for d, i in found]
+                out.append((query_id, None, None, verified))
+        ids, others, scores, verified = zip(*out, strict=True) if out else ((), (), (), ())
+        return pd.DataFrame({"query_id": pd.Series(ids, dtype="int64"), "vec_id": pd.Series(others, dtype="Int64"), "score": pd.Series(scores, dtype="float64"), "verified": pd.Series(verified, dtype="int64")})
 
     def run(asked: DataFrame) -> DataFrame:
         """Search blocks for rows of ``query_id, q, qp, cell, bound``; queries go to every block of a cell in lots."""
         spread = asked.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), block_count[F.col("cell")].cast("long") - 1)))
-        found = salted.groupBy("cell", "block").cogroup(spread.groupBy("cell", "block")).applyInPandas(search, "query_id long, vec_id long, score double")
-        return found
+        return written(salted.groupBy("cell", "block").cogroup(spread.groupBy("cell", "block")).applyInPandas(search, "query_id long, vec_id long, score double, verified long"))
 
     best = Window.partitionBy("query_id").orderBy("score", "vec_id")
-    top = lambda df: df.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
-    home = written(top(run(queries.withColumn("bound", F.lit(float("inf"))))).select("query_id", "vec_id", "score"))
+    top = lambda df: df.where("vec_id IS NOT NULL").withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+    at_home = run(queries.withColumn("bound", F.lit(float("inf"))))
+    home = written(top(at_home).select("query_id", "vec_id", "score"))
     bounds = home.groupBy("query_id").agg(F.when(F.count("*") == k, F.max("score")).otherwise(float("inf")).alias("bound"))
     asked = queries.join(bounds, "query_id", "left").withColumn("bound", F.coalesce("bound", F.lit(float("inf"))))
 
@@ -209,4 +261,6 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 10, confidence: float
             yield df.iloc[who].assign(cell=ids[where])
 
     others = run(asked.mapInPandas(route, "query_id long, q array<double>, qp array<double>, cell long, bound double"))
-    return top(home.unionByName(others)).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+    work = at_home.unionByName(others).groupBy(F.col("query_id").alias("w_id")).agg(F.sum("verified").alias("verified"))
+    found = top(home.unionByName(others.select("query_id", "vec_id", "score"))).join(work, F.col("query_id") == F.col("w_id"))
+    return found.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score", "verified")

@@ -29,6 +29,38 @@ def test_nearest(spark):
     assert ann_kdtree.nearest(table.where("vec_id < 4"), F.col("vec_id") == 0).count() == 3
 
 
+def test_nearest_verifies_few_of_structured_vectors(spark):
+    """20,000 vectors near a six-dimensional surface, beside columns with names that the operator uses itself."""
+    rng = np.random.default_rng(9)
+    v = rng.standard_normal((20_000, 6)) @ rng.standard_normal((6, 64)) + 0.01 * rng.standard_normal((20_000, 64))
+    table = spark.createDataFrame([(i, r.tolist(), i, 0.0, "c") for i, r in enumerate(v)], "vec_id long, embedding array<double>, query_id long, score double, cell string")
+    out = ann_kdtree.nearest(table, F.col("vec_id") % 1000 == 0).toPandas()
+    hits = 0
+    for q, own in out.groupby("query_id"):
+        d = np.sqrt(((v - v[q]) ** 2).sum(1))
+        d[q] = np.inf
+        hits += len(set(d.argsort()[:10]) & set(own.vec_id))
+    assert hits >= 0.9 * 200
+    assert out.groupby("query_id").verified.first().mean() < 0.2 * len(v)
+
+
+def test_chi_square_quantiles():
+    for dims, confidence, want in ((8, 0.9, 13.362), (8, 0.99, 20.090), (32, 0.95, 46.194)):
+        assert abs(ann_kdtree.chi_square(dims, confidence) - want) < 0.005 * want
+
+
+def test_tree_meets_neighbours_in_order():
+    rng = np.random.default_rng(1)
+    points = rng.standard_normal((3000, 4))
+    q = rng.standard_normal(4)
+    seen = []
+    tree = ann_kdtree.KDTree(points, 64)
+    found, verified = tree.search(q, lambda rows: (seen.extend(rows.tolist()), (((points[rows] - q) ** 2).sum(1) ** 0.5, rows))[1], 10, float("inf"), 1.0)
+    d = ((points - q) ** 2).sum(1) ** 0.5
+    assert [i for _, i in found] == d.argsort(kind="stable")[:10].tolist()
+    assert verified == len(seen) < 1000
+
+
 def test_preference_pairs(spark):
     turns = "pair_id long, turn long, role string, text string"
     chosen = spark.createDataFrame([(1, 0, "user", "hi"), (1, 1, "assistant", "good"), (2, 0, "user", "x"), (3, 0, "user", None), (3, 1, "assistant", "same")], turns)
