@@ -26,7 +26,7 @@ START = "▁"
 class CountAutomaton:
     """Children, failure node and popped-token count of every trie node."""
 
-    def __init__(self, pieces: list[str], max_chars: int | None = 200) -> None:
+    def __init__(self, pieces: list[str], max_chars: int | None = None) -> None:
         self.max_chars = max_chars
         self.children: list[dict[str, int]] = [{}]
         whole = [False]
@@ -115,7 +115,7 @@ def load_pieces(vocabulary: str) -> list[str]:
     return [model.id_to_piece(i) for i in range(model.get_piece_size()) if not (model.is_control(i) or model.is_unknown(i) or model.is_byte(i) or model.is_unused(i))]
 
 
-def count_tokens(docs: DataFrame, vocabulary: str, max_chars: int | None = 200) -> DataFrame:
+def count_tokens(docs: DataFrame, vocabulary: str, max_chars: int | None = None) -> DataFrame:
     """``doc_id, n_words, n_tokens, n_unknown`` of every whole text.
 
     vocabulary: path of a sentencepiece model, present on every executor.

@@ -99,7 +99,7 @@ def test_wordpiece(docs, rows, none):
     for i, text, *_ in rows:
         each = [greedy(w) if len(w) <= 200 else 0 for w in re.findall(r"[^\x20\x09-\x0D]+", text or "")]
         want[(i, len(each), sum(n or 1 for n in each), each.count(0))] += 1
-    assert _got(wordpiece_count.count_tokens(docs, path), "doc_id", "n_words", "n_tokens", "n_unknown") == want
+    assert _got(wordpiece_count.count_tokens(docs, path, max_chars=200), "doc_id", "n_words", "n_tokens", "n_unknown") == want
     assert wordpiece_count.count_tokens(none, path).count() == 0
 
 
