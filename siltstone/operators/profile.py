@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from siltstone.functions.stats import chi2_tail_8, sample_kurtosis, sample_skewness
 from siltstone.operators.longform import cells
+from siltstone.operators.quantiles import exact_quantiles, value_counts
 
 
 def basic_counts(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -27,20 +28,31 @@ def numeric_moments(df: DataFrame, columns: list[str]) -> DataFrame:
     )
 
 
+SHARES = {"p01": 0.01, "p25": 0.25, "p50": 0.5, "p75": 0.75, "p99": 0.99}
+
+
 def percentiles(df: DataFrame, columns: list[str], accuracy: int | None = None) -> DataFrame:
-    """p01, p25, p50, p75, p99 per column: interpolated, or approximate within 1/accuracy for wide value ranges."""
-    shares = "array(0.01D, 0.25D, 0.5D, 0.75D, 0.99D)"
-    found = f"percentile(value, {shares})" if accuracy is None else f"percentile_approx(value, {shares}, {accuracy})"
-    rows = cells(df, columns, numeric=True).groupBy("column").agg(F.expr(found).alias("p"))
-    return rows.selectExpr("column", "p[0] AS p01", "p[1] AS p25", "p[2] AS p50", "p[3] AS p75", "p[4] AS p99")
+    """p01, p25, p50, p75, p99 per column: interpolated and exact, or approximate within 1/accuracy."""
+    long = cells(df, columns, numeric=True)
+    if accuracy is None:
+        found = exact_quantiles(long, list(SHARES.values()))
+    else:
+        found = long.groupBy("column").agg(F.expr(f"percentile_approx(value, array({', '.join(f'{s}D' for s in SHARES.values())}), {accuracy})").alias("q"))
+    return found.selectExpr("column", *[f"q[{i}] AS {name}" for i, name in enumerate(SHARES)])
+
+
+def _held(per_column: DataFrame) -> DataFrame:
+    """A table of one row per column as a local one."""
+    return per_column.sparkSession.createDataFrame(per_column.collect(), per_column.schema)
 
 
 def _around_median(df: DataFrame, columns: list[str]) -> DataFrame:
     """Cells with their column's median and median absolute deviation; the joined side has one row per column."""
     long = cells(df, columns, numeric=True).where("value IS NOT NULL")
-    mid = long.groupBy("column").agg(F.expr("percentile(value, 0.5D)").alias("p50"))
-    off = long.join(F.broadcast(mid), "column").groupBy("column").agg(F.first("p50").alias("p50"), F.expr("percentile(abs(value - p50), 0.5D)").alias("mad"))
-    return long.join(F.broadcast(off), "column")
+    # One row per column each, found once and not again for every later use.
+    mid = _held(exact_quantiles(long, [0.5]).selectExpr("column", "q[0] AS p50"))
+    off = _held(exact_quantiles(long.join(F.broadcast(mid), "column").selectExpr("column", "abs(value - p50) AS value"), [0.5]).selectExpr("column", "q[0] AS mad"))
+    return long.join(F.broadcast(mid.join(F.broadcast(off), "column")), "column")
 
 
 def robust_spread(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -70,15 +82,40 @@ def histogram(df: DataFrame, columns: list[str], bins: int = 20) -> DataFrame:
 
 
 def profile(df: DataFrame, columns: list[str], accuracy: int | None = None) -> DataFrame:
-    """Counts, moments and percentiles of all numeric ``columns``, one row each, in one pass."""
-    shares = "array(0.01D, 0.25D, 0.5D, 0.75D, 0.99D)"
-    found = f"percentile(value, {shares})" if accuracy is None else f"percentile_approx(value, {shares}, {accuracy})"
-    rows = cells(df, columns, numeric=True).groupBy("column").agg(
-        F.count("*").alias("total"), F.count_if(F.col("value").isNull()).alias("nulls"), F.count_distinct("value").alias("distinct_values"),
-        F.min("value").alias("min"), F.max("value").alias("max"), F.avg("value").alias("mean"), F.stddev_samp("value").alias("stddev"),
-        sample_skewness("value").alias("skewness"), sample_kurtosis("value").alias("kurtosis"), F.expr(found).alias("p"),
+    """Counts, moments and percentiles of all numeric ``columns``, one row each, from one table of value counts.
+
+    Where every value of a column has at most nine decimals, the mean is that of the exact sum, whatever
+    the order of the rows.
+    """
+    counts = value_counts(cells(df, columns, numeric=True))
+    decimal = "try_cast(value AS decimal(24, 9))"
+    base = counts.groupBy("column").agg(
+        F.sum("n").alias("total"), F.expr("coalesce(sum(CASE WHEN value IS NULL THEN n END), 0)").alias("nulls"), F.count("value").alias("distinct_values"), F.min("value").alias("min"), F.max("value").alias("max"),
+        F.expr("sum(CASE WHEN value IS NOT NULL THEN n END)").alias("m"), F.expr(f"coalesce(bool_and(cast({decimal} AS double) = value), true)").alias("plain"),
+        F.expr(f"cast(try_sum({decimal} * cast(n AS decimal(12, 0))) AS double)").alias("exact"), F.expr("sum(value * n)").alias("rough"),
+    ).withColumn("mean", F.expr("CASE WHEN plain AND exact IS NOT NULL THEN exact ELSE rough END / m"))
+    off = counts.join(F.broadcast(base.select("column", "mean")), "column").withColumn("d", F.col("value") - F.col("mean"))
+    powers = off.groupBy("column").agg(*[F.sum(F.expr(f"n * {' * '.join(['d'] * k)}")).alias(f"d{k}") for k in (2, 3, 4)])
+    out = base.join(F.broadcast(powers), "column").join(F.broadcast(percentiles(df, columns, accuracy)), "column", "left")
+    g1, g2 = "(d3 / m) / pow(d2 / m, 1.5D)", "(d4 / m) / pow(d2 / m, 2D) - 3"
+    return out.selectExpr(
+        "column", "total", "nulls", "distinct_values", "min", "max", "mean", "CASE WHEN m > 1 THEN sqrt(d2 / (m - 1)) END AS stddev",
+        f"CASE WHEN m > 2 AND d2 > 0 THEN {g1} * sqrt(m * (m - 1D)) / (m - 2) END AS skewness",
+        f"CASE WHEN m > 3 AND d2 > 0 THEN (m - 1D) / ((m - 2D) * (m - 3D)) * ((m + 1D) * ({g2}) + 6) END AS kurtosis", *SHARES,
+    )
+
+
+def full_profile(df: DataFrame, columns: list[str], numeric: list[str]) -> DataFrame:
+    """One row per column of any type: counts, text lengths, the most frequent value, and for ``numeric`` ones moments, percentiles and robust spread."""
+    counts = value_counts(cells(df, columns))
+    found = counts.where("value IS NOT NULL").groupBy("column").agg(
+        F.min(F.length("value")).alias("min_length"), F.max(F.length("value")).alias("max_length"), F.expr("sum(length(value) * n) / sum(n)").alias("avg_length"),
+        F.min(F.expr("struct(-n AS n, value)")).alias("top"),
     )
-    return rows.selectExpr("*", "p[0] AS p01", "p[1] AS p25", "p[2] AS p50", "p[3] AS p75", "p[4] AS p99").drop("p")
+    sizes = counts.groupBy("column").agg(F.sum("n").alias("total"), F.expr("coalesce(sum(CASE WHEN value IS NULL THEN n END), 0)").alias("nulls"), F.count("value").alias("distinct_values"))
+    numbers = profile(df, numeric).drop("total", "nulls", "distinct_values").join(F.broadcast(robust_spread(df, numeric)), "column")
+    out = sizes.join(F.broadcast(found), "column", "left").join(F.broadcast(numbers), "column", "left")
+    return out.select(*sizes.columns, "min_length", "max_length", "avg_length", F.col("top.value").alias("top_value"), (-F.col("top.n")).alias("top_count"), *[c for c in numbers.columns if c != "column"])
 
 
 def benford(df: DataFrame, columns: list[str], min_values: int = 100) -> DataFrame:
@@ -97,7 +134,7 @@ def benford(df: DataFrame, columns: list[str], min_values: int = 100) -> DataFra
 
 def iqr_outliers(df: DataFrame, columns: list[str], reach: float = 1.5) -> DataFrame:
     long = cells(df, columns, numeric=True).where("value IS NOT NULL")
-    q = long.groupBy("column").agg(F.expr("percentile(value, array(0.25D, 0.75D))").alias("q")).selectExpr("column", f"q[0] - {reach}D * (q[1] - q[0]) AS lo", f"q[1] + {reach}D * (q[1] - q[0]) AS hi")
+    q = exact_quantiles(long, [0.25, 0.75]).selectExpr("column", f"q[0] - {reach}D * (q[1] - q[0]) AS lo", f"q[1] + {reach}D * (q[1] - q[0]) AS hi")
     return long.join(F.broadcast(q), "column").groupBy("column").agg(F.first("lo").alias("lo"), F.first("hi").alias("hi"), F.count_if(F.expr("value < lo OR value > hi")).alias("outliers"), F.count("*").alias("n")).selectExpr("column", "lo", "hi", "outliers", "outliers / n AS ratio")
 
 
@@ -108,7 +145,7 @@ def mad_outliers(df: DataFrame, columns: list[str], cut: float = 3.5) -> DataFra
 
 def farthest(df: DataFrame, column: str, key: list[str], k: int = 200) -> DataFrame:
     """The ``k`` rows farthest from the median of ``column``."""
-    x = _around_median(df, [column]).select("p50").limit(1)
+    x = exact_quantiles(cells(df, [column], numeric=True), [0.5]).selectExpr("q[0] AS p50")
     rows = df.where(F.col(column).isNotNull()).crossJoin(F.broadcast(x)).withColumn("distance", F.abs(F.col(column) - F.col("p50")))
     return rows.orderBy(F.desc("distance"), *key).limit(k).select(*key, column, "distance")
 

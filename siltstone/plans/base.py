@@ -25,5 +25,6 @@ def query(name: str, sql: str | None = None) -> Callable[[Callable[[Tables], Dat
 
 
 def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
-    """Doubles rounded, so that two engines' sums compare."""
-    return df.selectExpr(*[f"round({c}, {digits}) AS {c}" if t == "double" else f"cast({c} AS bigint) AS {c}" if t in ("int", "smallint", "tinyint") else c for c, t in df.dtypes])
+    """Doubles rounded as binary numbers, as most engines do, so that two engines' sums compare."""
+    scale = f"1e{digits}D"
+    return df.selectExpr(*[f"CASE WHEN abs({c}) < 1e9D THEN round({c} * {scale}) / {scale} ELSE round({c}, {digits}) END AS {c}" if t == "double" else f"cast({c} AS bigint) AS {c}" if t in ("int", "smallint", "tinyint") else c for c, t in df.dtypes])

@@ -74,6 +74,22 @@ def _(table):
     return out.withColumns({c: F.round(c, 5) for c in ("skewness", "kurtosis")})
 
 
+def _full_sql(c, numeric):
+    moments = f"round(min({c}), 6) AS min, round(max({c}), 6) AS max, round(favg({c}), 4) AS mean, round(stddev_samp({c}), 4) AS stddev, round(median({c}), 4) AS p50, (SELECT round(median(abs(y.{c} - m)), 4) FROM lineitem y, (SELECT median({c}) AS m FROM lineitem)) AS mad"
+    if not numeric:
+        moments = "NULL::DOUBLE AS min, NULL::DOUBLE AS max, NULL::DOUBLE AS mean, NULL::DOUBLE AS stddev, NULL::DOUBLE AS p50, NULL::DOUBLE AS mad"
+    return f"SELECT '{c}' AS \"column\", count(*) AS total, count(*) - count({c}) AS nulls, count(DISTINCT {c}) AS distinct_values, min(length({c}::VARCHAR)) AS min_length, max(length({c}::VARCHAR)) AS max_length, round(avg(length({c}::VARCHAR)), 6) AS avg_length, (SELECT {c}::VARCHAR FROM lineitem GROUP BY {c} ORDER BY count(*) DESC, {c}::VARCHAR LIMIT 1) AS top_value, (SELECT count(*) FROM lineitem GROUP BY {c} ORDER BY 1 DESC LIMIT 1) AS top_count, {moments} FROM lineitem"
+
+
+_FULL = {"l_returnflag": False, "l_linestatus": False, "l_linenumber": True, "l_quantity": True, "l_discount": True}
+
+
+@query("p08_full_profile", " UNION ALL ".join(f"({_full_sql(c, n)})" for c, n in _FULL.items()))
+def _(table):
+    out = rounded(p.full_profile(table("lineitem"), list(_FULL), [c for c, n in _FULL.items() if n]))
+    return out.select("column", "total", "nulls", "distinct_values", "min_length", "max_length", "avg_length", "top_value", "top_count", "min", "max", *[F.round(c, 4).alias(c) for c in ("mean", "stddev", "p50", "mad")])
+
+
 _BENFORD = """WITH v AS (SELECT abs({c}) AS a FROM {t} WHERE {c} <> 0), d AS (SELECT CAST(floor(a / pow(10, floor(log10(a) + 1e-12))) AS INT) AS digit, count(*) AS n, min(a) AS lo, max(a) AS hi FROM v GROUP BY 1),
 s AS (SELECT sum(n) AS total, min(lo) AS lo, max(hi) AS hi FROM d), x AS (SELECT total, s.lo, s.hi, sum(pow(coalesce(n, 0) - total * log10(1 + 1.0 / k), 2) / (total * log10(1 + 1.0 / k))) AS chi2 FROM s, range(1, 10) r(k) LEFT JOIN d ON d.digit = k GROUP BY ALL)
 SELECT '{c}' AS "column", CAST(total AS BIGINT) AS n_values, round(chi2, 4) AS chi2, CASE WHEN total < 100 OR hi < 10 * lo THEN 'not_applicable' WHEN exp(-chi2 / 2) * (1 + chi2 / 2 + pow(chi2 / 2, 2) / 2 + pow(chi2 / 2, 3) / 6) >= 0.05 THEN 'compliant' ELSE 'violating' END AS verdict FROM x"""
