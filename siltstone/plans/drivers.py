@@ -50,8 +50,8 @@ def _(table):
 
 @query("d08_driver_tree")
 def _(table):
-    line = table("lineitem").withColumn("size", F.expr("cast(l_quantity / 10 AS int)"))
-    return d.driver_tree(d.target(line, "flow", "l_extendedprice"), ["size", "l_returnflag", "l_linestatus", "l_linenumber"], permutations=200)
+    line = _line(table).withColumn("level", F.col("l_discount").cast("string"))
+    return d.driver_tree(d.target(line, "flow", "rebate"), ["level", "l_returnflag", "l_linestatus", "l_linenumber"], permutations=200)
 
 
 _PLACE = "(SELECT c_custkey, c_nationkey, c_mktsegment, n_name, n_regionkey FROM customer JOIN nation ON c_nationkey = n_nationkey)"
