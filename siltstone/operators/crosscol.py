@@ -21,10 +21,13 @@ def formula_match(df: DataFrame, target: str, formula: str, tolerance: float = 0
     return df.selectExpr(f"{total} AS total", f"{hits} AS matched").selectExpr("total", "matched", "try_divide(matched, total) AS rate")
 
 
-def find_derived(df: DataFrame, columns: list[str], min_rate: float = 0.8, tolerance: float = 0.01) -> DataFrame:
-    """All ``target = a op b`` over ``columns`` in one scan; the best formula per set of columns."""
+def find_derived(df: DataFrame, columns: list[str], min_rate: float = 0.8, tolerance: float = 0.01, targets: list[str] | None = None) -> DataFrame:
+    """All ``target = a op b`` over ``columns`` in one scan; the best formula per set of columns.
+
+    Over a view of a fact and its dimensions, ``targets`` names the fact's columns: only those can be derived.
+    """
     names, counts = [], []
-    for target in columns:
+    for target in targets or columns:
         for a, b in combinations([c for c in columns if c != target], 2):
             for rank, (op, shape) in enumerate(FORMULAS.items()):
                 for x, y in [(a, b), (b, a)] if op in ("difference", "ratio") else [(a, b)]:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, DateType, NumericType, StringType, TimestampNTZType, TimestampType
 
@@ -76,6 +76,29 @@ def direction_metrics(left: DataFrame, right: DataFrame, left_key: str, right_ke
     return per_key.agg(F.sum("count").alias("total"), F.coalesce(F.sum(F.when(F.col("hit"), F.col("count"))), F.lit(0)).alias("matched"), F.count("*").alias("keys"), F.count("hit").alias("matched_keys")).selectExpr("total", "total - matched AS orphans", "100 * try_divide(matched, total) AS integrity_pct", "100 * try_divide(matched_keys, keys) AS coverage_pct")
 
 
+def both_directions(left: DataFrame, right: DataFrame, left_key: str, right_key: str) -> DataFrame:
+    """``direction_metrics`` from either side, as ``direction`` forward and backward."""
+    forward = direction_metrics(left, right, left_key, right_key).select(F.lit("forward").alias("direction"), "*")
+    return forward.unionByName(direction_metrics(right, left, right_key, left_key).select(F.lit("backward").alias("direction"), "*"))
+
+
+def evaluate_candidates(tables: dict[str, DataFrame], candidates: list[tuple[str, str, str, str]]) -> DataFrame:
+    """Every candidate ``(table, column, table, column)`` with its metrics both ways, measured cardinality and
+    fan-out, in one plan; the pair of highest integrity, then coverage, speaks for its two tables."""
+    parts = []
+    for a, x, b, y in candidates:
+        left, right = tables[a], tables[b]
+        there = direction_metrics(left, right, x, y).selectExpr("integrity_pct", "orphans", "coverage_pct")
+        back = direction_metrics(right, left, y, x).selectExpr("integrity_pct AS back_integrity_pct", "orphans AS back_orphans")
+        shape = measured_cardinality(left, right, [x], [y]).select("cardinality")
+        trap = fan_trap(left, right, x, y).select("multiplies")
+        one = there.crossJoin(F.broadcast(back)).crossJoin(F.broadcast(shape)).crossJoin(F.broadcast(trap))
+        parts.append(one.select(F.lit(a).alias("table_a"), F.lit(x).alias("column_a"), F.lit(b).alias("table_b"), F.lit(y).alias("column_b"), "*"))
+    every = reduce(DataFrame.unionByName, parts)
+    order = Window.partitionBy(F.sort_array(F.array("table_a", "table_b"))).orderBy(F.desc_nulls_last("integrity_pct"), F.desc_nulls_last("coverage_pct"), "column_a", "column_b")
+    return every.withColumn("best", F.row_number().over(order) == 1)
+
+
 def _per_key(df: DataFrame, keys: list[str], name: str) -> DataFrame:
     return df.dropna(subset=keys).groupBy(*[F.col(k).alias(f"k{i}") for i, k in enumerate(keys)]).agg(F.count("*").alias(name))
 

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import ast
 import re
+from functools import reduce
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -17,12 +19,28 @@ def extract(df: DataFrame, aggregate: str, where: list[str] | None = None, dims:
     return df.groupBy(*(dims or [])).agg(F.expr(aggregate).alias("value"))
 
 
+_SIGNS = {ast.Add: "+", ast.Sub: "-", ast.Mult: "*", ast.Div: "/", ast.USub: "-", ast.UAdd: "+"}
+
+
 def _safe(formula: str, names: list[str]) -> str:
-    """The formula with null for a division by zero; unknown names are refused."""
-    unknown = set(re.findall(r"[A-Za-z_]\w*", formula)) - set(names)
-    if unknown or not re.fullmatch(r"[\w\s.+\-*/()]*", formula):
-        raise ValueError(f"unknown operands or signs in {formula!r}: {sorted(unknown)}")
-    return re.sub(r"/\s*(\w+|\([^()]*\))", r"/ nullif(\1, 0)", formula)
+    """The formula as SQL with null for a division by zero; only numbers, the four signs and known names may stand in it."""
+
+    def sql(x: ast.AST) -> str:
+        if isinstance(x, ast.BinOp) and type(x.op) in _SIGNS:
+            left, right = sql(x.left), sql(x.right)
+            return f"(({left}) / nullif({right}, 0))" if isinstance(x.op, ast.Div) else f"({left} {_SIGNS[type(x.op)]} {right})"
+        if isinstance(x, ast.UnaryOp) and type(x.op) in _SIGNS:
+            return f"({_SIGNS[type(x.op)]} {sql(x.operand)})"
+        if isinstance(x, ast.Constant) and type(x.value) in (int, float):
+            return f"{float(x.value)!r}D"
+        if isinstance(x, ast.Name) and x.id in names:
+            return f"`{x.id}`"
+        raise ValueError(f"{ast.unparse(x)!r} may not stand in {formula!r}")
+
+    try:
+        return sql(ast.parse(formula.strip(), mode="eval").body)
+    except SyntaxError as e:
+        raise ValueError(f"no formula: {formula!r}") from e
 
 
 def evaluate_metric(steps: dict[str, DataFrame], constants: dict[str, float], formulas: dict[str, str]) -> DataFrame:
@@ -37,6 +55,26 @@ def evaluate_metric(steps: dict[str, DataFrame], constants: dict[str, float], fo
     return out
 
 
+def metric_library(tables: dict[str, DataFrame], library: dict[str, dict]) -> DataFrame:
+    """``metric, value, status`` of every metric of a library.
+
+    Each one has ``steps`` (name: table, aggregate), a ``formula`` over them and a ``range`` that holds its usual values.
+    """
+    parts = []
+    for name, spec in library.items():
+        steps = {step: extract(tables[t], aggregate) for step, (t, aggregate) in spec["steps"].items()}
+        value = evaluate_metric(steps, {}, {"value": spec["formula"]}).select("value")
+        lo, hi = spec["range"]
+        parts.append(support_check(value, "value", f"value BETWEEN {lo} AND {hi}").select(F.lit(name).alias("metric"), "value", "status"))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def must_reconcile(computations: DataFrame, witnesses: DataFrame) -> DataFrame:
+    """``concept, healthy, lineage`` of concepts with two healthy ``concept, computation, health`` or more, and how many ``concept`` witnesses lineage has of them."""
+    healthy = computations.where(F.col("health") == "healthy").groupBy("concept").agg(F.count_distinct("computation").alias("healthy")).where("healthy >= 2")
+    return healthy.join(witnesses.groupBy("concept").agg(F.count("*").alias("lineage")), "concept", "left").selectExpr("concept", "healthy", "coalesce(lineage, 0) AS lineage")
+
+
 def support_check(values: DataFrame, column: str, condition: str) -> DataFrame:
     return values.selectExpr(column, f"CASE WHEN {column} IS NULL THEN 'inconclusive' WHEN {condition} THEN 'supported' ELSE 'out_of_range' END AS status")
 

@@ -128,3 +128,39 @@ def _(table):
     a = table("customer").groupBy(F.expr("CASE WHEN c_nationkey < 20 THEN c_nationkey END").alias("k")).agg(F.count("*").alias("customers"))
     b = table("supplier").groupBy(F.expr("CASE WHEN s_nationkey > 3 THEN s_nationkey END").alias("k")).agg(F.count("*").alias("suppliers"))
     return j.full_join_null_safe([a, b], ["k"])
+
+
+def _way(direction, a, x, b, y):
+    return f"SELECT '{direction}' AS direction, count({x}) AS total, count({x}) FILTER (WHERE NOT hit) AS orphans, round(100.0 * count({x}) FILTER (WHERE hit) / count({x}), 6) AS integrity_pct, round(100.0 * count(DISTINCT {x}) FILTER (WHERE hit) / count(DISTINCT {x}), 6) AS coverage_pct FROM (SELECT {x}, {x} IN (SELECT {y} FROM {b} WHERE {y} IS NOT NULL) AS hit FROM {a})"
+
+
+@query("j07_both_directions", f"{_way('forward', 'orders', 'o_custkey', 'customer', 'c_custkey')} UNION ALL {_way('backward', 'customer', 'c_custkey', 'orders', 'o_custkey')}")
+def _(table):
+    return rounded(j.both_directions(table("orders"), table("customer"), "o_custkey", "c_custkey"))
+
+
+_EVAL = [("orders", "o_custkey", "customer", "c_custkey"), ("orders", "o_orderkey", "customer", "c_custkey"), ("lineitem", "l_orderkey", "orders", "o_orderkey")]
+
+
+def _evaluated(a, x, b, y):
+    there, back = _way("x", a, x, b, y), _way("x", b, y, a, x)
+    shape = f"SELECT (CASE WHEN max(n) = 1 THEN '1' ELSE 'n' END) || ':' || (CASE WHEN max(m) = 1 THEN '1' WHEN max(n) = 1 THEN 'n' ELSE 'm' END) AS cardinality FROM (SELECT {x} AS k, count(*) AS n FROM {a} WHERE {x} IS NOT NULL GROUP BY 1) JOIN (SELECT {y} AS k, count(*) AS m FROM {b} WHERE {y} IS NOT NULL GROUP BY 1) USING (k)"
+    trap = f"SELECT count(*) > (SELECT count(*) FROM {a}) AS multiplies FROM {a} LEFT JOIN {b} ON {x} = {y}"
+    return f"SELECT '{a}' AS table_a, '{x}' AS column_a, '{b}' AS table_b, '{y}' AS column_b, t.integrity_pct, t.orphans, t.coverage_pct, r.integrity_pct AS back_integrity_pct, r.orphans AS back_orphans, cardinality, multiplies FROM ({there}) t, ({back}) r, ({shape}), ({trap})"
+
+
+@query("j11_evaluate_candidates", f"SELECT *, row_number() OVER (PARTITION BY least(table_a, table_b), greatest(table_a, table_b) ORDER BY integrity_pct DESC NULLS LAST, coverage_pct DESC NULLS LAST, column_a, column_b) = 1 AS best FROM ({' UNION ALL '.join(_evaluated(*e) for e in _EVAL)})")
+def _(table):
+    return rounded(j.evaluate_candidates({n: table(n) for n in ("orders", "customer", "lineitem")}, _EVAL))
+
+
+_HASHES = "SELECT (SELECT count(*) FROM (SELECT DISTINCT o_custkey FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer))) / (SELECT count(*) FROM (SELECT o_custkey FROM orders UNION SELECT c_custkey FROM customer)) AS jaccard"
+
+
+@query("j04_minhash_within_error", f"SELECT true AS close FROM ({_HASHES}) WHERE jaccard IS NOT NULL")
+def _(table):
+    # Four standard errors of 128 minima around the exact value.
+    found = j.estimated_jaccard(j.min_hashes(table("orders"), "o_custkey"), j.min_hashes(table("customer"), "c_custkey"))
+    a, b = table("orders").select(F.col("o_custkey").alias("k")).distinct(), table("customer").select(F.col("c_custkey").alias("k")).distinct()
+    exact = a.join(b, "k").agg(F.count("*").alias("shared")).crossJoin(F.broadcast(a.union(b).distinct().agg(F.count("*").alias("every"))))
+    return found.crossJoin(F.broadcast(exact)).select((F.abs(F.col("jaccard") - F.col("shared") / F.col("every")) <= 4 * 0.5 / 128**0.5).alias("close"))

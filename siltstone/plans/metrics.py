@@ -114,3 +114,36 @@ def _(table):
 @query("l10_reconcile", f"{_RECON}, t AS (SELECT count(*) FILTER (WHERE vote = 'flow') AS flow, count(*) FILTER (WHERE vote = 'stock') AS stock FROM v), w AS (SELECT *, flow + stock AS n, greatest(flow, stock) AS k FROM t) SELECT flow, stock, round(CASE WHEN n > 0 THEN (k / n + 1.9208 / n - 1.96 * sqrt((k / n * (1 - k / n) + 0.9604 / n) / n)) / (1 + 3.8416 / n) END, 6) AS support, CASE WHEN n < 2 THEN 'abstain' WHEN flow >= 0.8 * n THEN 'flow' WHEN stock >= 0.8 * n THEN 'stock' ELSE 'undecided' END AS verdict FROM w")
 def _(table):
     return rounded(m.reconcile_verdict(m.reconcile(_aligned(table))))
+
+
+_NET = "sum(l_extendedprice * (1 - l_discount))"
+#: Metrics over the shipped tables: what each needs, how it is computed, and where its value is usual.
+LIBRARY = {
+    "net_margin": {"steps": {"gross": ("lineitem", "sum(l_extendedprice)"), "net": ("lineitem", _NET)}, "formula": "net / gross", "range": (0.8, 1.0)},
+    "effective_tax": {"steps": {"net": ("lineitem", _NET), "taxed": ("lineitem", "sum(l_extendedprice * (1 - l_discount) * (1 + l_tax))")}, "formula": "(taxed - net) / net", "range": (0, 0.1)},
+    "return_rate": {"steps": {"returned": ("lineitem", "count_if(l_returnflag = 'R')"), "lines": ("lineitem", "count(*)")}, "formula": "returned / lines", "range": (0, 0.1)},
+    "lines_per_order": {"steps": {"lines": ("lineitem", "count(*)"), "orders": ("orders", "count(*)")}, "formula": "lines / orders", "range": (1, 10)},
+    "orders_per_customer": {"steps": {"orders": ("orders", "count(*)"), "customers": ("customer", "count(*)")}, "formula": "orders / customers", "range": (1, 50)},
+    "debtor_share": {"steps": {"owing": ("customer", "count_if(c_acctbal < 0)"), "customers": ("customer", "count(*)")}, "formula": "owing / customers", "range": (0, 0.05)},
+    "price_to_balance": {"steps": {"sold": ("orders", "sum(o_totalprice)"), "owed": ("supplier", "sum(s_acctbal)")}, "formula": "sold / -owed", "range": (0, 1000000)},
+    "none_left": {"steps": {"sold": ("orders", "sum(o_totalprice)"), "none": ("orders", "sum(0)")}, "formula": "sold / (none * (2 + none))", "range": (0, 1)},
+}
+
+
+def _metric_sql(name, spec):
+    steps = ", ".join(f"(SELECT {x.replace('count_if', 'countif')} AS {step} FROM {t})" for step, (t, x) in spec["steps"].items())
+    top, _, bottom = spec["formula"].partition(" / ")
+    lo, hi = spec["range"]
+    value = f"({top}) / nullif({bottom}, 0)"
+    return f"SELECT '{name}' AS metric, round({value}, 6) AS value, CASE WHEN {value} IS NULL THEN 'inconclusive' WHEN {value} BETWEEN {lo} AND {hi} THEN 'supported' ELSE 'out_of_range' END AS status FROM {steps}"
+
+
+@query("m05_metric_library", " UNION ALL ".join(_metric_sql(n, s) for n, s in LIBRARY.items()))
+def _(table):
+    return rounded(m.metric_library({t: table(t) for t in ("lineitem", "orders", "customer", "supplier")}, LIBRARY))
+
+
+@query("m19_must_reconcile", "SELECT c AS concept, healthy, coalesce(lineage, 0) AS lineage FROM (SELECT p_brand AS c, count(DISTINCT p_type) AS healthy FROM (SELECT p_brand, p_type FROM part GROUP BY 1, 2 HAVING avg(p_size) > 20) GROUP BY 1 HAVING count(DISTINCT p_type) >= 2) LEFT JOIN (SELECT p_brand AS c, count(*) AS lineage FROM part WHERE p_size > 45 GROUP BY 1) USING (c)")
+def _(table):
+    made = table("part").groupBy(F.col("p_brand").alias("concept"), F.col("p_type").alias("computation")).agg(F.expr("CASE WHEN avg(p_size) > 20 THEN 'healthy' ELSE 'doubtful' END").alias("health"))
+    return m.must_reconcile(made, table("part").where("p_size > 45").select(F.col("p_brand").alias("concept")))

@@ -103,3 +103,20 @@ def _(table):
 @query("d12_within_entity_residual", "SELECT o_orderkey, round(o_totalprice - avg(o_totalprice) OVER (PARTITION BY o_custkey), 3) AS residual FROM orders")
 def _(table):
     return rounded(x.within_entity_residual(table("orders"), "o_custkey", "o_totalprice", ["o_orderkey"]), 3)
+
+
+_VIEW = "(SELECT l_quantity AS qty, round(l_quantity * p_retailprice, 2) AS listed, l_discount, p_retailprice AS retail, p_size AS size FROM lineitem JOIN part ON l_partkey = p_partkey)"
+
+
+def _derived_sql(target, a, op, b, formula):
+    usable = f"{target} <> 0 AND ({formula}) IS NOT NULL"
+    return f"SELECT '{target}' AS target, '{a}' AS a, '{op}' AS op, '{b}' AS b, count(*) FILTER (WHERE {usable} AND abs({target} - ({formula})) < 0.01) / count(*) FILTER (WHERE {usable}) AS rate FROM {_VIEW}"
+
+
+@query("a03_derived_in_view", "SELECT target, a, op, b, round(rate, 6) AS rate FROM (" + " UNION ALL ".join([
+    _derived_sql("listed", "qty", "product", "retail", "qty * retail"), _derived_sql("qty", "listed", "ratio", "retail", "listed / nullif(retail, 0)"),
+    _derived_sql("listed", "qty", "sum", "retail", "qty + retail"), _derived_sql("qty", "listed", "ratio", "size", "listed / nullif(size, 0)"), _derived_sql("listed", "qty", "product", "size", "qty * size"),
+]) + ") WHERE rate >= 0.8 QUALIFY row_number() OVER (PARTITION BY list_sort([target, a, b]) ORDER BY rate DESC, op = 'ratio', target) = 1")
+def _(table):
+    view = table("lineitem").join(table("part"), F.col("l_partkey") == F.col("p_partkey")).selectExpr("l_quantity AS qty", "round(l_quantity * p_retailprice, 2) AS listed", "l_discount", "p_retailprice AS retail", "p_size AS size")
+    return rounded(x.find_derived(view, ["qty", "listed", "retail", "size"], targets=["qty", "listed"]))
