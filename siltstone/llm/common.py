@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 #: The six characters that separate words everywhere in this subpackage.
 SPACE = "\x20\x09\x0a\x0b\x0c\x0d"
+#: Rows that a function of whole texts gets at a time.
+SLICE = 1024
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -28,10 +30,15 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/siltstone-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame) -> DataFrame:
-    """``df`` as Parquet in the shared folder, read back: lineage ends there."""
+def written(df: DataFrame, narrow: int = 1) -> DataFrame:
+    """``df`` as Parquet in the shared folder, read back: lineage ends there.
+
+    ``narrow`` times fewer files than shuffle partitions are written, for tables of a few bytes per document.
+    """
     spark = df.sparkSession
     path = shared_dir(spark)
+    if narrow > 1:
+        df = df.coalesce(max(1, int(spark.conf.get("spark.sql.shuffle.partitions")) // narrow))
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -43,13 +50,14 @@ def discard(df: DataFrame) -> None:
 
 
 def map_rows(df: DataFrame, fn: Callable[[pa.Table], pa.RecordBatch], schema: str) -> DataFrame:
-    """``mapInArrow`` with a function of one batch."""
+    """``mapInArrow`` with a function of at most ``SLICE`` rows, so that few whole texts are unpacked at a time."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = fn(batch)
-            if out is not None:
-                yield out
+            for start in range(0, batch.num_rows, SLICE):
+                out = fn(batch.slice(start, SLICE))
+                if out is not None:
+                    yield out
 
     return df.mapInArrow(run, schema)
 

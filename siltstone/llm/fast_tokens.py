@@ -31,7 +31,7 @@ _HARD = r"[^\t-\r -\x{b1}\x{b4}-\x{b8}\x{ba}\x{bb}\x{bf}-\x{12f}\x{131}-\x{2ff}]
 class _Kept(dict):
     """Ids of words as bytes; forgets when full."""
 
-    def __init__(self, make, most: int = 600_000) -> None:
+    def __init__(self, make, most: int) -> None:
         super().__init__()
         self.make, self.most = make, most
 
@@ -45,7 +45,7 @@ class _Kept(dict):
 class Ids:
     """``encode`` gives the ids of each text of an Arrow array; nulls count as empty."""
 
-    def __init__(self, path: str) -> None:
+    def __init__(self, path: str, most: int) -> None:
         import tiktoken
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -80,7 +80,7 @@ class Ids:
         self.hard = _HARD if mark else NOT_PLAIN.replace("\\x20", " ").replace("\\u02ff", "\\x{2ff}") + r"|<\|"
         loop = tiktoken.Encoding("merge", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens={})._core_bpe.encode_single_piece
         end = _END if mark else b""
-        self.kept = _Kept(lambda word: ids[loop(word.encode() + end)].tobytes())
+        self.kept = _Kept(lambda word: ids[loop(word.encode() + end)].tobytes(), most)
 
     def encode(self, texts: pa.Array) -> list[np.ndarray]:
         texts = pc.fill_null(texts, "")
@@ -96,6 +96,6 @@ class Ids:
 
 
 @lru_cache(2)
-def ids_of(path: str) -> Ids:
-    """The encoder for a vocabulary file, kept per worker."""
-    return Ids(path)
+def ids_of(path: str, most: int = 600_000) -> Ids:
+    """The encoder for a vocabulary file, kept per worker; it remembers the ids of ``most`` words (about 200 bytes each)."""
+    return Ids(path, most)

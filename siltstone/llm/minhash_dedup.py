@@ -34,7 +34,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siltstone.llm.common import discard, document_columns, map_rows, written
-from siltstone.llm.components import components, contracted
+from siltstone.llm.components import NARROW, components, contracted
 
 BANDS, ROWS = 40, 6
 #: Members of a bucket that one task compares with as many others at a time.
@@ -45,7 +45,7 @@ PIVOTS_PAY = 0.1
 
 class _WordHashes(dict):
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 500_000:
+        if len(self) > 100_000:
             self.clear()
         h = self[word] = xxhash.xxh3_64_intdigest(word)
         return h
@@ -196,7 +196,7 @@ def near_duplicates(docs: DataFrame, width: int = 4, percent: int = 80, bands: i
     # A doc_id with several texts ties them together.
     tied = usable.groupBy("doc_id").agg(F.min(F.xxhash64("digest")).alias("lo"), F.max(F.xxhash64("digest")).alias("hi")).where("lo < hi").select("doc_id")
     ties = usable.join(tied, "doc_id").join(classes.select("digest", "node"), "digest").select("doc_id", "node")
-    ties = written(ties.join(ties.groupBy("doc_id").agg(F.min("node").alias("a")), "doc_id").select("a", F.col("node").alias("b")).where("a <> b"))
+    ties = written(ties.join(ties.groupBy("doc_id").agg(F.min("node").alias("a")), "doc_id").select("a", F.col("node").alias("b")).where("a <> b"), NARROW)
     labels = components(links.unionByName(ties))
     per_class = classes.join(labels, "node", "left").select("digest", F.when(F.col("label").isNull(), F.col("rep")).otherwise(_rep_of("label")).alias("component"))
     out = sigs.select("doc_id", "digest", "n_shingles").join(per_class, "digest", "left")
@@ -306,8 +306,8 @@ def _links(docs: DataFrame, classes: DataFrame, width: int, percent: int) -> Dat
     discard(met)
     links, labels, turn = nothing, None, 0
     while True:
-        pairs = written(_pivot_pairs(open_, turn, percent))
-        new = written(_confirmed(pairs, texts, width, percent))
+        pairs = written(_pivot_pairs(open_, turn, percent), NARROW)
+        new = written(_confirmed(pairs, texts, width, percent), NARROW)
         n_pairs, n_new = pairs.count(), new.count()
         if n_new:
             links = links.unionByName(new)
@@ -320,7 +320,7 @@ def _links(docs: DataFrame, classes: DataFrame, width: int, percent: int) -> Dat
         turn += 1
         if n_new < max(1, PIVOTS_PAY * n_pairs):
             break
-    last = written(_confirmed(written(_cross_pairs(open_, percent)), texts, width, percent))
+    last = written(_confirmed(written(_cross_pairs(open_, percent), NARROW), texts, width, percent), NARROW)
     discard(open_), discard(texts)
     return links.unionByName(last)
 

@@ -28,6 +28,9 @@ from pyspark.sql import functions as F
 from siltstone.llm.common import document_columns, map_rows, written
 from siltstone.llm.fast_tokens import ids_of
 
+#: Words whose ids a worker remembers.
+WORDS = 300_000
+
 #: Pieces of one length that one rank bucket holds, about.
 BUCKET_PIECES = 100_000
 
@@ -150,7 +153,7 @@ def pieces_of(docs: DataFrame, vocabulary: str, capacity: int, end_id: int, with
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         out: list[list] = [[], [], [], [], [], []]
-        for doc_id, ids in zip(batch.column(0).to_pylist(), ids_of(vocabulary).encode(batch.column(1)), strict=True):
+        for doc_id, ids in zip(batch.column(0).to_pylist(), ids_of(vocabulary, WORDS).encode(batch.column(1)), strict=True):
             ids = np.append(ids.astype("<u4"), np.uint32(end_id))
             n = len(ids)
             first = (n - 1) % capacity + 1

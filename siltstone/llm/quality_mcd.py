@@ -33,7 +33,7 @@ UNITS = {"log_words": "n_words", "log_word_length": "n_words", "symbols": "n_wor
 #: Median and the 0.99999 quantile of chi-square with five degrees of freedom.
 CHI2_MEDIAN, CHI2_CUT = 4.3515, 30.856
 ACCURACY = 5000
-#: Estimates are broadcast up to this many groups, else joined by a shuffle.
+#: Estimates are held on the driver and broadcast up to this many groups, else written and joined by a shuffle.
 BROADCAST_GROUPS = 20_000
 
 NAMES = list(FEATURES)
@@ -93,18 +93,24 @@ def _leaning(n: str, own: str, onto: str, prior: float) -> str:
     return f"({n} * {own} + {prior}D * {onto}) / ({n} + {prior}D)"
 
 
-def _priors(sound: DataFrame, prior: float) -> DataFrame:
-    """Per group: ``n``, quartile centre and variance ``c_i, v_i``, those of the language ``p_i, t_i``, noise ``e_i`` and plain moments."""
+def _priors(sound: DataFrame, prior: float) -> tuple[DataFrame, bool]:
+    """Whether there are few groups, and per group: ``n``, quartile centre and variance ``c_i, v_i``, those of the language ``p_i, t_i``, noise ``e_i`` and plain moments."""
     aggs = [F.expr(f"percentile_approx({x}, array(0.25D, 0.5D, 0.75D), {ACCURACY}) AS q_{i}") for i, x in enumerate(NAMES)]
     aggs += [F.expr(f"avg(1D / (4D * greatest({UNITS[x]}, 1))) AS z_{i}") for i, x in enumerate(NAMES)]
+    few = len(sound.select(*GROUP).distinct().take(BROADCAST_GROUPS + 1)) <= BROADCAST_GROUPS
     each = sound.rollup(*GROUP).agg(F.grouping_id().alias("level"), F.count("*").alias("n"), *aggs, *_moments())
-    each = written(each.selectExpr("*", *[f"q_{i}[1] AS c_{i}" for i in SIZE], *[f"pow((q_{i}[2] - q_{i}[0]) / 1.349D, 2) AS v_{i}" for i in SIZE]))
+    each = _held(each.selectExpr("*", *[f"q_{i}[1] AS c_{i}" for i in SIZE], *[f"pow((q_{i}[2] - q_{i}[0]) / 1.349D, 2) AS v_{i}" for i in SIZE]), few)
     top = each.where("level = 3").selectExpr(*[f"c_{i} AS a_{i}" for i in SIZE], *[f"{_leaning('n', f'v_{i}', f'{FEATURES[x] ** 2}D', prior)} AS b_{i}" for i, x in enumerate(NAMES)], *[f"z_{i} AS y_{i}" for i in SIZE])
     langs = each.where("level = 1").crossJoin(F.broadcast(top))
     langs = langs.selectExpr("g_lang AS l_lang", *[f"{_leaning('n', own, onto, prior)} AS {name}" for i in SIZE for own, onto, name in ((f"c_{i}", f"a_{i}", f"p_{i}"), (f"v_{i}", f"b_{i}", f"t_{i}"), (f"z_{i}", f"y_{i}", f"x_{i}"))])
     groups = each.where("level = 0").join(langs, F.col("g_lang") == F.col("l_lang"))
     kept = [f"{c}_{i}" for c in "cvptm" for i in SIZE] + [f"s_{i}{j}" for i, j in PAIRS]
-    return written(groups.selectExpr(*GROUP, "n", *kept, *[f"{_leaning('n', f'z_{i}', f'x_{i}', prior)} AS e_{i}" for i in SIZE]))
+    return _held(groups.selectExpr(*GROUP, "n", *kept, *[f"{_leaning('n', f'z_{i}', f'x_{i}', prior)} AS e_{i}" for i in SIZE]), few), few
+
+
+def _held(groups: DataFrame, few: bool) -> DataFrame:
+    """A table of one row per group: on the driver, from where it is broadcast, if there are ``few``, else written."""
+    return groups.sparkSession.createDataFrame(groups.collect(), groups.schema) if few else written(groups)
 
 
 def _moments() -> list[Column]:
@@ -159,20 +165,19 @@ class Estimates:
 
     def __init__(self, stats: DataFrame, core: float, prior: float, tolerance: float = 1e-3, most_steps: int = 30) -> None:
         sound = stats.where("not base_failed").select(*GROUP, "n_words", "n_lines", *NAMES)
-        priors = _priors(sound, prior)
-        self.few = len(priors.take(BROADCAST_GROUPS + 1)) <= BROADCAST_GROUPS
+        priors, self.few = _priors(sound, prior)
         self.prior, sound = prior, sound.select(*GROUP, *NAMES)
 
         def step(est: DataFrame) -> DataFrame:
             far = _distances(sound, est, self.few)
             edge = far.groupBy(*GROUP, "start").agg(F.percentile_approx("d2", F.lit(core), F.lit(ACCURACY)).alias("edge"))
             inside = _on_group(far, edge, self.few, keys=(*GROUP, "start")).where("d2 <= edge")
-            return written(_factored(inside.groupBy(*GROUP, "start").agg(*_moments()), priors, prior))
+            return _held(_factored(inside.groupBy(*GROUP, "start").agg(*_moments()), priors, prior), self.few)
 
         # Two steps from every start, then the best one of each group goes on.
-        est = step(step(written(_factored(_started(priors), priors, prior))))
+        est = step(step(_held(_factored(_started(priors), priors, prior), self.few)))
         own = [c for c in est.columns if c not in GROUP]
-        smallest = lambda df: written(df.groupBy(*GROUP).agg(F.min_by(F.struct(*own), F.struct("log_det", "start")).alias("best")).select(*GROUP, "best.*"))
+        smallest = lambda df: _held(df.groupBy(*GROUP).agg(F.min_by(F.struct(*own), F.struct("log_det", "start")).alias("best")).select(*GROUP, "best.*"), self.few)
         best = smallest(est)
         for _ in range(most_steps):
             after = step(best)
@@ -184,7 +189,7 @@ class Estimates:
         # The core understates the scatter: scale it so that the median distance is that of chi-square.
         mid = _distances(sound, best, self.few).groupBy(*GROUP).agg(F.percentile_approx("d2", F.lit(0.5), F.lit(ACCURACY)).alias("mid"), F.count("*").alias("n"))
         mid = mid.selectExpr(*GROUP, f"greatest({_leaning('n', 'mid', f'{CHI2_MEDIAN}D', prior)} / {CHI2_MEDIAN}D, 1D) AS wide")
-        self.est = written(_on_group(best, mid, self.few))
+        self.est = _held(_on_group(best, mid, self.few), self.few)
 
     def judged(self, stats: DataFrame, cut: float) -> DataFrame:
         """``stats`` with ``kept`` and the scaled ``distance2``, which is null only where a whole group fails the base rule."""

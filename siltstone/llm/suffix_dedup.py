@@ -39,7 +39,7 @@ from siltstone.llm.common import document_columns, map_rows, written
 WIDTH, GRAM = 200, 32
 MOST_IN_GROUP = 20_000
 #: Bytes of texts whose anchors are found at a time, longer texts alone.
-CHUNK = 1 << 20
+CHUNK = 1 << 19
 
 _RNG = np.random.default_rng(7)
 _BYTE = _RNG.integers(0, 2**63, 256, np.uint64) * np.uint64(2) + np.uint64(1)
@@ -311,7 +311,7 @@ def repeated_spans(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, most_i
     sides = sides.select("doc_id", "mark", "at", "gram", "around", "s.ahead", "s.key").where("key <> 0")
     members = written(sides.groupBy("key", "around", "gram").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "mark", "at", "ahead")).alias("one")))
     # Surroundings that occur again are covered wherever they stand, in whichever group they were seen.
-    known = members.where("n > 1").select(F.col("around").alias("a"), F.col("gram").alias("g")).distinct()
+    known = written(members.where("n > 1").select(F.col("around").alias("a"), F.col("gram").alias("g")).distinct())
     more = again.where("not settled").join(known, F.expr("around = a AND gram = g"), "left_semi").select("doc_id", "mark", F.col("at").alias("start"), F.lit(-1).alias("stop"))
     kinds = members.groupBy("key").agg(F.count("*").alias("kinds")).where("kinds > 1")
     asked = members.join(kinds, "key").select("key", "n", "kinds", "one.*")

@@ -22,6 +22,7 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
 
@@ -257,14 +258,21 @@ def learned_words(training: DataFrame) -> dict[str, int]:
     Rows are counted per word and label; the row of the empty word holds the totals.
     """
 
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        seen: tuple[Counter, Counter] = (Counter(), Counter())
-        for text, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            seen[toxic].update({"", *tokens_of(text)} if text else {""})
+    def counted(seen: tuple[Counter, Counter]) -> pa.RecordBatch:
         parts = [(w, y, n) for y in (0, 1) for w, n in seen[y].items()]
         return pa.RecordBatch.from_arrays([pa.array([p[k] for p in parts], t) for k, t in enumerate((pa.string(), pa.int32(), pa.int64()))], ["word", "toxic", "n"])
 
-    per_word = written(map_rows(training, run, "word string, toxic int, n long").groupBy("word").agg(*[F.coalesce(F.sum(F.when(F.col("toxic") == y, F.col("n"))), F.lit(0)).alias(c) for y, c in ((1, "bad"), (0, "good"))]))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: tuple[Counter, Counter] = (Counter(), Counter())
+        for batch in batches:
+            for text, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                seen[toxic].update({"", *tokens_of(text)} if text else {""})
+            if len(seen[0]) + len(seen[1]) > 200_000:
+                yield counted(seen)
+                seen = (Counter(), Counter())
+        yield counted(seen)
+
+    per_word = written(training.mapInArrow(run, "word string, toxic int, n long").groupBy("word").agg(*[F.coalesce(F.sum(F.when(F.col("toxic") == y, F.col("n"))), F.lit(0)).alias(c) for y, c in ((1, "bad"), (0, "good"))]))
     total = per_word.where("word = ''").first()
     if total is None or not total.bad or not total.good:
         return {}
