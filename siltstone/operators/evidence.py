@@ -10,11 +10,17 @@ from pyspark.sql import functions as F
 from siltstone.functions.stats import wilson_lower
 
 
-def null_impact(df: DataFrame, columns: list[str]) -> DataFrame:
-    """Null share of each column and its impact class, in one scan."""
+#: Null shares from which each impact begins.
+IMPACTS = {"none": 0.0, "minimal": 0.0, "moderate": 0.05, "significant": 0.2, "critical": 0.5}
+
+
+def null_impact(df: DataFrame, columns: list[str], impacts: dict[str, float] = IMPACTS) -> DataFrame:
+    """Null share of each column and the last impact whose share it reaches, in one scan; only a column without nulls has the first."""
     one = df.selectExpr(*[f"avg(CASE WHEN {c} IS NULL THEN 1D ELSE 0D END) AS c{i}" for i, c in enumerate(columns)])
     rows = one.selectExpr("stack({}, {}) AS (column, score)".format(len(columns), ", ".join(f"'{c}', c{i}" for i, c in enumerate(columns))))
-    return rows.withColumn("impact", F.expr("CASE WHEN score = 0 THEN 'none' WHEN score < 0.05 THEN 'minimal' WHEN score < 0.2 THEN 'moderate' WHEN score < 0.5 THEN 'significant' ELSE 'critical' END"))
+    first, *rest = impacts.items()
+    label = reduce(lambda below, step: F.when(F.col("score") >= step[1], F.lit(step[0])).otherwise(below), rest, F.lit(first[0]))
+    return rows.withColumn("impact", F.when(F.col("score") == 0, F.lit(first[0])).otherwise(label))
 
 
 def orphan_rate(child: DataFrame, parent: DataFrame, fk: str, key: str) -> DataFrame:
@@ -160,12 +166,14 @@ def cyclic_groups(edges: DataFrame) -> DataFrame:
     return strong_components(edges)
 
 
-def pattern_class(roles: DataFrame, topology: DataFrame, n_cyclic: int = 0) -> DataFrame:
-    """The shape of a whole graph from its node roles and totals."""
-    counts = roles.agg(F.count_if(F.expr("role = 'hub'")).alias("hubs"), F.count_if(F.expr("role = 'dimension'")).alias("leaves"), F.count_if(F.expr("role = 'isolated'")).alias("isolated"))
-    rules = [
-        ("v = 0", "empty"), ("v = 1", "single_table"), ("e = 0", "disconnected"), ("density >= 1", "complete"), ("c > 1", "disconnected"), ("isolated > 0.5 * v", "sparse"),
-        (f"hubs = 1 AND leaves >= 2 AND {n_cyclic} = 0", "star_schema"), (f"hubs >= 1 AND leaves >= 1 AND {n_cyclic} = 0", "hub_and_spoke"), (f"{n_cyclic} > 0 AND hubs >= 1", "mesh_with_cycles"), (f"{n_cyclic} > 0", "cyclic"), ("hubs = 0 AND e = v - 1", "chain"),
-    ]
-    label = reduce(lambda rest, rule: F.when(F.expr(rule[0]), F.lit(rule[1])).otherwise(rest), reversed(rules), F.lit("mesh"))
-    return topology.crossJoin(F.broadcast(counts)).select("v", "e", "c", "hubs", "leaves", label.alias("pattern"))
+def graph_shape(degrees: DataFrame, topology: DataFrame) -> DataFrame:
+    """``v, e, c, ends, top, shape`` of a graph from the ``degree`` of its nodes and its ``topology``.
+
+    Without circuits each component is a tree, so the whole is a forest: one component is a star if one node
+    touches all others, a path if no node has more than two neighbours, else a tree.  With circuits it is a
+    clique if every pair is joined, a ring if it is one component in which every node has two neighbours, else a net.
+    """
+    counts = degrees.agg(F.count_if(F.col("degree") == 1).alias("ends"), F.coalesce(F.max("degree"), F.lit(0)).alias("top"), F.coalesce(F.min("degree"), F.lit(0)).alias("least"))
+    without = "CASE WHEN c > 1 THEN 'forest' WHEN top = v - 1 AND v > 3 THEN 'star' WHEN top <= 2 THEN 'path' ELSE 'tree' END"
+    within = "CASE WHEN 2 * e = v * (v - 1) THEN 'clique' WHEN c = 1 AND least = 2 AND top = 2 THEN 'ring' WHEN c = 1 THEN 'net' ELSE 'nets' END"
+    return topology.crossJoin(F.broadcast(counts)).selectExpr("v", "e", "c", "ends", "top", f"CASE WHEN v = 0 THEN 'empty' WHEN e = 0 THEN 'points' WHEN circuit_rank = 0 THEN {without} ELSE {within} END AS shape")

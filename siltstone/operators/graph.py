@@ -6,7 +6,7 @@ import tempfile
 import uuid
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
@@ -21,26 +21,17 @@ def node_roles(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return nodes.select("node").join(degree, "node", "left").selectExpr("node", "coalesce(degree, 0) AS degree", "CASE WHEN coalesce(degree, 0) = 0 THEN 'isolated' WHEN degree = 1 THEN 'dimension' WHEN degree = 2 THEN 'bridge' ELSE 'hub' END AS role")
 
 
-def _set_checkpoints(spark: SparkSession) -> None:
-    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if not folder and not spark.sparkContext.master.startswith("local["):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        spark.sparkContext.setCheckpointDir(folder or tempfile.mkdtemp(prefix="siltstone-"))
-
-
 def connected_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """``node, component``: the smallest node reached.  Labels flow both ways and halve their paths; each round is
-    checkpointed to the shared folder, so a lost executor costs one round at most."""
-    _set_checkpoints(nodes.sparkSession)
+    written to the shared folder, so a lost executor costs one round at most."""
     e = undirected(edges)
-    both = e.union(e.select("b", "a")).checkpoint()
-    labels = nodes.select("node", F.col("node").alias("component")).distinct().checkpoint()
+    both = _stored(e.union(e.select("b", "a")))
+    labels = _stored(nodes.select("node", F.col("node").alias("component")).distinct())
     while True:
         near = both.join(labels.select(F.col("node").alias("b"), F.col("component").alias("c")), "b").groupBy("a").agg(F.min("c").alias("c"))
         lower = labels.join(near, labels.node == near.a, "left").select("node", F.col("component").alias("old"), F.least("component", F.coalesce("c", "component")).alias("component"))
         up = lower.select(F.col("node").alias("up"), F.col("component").alias("up_component"))
-        new = lower.join(up, F.col("component") == F.col("up"), "left").select("node", "old", F.least("component", F.coalesce("up_component", "component")).alias("component")).checkpoint()
+        new = _stored(lower.join(up, F.col("component") == F.col("up"), "left").select("node", "old", F.least("component", F.coalesce("up_component", "component")).alias("component")))
         labels = new.select("node", "component")
         if not new.where("old <> component").take(1):
             return labels
@@ -127,3 +118,34 @@ def reachable(edges: DataFrame) -> DataFrame:
         seen = _stored(seen.union(longer).distinct())
         n, before = seen.count(), n
     return seen
+
+
+def closure(edges: DataFrame) -> DataFrame:
+    """``a, b, steps``: every pair with a path, of any length, and the fewest steps it takes.
+
+    Frontier by frontier until nothing new is reached; rounds grow with the longest shortest path.
+    """
+    e = _stored(edges.where("a <> b").select("a", "b").distinct())
+    front = seen = e.withColumn("steps", F.lit(1))
+    n = 1
+    while front.take(1):
+        n += 1
+        nxt = front.select("a", F.col("b").alias("mid")).join(e.select(F.col("a").alias("mid"), "b"), "mid").where("a <> b").select("a", "b").distinct()
+        front = _stored(nxt.join(seen, ["a", "b"], "left_anti").withColumn("steps", F.lit(n)))
+        seen = seen.unionByName(front)
+    return seen
+
+
+def time_axes(declared: DataFrame, observed: DataFrame) -> DataFrame:
+    """The time axis of each ``key``: the first of its declared JSON list ``axes`` of ``column, joined``, its own columns
+    before joined ones; without a declaration the first observed one of ``key, column, joined, place``."""
+    listed = declared.select("key", F.posexplode(F.from_json("axes", "array<struct<column: string, joined: boolean>>")).alias("place", "axis")).select("key", "axis.column", "axis.joined", "place", F.lit("declared").alias("origin"))
+    rest = observed.join(listed.select("key").distinct(), "key", "left_anti").select("key", "column", "joined", F.col("place").cast("int").alias("place"), F.lit("observed").alias("origin"))
+    order = F.struct("joined", "place", "column")
+    return listed.unionByName(rest).groupBy("key").agg(F.min_by(F.struct("column", "joined", "origin"), order).alias("x")).select("key", "x.*")
+
+
+def typed_matches(vertices: DataFrame, edges: DataFrame, kind: str, from_kind: str, to_kind: str) -> DataFrame:
+    """``a, a_name, b, b_name`` of the ``kind, a, b`` edges of one kind between ``node, kind, name`` vertices of two kinds."""
+    side = lambda k, c: vertices.where(F.col("kind") == k).select(F.col("node").alias(c), F.col("name").alias(f"{c}_name"))
+    return edges.where(F.col("kind") == kind).select("a", "b").distinct().join(side(from_kind, "a"), "a").join(side(to_kind, "b"), "b").select("a", "a_name", "b", "b_name")

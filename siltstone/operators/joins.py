@@ -8,9 +8,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, DateType, NumericType, StringType, TimestampNTZType, TimestampType
 
-#: Dimensions are broadcast up to so many rows, else joined by a shuffle.
-BROADCAST_ROWS = 1_000_000
-
 
 def family(dtype) -> str | None:
     """Type family for joins; booleans and nested types join nothing."""
@@ -145,16 +142,15 @@ def composite_key(left: DataFrame, right: DataFrame, first: tuple[str, str], mor
 def enrich(fact: DataFrame, dims: dict[str, tuple[DataFrame, str]]) -> DataFrame:
     """Left joins of dimensions by fact column: ``{fk: (dimension, key)}`` gives ``fk__attribute`` columns.
 
-    A dimension is broadcast only after a bounded count; one with repeated keys is left out, as it
-    would change the grain.
+    A dimension with repeated keys is left out, as it would change the grain.  Whether one is broadcast is left
+    to Spark, which knows its bytes when the join runs.
     """
     out = fact
     for fk, (dim, key) in dims.items():
         if dim.where(F.col(key).isNotNull()).groupBy(key).count().where("count > 1").take(1):
             continue
         side = dim.where(F.col(key).isNotNull()).select(*[F.col(c).alias(f"{fk}__{c}") for c in dim.columns])
-        small = dim.select(key).limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-        out = out.join(F.broadcast(side) if small else side, out[fk] == side[f"{fk}__{key}"], "left").drop(f"{fk}__{key}")
+        out = out.join(side, out[fk] == side[f"{fk}__{key}"], "left").drop(f"{fk}__{key}")
     return out
 
 

@@ -5,8 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Seconds of each grain and its tolerance (fixed values).
-GRAINS = {"second": (1, 0.5), "minute": (60, 0.2), "hour": (3600, 0.2), "day": (86400, 0.2), "week": (604800, 0.2), "month": (2629800, 0.15), "quarter": (7889400, 0.15), "year": (31557600, 0.1)}
+from siltstone.operators.quantiles import exact_quantiles
+
+#: Seconds of each grain and how far the median gap may be from them.
+GRAINS = {"second": (1, 0.5), "minute": (60, 5), "hour": (3600, 300), "day": (86400, 3600), "week": (604800, 86400), "month": (2592000, 259200), "quarter": (7776000, 777600), "year": (31536000, 3153600)}
+#: Confidence of an irregular series, and the variation that halves that of a regular one.
+IRREGULAR, HALVED_AT = 0.3, 5
 
 
 def bounds(df: DataFrame, ts: str) -> DataFrame:
@@ -29,26 +33,41 @@ def gaps(df: DataFrame, ts: str) -> DataFrame:
 
 
 def gap_statistics(df: DataFrame, ts: str) -> DataFrame:
-    return gaps(df, ts).agg(F.expr("percentile(gap_s, 0.5D)").alias("median_gap"), F.min("gap_s").alias("min_gap"), F.max("gap_s").alias("max_gap"), F.count("*").alias("n_gaps"))
+    found = gaps(df, ts)
+    ends = found.agg(F.min("gap_s").alias("min_gap"), F.max("gap_s").alias("max_gap"), F.count("*").alias("n_gaps"))
+    return _median_gap(found).crossJoin(F.broadcast(ends)).select("median_gap", "min_gap", "max_gap", "n_gaps")
+
+
+def _median_gap(found: DataFrame) -> DataFrame:
+    """One row with the median of ``gap_s``, null without gaps."""
+    mid = exact_quantiles(found.select(F.lit("gap").alias("column"), F.col("gap_s").alias("value")), [0.5])
+    return mid.agg(F.first(F.col("q")[0]).alias("median_gap"))
 
 
 def granularity(df: DataFrame, ts: str) -> DataFrame:
-    """The grain whose length the median gap meets within its tolerance, or ``irregular``."""
-    case = " ".join(f"WHEN abs(median_gap - {s}) <= {s * t}D THEN '{g}'" for g, (s, t) in GRAINS.items())
-    return gap_statistics(df, ts).selectExpr("median_gap", f"CASE {case} ELSE 'irregular' END AS grain")
+    """The grain whose length the median gap meets, or ``irregular``, and how sure that is: the more gaps vary, the less."""
+    case = " ".join(f"WHEN abs(median_gap - {s}) <= {t} THEN '{g}'" for g, (s, t) in GRAINS.items())
+    named = gap_statistics(df, ts).selectExpr("*", f"CASE {case} ELSE 'irregular' END AS grain")
+    return named.selectExpr("median_gap", "grain", f"CASE WHEN grain = 'irregular' THEN {IRREGULAR}D ELSE 1 - least((max_gap - min_gap) / median_gap / {2 * HALVED_AT}, 0.5D) END AS confidence")
+
+
+#: Periods between the starts ``lo`` and ``hi`` of two of each grain.
+STEPS = {
+    "second": "timestampdiff(SECOND, lo, hi)", "minute": "timestampdiff(MINUTE, lo, hi)", "hour": "timestampdiff(HOUR, lo, hi)", "day": "datediff(hi, lo)", "week": "datediff(hi, lo) / 7",
+    "month": "(year(hi) - year(lo)) * 12 + month(hi) - month(lo)", "quarter": "(year(hi) - year(lo)) * 4 + quarter(hi) - quarter(lo)", "year": "year(hi) - year(lo)",
+}
 
 
 def completeness(df: DataFrame, ts: str, grain: str) -> DataFrame:
     """Periods that occur against periods between the first and the last."""
-    step = {"day": "datediff(hi, lo)", "month": "(year(hi) - year(lo)) * 12 + month(hi) - month(lo)", "year": "year(hi) - year(lo)"}[grain]
-    cut = F.date_trunc(grain, ts)
+    step, cut = STEPS[grain], F.date_trunc(grain, ts)
     return df.agg(F.count_distinct(cut).alias("present"), F.min(cut).alias("lo"), F.max(cut).alias("hi")).selectExpr("present", f"cast({step} + 1 AS bigint) AS expected", f"present / ({step} + 1) AS completeness")
 
 
 def significant_gaps(df: DataFrame, ts: str) -> DataFrame:
     """Every gap over twice the median, with severity and missing periods."""
     found = gaps(df, ts)
-    mid = found.agg(F.expr("percentile(gap_s, 0.5D)").alias("mid"))
+    mid = _median_gap(found).withColumnRenamed("median_gap", "mid")
     big = found.crossJoin(F.broadcast(mid)).where("gap_s > 2 * mid")
     return big.selectExpr("ts", "next_ts", "gap_s", "cast(floor(gap_s / mid) - 1 AS bigint) AS missing", "CASE WHEN gap_s >= 10 * mid THEN 'severe' WHEN gap_s >= 5 * mid THEN 'moderate' ELSE 'minor' END AS severity")
 

@@ -6,16 +6,42 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import NullType
 
-#: Name, anchored pattern, type, and the expression that parses a value ({c}); fixed values of the catalogue.
+_DAY = "cast(coalesce(try_to_timestamp({c}, '%s'), try_to_timestamp({c}, '%s')) AS date)"
+_NUMBER = "try_cast(regexp_replace(%s, '[^0-9.+-]', '') AS double)"
+
+# Name, pattern and type of every format of the catalogue, and the expression that parses a value ({c}).
 PATTERNS = [
-    ("integer", r"^[+-]?[0-9]+$", "BIGINT", "try_cast({c} AS bigint)"),
-    ("decimal", r"^[+-]?[0-9]+[.][0-9]+$", "DOUBLE", "try_cast({c} AS double)"),
-    ("thousands", r"^[+-]?[0-9]{1,3}(,[0-9]{3})+([.][0-9]+)?$", "DOUBLE", "try_cast(replace({c}, ',', '') AS double)"),
-    ("iso_date", r"^[0-9]{4}-[0-9]{2}-[0-9]{2}$", "DATE", "try_cast({c} AS date)"),
-    ("us_date", r"^[0-9]{2}/[0-9]{2}/[0-9]{4}$", "DATE", "cast(try_to_timestamp({c}, 'MM/dd/yyyy') AS date)"),
-    ("boolean", r"^(true|false)$", "BOOLEAN", "try_cast({c} AS boolean)"),
+    ("iso_date", r"^\d{4}-\d{2}-\d{2}$", "DATE", "cast(try_to_timestamp({c}, 'yyyy-MM-dd') AS date)"),
+    ("iso_datetime", r"^\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}:\d{2}", "TIMESTAMP", "CASE WHEN length({c}) >= 19 THEN try_cast({c} AS timestamp_ntz) END"),
+    ("us_date", r"^\d{1,2}/\d{1,2}/\d{2,4}$", "DATE", _DAY % ("M/d/yyyy", "M/d/yy")),
+    ("eu_slash_date", r"^\d{1,2}/\d{1,2}/\d{2,4}$", "DATE", _DAY % ("d/M/yyyy", "d/M/yy")),
+    ("eu_date", r"^\d{1,2}\.\d{1,2}\.\d{2,4}$", "DATE", _DAY % ("d.M.yyyy", "d.M.yy")),
+    ("dd_mon_yy", r"^\d{1,2}-[A-Za-z]{3}-\d{2}$", "DATE", "cast(try_to_timestamp(initcap({c}), 'd-MMM-yy') AS date)"),
+    ("dd_mon_yyyy", r"^\d{1,2}-[A-Za-z]{3}-\d{4}$", "DATE", "cast(try_to_timestamp(initcap({c}), 'd-MMM-yyyy') AS date)"),
+    ("period_yyyy_mm", r"^\d{4}-\d{2}$", "DATE", "cast(try_to_timestamp(concat({c}, '-01'), 'yyyy-MM-dd') AS date)"),
+    ("period_yyyy_qq", r"^\d{4}-?[Qq][1-4]$", "DATE", "CASE WHEN {c} RLIKE '^[0-9]{{4}}-?[Qq][1-4]$' THEN make_date(cast(left({c}, 4) AS int), (cast(right({c}, 1) AS int) - 1) * 3 + 1, 1) END"),
+    ("time_only", r"^\d{1,2}:\d{2}(:\d{2})?$", "TIME", "CASE WHEN try_to_timestamp(concat('2000-01-01 ', {c}), 'yyyy-MM-dd H:mm[:ss]') IS NOT NULL THEN {c} END"),
+    ("uuid", r"^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$", "VARCHAR", "CASE WHEN {c} RLIKE '^[0-9a-fA-F]{{8}}(-[0-9a-fA-F]{{4}}){{3}}-[0-9a-fA-F]{{12}}$' THEN {c} END"),
+    ("email", r"^[^@\s]+@[^@\s]+\.[^@\s]+$", "VARCHAR", "CASE WHEN {c} RLIKE '^[^@ ]+@[^@ ]+[.][^@ ]+$' THEN {c} END"),
+    ("phone_intl", r"^\+\d{1,3}[\d\s\-]{7,}$", "VARCHAR", "CASE WHEN {c} RLIKE '^[+][0-9]{{1,3}}[0-9 -]{{7,}}$' THEN {c} END"),
+    ("url", r"^https?://[^\s]+$", "VARCHAR", "CASE WHEN {c} RLIKE '^https?://[^ ]+$' THEN {c} END"),
+    ("integer", r"^-?\d+$", "BIGINT", "try_cast({c} AS bigint)"),
+    ("decimal_dot", r"^-?\d+\.\d+$", "DOUBLE", "try_cast({c} AS double)"),
+    ("decimal_comma", r"^-?\d+,\d+$", "DOUBLE", "try_cast(replace({c}, ',', '.') AS double)"),
+    ("scientific", r"^-?\d+\.?\d*[eE][+-]?\d+$", "DOUBLE", "CASE WHEN lower({c}) LIKE '%e%' THEN try_cast({c} AS double) END"),
+    ("percentage", r"^-?\d+\.?\d*%$", "DOUBLE", "CASE WHEN {c} LIKE '%\\%' THEN try_cast(replace({c}, '%', '') AS double) / 100 END"),
+    ("currency_usd", r"^\$[\d,]+\.?\d*$", "DOUBLE", "CASE WHEN {c} LIKE '$%' THEN " + _NUMBER % "replace({c}, ',', '')" + " END"),
+    ("currency_eur", r"^€[\d\s.]+,?\d*$|^[\d\s.]+,?\d*\s*€$", "DOUBLE", "CASE WHEN {c} LIKE '%€%' THEN " + _NUMBER % "replace(replace({c}, '.', ''), ',', '.')" + " END"),
+    ("currency_gbp", r"^£[\d,]+\.?\d*$", "DOUBLE", "CASE WHEN {c} LIKE '£%' THEN " + _NUMBER % "replace({c}, ',', '')" + " END"),
+    ("currency_chf", r"^CHF\s*[\d\x27]+\.?\d*$|^[\d\x27]+\.?\d*\s*CHF$", "DOUBLE", "CASE WHEN {c} LIKE '%CHF%' THEN " + _NUMBER % "{c}" + " END"),
+    ("boolean_tf", r"(?i)^(true|false)$", "BOOLEAN", "CASE lower({c}) WHEN 'true' THEN true WHEN 'false' THEN false END"),
+    ("boolean_yn", r"(?i)^(yes|no|y|n)$", "BOOLEAN", "CASE lower({c}) WHEN 'yes' THEN true WHEN 'y' THEN true WHEN 'no' THEN false WHEN 'n' THEN false END"),
+    ("boolean_10", r"^[01]$", "BOOLEAN", "CASE {c} WHEN '1' THEN true WHEN '0' THEN false END"),
 ]
+#: Units that a pattern itself tells.
+UNITS = {"currency_usd": "USD", "currency_eur": "EUR", "currency_gbp": "GBP", "currency_chf": "CHF", "percentage": "%"}
 
 
 def pattern_match_rates(df: DataFrame, column: str, most: int | None = None) -> DataFrame:
@@ -56,6 +82,8 @@ def decide_types(candidates: DataFrame, overrides: DataFrame | None = None, leas
 
 def _parse(decisions: dict[str, str]) -> dict[str, str]:
     expr = {n: e for n, _, _, e in PATTERNS} | {"text": "{c}"}
+    # mixed:TYPE stands for all patterns of a type, the first that parses a value.
+    expr |= {f"mixed:{kind}": f"coalesce({', '.join(e for _, _, k, e in PATTERNS if k == kind)})" for kind in {p[2] for p in PATTERNS}}
     return {c: expr[p].format(c=f"`{c}`") for c, p in decisions.items()}
 
 
@@ -91,6 +119,12 @@ def detect_unit(df: DataFrame, column: str) -> DataFrame:
     return counts.where("unit <> ''").crossJoin(F.broadcast(total)).orderBy(F.desc("n"), "unit").limit(1).selectExpr("unit", "(n / parsed + parsed / total) / 2 AS confidence").where("confidence > 0.5")
 
 
+def promote(raw: DataFrame) -> DataFrame:
+    """A table from a source with types of its own, as it is: its columns need no test, and none is quarantined."""
+    untyped = [f.name for f in raw.schema if isinstance(f.dataType, NullType)]
+    return raw.withColumns({c: F.col(f"`{c}`").cast("string") for c in untyped})
+
+
 def failing_examples(df: DataFrame, column: str, pattern: str, most: int = 5) -> DataFrame:
     """The first distinct values, in value order, that the pattern's expression cannot parse."""
     return df.where(_failed({column: pattern})[column]).select(F.col(column).alias("value")).distinct().orderBy("value").limit(most)
@@ -101,7 +135,7 @@ def mixed_formats(df: DataFrame, column: str, min_cast: float = 0.8) -> DataFram
 
     A type passes alone if one of its patterns parses ``min_cast`` of the values.
     """
-    kinds = {t: [e.format(c=f"`{column}`") for _, _, kind, e in PATTERNS if kind == t] for t in dict.fromkeys(p[2] for p in PATTERNS)}
+    kinds = {t: [e.format(c=f"`{column}`") for _, _, kind, e in PATTERNS if kind == t] for t in dict.fromkeys(p[2] for p in PATTERNS) if t != "VARCHAR"}
     several = {t: es for t, es in kinds.items() if len(es) > 1}
     one = df.selectExpr(f"count(`{column}`) AS n", *[f"count(coalesce({', '.join(es)})) AS all_{t}" for t, es in several.items()], *[f"greatest({', '.join(f'count({e})' for e in es)}) AS best_{t}" for t, es in several.items()])
     rows = one.selectExpr("stack({}, {}) AS (type, together, best, total)".format(len(several), ", ".join(f"'{t}', all_{t}, best_{t}, n" for t in several)))

@@ -12,7 +12,7 @@ from siltstone.operators import metrics as m
 from siltstone.operators import typing as t
 from siltstone.plans.base import query, rounded
 from siltstone.plans.evidence import _CONV, _candidates
-from siltstone.plans.joins import _J5_ALL, _keys
+from siltstone.plans.joins import _J5, _keys
 from siltstone.plans.typed import _RAW, _raw
 
 _H = "-({x} * log2({x}) + (1 - {x}) * log2(1 - {x}))"
@@ -96,7 +96,7 @@ def _(table):
     return rounded(a.derived_formulas(out))
 
 
-_JOINED = f"(SELECT table_a || '.' || column_a || '=' || table_b || '.' || column_b AS target, score, CASE WHEN shared > 5 THEN 0.9 END AS confidence, CASE WHEN split_part(column_a, '_', 2) = split_part(column_b, '_', 2) THEN 0.9 ELSE 0.3 END AS judgement, CASE WHEN table_a = 'nation' AND table_b = 'region' THEN true END AS manual, column_a LIKE '%nationkey' AS kept FROM ({_J5_ALL}))"
+_JOINED = f"(SELECT table_a || '.' || column_a || '=' || table_b || '.' || column_b AS target, score, CASE WHEN shared > 5 THEN 0.9 END AS confidence, CASE WHEN split_part(column_a, '_', 2) = split_part(column_b, '_', 2) THEN 0.9 ELSE 0.3 END AS judgement, CASE WHEN table_a = 'nation' AND table_b = 'region' THEN true END AS manual, column_a LIKE '%nationkey' AS kept FROM ({_J5}))"
 
 
 @query("v12_relationships", f"WITH r AS {_JOINED} SELECT target, round(belief, 6) AS belief, round(conflict, 6) AS conflict, witnesses, belief >= 0.5 AS genuine FROM {_pool('SELECT target, 0.7 AS reliability, 0.5 + (score - 0.5) * confidence AS p FROM r UNION ALL SELECT target, 0.7, judgement FROM r UNION ALL SELECT target, 0.9, CASE WHEN manual THEN 0.98 WHEN NOT manual THEN 0.02 END FROM r UNION ALL SELECT target, 0.5, CASE WHEN kept THEN 0.8 END FROM r')}")

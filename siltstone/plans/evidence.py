@@ -159,11 +159,17 @@ def _(table):
     return e.cyclic_groups(ring)
 
 
-@query("g04_pattern_class", "SELECT (SELECT count(*) FROM nation) + (SELECT count(*) FROM region) AS v, (SELECT count(*) FROM nation) AS e, (SELECT count(*) FROM region) AS c, (SELECT count(*) FROM region) AS hubs, (SELECT count(*) FROM nation) AS leaves, 'disconnected' AS pattern")
+_OC = "(SELECT DISTINCT 'o' || o_orderkey AS a, 'c' || o_custkey AS b FROM orders)"
+_DEG = f"(SELECT node, count(*) AS degree FROM (SELECT a AS node FROM {_OC} UNION ALL SELECT b FROM {_OC}) GROUP BY 1)"
+# Orders touch one customer each, so the components are the customers that have any.
+_SHAPE = f"SELECT count(*) AS v, (SELECT count(*) FROM {_OC}) AS e, count(*) FILTER (WHERE node LIKE 'c%') AS c, count(*) FILTER (WHERE degree = 1) AS ends, max(degree) AS top FROM {_DEG}"
+
+
+@query("g04_pattern_class", f"SELECT v, e, c, ends, top, CASE WHEN e - v + c = 0 THEN CASE WHEN c > 1 THEN 'forest' WHEN top = v - 1 THEN 'star' ELSE 'tree' END ELSE 'nets' END AS shape FROM ({_SHAPE})")
 def _(table):
-    edges = table("nation").selectExpr("concat('n', n_nationkey) AS a", "concat('r', n_regionkey) AS b")
-    nodes = edges.selectExpr("a AS node").union(table("region").selectExpr("concat('r', r_regionkey)"))
-    return rounded(e.pattern_class(g.node_roles(nodes, edges), g.topology(nodes, edges)))
+    edges = table("orders").select(F.concat(F.lit("o"), "o_orderkey").alias("a"), F.concat(F.lit("c"), "o_custkey").alias("b"))
+    nodes = edges.select(F.col("a").alias("node")).union(edges.select("b")).distinct()
+    return rounded(e.graph_shape(g.node_roles(nodes, edges), g.topology(nodes, edges)))
 
 
 def _scratch(spark):
@@ -201,3 +207,38 @@ def _(table):
 @query("s08_blank_nulls", "SELECT o_orderkey, CASE o_orderkey % 4 WHEN 1 THEN NULL WHEN 2 THEN NULL WHEN 3 THEN '#n/a' ELSE o_orderstatus END AS status FROM orders")
 def _(table):
     return r.blank_nulls(table("orders").selectExpr("o_orderkey", "CASE o_orderkey % 4 WHEN 1 THEN ' missing ' WHEN 2 THEN '--' WHEN 3 THEN '#n/a' ELSE o_orderstatus END AS status"))
+
+
+@query("s08_sentinels", "SELECT o_orderkey, CASE WHEN o_orderkey % 3 > 0 THEN CAST(o_custkey AS VARCHAR) END AS customer, CASE WHEN o_orderkey % 5 > 0 THEN strftime(o_orderdate, '%Y-%m-%d') END AS day FROM orders")
+def _(table):
+    soiled = table("orders").selectExpr("o_orderkey", "CASE WHEN o_orderkey % 3 = 0 THEN '-9999' ELSE cast(o_custkey AS string) END AS customer", "CASE WHEN o_orderkey % 5 = 0 THEN '0000-00-00' ELSE date_format(o_orderdate, 'yyyy-MM-dd') END AS day")
+    return r.blank_sentinels(soiled, ["customer"], ["day"])
+
+
+@query("s04_parquet_typed", "SELECT o_orderkey AS order_key, round(o_totalprice, 4) AS total_price_2 FROM orders")
+def _(table):
+    df = table("orders").selectExpr("o_orderkey AS `Order Key`", "o_totalprice AS `Total  Price (2)`")
+    path = _scratch(df.sparkSession)
+    df.write.parquet(path)
+    return rounded(r.read_parquet_typed(df.sparkSession, path), 4)
+
+
+@query("s09_load_many", "SELECT 'lines' AS name, count(*) AS rows FROM lineitem UNION ALL SELECT 'orders', count(*) FROM orders")
+def _(table):
+    spark, root = table("orders").sparkSession, _scratch(table("orders").sparkSession)
+    table("orders").select("o_orderkey").write.parquet(f"{root}/orders.parquet")
+    table("lineitem").select("l_orderkey").write.option("header", True).csv(f"{root}/Lines.csv")
+    out = r.load_many(spark, [f"{root}/orders.parquet", f"{root}/Lines.csv"])
+    parts = [df.agg(F.count("*").alias("rows")).select(F.lit(name).alias("name"), "rows") for name, df in out.items()]
+    return parts[0].unionByName(parts[1])
+
+
+@query("s02_peek", "SELECT 'o_orderstatus' AS \"column\", array_to_string(list_sort(list(DISTINCT o_orderstatus)), ',') AS samples FROM (SELECT o_orderstatus FROM orders ORDER BY o_orderkey LIMIT 10)")
+def _(table):
+    return r.peek(table("orders").orderBy("o_orderkey").select("o_orderstatus"), 10).select("column", F.array_join("samples", ",").alias("samples"))
+
+
+@query("s12_preview", "SELECT o_orderkey, true AS more FROM orders ORDER BY o_orderkey LIMIT 50")
+def _(table):
+    rows, more = r.preview(table("orders").orderBy("o_orderkey").select("o_orderkey"), 50)
+    return rows.withColumn("more", F.lit(more))

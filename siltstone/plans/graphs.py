@@ -7,20 +7,18 @@ from pyspark.sql import functions as F
 from siltstone.operators import graph as g
 from siltstone.plans.base import query, rounded
 
-_E = "(SELECT DISTINCT 'o' || o_orderkey AS a, 'c' || o_custkey AS b FROM orders WHERE o_orderpriority LIKE '1%')"
+_E = "(SELECT DISTINCT 'o' || o_orderkey AS a, 'c' || o_custkey AS b FROM orders)"
 _U = f"(SELECT DISTINCT least(a, b) AS a, greatest(a, b) AS b FROM {_E})"
 
 
-def _edges(table, which="o_orderpriority LIKE '1%'"):
-    return table("orders").where(which).select(F.concat(F.lit("o"), "o_orderkey").alias("a"), F.concat(F.lit("c"), "o_custkey").alias("b"))
+def _edges(table):
+    return table("orders").select(F.concat(F.lit("o"), "o_orderkey").alias("a"), F.concat(F.lit("c"), "o_custkey").alias("b"))
 
 
 def _nodes(table, e):
     return e.select(F.col("a").alias("node")).union(e.select("b")).union(table("customer").select(F.concat(F.lit("c"), "c_custkey"))).distinct()
 
 
-#: The queries named all_ have every order as an edge; the others only the urgent ones, as their SQL does.
-_EVERY = "true"
 _N = f"(SELECT a AS node FROM {_E} UNION SELECT b FROM {_E} UNION SELECT 'c' || c_custkey FROM customer)"
 
 
@@ -30,12 +28,6 @@ def _(table):
     return g.node_roles(_nodes(table, e), e)
 
 
-@query("g01_all_roles", f"SELECT node, coalesce(d, 0) AS degree, CASE WHEN coalesce(d, 0) = 0 THEN 'isolated' WHEN d = 1 THEN 'dimension' WHEN d = 2 THEN 'bridge' ELSE 'hub' END AS role FROM {_N} LEFT JOIN (SELECT node, count(*) AS d FROM (SELECT a AS node FROM {_U} UNION ALL SELECT b FROM {_U}) GROUP BY 1) USING (node)".replace(" WHERE o_orderpriority LIKE '1%'", ""))
-def _(table):
-    e = _edges(table, _EVERY)
-    return g.node_roles(_nodes(table, e), e)
-
-
 @query("g02_topology", f"SELECT v, e, c, e - v + c AS circuit_rank, round(2.0 * e / (v * (v - 1)), 9) AS density FROM (SELECT (SELECT count(*) FROM {_N}) AS v, (SELECT count(*) FROM {_U}) AS e, (SELECT count(*) FROM {_N} WHERE node LIKE 'c%') AS c)")
 def _(table):
     # Every order belongs to one customer, so a component is a customer with its orders.
@@ -43,12 +35,6 @@ def _(table):
     return rounded(g.topology(_nodes(table, e), e), 9)
 
 
-@query("g02_all_topology", f"SELECT v, e, c, e - v + c AS circuit_rank, round(2.0 * e / (v * (v - 1)), 9) AS density FROM (SELECT (SELECT count(*) FROM {_N}) AS v, (SELECT count(*) FROM {_U}) AS e, (SELECT count(*) FROM {_N} WHERE node LIKE 'c%') AS c)".replace(" WHERE o_orderpriority LIKE '1%'", ""))
-def _(table):
-    e = _edges(table, _EVERY)
-    return rounded(g.topology(_nodes(table, e), e), 9)
-
-
 @query("g05_hop", f"SELECT a, b FROM {_E} WHERE b IN (SELECT 'c' || c_custkey FROM customer WHERE c_acctbal > 0)")
 def _(table):
     return _rich_hops(table, _edges(table))
@@ -59,11 +45,6 @@ def _rich_hops(table, e):
     return g.hop(e.select(F.col("a").alias("node")).distinct(), e, rich)
 
 
-@query("g05_all_hops", f"SELECT a, b FROM {_E} WHERE b IN (SELECT 'c' || c_custkey FROM customer WHERE c_acctbal > 0)".replace(" WHERE o_orderpriority LIKE '1%'", ""))
-def _(table):
-    return _rich_hops(table, _edges(table, _EVERY))
-
-
 _L = "(SELECT DISTINCT 'n' || s_nationkey AS a, 'r' || n_regionkey AS b FROM supplier JOIN nation ON s_nationkey = n_nationkey UNION SELECT DISTINCT 's' || s_suppkey, 'n' || s_nationkey FROM supplier UNION SELECT DISTINCT 'r' || r_regionkey, 'world' FROM region)"
 
 
@@ -78,3 +59,30 @@ def _(table):
 def _(table):
     up = table("nation").join(table("region"), F.col("n_regionkey") == F.col("r_regionkey"))
     return up.join(table("customer"), F.col("c_nationkey") == F.col("n_nationkey"), "left").groupBy(F.col("n_name").alias("member"), F.col("r_name").alias("parent")).agg(F.count("c_custkey").alias("customers"))
+
+
+_UP = "(SELECT 'c' || c_custkey AS a, 'n' || c_nationkey AS b FROM customer UNION SELECT 'n' || n_nationkey, 'r' || n_regionkey FROM nation UNION SELECT strftime(o_orderdate, '%Y-%m-%d'), strftime(o_orderdate, '%Y-%m') FROM orders UNION SELECT strftime(o_orderdate, '%Y-%m'), year(o_orderdate) || 'q' || quarter(o_orderdate) FROM orders UNION SELECT year(o_orderdate) || 'q' || quarter(o_orderdate), 'y' || year(o_orderdate) FROM orders)"
+
+
+@query("g06_closure", f"WITH RECURSIVE e AS MATERIALIZED (SELECT * FROM {_UP}), w(a, b, steps) AS (SELECT a, b, 1 FROM e UNION SELECT w.a, e.b, steps + 1 FROM w JOIN e ON w.b = e.a) SELECT a, b, min(steps) AS steps FROM w GROUP BY 1, 2")
+def _(table):
+    cut = table("orders").selectExpr("date_format(o_orderdate, 'yyyy-MM-dd') AS d", "date_format(o_orderdate, 'yyyy-MM') AS m", "concat(year(o_orderdate), 'q', quarter(o_orderdate)) AS q", "concat('y', year(o_orderdate)) AS y")
+    places = table("customer").selectExpr("concat('c', c_custkey) AS a", "concat('n', c_nationkey) AS b").union(table("nation").selectExpr("concat('n', n_nationkey)", "concat('r', n_regionkey)"))
+    times = cut.selectExpr("d AS a", "m AS b").union(cut.select("m", "q")).union(cut.select("q", "y")).distinct()
+    return rounded(g.closure(places.union(times)))
+
+
+@query("g07_time_axes", "SELECT o_orderkey AS key, CASE WHEN o_orderkey % 3 = 0 THEN 'o_orderdate' WHEN o_orderkey % 3 = 1 THEN 'l_shipdate' ELSE 'first_seen' END AS \"column\", o_orderkey % 3 = 1 AS joined, CASE WHEN o_orderkey % 3 = 2 THEN 'observed' ELSE 'declared' END AS origin FROM orders")
+def _(table):
+    both = """'[{"column": "l_shipdate", "joined": true}, {"column": "o_orderdate", "joined": false}]'"""
+    one = """'[{"column": "l_shipdate", "joined": true}]'"""
+    orders = table("orders").selectExpr("o_orderkey AS key", f"CASE o_orderkey % 3 WHEN 0 THEN {both} WHEN 1 THEN {one} END AS axes")
+    seen = table("orders").selectExpr("o_orderkey AS key", "explode(array(struct('last_seen' AS column, false AS joined, 1 AS place), struct('first_seen' AS column, false AS joined, 0 AS place), struct('l_shipdate' AS column, true AS joined, -1 AS place))) AS x").select("key", "x.*")
+    return g.time_axes(orders.where("axes IS NOT NULL"), seen)
+
+
+@query("g09_typed_matches", "SELECT DISTINCT o_custkey AS a, c_name AS a_name, o_orderpriority AS b, upper(o_orderpriority) AS b_name FROM orders JOIN customer ON o_custkey = c_custkey")
+def _(table):
+    edges = table("orders").selectExpr("'places' AS kind", "concat('c', o_custkey) AS a", "concat('p', o_orderpriority) AS b").union(table("orders").selectExpr("'has'", "concat('o', o_orderkey)", "concat('p', o_orderpriority)"))
+    vertices = table("customer").selectExpr("concat('c', c_custkey) AS node", "'customer' AS kind", "c_name AS name").union(table("orders").selectExpr("concat('p', o_orderpriority)", "'priority'", "upper(o_orderpriority)").distinct())
+    return g.typed_matches(vertices, edges, "places", "customer", "priority").selectExpr("cast(substr(a, 2) AS bigint) AS a", "a_name", "substr(b, 2) AS b", "b_name")

@@ -15,7 +15,7 @@ def _(table):
 
 _J5 = """WITH v AS (SELECT 'nation' AS t, 'n_nationkey' AS c, n_nationkey AS v FROM nation UNION ALL SELECT 'nation', 'n_regionkey', n_regionkey FROM nation UNION ALL SELECT 'region', 'r_regionkey', r_regionkey FROM region UNION ALL SELECT 'supplier', 's_suppkey', s_suppkey FROM supplier UNION ALL SELECT 'supplier', 's_nationkey', s_nationkey FROM supplier UNION ALL SELECT 'customer', 'c_custkey', c_custkey FROM customer UNION ALL SELECT 'customer', 'c_nationkey', c_nationkey FROM customer),
 s AS (SELECT t, c, count(DISTINCT v) AS d, count(DISTINCT v) / count(v) AS u FROM v WHERE v IS NOT NULL GROUP BY 1, 2 HAVING count(DISTINCT v) > 1), x AS (SELECT DISTINCT t, c, v FROM v WHERE v IS NOT NULL),
-p AS (SELECT a.t AS ta, a.c AS ca, b.t AS tb, b.c AS cb, count(*) AS shared FROM x a JOIN x b ON a.v = b.v AND (a.t < b.t) GROUP BY ALL),
+p AS (SELECT a.t AS ta, a.c AS ca, b.t AS tb, b.c AS cb, count(*) AS shared FROM x a JOIN x b ON a.v = b.v AND (a.t < b.t OR (a.t = b.t AND a.c < b.c)) GROUP BY ALL),
 q AS (SELECT p.*, a.d AS da, a.u AS ua, b.d AS db, b.u AS ub, greatest(shared / (a.d + b.d - shared), CASE WHEN b.u >= 0.95 AND shared / a.d >= 0.95 THEN shared / a.d ELSE 0 END, CASE WHEN a.u >= 0.95 AND shared / b.d >= 0.95 THEN shared / b.d ELSE 0 END) AS score FROM p JOIN s a ON a.t = ta AND a.c = ca JOIN s b ON b.t = tb AND b.c = cb)
 SELECT ta AS table_a, ca AS column_a, tb AS table_b, cb AS column_b, shared, round(score, 6) AS score, (CASE WHEN ua >= 0.95 THEN '1' ELSE 'n' END) || ':' || (CASE WHEN ub >= 0.95 THEN '1' WHEN ua >= 0.95 THEN 'n' ELSE 'm' END) AS cardinality FROM q WHERE score >= 0.5 AND (greatest(da, db) / least(da, db) <= 100 OR (CASE WHEN da >= db THEN ua ELSE ub END) >= 0.95)"""
 
@@ -25,15 +25,6 @@ def _keys(table):
 
 
 @query("j05_find_joins", _J5)
-def _(table):
-    return rounded(j.find_joins(_keys(table), within=False))
-
-
-#: The queries above and below leave out pairs inside one table, as their SQL does; those named all_ have them.
-_J5_ALL = _J5.replace("(a.t < b.t)", "(a.t < b.t OR (a.t = b.t AND a.c < b.c))")
-
-
-@query("j05_all_joins", _J5_ALL)
 def _(table):
     return rounded(j.find_joins(_keys(table)))
 
@@ -98,7 +89,7 @@ def _(table):
 
 @query("j19_overrides", f"SELECT table_a || '.' || column_a AS a, table_b || '.' || column_b AS b FROM ({_J5}) WHERE NOT (table_a = 'nation' AND table_b = 'region') UNION ALL SELECT 'orders.o_custkey', 'customer.c_custkey'")
 def _(table):
-    return _overridden(j.find_joins(_keys(table), within=False))
+    return _overridden(j.find_joins(_keys(table)))
 
 
 def _overridden(joins):
@@ -108,17 +99,7 @@ def _overridden(joins):
     return j.override_relationships(found, rejected, added)
 
 
-@query("j19_all_overrides", f"SELECT table_a || '.' || column_a AS a, table_b || '.' || column_b AS b FROM ({_J5_ALL}) WHERE NOT (table_a = 'nation' AND table_b = 'region') UNION ALL SELECT 'orders.o_custkey', 'customer.c_custkey'")
-def _(table):
-    return _overridden(j.find_joins(_keys(table)))
-
-
 @query("j20_ambiguous_paths", f"SELECT least(table_a, table_b) AS one, greatest(table_a, table_b) AS other, count(DISTINCT (column_a, column_b)) AS paths FROM ({_J5}) GROUP BY 1, 2 HAVING count(DISTINCT (column_a, column_b)) > 1")
-def _(table):
-    return j.ambiguous_paths(j.find_joins(_keys(table), within=False))
-
-
-@query("j20_all_paths", f"SELECT least(table_a, table_b) AS one, greatest(table_a, table_b) AS other, count(DISTINCT (column_a, column_b)) AS paths FROM ({_J5_ALL}) GROUP BY 1, 2 HAVING count(DISTINCT (column_a, column_b)) > 1")
 def _(table):
     return j.ambiguous_paths(j.find_joins(_keys(table)))
 

@@ -160,9 +160,9 @@ def _(table):
     return rounded(t.gap_statistics(table("events"), "ts"))
 
 
-@query("x03_granularity", f"WITH {_OGAPS} SELECT median(gap_s) AS median_gap, CASE WHEN abs(median(gap_s) - 86400) <= 17280 THEN 'day' ELSE 'irregular' END AS grain FROM g")
+@query("x03_granularity", f"WITH {_OGAPS} SELECT median(gap_s) AS median_gap, CASE WHEN abs(median(gap_s) - 86400) <= 3600 THEN 'day' ELSE 'irregular' END AS grain FROM g")
 def _(table):
-    return t.granularity(table("orders"), "o_orderdate")
+    return t.granularity(table("orders"), "o_orderdate").select("median_gap", "grain")
 
 
 @query("x04_completeness", "SELECT count(DISTINCT date_trunc('month', o_orderdate)) AS present, date_diff('month', min(o_orderdate), max(o_orderdate)) + 1 AS expected, round(count(DISTINCT date_trunc('month', o_orderdate)) / (date_diff('month', min(o_orderdate), max(o_orderdate)) + 1), 6) AS completeness FROM orders")
@@ -170,13 +170,7 @@ def _(table):
     return rounded(t.completeness(table("orders"), "o_orderdate", "month"))
 
 
-@query("x05_significant_gaps", f"WITH {_EGAPS}, m AS (SELECT median(gap_s) AS mid FROM g) SELECT ts, next_ts, round(gap_s, 2) AS gap_s, CAST(floor(gap_s / mid) - 1 AS BIGINT) AS missing, CASE WHEN gap_s >= 10 * mid THEN 'severe' WHEN gap_s >= 5 * mid THEN 'moderate' ELSE 'minor' END AS severity FROM g, m WHERE gap_s > 2 * mid ORDER BY g.gap_s DESC, ts LIMIT 100")
-def _(table):
-    # Its SQL asks for the longest 100 only; x05_all_gaps has all.
-    return rounded(t.significant_gaps(table("events"), "ts").orderBy(F.desc("gap_s"), "ts").limit(100), 2)
-
-
-@query("x05_all_gaps", f"WITH {_EGAPS}, m AS (SELECT median(gap_s) AS mid FROM g) SELECT ts, next_ts, round(gap_s, 2) AS gap_s, CAST(floor(gap_s / mid) - 1 AS BIGINT) AS missing, CASE WHEN gap_s >= 10 * mid THEN 'severe' WHEN gap_s >= 5 * mid THEN 'moderate' ELSE 'minor' END AS severity FROM g, m WHERE gap_s > 2 * mid")
+@query("x05_significant_gaps", f"WITH {_EGAPS}, m AS (SELECT median(gap_s) AS mid FROM g) SELECT ts, next_ts, round(gap_s, 2) AS gap_s, CAST(floor(gap_s / mid) - 1 AS BIGINT) AS missing, CASE WHEN gap_s >= 10 * mid THEN 'severe' WHEN gap_s >= 5 * mid THEN 'moderate' ELSE 'minor' END AS severity FROM g, m WHERE gap_s > 2 * mid ")
 def _(table):
     return rounded(t.significant_gaps(table("events"), "ts"), 2)
 
@@ -196,8 +190,19 @@ def _(table):
     return rounded(t.flow_window(table("orders"), "o_orderdate", "o_orderstatus = 'F'"))
 
 
-@query("x08_profile_temporal", "WITH d AS (SELECT DISTINCT l_shipdate AS t FROM lineitem WHERE l_shipdate IS NOT NULL), n AS (SELECT epoch(lead(t) OVER (ORDER BY t)) - epoch(t) AS gap FROM d) SELECT 'l_shipdate' AS \"column\", min(t)::TIMESTAMP AS first_ts, max(t)::TIMESTAMP AS last_ts, count(*) AS distinct_ts, date_diff('day', min(t), max(t)) AS span_days, (SELECT median(gap) FROM n) AS median_gap FROM d")
+@query("x08_profile_temporal", "WITH d AS (SELECT DISTINCT l_shipdate AS t FROM lineitem WHERE l_shipdate IS NOT NULL), n AS (SELECT epoch(lead(t) OVER (ORDER BY t)) - epoch(t) AS gap FROM d) SELECT 'l_shipdate' AS \"column\", min(t)::TIMESTAMP AS first_ts, max(t)::TIMESTAMP AS last_ts, count(*) AS distinct_ts, date_diff('day', min(t), max(t)) AS span_days, (SELECT median(gap) FROM n) AS median_gap, (SELECT CASE WHEN abs(median(gap) - 86400) <= 3600 THEN 'day' ELSE 'irregular' END FROM n) AS grain FROM d")
 def _(table):
     from siltstone.operators.temporal import profile_temporal
 
-    return rounded(profile_temporal(table("lineitem")).drop("grain").withColumn("first_ts", F.col("first_ts").cast("timestamp")).withColumn("last_ts", F.col("last_ts").cast("timestamp")))
+    return rounded(profile_temporal(table("lineitem")).withColumn("first_ts", F.col("first_ts").cast("timestamp")).withColumn("last_ts", F.col("last_ts").cast("timestamp")))
+
+
+@query("x03_grain_confidence", f"WITH {_EGAPS}, m AS (SELECT median(gap_s) AS mid, min(gap_s) AS lo, max(gap_s) AS hi FROM g), w AS (SELECT mid, lo, hi, CASE WHEN abs(mid - 1) <= 0.5 THEN 'second' WHEN abs(mid - 60) <= 5 THEN 'minute' WHEN abs(mid - 3600) <= 300 THEN 'hour' WHEN abs(mid - 86400) <= 3600 THEN 'day' ELSE 'irregular' END AS grain FROM m) SELECT grain, round(CASE WHEN grain = 'irregular' THEN 0.3 ELSE 1 - least((hi - lo) / mid / 10, 0.5) END::DOUBLE, 6) AS confidence FROM w")
+def _(table):
+    return rounded(t.granularity(table("events"), "ts").select("grain", "confidence"))
+
+
+@query("x04_weeks_and_quarters", "SELECT 'week' AS grain, count(DISTINCT date_trunc('week', o_orderdate)) AS present, CAST(date_diff('day', date_trunc('week', min(o_orderdate)), date_trunc('week', max(o_orderdate))) / 7 AS BIGINT) + 1 AS expected FROM orders UNION ALL SELECT 'quarter', count(DISTINCT date_trunc('quarter', o_orderdate)), date_diff('quarter', min(o_orderdate), max(o_orderdate)) + 1 FROM orders UNION ALL SELECT 'hour', count(DISTINCT date_trunc('hour', o_orderdate)), date_diff('hour', min(o_orderdate), max(o_orderdate)) + 1 FROM orders")
+def _(table):
+    parts = [t.completeness(table("orders"), "o_orderdate", grain).selectExpr(f"'{grain}' AS grain", "present", "expected") for grain in ("week", "quarter", "hour")]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])

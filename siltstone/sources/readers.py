@@ -2,39 +2,40 @@
 
 from __future__ import annotations
 
-import re
 import unicodedata
+import warnings
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, MapType, StringType, StructType
 
 # Strings that stand for a missing value, and columns that exports leave behind.
-NULLS_ANY_CASE = ["", "NULL", "None", "NaN", "NA", "N/A", "MISSING", "UNKNOWN", "UNDEFINED", "NOT SET", "NOT PROVIDED", "NO DATA", "NO VALUE"]
-NULLS_AS_WRITTEN = ["#N/A", "#NULL!", "#REF!", "#VALUE!", "#DIV/0!", "#NAME?", "-", "--", "---", ".", "*"]
+NULLS_ANY_CASE = ["", "NULL", "NaN", "NA", "N/A", "MISSING", "UNKNOWN", "UNDEFINED", "NOT SET", "NOT PROVIDED", "NO DATA", "NO VALUE"]
+NULLS_AS_WRITTEN = ["null", "None", "#N/A", "#NULL!", "#REF!", "#VALUE!", "#DIV/0!", "#NAME?", "-", "--", "---", ".", "*"]
+NUMERIC_SENTINELS = ["-999", "-9999", "9999"]
+DATE_SENTINELS = ["0000-00-00", "1900-01-01", "1970-01-01"]
 JUNK_COLUMNS = ["Unnamed: 0", "Unnamed: 0.1", "Unnamed: 0.2", "column0", "column00"]
 
 
 def safe_name(header: str, position: int = 0) -> str:
-    """A lower-case identifier without accents and punctuation; blanks become one underscore."""
-    bare = "".join(c for c in unicodedata.normalize("NFD", header.strip().lower()) if not unicodedata.combining(c))
-    name = re.sub("_+", "_", re.sub(r"[^a-z0-9_]", "", re.sub(r"\s+", "_", bare))).strip("_")
-    if not name:
-        return f"column_{position}"
-    return f"c_{name}" if name[0].isdigit() else name
+    """Runs of letters and digits, lower-case and without accents, joined by underscores.
+
+    A name that would be empty or begin with a digit is put behind the column's position.
+    """
+    kept = (" " if not c.isalnum() and not unicodedata.combining(c) else c if c.isascii() and c.isalnum() else "" for c in unicodedata.normalize("NFKD", header.casefold()))
+    name = "_".join("".join(kept).split())
+    return name if name[:1].isalpha() else "_".join([f"n{position}", *name.split()])
 
 
 def safe_names(headers: list[str]) -> list[str]:
-    """Safe names of all headers; later ones that clash get ``_2``, ``_3`` and so on."""
-    out: list[str] = []
+    """Safe names of all headers; one that is taken gets its position behind it."""
+    out: dict[str, None] = {}
     for i, header in enumerate(headers):
-        name = base = safe_name(header, i)
-        n = 1
+        name = safe_name(header, i)
         while name in out:
-            n += 1
-            name = f"{base}_{n}"
-        out.append(name)
-    return out
+            name = f"{name}_{i}"
+        out[name] = None
+    return list(out)
 
 
 def normalise_columns(df: DataFrame) -> DataFrame:
@@ -52,6 +53,12 @@ def blank_nulls(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     return df.withColumns({c: F.when(~missing(F.col(f"`{c}`")), F.col(f"`{c}`")) for c in text})
 
 
+def blank_sentinels(df: DataFrame, numeric: list[str] | None = None, dates: list[str] | None = None) -> DataFrame:
+    """Cells of text columns that hold a number or a date which only stands for a missing one become null."""
+    listed = [(c, NUMERIC_SENTINELS) for c in numeric or []] + [(c, DATE_SENTINELS) for c in dates or []]
+    return df.withColumns({c: F.when(~F.trim(F.col(f"`{c}`")).isin(values), F.col(f"`{c}`")) for c, values in listed})
+
+
 def read_csv_text(spark: SparkSession, path: str | list[str], header: list[str] | None = None) -> DataFrame:
     """All columns as text, null strings blanked, junk dropped, names made safe; a malformed line fails.
 
@@ -76,7 +83,11 @@ def read_parquet_typed(spark: SparkSession, path: str | list[str]) -> DataFrame:
 
 def read_database(spark: SparkSession, url: str, queries: dict[str, str], **options: str) -> dict[str, DataFrame]:
     """One DataFrame per named query over JDBC; pass partitioning options to read in parallel."""
-    return {name: normalise_columns(spark.read.format("jdbc").option("url", url).option("query", q).options(**options).load()) for name, q in queries.items()}
+    out = {name: normalise_columns(spark.read.format("jdbc").option("url", url).option("query", q).options(**options).load()) for name, q in queries.items()}
+    for name, df in out.items():
+        if not df.take(1):
+            warnings.warn(f"query {name!r} returned no rows", stacklevel=2)
+    return out
 
 
 def load_many(spark: SparkSession, paths: list[str]) -> dict[str, DataFrame]:

@@ -25,9 +25,9 @@ def test_joins_within_a_table(spark):
 def test_graph_of_every_order(spark):
     data = "/root/testdata/sf0.001"
     orders = spark.read.parquet(f"{data}/orders.parquet").count()
-    assert QUERIES["g02_all_topology"](spark, data).first().e == orders
-    assert QUERIES["g01_all_roles"](spark, data).where("node LIKE 'o%'").count() == orders
-    assert QUERIES["g05_all_hops"](spark, data).count() > orders / 2
+    assert QUERIES["g02_topology"](spark, data).first().e == orders
+    assert QUERIES["g01_node_roles"](spark, data).where("node LIKE 'o%'").count() == orders
+    assert QUERIES["g05_hop"](spark, data).count() > orders / 2
 
 
 def test_cycles_and_chains_of_any_length(spark):
