@@ -75,7 +75,8 @@ def preference_pairs(chosen: DataFrame, rejected: DataFrame) -> DataFrame:
 def stale_reply(conversations: DataFrame) -> DataFrame:
     """A rejected side for every conversation: its last assistant turn answers as its first one did.
 
-    Conversations with one assistant turn get an empty answer there; others without any stay.
+    Conversations with one assistant turn get an empty answer there; others without any stay.  A null role is no
+    assistant's, a null turn comes first, a null text stays null, and a repeated last turn is answered each time.
     """
     conv = Window.partitionBy("conv_id")
     is_reply = F.col("role") == "assistant"

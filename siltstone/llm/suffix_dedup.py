@@ -10,8 +10,10 @@ common prefixes of neighbours, a stack scan that yields the common-prefix interv
 in each interval the left extensions, whose diversity tells the maximal repeats and how far
 each occurrence reaches.  All occurrences of a group are reported, not only neighbours.
 
-Groups of more than ``MOST_IN_GROUP`` different surroundings are resolved by counting the
-hashes of their windows instead, spread over the cluster, with the same result.
+Groups of more than ``MOST_IN_GROUP`` different surroundings would make one task's tree grow without
+bound, so their tree is cut across at the one depth that matters and dealt over the cluster: a window
+of ``width`` bytes that starts so many bytes before the core is a node of the tree of the suffixes from
+there, an inner node if it is counted twice.  The result is the same; a test holds one against the other.
 
 Surroundings are equal if their own and their gram's 64-bit prints are; partial overlaps are
 decided by comparing bytes (or, in the largest groups, prints).

@@ -83,3 +83,24 @@ def test_preference_pairs_match_sql(spark):
     want = con.execute(ORACLE_SQL["op10_preference_pairs"])
     columns = [d[0] for d in want.description]
     assert sorted(map(tuple, got.select(*columns).collect())) == sorted(want.fetchall())
+
+
+def test_preference_pairs_of_odd_rows(spark):
+    """Very long turns, repeated rows, null ids, and columns named like those of the operator."""
+    schema = "pair_id long, turn long, role string, text string, at int, c string, shared boolean"
+    long_ = "word " * 40_000
+    chosen = [(1, 0, "user", long_, 1, "x", True), (1, 1, "assistant", "good", 1, "x", True), (2, 0, "user", "a", 1, "x", True), (2, 0, "user", "a", 1, "x", True), (2, 1, "assistant", "b", 1, "x", True), (None, 0, "user", "n", 1, "x", True)]
+    rejected = [(1, 0, "user", long_, 1, "x", True), (1, 1, "assistant", long_, 1, "x", True), (2, 0, "user", "a", 1, "x", True), (2, 1, "assistant", "b", 1, "x", True), (None, 0, "user", "n", 1, "x", True)]
+    out = {r.pair_id: r for r in preference_chat.preference_pairs(spark.createDataFrame(chosen, schema), spark.createDataFrame(rejected, schema)).collect()}
+    assert set(out) == {1, 2}
+    start, size = map(int, out[1].rejected_mask.split(":"))
+    assert out[1].rejected[start : start + size] == long_ + "<|end|>" and out[1].prompt == f"<|user|>\n{long_}<|end|>\n"
+    assert out[2].n_shared == 1 and not out[2].tie and out[2].chosen.count("<|user|>") == 1
+    none = spark.createDataFrame([], schema)
+    assert preference_chat.preference_pairs(none, none).count() == 0
+
+
+def test_stale_reply_of_odd_rows(spark):
+    rows = [(1, 0, "user", "q"), (1, 1, "assistant", "old"), (1, 2, None, "?"), (1, 3, "assistant", "new"), (1, 3, "assistant", "new"), (2, 0, "assistant", "only"), (3, None, "user", None), (3, 0, "assistant", None)]
+    out = sorted((tuple(r) for r in preference_chat.stale_reply(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()), key=str)
+    assert out == sorted([(1, 0, "user", "q"), (1, 1, "assistant", "old"), (1, 2, None, "?"), (1, 3, "assistant", "old"), (1, 3, "assistant", "old"), (2, 0, "assistant", ""), (3, None, "user", None), (3, 0, "assistant", "")], key=str)

@@ -10,6 +10,7 @@ import zlib
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from siltstone.llm import bpe_dp, minhash_dedup, packing, quality_mcd, suffix_dedup, token_binary, toxicity_fst, wordpiece_count
@@ -72,6 +73,44 @@ def test_quality(docs, rows, none):
     assert quality_mcd.robust_outliers(none).count() == 0
 
 
+def test_determinant_is_the_least_of_all_cores(spark):
+    """Ten documents, two of them odd, as many as a core of eight can leave out: the steps end at the core of eight whose regularised determinant is least."""
+    rng = np.random.default_rng(12)
+    vocab = ["".join(rng.choice(list("aeinorst"), rng.integers(2, 9))) for _ in range(300)]
+    texts = [" ".join(rng.choice(vocab, n)) for n in (60, 75, 66, 82, 71, 64, 78, 69)] + [" ".join("ab" for _ in range(24)) + f" $$ {i}" + " # * # $ %" * 3 for i in range(2)]
+    docs = spark.createDataFrame([(i, t, "en", "s") for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string")
+    stats = quality_mcd._vector(quality_mcd.text_statistics(docs)).withColumn("base_failed", F.lit(False)).cache()
+    own = stats.orderBy("doc_id").toPandas()
+    x, n, k, core = own[quality_mcd.NAMES].to_numpy(float), 10, 5.0, 0.8
+    est = quality_mcd.Estimates(stats, core, k).est.first()
+    q = lambda v, share: np.sort(v)[max(0, int(np.ceil(share * len(v))) - 1)]
+    centre = np.array([q(c, 0.5) for c in x.T])
+    spread = np.array([((q(c, 0.75) - q(c, 0.25)) / 1.349) ** 2 for c in x.T])
+    units = np.stack([own.n_words, own.n_words, own.n_words, own.n_lines, own.n_words / 8], 1)
+    noise = (1 / (4 * np.maximum(units, 1))).mean(0)
+    lean = lambda v, onto: (n * v + k * onto) / (n + k)
+    target = lean(spread, lean(spread, np.array(list(quality_mcd.FEATURES.values())) ** 2))
+    best = {}
+    for held in itertools.combinations(range(n), 8):
+        part = x[list(held)]
+        h, off = 8, part.mean(0) - centre
+        scatter = (h * np.cov(part.T, bias=True) + k * np.diag(target) + h * k / (h + k) * np.outer(off, off)) / (h + k) + np.diag(noise)
+        best[held] = np.linalg.slogdet(scatter)[1]
+    assert abs(est.log_det - min(best.values())) < 1e-9
+
+
+def test_quality_groups_stand_alone(spark):
+    """A document is judged by its own language and source: what is usual in one is odd in the other."""
+    rng = np.random.default_rng(5)
+    text = lambda words, n: " ".join(words[i] for i in rng.integers(0, len(words), n))
+    short, long_ = ["".join(rng.choice(list("aeinorst"), 3)) for _ in range(300)], ["".join(rng.choice(list("aeinorst"), 11)) for _ in range(300)]
+    rows = [(i, text(short, 120), "en", "a") for i in range(400)] + [(400 + i, text(long_, 120), "de", "b") for i in range(400)]
+    rows += [(900, text(long_, 120), "en", "a"), (901, text(short, 120), "de", "b"), (902, text(short, 120), None, None)]
+    out = {r.doc_id: r.kept for r in quality_mcd.robust_outliers(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()}
+    assert not out[900] and not out[901] and out[902]
+    assert all(kept for i, kept in out.items() if i < 900)
+
+
 def test_quality_rejects_outliers(spark):
     rng = np.random.default_rng(1)
     vocab = ["".join(rng.choice(list("aeinorst"), rng.integers(2, 9))) for _ in range(500)]
@@ -171,6 +210,36 @@ def test_reduction_is_no_worse_than_best_fit():
         assert sum(n for _, n in plan) <= -(-sum(sizes) // 20) * 1.3 + 1
 
 
+def _fewest(sizes, capacity):
+    """The least number of bins, over all subsets."""
+    n = len(sizes)
+    best = [(0, 0)] + [(n + 1, 0)] * (2**n - 1)  # (bins, fill of the last one)
+    for held in range(2**n):
+        bins, fill = best[held]
+        for i in range(n):
+            if not held >> i & 1:
+                grown = (bins, fill + sizes[i]) if bins and fill + sizes[i] <= capacity else (bins + 1, sizes[i])
+                best[held | 1 << i] = min(best[held | 1 << i], grown)
+    return best[-1][0]
+
+
+def test_reduction_fixes_only_what_an_optimal_packing_holds():
+    rng = random.Random(9)
+    total = alone = 0
+    for _ in range(120):
+        sizes = [rng.randint(1, 20) for _ in range(rng.randint(1, 9))]
+        left = np.bincount(sizes, minlength=21)
+        alone += sum(n for _, n in packing.best_fit(left.copy(), 20))
+        fixed = packing.reduce_instance(left, 20)
+        rest = [s for s in range(21) for _ in range(left[s])]
+        least = _fewest(sizes, 20)
+        assert sum(n for _, n in fixed) + _fewest(rest, 20) == least
+        planned = sum(n for _, n in packing.plan_bins(collections.Counter(sizes), 20))
+        assert planned <= least + 1
+        total += planned
+    assert total <= alone
+
+
 def _components(rows, width=4):
     sets = {}
     for i, text, *_ in rows:
@@ -303,6 +372,16 @@ def test_grammar_accepts_what_brute_force_does():
         assert kind(clause) == _heaviest(clause), clause
 
 
+def test_clauses_of_long_and_repeated_texts(spark):
+    labels = spark.createDataFrame([], "doc_id long, toxic int")
+    once, often = "you are an idiot.", "you are an idiot. " * 3000
+    rows = [(1, once), (1, once), (2, often), (3, "the house stands. " * 20_000), (4, None), (5, ""), (None, once)]
+    out = [(r.doc_id, round(r.score, 9), r.predicted) for r in toxicity_fst.score_documents(spark.createDataFrame(rows, "doc_id long, text string"), labels).collect()]
+    score = {i: s for i, s, _ in out}
+    assert len(out) == 7 and out.count((1, score[1], 1)) == 2 and score[None] == score[1] < score[2] <= 1
+    assert score[3] == score[4] == score[5] < 0.5
+
+
 def test_composed_letters_are_one_word():
     assert [k for k, _ in toxicity_fst.clauses("du bist erba\u0308rmlich")] == ["insult_at_target"]
 
