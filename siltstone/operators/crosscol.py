@@ -109,6 +109,36 @@ def slice_effects(df: DataFrame, measure: str, dim: str, min_rows: int = 200) ->
     return groups.crossJoin(F.broadcast(base)).selectExpr(dim, "n", "mean", "try_divide(mean, base) - 1 AS effect")
 
 
+def guarded_effects(df: DataFrame, measure: str, dim: str, min_rows: int = 200, least: float = 0.05) -> DataFrame:
+    """``slice_effects``, but none at all where the baseline is under ``least`` standard deviations: a ratio to it would mean nothing."""
+    near_zero = df.agg(F.coalesce(F.abs(F.avg(measure)) < least * F.stddev_pop(measure), F.lit(True)).alias("near_zero"))
+    return slice_effects(df, measure, dim, min_rows).crossJoin(F.broadcast(near_zero)).where("NOT near_zero").drop("near_zero")
+
+
+def entity_rows(df: DataFrame, entity: str, measure: str, dim: str, key: str) -> DataFrame:
+    """One row per entity with its sum, weight and the first non-null ``dim`` by ``key``."""
+    return df.groupBy(entity).agg(F.sum(measure).alias("total"), F.count(measure).alias("weight"), F.min_by(dim, F.when(F.col(dim).isNotNull(), F.col(key))).alias("dim"))
+
+
+def home_entities(df: DataFrame, entities: list[str], dims: list[str]) -> DataFrame:
+    """``dim, home`` of each dimension: the coarsest entity within which it is constant, null if there is none.
+
+    A dimension that is one to one with an entity only renames it and is left out.
+    """
+    parts = []
+    for e in entities:
+        per = df.where(F.col(e).isNotNull()).groupBy(e).agg(*[F.count_distinct(d).alias(f"n_{d}") for d in dims], *[F.max(d).cast("string").alias(f"v_{d}") for d in dims])
+        one = per.agg(F.count("*").alias("size"), *[F.max(f"n_{d}").alias(f"n_{d}") for d in dims], *[F.count_distinct(f"v_{d}").alias(f"v_{d}") for d in dims])
+        stacked = ", ".join(f"'{d}', n_{d}, v_{d}" for d in dims)
+        parts.append(one.selectExpr(f"'{e}' AS entity", "size", f"stack({len(dims)}, {stacked}) AS (dim, most, values)"))
+    every = parts[0]
+    for p in parts[1:]:
+        every = every.unionByName(p)
+    fits = F.expr("most <= 1 AND values < size")
+    out = every.groupBy("dim").agg(F.min_by(F.when(fits, F.col("entity")), F.when(fits, F.struct("size", "entity"))).alias("home"), F.bool_or(F.expr("most <= 1 AND values = size")).alias("renames"))
+    return out.where("NOT renames").select("dim", "home")
+
+
 def null_gate(df: DataFrame, measure: str, dim: str, least: float = 0.5) -> DataFrame:
     """Slices whose measure is observed at less than ``least`` times the overall rate are dropped."""
     base = df.agg((F.count(measure) / F.count("*")).alias("base"))

@@ -15,6 +15,16 @@ def constraint(df: DataFrame, name: str, condition: str) -> DataFrame:
     return df.selectExpr(f"'{name}' AS leg", f"CASE WHEN {condition} THEN 0D ELSE 1D END AS bad").groupBy("leg").agg(F.sum("bad").alias("deviation"), F.count("*").cast("double").alias("magnitude"))
 
 
+def comparison(df: DataFrame, legs: str, left: str, right: str) -> DataFrame:
+    """``leg, deviation, magnitude`` of two columns row by row: how far they differ in all, against the size of the first."""
+    return df.groupBy(F.col(legs).alias("leg")).agg(F.expr(f"sum(abs({left} - {right}))").alias("deviation"), F.expr(f"sum(abs({left}))").alias("magnitude"))
+
+
+def aggregate_check(df: DataFrame, name: str, aggregate: str, expected: float) -> DataFrame:
+    """``leg, deviation, magnitude`` of one aggregate against what it should be."""
+    return df.agg(F.expr(aggregate).cast("double").alias("x")).selectExpr(f"'{name}' AS leg", f"x - {expected}D AS deviation", f"abs({expected}D) AS magnitude")
+
+
 def verdict(rows: DataFrame, tolerance: float = 0.01) -> DataFrame:
     """The worst leg decides; no rows, or a deviation that is no finite number, is an error."""
     usable = "deviation IS NOT NULL AND NOT isnan(deviation) AND abs(deviation) < double('infinity')"
@@ -32,6 +42,11 @@ def severity(rows: DataFrame) -> DataFrame:
     return rows.selectExpr("leg", "least(1D, try_divide(abs(deviation), magnitude)) AS score")
 
 
+def graded_severity(checks: DataFrame, tolerance: float = 0.01) -> DataFrame:
+    """``leg, score`` of ``leg, deviation, magnitude, critical``: a critical check that fails counts in full."""
+    return checks.selectExpr("leg", f"CASE WHEN critical AND abs(deviation) > {tolerance} THEN 1D ELSE least(1D, coalesce(try_divide(abs(deviation), magnitude), 0D)) END AS score")
+
+
 def kl_surprise(shares: DataFrame) -> DataFrame:
     """1 - 2^-KL of observed ``p`` against reference ``q``."""
     return shares.agg(F.sum(F.expr("CASE WHEN p > 0 THEN p * log2(p / q) ELSE 0 END")).alias("kl")).selectExpr("kl", "1 - pow(2D, -kl) AS score")
@@ -57,6 +72,39 @@ def readiness(losses: DataFrame) -> DataFrame:
     return losses.groupBy("target").agg(F.max("risk").alias("risk"), F.max_by("intent", F.struct("risk", "intent")).alias("worst_intent")).selectExpr("*", "CASE WHEN risk >= 0.6 THEN 'blocked' WHEN risk >= 0.3 THEN 'investigate' ELSE 'ready' END AS band")
 
 
+def readiness_report(scores: DataFrame, weights: DataFrame, expected: DataFrame) -> DataFrame:
+    """Each target's worst intent, its drivers by impact, how much of what was expected is measured, and scores outside all loss tables.
+
+    scores: ``target, dimension, score``.  weights: ``dimension, intent, weight``.  expected: ``target, dimension``.
+    """
+    losses = expected_loss(scores.join(weights.select("dimension").distinct(), "dimension", "left_semi"), weights)
+    worst = readiness(losses)
+    impact = scores.join(F.broadcast(weights), "dimension").groupBy("target", "dimension").agg(F.max(F.expr("weight * score")).alias("impact"))
+    level = "CASE WHEN impact >= 0.6 THEN 'high' WHEN impact >= 0.3 THEN 'medium' ELSE 'low' END"
+    drivers = impact.groupBy("target").agg(F.sort_array(F.collect_list(F.struct((-F.col("impact")).alias("k"), F.concat_ws(":", "dimension", F.expr(level)).alias("d")))).alias("all")).select("target", F.array_join("all.d", ",").alias("drivers"))
+    seen = expected.join(scores.select("target", "dimension", F.lit(1).alias("hit")), ["target", "dimension"], "left").groupBy("target").agg(F.count("hit").alias("hits"), F.count("*").alias("wanted"))
+    coverage = seen.selectExpr("target", "CASE WHEN hits = 0 THEN 'unmeasured' WHEN hits < wanted THEN 'partial' ELSE 'measured' END AS coverage")
+    direct = scores.join(weights.select("dimension").distinct(), "dimension", "left_anti").groupBy("target").agg(F.max("score").alias("direct"))
+    return coverage.join(worst, "target", "left").join(drivers, "target", "left").join(direct, "target", "left").select("target", "risk", "worst_intent", "band", "drivers", "coverage", "direct")
+
+
+def evaluate_contracts(scores: DataFrame, contracts: DataFrame, margin: float = 0.2) -> DataFrame:
+    """``contract, mean, blocking, warnings, compliance, colour, strictest`` over ``column, dimension, score``.
+
+    contracts: ``contract, dimension, threshold, overall``.  A dimension's mean blocks beyond its threshold by twice the
+    margin and warns from a margin below it; the mean of all may not pass ``overall``.  Compliance is the share of columns
+    of which no dimension blocks.  The strictest contract that passes has the least sum of thresholds.
+    """
+    per_column = scores.groupBy("column", "dimension").agg(F.avg("score").alias("score")).join(F.broadcast(contracts), "dimension")
+    state = lambda x: f"CASE WHEN {x} > threshold * {1 + 2 * margin}D THEN 'blocking' WHEN {x} > threshold * {1 - margin}D THEN 'warning' ELSE 'ok' END"
+    columns = per_column.groupBy("contract", "column").agg(F.bool_or(F.expr(f"{state('score')} = 'blocking'")).alias("bad")).groupBy("contract").agg(F.avg(F.expr("CASE WHEN bad THEN 0D ELSE 1D END")).alias("compliance"))
+    means = per_column.groupBy("contract", "dimension", "threshold", "overall").agg(F.avg("score").alias("mean")).withColumn("state", F.expr(state("mean")))
+    sums = means.groupBy("contract").agg(F.avg("mean").alias("mean"), F.count_if(F.col("state") == "blocking").alias("blocking"), F.count_if(F.col("state") == "warning").alias("warnings"), F.max("overall").alias("overall"), F.sum("threshold").alias("width"))
+    out = sums.join(columns, "contract").withColumn("colour", F.expr("CASE WHEN blocking > 0 OR mean > overall THEN 'red' WHEN compliance < 1 THEN 'orange' WHEN warnings > 0 THEN 'yellow' ELSE 'green' END"))
+    passing = out.where("colour <> 'red'").agg(F.min_by("contract", F.struct("width", "contract")).alias("best"))
+    return out.crossJoin(F.broadcast(passing)).select("contract", "mean", "blocking", "warnings", "compliance", "colour", F.coalesce(F.col("contract") == F.col("best"), F.lit(False)).alias("strictest"))
+
+
 def contract(scores: DataFrame, thresholds: DataFrame, margin: float = 0.2) -> DataFrame:
     """Mean score per dimension against its threshold."""
     means = scores.groupBy("dimension").agg(F.avg("score").alias("mean"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from siltstone.operators import crosscol as x
 from siltstone.operators import drivers as d
 from siltstone.operators import evidence as e
 from siltstone.operators import hierarchies as h
@@ -168,3 +169,26 @@ def _(table):
     refs = table("lineitem").join(table("supplier"), F.col("l_suppkey") == F.col("s_suppkey")).join(table("nation"), F.col("s_nationkey") == F.col("n_nationkey")).select(F.col("l_returnflag").alias("fact"), F.col("n_name").alias("dimension"), F.col("l_linestatus").alias("role"))
     slices = table("customer").join(table("nation"), F.col("c_nationkey") == F.col("n_nationkey")).select(F.col("n_name").alias("dimension"), F.concat(F.lit("segment_"), "c_mktsegment").alias("column"))
     return h.propagate_slices(slices.distinct(), refs.distinct())
+
+
+@query("d06_guarded_effects", "SELECT o_orderpriority, count(*) AS n, round(avg(o_totalprice), 4) AS mean, round(avg(o_totalprice) / (SELECT avg(o_totalprice) FROM orders) - 1, 4) AS effect FROM orders WHERE (SELECT abs(avg(o_totalprice)) >= 0.05 * stddev_pop(o_totalprice) FROM orders) GROUP BY 1 HAVING count(*) >= 200")
+def _(table):
+    return rounded(x.guarded_effects(table("orders"), "o_totalprice", "o_orderpriority"), 4)
+
+
+@query("d10_entity_rows", "SELECT o_custkey, round(sum(o_totalprice), 4) AS total, count(o_totalprice) AS weight, arg_min(o_orderpriority, o_orderkey) FILTER (WHERE o_orderstatus = 'F') AS dim FROM orders GROUP BY 1")
+def _(table):
+    rows = table("orders").withColumn("dim", F.expr("CASE WHEN o_orderstatus = 'F' THEN o_orderpriority END"))
+    return rounded(x.entity_rows(rows, "o_custkey", "o_totalprice", "dim", "o_orderkey"), 4)
+
+
+_WIDE = "(SELECT * FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey)"
+_FIT = "SELECT '{d}' AS dim, '{e}' AS entity, count(*) AS size, max(n) AS most, count(DISTINCT v) AS distinct_values FROM (SELECT {e}, count(DISTINCT {d}) AS n, max({d}) AS v FROM " + _WIDE + " GROUP BY 1)"
+_FITS = " UNION ALL ".join(_FIT.format(d=dim, e=entity) for dim in ("c_mktsegment", "n_name", "o_orderpriority", "c_name") for entity in ("o_orderkey", "o_custkey"))
+
+
+@query("d11_home_entities", f"SELECT dim, arg_min(entity, size) FILTER (WHERE most <= 1 AND distinct_values < size) AS home FROM ({_FITS}) GROUP BY 1 HAVING NOT bool_or(most <= 1 AND distinct_values = size)")
+def _(table):
+    rows = table("orders").join(table("customer"), F.col("o_custkey") == F.col("c_custkey")).join(table("nation"), F.col("c_nationkey") == F.col("n_nationkey"))
+    # A customer's name only renames the customer.
+    return x.home_entities(rows, ["o_orderkey", "o_custkey"], ["c_mktsegment", "n_name", "o_orderpriority", "c_name"])

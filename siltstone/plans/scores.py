@@ -95,3 +95,48 @@ def _(table):
     old = table("nation").select("n_nationkey", "n_name")
     new = table("nation").where("n_regionkey = 1").selectExpr("n_nationkey", "concat(upper(n_name), '!') AS n_name")
     return v.upsert(old, new, ["n_nationkey"])
+
+
+@query("v02_comparison", "SELECT l_returnflag AS leg, round(sum(abs(l_extendedprice - l_extendedprice * (1 - l_discount))), 2) AS deviation, round(sum(abs(l_extendedprice)), 2) AS magnitude FROM lineitem GROUP BY 1")
+def _(table):
+    return rounded(v.comparison(table("lineitem").withColumn("net", F.expr("l_extendedprice * (1 - l_discount)")), "l_returnflag", "l_extendedprice", "net"), 2)
+
+
+@query("v02_aggregate", "SELECT 'orders' AS leg, count(*)::DOUBLE - 1500 AS deviation, 1500.0::DOUBLE AS magnitude FROM orders")
+def _(table):
+    return v.aggregate_check(table("orders"), "orders", "count(*)", 1500)
+
+
+@query("v04_graded_severity", f"SELECT leg, round(CASE WHEN leg = 'F' AND abs(deviation) > 0.01 THEN 1 ELSE least(1, abs(deviation) / magnitude) END, 6) AS score FROM ({_BAL})")
+def _(table):
+    return rounded(v.graded_severity(_balance(table).withColumn("critical", F.col("leg") == "F")))
+
+
+_EXPECTED = "(SELECT DISTINCT c_mktsegment AS target, d AS dimension FROM customer, (VALUES ('nulls'), ('outliers'), ('age')) x(d) WHERE c_mktsegment <> 'BUILDING' OR d <> 'age')"
+_DIRECT = f"(SELECT * FROM {_SC} UNION ALL SELECT c_mktsegment, 'spread', avg(CASE WHEN c_acctbal > 9000 THEN 1.0 ELSE 0 END) FROM customer GROUP BY 1)"
+
+
+@query("v17_readiness_report", f"WITH s AS {_DIRECT}, w AS (SELECT * FROM {_W}), l AS ({_LOSS}), r AS (SELECT target, max(risk) AS risk, arg_max(intent, risk) AS worst_intent FROM l GROUP BY 1), i AS (SELECT target, dimension, max(weight * score) AS impact FROM s JOIN w USING (dimension) GROUP BY 1, 2), d AS (SELECT target, string_agg(dimension || ':' || CASE WHEN impact >= 0.6 THEN 'high' WHEN impact >= 0.3 THEN 'medium' ELSE 'low' END, ',' ORDER BY impact DESC) AS drivers FROM i GROUP BY 1), e AS (SELECT target, CASE WHEN count(score) = 0 THEN 'unmeasured' WHEN count(score) < count(*) THEN 'partial' ELSE 'measured' END AS coverage FROM {_EXPECTED} LEFT JOIN s USING (target, dimension) GROUP BY 1), x AS (SELECT target, max(score) AS direct FROM s WHERE dimension NOT IN (SELECT dimension FROM w) GROUP BY 1) SELECT target, round(risk, 6) AS risk, worst_intent, {_BAND}, drivers, coverage, round(direct, 6) AS direct FROM e JOIN r USING (target) JOIN d USING (target) LEFT JOIN x USING (target)")
+def _(table):
+    c = table("customer")
+    scores = _scores(table).unionByName(c.groupBy(F.col("c_mktsegment").alias("target")).agg(F.lit("spread").alias("dimension"), F.expr("avg(CASE WHEN c_acctbal > 9000 THEN 1D ELSE 0D END)").alias("score")))
+    weights = scores.sparkSession.createDataFrame([("nulls", "query", 0.5), ("nulls", "reporting", 1.0), ("outliers", "query", 0.9), ("outliers", "reporting", 0.2)], "dimension string, intent string, weight double")
+    expected = c.select(F.col("c_mktsegment").alias("target")).distinct().select("target", F.explode(F.array(*map(F.lit, ("nulls", "outliers", "age")))).alias("dimension")).where("target <> 'BUILDING' OR dimension <> 'age'")
+    return rounded(v.readiness_report(scores, weights, expected))
+
+
+_CONTRACTS = "(VALUES ('strict', 'nulls', 0.05, 0.2), ('strict', 'outliers', 0.1, 0.2), ('usual', 'nulls', 0.12, 0.5), ('usual', 'outliers', 0.6, 0.5), ('lax', 'nulls', 0.5, 0.9), ('lax', 'outliers', 0.9, 0.9)) k(contract, dimension, threshold, overall)"
+_COLOURS = f"WITH c AS (SELECT target AS col, dimension, score::DOUBLE AS score, contract, threshold::DOUBLE AS threshold, overall::DOUBLE AS overall FROM {_SC} JOIN {_CONTRACTS} USING (dimension)), b AS (SELECT contract, avg(CASE WHEN bad THEN 0 ELSE 1 END) AS compliance FROM (SELECT contract, col, bool_or(score > threshold * 1.4) AS bad FROM c GROUP BY 1, 2) GROUP BY 1), m AS (SELECT contract, dimension, threshold, overall, avg(score) AS mean FROM c GROUP BY 1, 2, 3, 4), s AS (SELECT contract, avg(mean) AS mean, count(*) FILTER (WHERE mean > threshold * 1.4) AS blocking, count(*) FILTER (WHERE mean > threshold * 0.8 AND mean <= threshold * 1.4) AS warnings, max(overall) AS overall, sum(threshold) AS width FROM m GROUP BY 1), o AS (SELECT *, CASE WHEN blocking > 0 OR mean > overall THEN 'red' WHEN compliance < 1 THEN 'orange' WHEN warnings > 0 THEN 'yellow' ELSE 'green' END AS colour FROM s JOIN b USING (contract))"
+
+
+@query("v18_contracts", f"{_COLOURS} SELECT contract, round(mean, 6) AS mean, blocking, warnings, round(compliance, 6) AS compliance, colour, coalesce(contract = (SELECT arg_min(contract, width) FROM o WHERE colour <> 'red'), false) AS strictest FROM o")
+def _(table):
+    scores = _scores(table).withColumnRenamed("target", "column")
+    contracts = scores.sparkSession.createDataFrame([("strict", "nulls", 0.05, 0.2), ("strict", "outliers", 0.1, 0.2), ("usual", "nulls", 0.12, 0.5), ("usual", "outliers", 0.6, 0.5), ("lax", "nulls", 0.5, 0.9), ("lax", "outliers", 0.9, 0.9)], "contract string, dimension string, threshold double, overall double")
+    return rounded(v.evaluate_contracts(scores, contracts))
+
+
+@query("v19_current_runs", "SELECT o_orderkey AS target, o_custkey AS run_id FROM orders WHERE o_custkey % 2 = 0")
+def _(table):
+    heads = table("orders").where("o_custkey % 2 = 0").select(F.col("o_orderkey").alias("target"), F.col("o_custkey").alias("run_id"))
+    return v.current_runs(table("orders").select(F.col("o_orderkey").alias("target"), F.col("o_custkey").alias("run_id")), heads)
