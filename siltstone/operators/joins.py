@@ -139,6 +139,37 @@ def composite_key(left: DataFrame, right: DataFrame, first: tuple[str, str], mor
     return chosen, now["cardinality"]
 
 
+def composite_coverage(left: DataFrame, right: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:
+    """Rows of ``left`` with all key columns present, those with a partner on all ``pairs``, and their share."""
+    keys = right.select(*[F.col(b).alias(f"k{i}") for i, (_, b) in enumerate(pairs)]).dropna().distinct().withColumn("hit", F.lit(True))
+    asked = left.dropna(subset=[a for a, _ in pairs]).groupBy(*[F.col(a).alias(f"k{i}") for i, (a, _) in enumerate(pairs)]).agg(F.count("*").alias("n"))
+    found = asked.join(keys, [f"k{i}" for i in range(len(pairs))], "left")
+    return found.agg(F.sum("n").alias("total"), F.coalesce(F.sum(F.when(F.col("hit"), F.col("n"))), F.lit(0)).alias("covered")).selectExpr("total", "covered", "try_divide(covered, total) AS coverage")
+
+
+def mint_both(left: DataFrame, right: DataFrame, pairs: list[tuple[str, str]]) -> tuple[DataFrame, DataFrame]:
+    """Both sides of a composite join with one surrogate key, named after the left columns."""
+    name = "_sk__" + "__".join(a for a, _ in pairs)
+    mint = lambda df, keys: df.withColumn(name, F.md5(reduce(lambda a, b: F.concat(a, F.lit("|"), b), [F.col(k).cast("string") for k in keys])))
+    return mint(left, [a for a, _ in pairs]), mint(right, [b for _, b in pairs])
+
+
+def grain_safe(fact: DataFrame, dims: dict[str, tuple[DataFrame, str]]) -> DataFrame:
+    """``fk, repeated, kept`` per dimension: how many of the fact's rows a join would repeat; such a dimension is not kept."""
+    parts = []
+    for fk, (dim, key) in dims.items():
+        rows = repeated_keys(fact, dim, fk, key).agg(F.coalesce(F.sum("fact_rows"), F.lit(0)).alias("repeated"))
+        parts.append(rows.select(F.lit(fk).alias("fk"), "repeated", (F.col("repeated") == 0).alias("kept")))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def resolved_paths(pairs: DataFrame, confirmed: DataFrame) -> DataFrame:
+    """``ambiguous_paths`` with how many of them are ``confirmed``; one alone resolves the choice."""
+    key = lambda df: df.select(F.least("table_a", "table_b").alias("one"), F.greatest("table_a", "table_b").alias("other"), F.sort_array(F.array(F.concat_ws(".", "table_a", "column_a"), F.concat_ws(".", "table_b", "column_b"))).alias("path")).distinct()
+    sure = key(confirmed).groupBy("one", "other").agg(F.count("*").alias("confirmed"))
+    return ambiguous_paths(pairs).join(sure, ["one", "other"], "left").selectExpr("one", "other", "paths", "coalesce(confirmed, 0) AS confirmed", "coalesce(confirmed = 1, false) AS resolved")
+
+
 def enrich(fact: DataFrame, dims: dict[str, tuple[DataFrame, str]]) -> DataFrame:
     """Left joins of dimensions by fact column: ``{fk: (dimension, key)}`` gives ``fk__attribute`` columns.
 

@@ -97,6 +97,25 @@ def additivity(declared: DataFrame) -> DataFrame:
     return declared.groupBy("metric").agg(F.max(level).alias("level")).selectExpr("metric", "element_at(array('additive', 'semi_additive', 'non_additive'), level + 1) AS verdict")
 
 
+def formula_additivity(declared: DataFrame, parts: DataFrame) -> DataFrame:
+    """Per ``formula`` of ``formula, metric, operation``: as additive as its least additive part; a product or ratio never is.
+
+    ``axes`` says along what it may be added up: all axes, all but time, or none.
+    """
+    rank = F.expr("CASE verdict WHEN 'additive' THEN 0 WHEN 'semi_additive' THEN 1 ELSE 2 END")
+    least = parts.join(additivity(declared).select("metric", rank.alias("level")), "metric", "left").groupBy("formula").agg(F.max(F.expr("CASE WHEN operation IN ('*', '/') OR level IS NULL THEN 2 ELSE level END")).alias("level"))
+    return least.selectExpr("formula", "element_at(array('additive', 'semi_additive', 'non_additive'), level + 1) AS verdict", "element_at(array('all', 'all but time', 'none'), level + 1) AS axes")
+
+
+def bucket_start(ts: str, size: int, unit: str) -> str:
+    """Start of the bucket of ``size`` units: hours and days from 1 January, weeks from Monday 3 January, months to years from January 2000."""
+    if unit in ("month", "quarter", "year"):
+        return month_bucket(ts, size * {"month": 1, "quarter": 3, "year": 12}[unit])
+    origin, seconds = ("2000-01-03" if unit == "week" else "2000-01-01"), size * {"hour": 3600, "day": 86400, "week": 604800}[unit]
+    n = f"timestampdiff(SECOND, timestamp_ntz'{origin} 00:00:00', cast({ts} AS timestamp_ntz))"
+    return f"timestampadd(SECOND, {n} - pmod({n}, {seconds}), timestamp_ntz'{origin} 00:00:00')"
+
+
 def drill(df: DataFrame, dims: list[str], measures: list[str], pins: dict[str, str | None] | None = None) -> DataFrame:
     """Rows and sums by dimensions; a pin of None keeps nulls."""
     for c, v in (pins or {}).items():

@@ -155,6 +155,13 @@ def quality_issues(outliers: DataFrame) -> DataFrame:
     return outliers.selectExpr("column", "ratio", "CASE WHEN ratio >= 0.1 THEN 'critical' WHEN ratio > 0.05 THEN 'warning' END AS severity").where("severity IS NOT NULL")
 
 
+def all_issues(df: DataFrame, columns: list[str]) -> DataFrame:
+    """``column, issue, value, severity``: outlier shares over 5 % (critical from 10 %), and first digits off Benford's law, with its p-value."""
+    out = quality_issues(iqr_outliers(df, columns)).selectExpr("column", "'outliers' AS issue", "ratio AS value", "severity")
+    digits = benford(df, columns).where("verdict = 'violating'").select("column", F.lit("benford").alias("issue"), chi2_tail_8("chi2").alias("value"), F.lit("warning").alias("severity"))
+    return out.unionByName(digits)
+
+
 def eligibility(counts: DataFrame, max_null: float = 0.95, near_constant: float = 0.0001) -> DataFrame:
     """First matching rule over ``basic_counts``."""
     return counts.selectExpr(

@@ -145,3 +145,27 @@ def _(table):
     a, b = table("orders").select(F.col("o_custkey").alias("k")).distinct(), table("customer").select(F.col("c_custkey").alias("k")).distinct()
     exact = a.join(b, "k").agg(F.count("*").alias("shared")).crossJoin(F.broadcast(a.union(b).distinct().agg(F.count("*").alias("every"))))
     return found.crossJoin(F.broadcast(exact)).select((F.abs(F.col("jaccard") - F.col("shared") / F.col("every")) <= 4 * 0.5 / 128**0.5).alias("close"))
+
+
+@query("j12_composite_coverage", "SELECT count(*) AS total, count(*) FILTER (WHERE hit) AS covered, round(count(*) FILTER (WHERE hit) / count(*), 6) AS coverage FROM (SELECT (l_suppkey, l_linenumber) IN (SELECT (l_suppkey, l_linenumber) FROM lineitem WHERE l_returnflag = 'N' AND l_quantity > 45) AS hit FROM lineitem WHERE l_suppkey IS NOT NULL AND l_linenumber IS NOT NULL)")
+def _(table):
+    right = table("lineitem").where("l_returnflag = 'N' AND l_quantity > 45").select(F.col("l_suppkey").alias("s"), F.col("l_linenumber").alias("n"))
+    return rounded(j.composite_coverage(table("lineitem"), right, [("l_suppkey", "s"), ("l_linenumber", "n")]))
+
+
+@query("j13_mint_both", "SELECT a.l_orderkey, a.l_linenumber, b.l_quantity FROM lineitem a JOIN lineitem b ON md5(a.l_orderkey || '|' || a.l_linenumber) = md5(b.l_orderkey || '|' || b.l_linenumber) WHERE b.l_returnflag = 'R'")
+def _(table):
+    right = table("lineitem").where("l_returnflag = 'R'").selectExpr("l_orderkey AS o", "l_linenumber AS n", "l_quantity")
+    left, right = j.mint_both(table("lineitem").select("l_orderkey", "l_linenumber"), right, [("l_orderkey", "o"), ("l_linenumber", "n")])
+    return rounded(left.join(right, "_sk__l_orderkey__l_linenumber").select("l_orderkey", "l_linenumber", "l_quantity"))
+
+
+@query("j15_grain_safe", "SELECT 'c_custkey' AS fk, count(*) AS repeated, count(*) = 0 AS kept FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders GROUP BY 1 HAVING count(*) > 1) UNION ALL SELECT 'c_nationkey', count(*), count(*) = 0 FROM customer WHERE c_nationkey IN (SELECT n_nationkey FROM nation GROUP BY 1 HAVING count(*) > 1)")
+def _(table):
+    return j.grain_safe(table("customer"), {"c_custkey": (table("orders"), "o_custkey"), "c_nationkey": (table("nation"), "n_nationkey")})
+
+
+@query("j20_resolved_paths", f"SELECT one, other, paths, coalesce(confirmed, 0) AS confirmed, coalesce(confirmed = 1, false) AS resolved FROM (SELECT least(table_a, table_b) AS one, greatest(table_a, table_b) AS other, count(DISTINCT (column_a, column_b)) AS paths FROM ({_J5}) GROUP BY 1, 2 HAVING count(DISTINCT (column_a, column_b)) > 1) LEFT JOIN (SELECT least(table_a, table_b) AS one, greatest(table_a, table_b) AS other, count(*) AS confirmed FROM ({_J5}) WHERE column_a LIKE '%nationkey' AND column_b LIKE '%nationkey' GROUP BY 1, 2) USING (one, other)")
+def _(table):
+    found = j.find_joins(_keys(table))
+    return j.resolved_paths(found, found.where("column_a LIKE '%nationkey' AND column_b LIKE '%nationkey'"))

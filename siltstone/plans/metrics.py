@@ -147,3 +147,22 @@ def _(table):
 def _(table):
     made = table("part").groupBy(F.col("p_brand").alias("concept"), F.col("p_type").alias("computation")).agg(F.expr("CASE WHEN avg(p_size) > 20 THEN 'healthy' ELSE 'doubtful' END").alias("health"))
     return m.must_reconcile(made, table("part").where("p_size > 45").select(F.col("p_brand").alias("concept")))
+
+
+@query("m09_formula_additivity", "SELECT p_brand AS formula, CASE max(l) WHEN 0 THEN 'additive' WHEN 1 THEN 'semi_additive' ELSE 'non_additive' END AS verdict, CASE max(l) WHEN 0 THEN 'all' WHEN 1 THEN 'all but time' ELSE 'none' END AS axes FROM (SELECT p_brand, CASE WHEN p_size > 48 THEN 2 WHEN p_type LIKE '%ECONOMY%' THEN 1 ELSE 0 END AS l FROM part) GROUP BY 1")
+def _(table):
+    parts = table("part").selectExpr("p_brand AS formula", "p_type AS metric", "CASE WHEN p_size > 48 THEN '/' ELSE '+' END AS operation")
+    declared = table("part").selectExpr("p_type AS metric", "'sum' AS aggregate", "CASE WHEN p_type LIKE '%ECONOMY%' THEN 'stock' ELSE 'flow' END AS behaviour").distinct()
+    return m.formula_additivity(declared, parts)
+
+
+_BUCKETS = [(6, "hour", "2000-01-01"), (10, "day", "2000-01-01"), (3, "week", "2000-01-03"), (2, "quarter", "2000-01-01"), (2, "year", "2000-01-01")]
+
+
+@query("m12_buckets", " UNION ALL ".join(f"SELECT '{n} {u}' AS size, time_bucket(INTERVAL '{n * (3 if u == 'quarter' else 1)} {'months' if u == 'quarter' else u + 's'}', ts::TIMESTAMP, TIMESTAMP '{o} 00:00:00')::TIMESTAMP AS bucket, count(*) AS rows FROM events GROUP BY 2" for n, u, o in _BUCKETS))
+def _(table):
+    out = None
+    for n, unit, _ in _BUCKETS:
+        one = table("events").groupBy(F.expr(f"cast({m.bucket_start('ts', n, unit)} AS timestamp_ntz)").alias("bucket")).agg(F.count("*").alias("rows")).select(F.lit(f"{n} {unit}").alias("size"), "bucket", "rows")
+        out = one if out is None else out.unionByName(one)
+    return out

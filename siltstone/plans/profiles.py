@@ -206,3 +206,12 @@ def _(table):
 def _(table):
     parts = [t.completeness(table("orders"), "o_orderdate", grain).selectExpr(f"'{grain}' AS grain", "present", "expected") for grain in ("week", "quarter", "hour")]
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+_TAIL = "exp(-chi2 / 2) * (1 + chi2 / 2 + pow(chi2 / 2, 2) / 2 + pow(chi2 / 2, 3) / 6)"
+_BENFORD_P = _BENFORD.replace("round(chi2, 4) AS chi2", "chi2")
+
+
+@query("p13_all_issues", " UNION ALL ".join(f"SELECT * FROM (SELECT '{c}' AS \"column\", 'outliers' AS issue, round(count(*) FILTER (WHERE {c} < a - 1.5 * (b - a) OR {c} > b + 1.5 * (b - a)) / count(*), 6) AS value, CASE WHEN count(*) FILTER (WHERE {c} < a - 1.5 * (b - a) OR {c} > b + 1.5 * (b - a)) / count(*) >= 0.1 THEN 'critical' ELSE 'warning' END AS severity FROM orders, (SELECT quantile_cont({c}, 0.25) AS a, quantile_cont({c}, 0.75) AS b FROM orders)) WHERE value > 0.05 UNION ALL SELECT \"column\", 'benford', round({_TAIL}, 6), 'warning' FROM ({_BENFORD_P.replace('{c}', c).replace('{t}', 'orders')}) WHERE verdict = 'violating'" for c in ("o_totalprice", "o_custkey")))
+def _(table):
+    return rounded(p.all_issues(table("orders"), ["o_totalprice", "o_custkey"]))
