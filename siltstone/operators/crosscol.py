@@ -64,6 +64,20 @@ def mutual_information(df: DataFrame, a: str, b: str) -> DataFrame:
     return parts.selectExpr("h_a", "h_b", "h_a + h_b - h_ab AS mi", "try_divide(h_a + h_b - h_ab, least(h_a, h_b)) AS nmi", "try_divide(h_a + h_b - h_ab, h_b) AS fraction_of_information")
 
 
+def most_informative(df: DataFrame, target: str, columns: list[str], top: int = 5) -> DataFrame:
+    """The ``top`` columns by the share of ``target``'s information that they hold, and whether it is more than nothing."""
+    parts = [mutual_information(df, c, target).select(F.lit(c).alias("column"), "mi", "nmi", "fraction_of_information") for c in columns]
+    every = parts[0]
+    for p in parts[1:]:
+        every = every.unionByName(p)
+    return every.withColumn("informs", F.coalesce(F.col("mi") > 1e-9, F.lit(False))).orderBy(F.desc_nulls_last("fraction_of_information"), "column").limit(top)
+
+
+def coverage_score(df: DataFrame, columns: list[str]) -> DataFrame:
+    """How complete the columns of a dimension are, on average and at worst, over the rows of a view."""
+    return null_share(df, columns).agg(F.avg(1 - F.col("null_share")).alias("mean_coverage"), F.min(1 - F.col("null_share")).alias("least_coverage"))
+
+
 def null_share(df: DataFrame, columns: list[str]) -> DataFrame:
     stacked = ", ".join(f"'{c}', c{i}" for i, c in enumerate(columns))
     return df.selectExpr(*[f"avg(CASE WHEN {c} IS NULL THEN 1D ELSE 0D END) AS c{i}" for i, c in enumerate(columns)]).selectExpr(f"stack({len(columns)}, {stacked}) AS (column, null_share)")

@@ -52,6 +52,15 @@ def null_by_slice(df: DataFrame, column: str, slices: list[str], least_expected:
     return totals.selectExpr("slice", f"CASE WHEN {usable} THEN {v} END AS v")
 
 
+def worst_slices(df: DataFrame, column: str, slices: list[str], top: int = 5, least_expected: float = 5.0) -> DataFrame:
+    """The ``top`` slice columns by ``null_by_slice``, each with the slice that misses the largest share of values."""
+    long = df.select(F.col(column).isNull().cast("long").alias("gone"), F.explode(F.array(*[F.struct(F.lit(s).alias("slice"), F.col(s).cast("string").alias("value")) for s in slices])).alias("x"))
+    shares = long.groupBy("x.slice", "x.value").agg(F.avg("gone").alias("share"), F.count("*").alias("n"))
+    worst = shares.groupBy("slice").agg(F.max_by(F.struct("value", "share", "n"), F.struct("share", "n", "value")).alias("w")).select("slice", "w.*")
+    ranked = null_by_slice(df, column, slices, least_expected).where("v IS NOT NULL").orderBy(F.desc("v"), "slice").limit(top)
+    return ranked.join(worst, "slice").select("slice", "v", "value", "share", "n")
+
+
 def cycle_health(cycles: DataFrame) -> DataFrame:
     """Composite of ``cycle, completion, passed, run, confidence``.
 

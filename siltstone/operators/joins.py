@@ -209,6 +209,13 @@ def override_relationships(found: DataFrame, rejected: DataFrame, added: DataFra
     return out.unionByName(new, allowMissingColumns=True).drop("k")
 
 
+def measured_additions(tables: dict[str, DataFrame], added: list[tuple[str, str]]) -> DataFrame:
+    """``a, b`` joins that a user adds, as ``table.column``, each measured both ways like a found one."""
+    split = [(*a.split(".", 1), *b.split(".", 1)) for a, b in added]
+    out = evaluate_candidates(tables, split)
+    return out.select(F.concat_ws(".", "table_a", "column_a").alias("a"), F.concat_ws(".", "table_b", "column_b").alias("b"), "integrity_pct", "back_integrity_pct", "cardinality")
+
+
 def ambiguous_paths(pairs: DataFrame) -> DataFrame:
     """Table pairs that more than one column pair joins."""
     return pairs.groupBy(F.least("table_a", "table_b").alias("one"), F.greatest("table_a", "table_b").alias("other")).agg(F.count_distinct(F.struct("column_a", "column_b")).alias("paths")).where("paths > 1")

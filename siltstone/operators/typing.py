@@ -96,9 +96,10 @@ def _failed(decisions: dict[str, str]) -> dict[str, str]:
     return {c: f"(`{c}` IS NOT NULL AND {e} IS NULL)" for c, e in _parse(decisions).items()}
 
 
-def build_quarantine(raw: DataFrame, decisions: dict[str, str]) -> DataFrame:
-    """Raw rows with any value that fails its cast."""
-    return raw.where(" OR ".join(_failed(decisions).values()))
+def build_quarantine(raw: DataFrame, decisions: dict[str, str], at: str | None = None) -> DataFrame:
+    """Raw rows with any value that fails its cast; with ``at``, a time, as ``quarantined_at``."""
+    out = raw.where(" OR ".join(_failed(decisions).values()))
+    return out if at is None else out.withColumn("quarantined_at", F.expr(f"timestamp_ntz'{at}'"))
 
 
 def cast_report(raw: DataFrame, decisions: dict[str, str]) -> DataFrame:

@@ -242,3 +242,15 @@ def _(table):
 def _(table):
     rows, more = r.preview(table("orders").orderBy("o_orderkey").select("o_orderkey"), 50)
     return rows.withColumn("more", F.lit(more))
+
+
+def _worst_sql(s):
+    return f"SELECT '{s}' AS slice, CAST(arg_max({s}, (share, n, CAST({s} AS VARCHAR))) AS VARCHAR) AS value, max(share) AS share, arg_max(n, (share, n, CAST({s} AS VARCHAR))) AS n FROM (SELECT {s}, count(*) AS n, 1 - count(tax) / count(*) AS share FROM {_GAPPY} GROUP BY 1)"
+
+
+_SLICES = ("l_returnflag", "l_linestatus", "l_linenumber")
+
+
+@query("a06_worst_slices", f"SELECT slice, v, value, round(share, 6) AS share, n FROM ({' UNION ALL '.join(map(_v_sql, _SLICES))}) JOIN ({' UNION ALL '.join(map(_worst_sql, _SLICES))}) USING (slice) WHERE v IS NOT NULL ORDER BY v DESC, slice LIMIT 2")
+def _(table):
+    return rounded(e.worst_slices(_gappy(table), "tax", list(_SLICES), 2))

@@ -169,3 +169,9 @@ def _(table):
 def _(table):
     found = j.find_joins(_keys(table))
     return j.resolved_paths(found, found.where("column_a LIKE '%nationkey' AND column_b LIKE '%nationkey'"))
+
+
+@query("j19_measured_additions", f"SELECT table_a || '.' || column_a AS a, table_b || '.' || column_b AS b, integrity_pct, back_integrity_pct, cardinality FROM ({_evaluated(*_EVAL[0])} UNION ALL {_evaluated(*_EVAL[2])})")
+def _(table):
+    added = [("orders.o_custkey", "customer.c_custkey"), ("lineitem.l_orderkey", "orders.o_orderkey")]
+    return rounded(j.measured_additions({n: table(n) for n in ("orders", "customer", "lineitem")}, added))

@@ -120,3 +120,19 @@ def _derived_sql(target, a, op, b, formula):
 def _(table):
     view = table("lineitem").join(table("part"), F.col("l_partkey") == F.col("p_partkey")).selectExpr("l_quantity AS qty", "round(l_quantity * p_retailprice, 2) AS listed", "l_discount", "p_retailprice AS retail", "p_size AS size")
     return rounded(x.find_derived(view, ["qty", "listed", "retail", "size"], targets=["qty", "listed"]))
+
+
+def _mi_sql(c):
+    h = lambda by: f"(SELECT log2(sum(n)) - sum(n * log2(n)) / sum(n) FROM (SELECT count(*) AS n FROM part GROUP BY {by}))"
+    return f"SELECT '{c}' AS \"column\", {h(c)} AS h_a, {h('p_type')} AS h_b, {h(f'{c}, p_type')} AS h_ab"
+
+
+@query("a07_most_informative", f"SELECT \"column\", round(h_a + h_b - h_ab, 6) AS mi, round((h_a + h_b - h_ab) / nullif(least(h_a, h_b), 0), 6) AS nmi, round((h_a + h_b - h_ab) / nullif(h_b, 0), 6) AS fraction_of_information, h_a + h_b - h_ab > 1e-9 AS informs FROM ({' UNION ALL '.join(map(_mi_sql, ('p_brand', 'p_size', 'p_name')))}) ORDER BY 4 DESC NULLS LAST, 1 LIMIT 2")
+def _(table):
+    return rounded(x.most_informative(table("part"), "p_type", ["p_brand", "p_size", "p_name"], 2))
+
+
+@query("a09_coverage_score", "SELECT round((avg(CASE WHEN c_name IS NULL THEN 0.0 ELSE 1 END) + avg(CASE WHEN c_mktsegment IS NULL THEN 0.0 ELSE 1 END)) / 2, 6) AS mean_coverage, round(least(avg(CASE WHEN c_name IS NULL THEN 0.0 ELSE 1 END), avg(CASE WHEN c_mktsegment IS NULL THEN 0.0 ELSE 1 END)), 6) AS least_coverage FROM orders LEFT JOIN customer ON o_custkey = c_custkey AND c_acctbal > 0")
+def _(table):
+    view = table("orders").join(table("customer").where("c_acctbal > 0"), F.col("o_custkey") == F.col("c_custkey"), "left")
+    return rounded(x.coverage_score(view, ["c_name", "c_mktsegment"]))

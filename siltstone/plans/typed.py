@@ -103,3 +103,8 @@ def _(table):
 def _(table):
     text = table("orders").selectExpr(*[f"{made} AS {name}" for name, (_, made, _, _) in _MADE.items()])
     return t.decide_types(t.type_candidates(text, list(_MADE))).select("column", "pattern")
+
+
+@query("t09_quarantine_at", f"SELECT id, price, TIMESTAMP '2024-05-01 12:00:00' AS quarantined_at FROM {_RAW} WHERE price IS NOT NULL AND TRY_CAST(price AS BIGINT) IS NULL")
+def _(table):
+    return t.build_quarantine(_raw(table), {"id": "integer", "price": "integer"}, "2024-05-01 12:00:00").select("id", "price", "quarantined_at")
