@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from functools import reduce
 from itertools import combinations
 
 from pyspark.sql import DataFrame, Window
@@ -21,21 +22,24 @@ def formula_match(df: DataFrame, target: str, formula: str, tolerance: float = 0
     return df.selectExpr(f"{total} AS total", f"{hits} AS matched").selectExpr("total", "matched", "try_divide(matched, total) AS rate")
 
 
-def find_derived(df: DataFrame, columns: list[str], min_rate: float = 0.8, tolerance: float = 0.01, targets: list[str] | None = None) -> DataFrame:
-    """All ``target = a op b`` over ``columns`` in one scan; the best formula per set of columns.
+def find_derived(df: DataFrame, columns: list[str], min_rate: float = 0.8, tolerance: float = 0.01, targets: list[str] | None = None, at_once: int = 12) -> DataFrame:
+    """All ``target = a op b`` over ``columns``, ``at_once`` of them per scan; the best formula per set of columns.
 
     Over a view of a fact and its dimensions, ``targets`` names the fact's columns: only those can be derived.
     """
-    names, counts = [], []
+    asked = []
     for target in targets or columns:
         for a, b in combinations([c for c in columns if c != target], 2):
             for rank, (op, shape) in enumerate(FORMULAS.items()):
                 for x, y in [(a, b), (b, a)] if op in ("difference", "ratio") else [(a, b)]:
-                    total, hits = _counters(target, shape.format(a=x, b=y), tolerance)
-                    names.append(f"'{target}', '{x}', '{op}', '{y}', {rank}")
-                    counts += [total, hits]
-    one = df.selectExpr(*[f"{c} AS c{i}" for i, c in enumerate(counts)])
-    rows = one.selectExpr("stack({}, {}) AS (target, a, op, b, op_rank, total, matched)".format(len(names), ", ".join(f"{n}, c{2 * i}, c{2 * i + 1}" for i, n in enumerate(names))))
+                    asked.append((f"'{target}', '{x}', '{op}', '{y}', {rank}", *_counters(target, shape.format(a=x, b=y), tolerance)))
+    # So many formulas fit into one compiled aggregate.
+    parts = []
+    for start in range(0, len(asked), at_once):
+        own = asked[start : start + at_once]
+        one = df.selectExpr(*[f"{x} AS c{2 * i + k}" for i, (_, *both) in enumerate(own) for k, x in enumerate(both)])
+        parts.append(one.selectExpr("stack({}, {}) AS (target, a, op, b, op_rank, total, matched)".format(len(own), ", ".join(f"{n}, c{2 * i}, c{2 * i + 1}" for i, (n, *_) in enumerate(own)))))
+    rows = reduce(DataFrame.unionByName, parts)
     rated = rows.withColumn("rate", F.expr("try_divide(matched, total)")).where(F.col("rate") >= min_rate)
     best = Window.partitionBy(F.array_sort(F.array("target", "a", "b"))).orderBy(F.desc("rate"), "op_rank", "target", "a")
     return rated.withColumn("n", F.row_number().over(best)).where("n = 1").select("target", "a", "op", "b", "rate")
