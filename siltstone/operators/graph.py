@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from siltstone.sources.scratch import stored
+
 
 def undirected(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     return edges.where(F.col(a) != F.col(b)).select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).distinct()
@@ -25,13 +25,13 @@ def connected_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """``node, component``: the smallest node reached.  Labels flow both ways and halve their paths; each round is
     written to the shared folder, so a lost executor costs one round at most."""
     e = undirected(edges)
-    both = _stored(e.union(e.select("b", "a")))
-    labels = _stored(nodes.select("node", F.col("node").alias("component")).distinct())
+    both = stored(e.union(e.select("b", "a")))
+    labels = stored(nodes.select("node", F.col("node").alias("component")).distinct())
     while True:
         near = both.join(labels.select(F.col("node").alias("b"), F.col("component").alias("c")), "b").groupBy("a").agg(F.min("c").alias("c"))
         lower = labels.join(near, labels.node == near.a, "left").select("node", F.col("component").alias("old"), F.least("component", F.coalesce("c", "component")).alias("component"))
         up = lower.select(F.col("node").alias("up"), F.col("component").alias("up_component"))
-        new = _stored(lower.join(up, F.col("component") == F.col("up"), "left").select("node", "old", F.least("component", F.coalesce("up_component", "component")).alias("component")))
+        new = stored(lower.join(up, F.col("component") == F.col("up"), "left").select("node", "old", F.least("component", F.coalesce("up_component", "component")).alias("component")))
         labels = new.select("node", "component")
         if not new.where("old <> component").take(1):
             return labels
@@ -65,19 +65,6 @@ def bounded_walk(edges: DataFrame, depth: int = 4) -> DataFrame:
     return seen.groupBy("a", "b").agg(F.min("steps").alias("steps"))
 
 
-def _stored(df: DataFrame) -> DataFrame:
-    """``df`` as Parquet below the shared checkpoint folder, read back: lineage and size estimates end there."""
-    spark = df.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local["):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        base = "file://" + tempfile.mkdtemp(prefix="siltstone-")
-    path = f"{base.rstrip('/')}/siltstone-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def strong_components(edges: DataFrame) -> DataFrame:
     """``node, grp`` of every node that lies on a cycle of two nodes or more, by the smallest node of its component.
 
@@ -85,10 +72,10 @@ def strong_components(edges: DataFrame) -> DataFrame:
     changes; labels halve their paths where they can, else a round is one step.  Where both agree the component is settled, and only edges
     between nodes of equal labels are looked at again.
     """
-    left = _stored(edges.where("a <> b").select("a", "b").distinct())
+    left = stored(edges.where("a <> b").select("a", "b").distinct())
     parts = []
     while left.take(1):
-        state = _stored(left.select(F.col("a").alias("node")).union(left.select("b")).distinct().selectExpr("node", "node AS lo", "node AS hi"))
+        state = stored(left.select(F.col("a").alias("node")).union(left.select("b")).distinct().selectExpr("node", "node AS lo", "node AS hi"))
         moved = True
         while moved:
             at = lambda key, label: state.select(F.col("node").alias(key), F.col(label).alias("label"))  # noqa: E731, B023
@@ -96,13 +83,13 @@ def strong_components(edges: DataFrame) -> DataFrame:
             lower = left.join(at("a", "lo"), "a").select(F.col("b").alias("node"), "label").union(state.select("node", "lo").join(at("lo", "lo"), "lo").select("node", "label"))
             higher = left.join(at("b", "hi"), "b").select(F.col("a").alias("node"), "label").union(state.select("node", "hi").join(at("hi", "hi"), "hi").select("node", "label"))
             every = state.selectExpr("node", "lo", "hi", "lo AS old_lo", "hi AS old_hi").union(lower.select("node", F.col("label").alias("lo"), none("hi"), none("old_lo"), none("old_hi"))).union(higher.select("node", none("lo"), F.col("label").alias("hi"), none("old_lo"), none("old_hi")))
-            new = _stored(every.groupBy("node").agg(*[F.min(c).alias(c) for c in ("lo", "hi", "old_lo", "old_hi")]))
+            new = stored(every.groupBy("node").agg(*[F.min(c).alias(c) for c in ("lo", "hi", "old_lo", "old_hi")]))
             moved = bool(new.where("lo <> old_lo OR hi <> old_hi").take(1))
             state = new.select("node", "lo", "hi")
         parts.append(state.where("lo = hi").select("node", F.col("lo").alias("grp")))
         open_nodes = state.where("lo <> hi")
         ends = lambda key: open_nodes.select(F.col("node").alias(key), F.struct("lo", "hi").alias(f"of_{key}"))  # noqa: E731, B023
-        left = _stored(left.join(ends("a"), "a").join(ends("b"), "b").where("of_a = of_b").select("a", "b"))
+        left = stored(left.join(ends("a"), "a").join(ends("b"), "b").where("of_a = of_b").select("a", "b"))
     if not parts:
         return left.select(F.col("a").alias("node"), F.col("b").alias("grp"))
     found = reduce(DataFrame.union, parts)
@@ -111,11 +98,11 @@ def strong_components(edges: DataFrame) -> DataFrame:
 
 def reachable(edges: DataFrame) -> DataFrame:
     """``a, b``: every pair with a path from ``a`` to ``b``, of any length; walks double until none is new."""
-    seen = _stored(edges.where("a <> b").select("a", "b").distinct())
+    seen = stored(edges.where("a <> b").select("a", "b").distinct())
     n, before = seen.count(), -1
     while n > before:
         longer = seen.select("a", F.col("b").alias("mid")).join(seen.select(F.col("a").alias("mid"), "b"), "mid").where("a <> b").select("a", "b")
-        seen = _stored(seen.union(longer).distinct())
+        seen = stored(seen.union(longer).distinct())
         n, before = seen.count(), n
     return seen
 
@@ -125,13 +112,13 @@ def closure(edges: DataFrame) -> DataFrame:
 
     Frontier by frontier until nothing new is reached; rounds grow with the longest shortest path.
     """
-    e = _stored(edges.where("a <> b").select("a", "b").distinct())
+    e = stored(edges.where("a <> b").select("a", "b").distinct())
     front = seen = e.withColumn("steps", F.lit(1))
     n = 1
     while front.take(1):
         n += 1
         nxt = front.select("a", F.col("b").alias("mid")).join(e.select(F.col("a").alias("mid"), "b"), "mid").where("a <> b").select("a", "b").distinct()
-        front = _stored(nxt.join(seen, ["a", "b"], "left_anti").withColumn("steps", F.lit(n)))
+        front = stored(nxt.join(seen, ["a", "b"], "left_anti").withColumn("steps", F.lit(n)))
         seen = seen.unionByName(front)
     return seen
 

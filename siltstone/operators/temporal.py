@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from siltstone.operators.quantiles import exact_quantiles
+from siltstone.sources.scratch import stored
 
 #: Seconds of each grain and how far the median gap may be from them.
 GRAINS = {"second": (1, 0.5), "minute": (60, 5), "hour": (3600, 300), "day": (86400, 3600), "week": (604800, 86400), "month": (2592000, 259200), "quarter": (7776000, 777600), "year": (31536000, 3153600)}
@@ -33,7 +34,7 @@ def gaps(df: DataFrame, ts: str) -> DataFrame:
 
 
 def gap_statistics(df: DataFrame, ts: str) -> DataFrame:
-    found = gaps(df, ts)
+    found = stored(gaps(df, ts).select("gap_s"))
     ends = found.agg(F.min("gap_s").alias("min_gap"), F.max("gap_s").alias("max_gap"), F.count("*").alias("n_gaps"))
     return _median_gap(found).crossJoin(F.broadcast(ends)).select("median_gap", "min_gap", "max_gap", "n_gaps")
 
@@ -66,7 +67,7 @@ def completeness(df: DataFrame, ts: str, grain: str) -> DataFrame:
 
 def significant_gaps(df: DataFrame, ts: str) -> DataFrame:
     """Every gap over twice the median, with severity and missing periods."""
-    found = gaps(df, ts)
+    found = stored(gaps(df, ts))
     mid = _median_gap(found).withColumnRenamed("median_gap", "mid")
     big = found.crossJoin(F.broadcast(mid)).where("gap_s > 2 * mid")
     return big.selectExpr("ts", "next_ts", "gap_s", "cast(floor(gap_s / mid) - 1 AS bigint) AS missing", "CASE WHEN gap_s >= 10 * mid THEN 'severe' WHEN gap_s >= 5 * mid THEN 'moderate' ELSE 'minor' END AS severity")

@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import functions as F
 
 from siltstone.operators import evidence as e
@@ -14,6 +11,7 @@ from siltstone.operators import typing as t
 from siltstone.plans.base import query, rounded
 from siltstone.plans.typed import _RAW, _raw
 from siltstone.sources import readers as r
+from siltstone.sources.scratch import scratch
 
 _IMPACT = "CASE WHEN score = 0 THEN 'none' WHEN score < 0.05 THEN 'minimal' WHEN score < 0.2 THEN 'moderate' WHEN score < 0.5 THEN 'significant' ELSE 'critical' END"
 _GAPPY = "(SELECT l_returnflag, l_linestatus, l_linenumber, CASE WHEN l_linenumber > 3 AND l_quantity < 20 THEN NULL ELSE l_tax END AS tax FROM lineitem)"
@@ -172,21 +170,11 @@ def _(table):
     return rounded(e.graph_shape(g.node_roles(nodes, edges), g.topology(nodes, edges)))
 
 
-def _scratch(spark):
-    """A fresh folder below the shared one; a local session without it gets a temporary folder."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local["):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        base = "file://" + tempfile.mkdtemp(prefix="siltstone-")
-    return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
-
-
 @query("s01_csv_text", "SELECT CAST(c_custkey AS VARCHAR) AS cust_key, CASE WHEN c_custkey % 5 > 0 THEN c_name END AS name, c_mktsegment AS name_2 FROM customer")
 def _(table):
     # The segment's column has the same safe name, and every fifth name is a placeholder.
     df = table("customer").selectExpr("c_custkey AS `Cust Key`", "CASE WHEN c_custkey % 5 > 0 THEN c_name ELSE 'n/a' END AS ` Name`", "c_mktsegment AS `Näme!`", "1 AS `Unnamed: 0`")
-    path = _scratch(df.sparkSession)
+    path = scratch(df.sparkSession)
     df.write.option("header", True).csv(path)
     return r.read_csv_text(df.sparkSession, path, df.columns)
 
@@ -194,14 +182,14 @@ def _(table):
 @query("s03_json_text", "SELECT CAST(n_nationkey AS VARCHAR) AS key, '{\"name\":\"' || n_name || '\"}' AS inner FROM nation")
 def _(table):
     df = table("nation").selectExpr("n_nationkey AS Key", "struct(n_name AS name) AS Inner")
-    path = _scratch(df.sparkSession)
+    path = scratch(df.sparkSession)
     df.write.json(path)
     return r.read_json_text(df.sparkSession, path)
 
 
 @query("s11_layer", "SELECT n_nationkey, n_name FROM nation")
 def _(table):
-    return rounded(r.write_layer(table("nation").select("n_nationkey", "n_name"), _scratch(table("nation").sparkSession), "typed", "nation"))
+    return rounded(r.write_layer(table("nation").select("n_nationkey", "n_name"), scratch(table("nation").sparkSession), "typed", "nation"))
 
 
 @query("s08_blank_nulls", "SELECT o_orderkey, CASE o_orderkey % 4 WHEN 1 THEN NULL WHEN 2 THEN NULL WHEN 3 THEN '#n/a' ELSE o_orderstatus END AS status FROM orders")
@@ -218,14 +206,14 @@ def _(table):
 @query("s04_parquet_typed", "SELECT o_orderkey AS order_key, round(o_totalprice, 4) AS total_price_2 FROM orders")
 def _(table):
     df = table("orders").selectExpr("o_orderkey AS `Order Key`", "o_totalprice AS `Total  Price (2)`")
-    path = _scratch(df.sparkSession)
+    path = scratch(df.sparkSession)
     df.write.parquet(path)
     return rounded(r.read_parquet_typed(df.sparkSession, path), 4)
 
 
 @query("s09_load_many", "SELECT 'lines' AS name, count(*) AS rows FROM lineitem UNION ALL SELECT 'orders', count(*) FROM orders")
 def _(table):
-    spark, root = table("orders").sparkSession, _scratch(table("orders").sparkSession)
+    spark, root = table("orders").sparkSession, scratch(table("orders").sparkSession)
     table("orders").select("o_orderkey").write.parquet(f"{root}/orders.parquet")
     table("lineitem").select("l_orderkey").write.option("header", True).csv(f"{root}/Lines.csv")
     out = r.load_many(spark, [f"{root}/orders.parquet", f"{root}/Lines.csv"])
