@@ -2,41 +2,27 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from siltstone.sources.scratch import scratch
+
 #: The six characters that separate words everywhere in this subpackage.
 SPACE = "\x20\x09\x0a\x0b\x0c\x0d"
 #: Rows that a function of whole texts gets at a time.
 SLICE = 1024
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """A fresh folder below the cluster's shared checkpoint folder.
-
-    Only a local session without ``spark.checkpoint.dir`` gets a temporary folder.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local["):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        base = "file://" + tempfile.mkdtemp(prefix="siltstone-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/siltstone-{uuid.uuid4().hex}"
-
-
 def written(df: DataFrame, narrow: int = 1) -> DataFrame:
     """``df`` as Parquet in the shared folder, read back: lineage ends there.
 
     ``narrow`` times fewer files than shuffle partitions are written, for tables of a few bytes per document.
     """
     spark = df.sparkSession
-    path = shared_dir(spark)
+    path = scratch(spark)
     if narrow > 1:
         df = df.coalesce(max(1, int(spark.conf.get("spark.sql.shuffle.partitions")) // narrow))
     df.write.parquet(path)

@@ -21,8 +21,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from siltstone.llm.common import document_columns, map_rows, shared_dir, written
+from siltstone.llm.common import document_columns, map_rows, written
 from siltstone.llm.fast_tokens import ids_of
+from siltstone.sources.scratch import scratch
 
 #: Ids of a block before the next one begins.
 BLOCK_IDS = 1 << 18
@@ -139,7 +140,7 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
 
 def written_and_read(docs: DataFrame, vocabulary: str, end_id: int = 2) -> DataFrame:
     """Write all documents to the shared folder, read the files back; adds ``ids_crc32``."""
-    path = shared_dir(docs.sparkSession)
+    path = scratch(docs.sparkSession)
     write_tokens(docs, path, vocabulary, end_id)
     return read_tokens(docs.sparkSession, path).withColumn("ids_crc32", F.crc32("ids"))
 
