@@ -24,8 +24,8 @@ def binary_pool(witnesses: DataFrame) -> DataFrame:
         F.expr("coalesce(sum(reliability * ln(p / (1 - p))), 0D)").alias("odds"), F.expr("sum(CASE WHEN p IS NOT NULL THEN reliability END)").alias("weight"),
         F.expr("sum(reliability * p)").alias("mixed"), F.expr(f"sum(reliability * {h('p')})").alias("own"), F.count("p").alias("witnesses"),
     )
-    mean = one.withColumn("mean", F.expr("mixed / weight"))
-    return mean.selectExpr("target", "1D / (1D + exp(-odds)) AS belief", f"coalesce(greatest({h('mean')} - own / weight, 0D), 0D) AS conflict", "witnesses")
+    mean = one.withColumn("mean", F.expr("try_divide(mixed, weight)"))
+    return mean.selectExpr("target", "1D / (1D + exp(-odds)) AS belief", f"coalesce(greatest({h('mean')} - try_divide(own, weight), 0D), 0D) AS conflict", "witnesses")
 
 
 def _witness(rows: DataFrame, reliability: float, p: str) -> DataFrame:

@@ -48,7 +48,7 @@ def target(df: DataFrame, kind: str, measure: str, bottom: str | None = None, en
 
 def target_statistic(rows: DataFrame, kind: str) -> DataFrame:
     """What a slice of a target comes to: a flow's sum, else the weighted mean."""
-    return rows.agg(F.count("*").alias("n"), F.sum("value").alias("v") if kind == "flow" else F.expr("sum(value * weight) / sum(weight)").alias("v"))
+    return rows.agg(F.count("*").alias("n"), F.sum("value").alias("v") if kind == "flow" else F.expr("try_divide(sum(value * weight), sum(weight))").alias("v"))
 
 
 def collapse_aliases(candidates: DataFrame, groups: DataFrame) -> DataFrame:

@@ -114,9 +114,10 @@ def support(voted: DataFrame, least_voters: int = 2, least_agreement: float = 0.
 
 
 def correlations(df: DataFrame, columns: list[str]) -> DataFrame:
-    """``a, b, r`` of every pair of columns in one scan, rows complete in the pair."""
+    """``a, b, r`` of every pair of columns in one scan, rows complete in the pair; null where one does not vary."""
     pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i + 1 :]]
-    one = df.selectExpr(*[f"corr({a}, {b}) AS r{i}" for i, (a, b) in enumerate(pairs)])
+    var = lambda x, y: f"var_pop(CASE WHEN {y} IS NOT NULL THEN {x} END)"
+    one = df.selectExpr(*[f"try_divide(covar_pop({a}, {b}), sqrt({var(a, b)} * {var(b, a)})) AS r{i}" for i, (a, b) in enumerate(pairs)])
     return one.selectExpr("stack({}, {}) AS (a, b, r)".format(len(pairs), ", ".join(f"'{a}', '{b}', r{i}" for i, (a, b) in enumerate(pairs))))
 
 

@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from siltstone.operators import adjudicate, crosscol, evidence, graph, lineage, metrics, profile, typing
+from siltstone.operators import scores as scores_module
 from siltstone.operators.quantiles import exact_quantiles
 from siltstone.sources import readers
 
@@ -158,3 +159,30 @@ def test_catalogue(spark):
     rates = {c: {r.pattern for r in typing.pattern_match_rates(df, c).where("rate = 1").collect()} for c in examples}
     assert all(c in rates[c] for c in examples)
     assert spark.createDataFrame([("x",)], "v string").select(*[F.expr(e.format(c="v")).alias(n) for n, _, _, e in typing.PATTERNS]).first() == tuple([None] * len(typing.PATTERNS))
+
+
+def test_multicollinearity(spark):
+    rng = np.random.default_rng(6)
+    a, b = rng.normal(size=(2, 3000))
+    columns = {"a": a, "b": b, "total": a + b + 1e-6 * rng.normal(size=3000), "free": rng.normal(size=3000), "flat": np.ones(3000)}
+    df = spark.createDataFrame([tuple(map(float, r)) for r in zip(*columns.values(), strict=True)], list(columns))
+    out = evidence.multicollinearity(df, list(columns)).collect()
+    own = np.corrcoef(np.array([columns[c] for c in ("a", "b", "total", "free")]))
+    want = sorted([*np.linalg.eigvalsh(own), 1.0], reverse=True)
+    assert np.allclose([r.eigenvalue for r in out], want, atol=1e-6)
+    assert [sorted(r.members) for r in out if r.severity == "severe"] == [["a", "b", "total"]]
+    assert all(not r.members for r in out if r.severity == "none")
+
+
+def test_null_impact_takes_other_bounds(spark):
+    df = spark.createDataFrame([(None if i < 3 else i, i) for i in range(10)], "x long, y long")
+    assert {r["column"]: r.impact for r in evidence.null_impact(df, ["x", "y"]).collect()} == {"x": "significant", "y": "none"}
+    assert {r["column"]: r.impact for r in evidence.null_impact(df, ["x", "y"], {"clean": 0.0, "soiled": 0.0}).collect()} == {"x": "soiled", "y": "clean"}
+
+
+def test_contract_colours(spark):
+    scores = spark.createDataFrame([("a", "nulls", 0.4), ("b", "nulls", 0.6)], "column string, dimension string, score double")
+    contracts = spark.createDataFrame([("red", "nulls", 0.1, 1.0), ("orange", "nulls", 0.42, 1.0), ("yellow", "nulls", 0.6, 1.0), ("green", "nulls", 0.99, 1.0), ("mean", "nulls", 0.99, 0.2)], "contract string, dimension string, threshold double, overall double")
+    out = {r.contract: r for r in scores_module.evaluate_contracts(scores, contracts).collect()}
+    assert {c: r.colour for c, r in out.items()} == {"red": "red", "orange": "orange", "yellow": "yellow", "green": "green", "mean": "red"}
+    assert [c for c, r in out.items() if r.strictest] == ["orange"] and out["red"].compliance == 0.0 and out["orange"].compliance == 0.5
