@@ -121,7 +121,7 @@ def find_hierarchies(df: DataFrame, columns: list[str], most: float = MOST_ERROR
     total = df.count()
     scan = {r["columns"]: r["distinct_values"] for r in distinct_scan(df, columns, list(combinations(columns, 2))).collect()}
     both = lambda a, b: scan.get(f"{a},{b}") or scan[f"{b},{a}"]
-    live = [c for c in columns if scan[c] > 1]
+    live = [c for c in columns if scan.get(c, 0) > 1]
     spark = df.sparkSession
     twins = [(a, b) for a, b in combinations(live, 2) if 1 - min(scan[a], scan[b]) / both(a, b) <= most]
     aliases = spark.createDataFrame(twins, "a string, b string")

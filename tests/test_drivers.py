@@ -111,3 +111,8 @@ def test_empty_tables(places):
     none = places.limit(0)
     assert hierarchies.near_copy(none, "city", "state", ["flag"]).first().verdict == "undecided"
     assert hierarchies.alias_groups(none.select(F.col("city").alias("a"), F.col("state").alias("b"))).count() == 0
+
+
+def test_hierarchies_of_no_rows(places):
+    assert hierarchies.find_hierarchies(places.limit(0), ["city", "state"]).count() == 0
+    assert hierarchies.pair_errors(places.limit(0), ["city", "state"]).count() == 0
