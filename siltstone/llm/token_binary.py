@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from siltstone.llm.common import document_columns, map_rows, written
+from siltstone.llm.common import discard, document_columns, map_rows, written
 from siltstone.llm.fast_tokens import ids_of
 from siltstone.sources.scratch import scratch
 
@@ -111,6 +111,7 @@ def write_tokens(docs: DataFrame, path: str, vocabulary: str, end_id: int | None
     ordered = tokens.repartitionByRange("doc_id").sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.crc32("ids"), F.length("ids"))
     blocks = ordered.select("doc_id", "ids", F.spark_partition_id().alias("shard")).mapInArrow(run, "shard int, block int, doc_ids array<long>, counts array<int>, control binary, data binary")
     blocks.write.parquet(f"{path}/blocks")
+    discard(tokens)
 
 
 def read_tokens(spark: SparkSession, path: str) -> DataFrame:
