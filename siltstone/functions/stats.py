@@ -6,17 +6,6 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-def sample_skewness(x: str) -> Column:
-    """Bias-corrected skewness; null under three values or without variance."""
-    return F.expr(f"CASE WHEN count({x}) > 2 AND stddev_pop({x}) > 0 THEN skewness({x}) * sqrt(count({x}) * (count({x}) - 1D)) / (count({x}) - 2) END")
-
-
-def sample_kurtosis(x: str) -> Column:
-    """Bias-corrected excess kurtosis; null under four values or without variance."""
-    n = f"count({x})"
-    return F.expr(f"CASE WHEN {n} > 3 AND stddev_pop({x}) > 0 THEN ({n} - 1D) / (({n} - 2D) * ({n} - 3D)) * (({n} + 1D) * kurtosis({x}) + 6) END")
-
-
 def wilson_lower(hits: str, total: str, z: float = 1.96) -> Column:
     """Lower bound of the Wilson interval for ``hits`` of ``total``."""
     p = f"({hits} / {total})"

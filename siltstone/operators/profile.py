@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from siltstone.functions.stats import chi2_tail_8, sample_kurtosis, sample_skewness
+from siltstone.functions.stats import chi2_tail_8
 from siltstone.operators.longform import cells
 from siltstone.operators.quantiles import exact_quantiles, value_counts
 
@@ -19,13 +19,32 @@ def basic_counts(df: DataFrame, columns: list[str]) -> DataFrame:
     )
 
 
+def _moments(df: DataFrame, columns: list[str]) -> DataFrame:
+    """Counts and moments per column from one table of value counts.
+
+    Where every value of a column has at most nine decimals, the mean is that of the exact sum, whatever
+    the order of the rows.
+    """
+    counts = value_counts(cells(df, columns, numeric=True))
+    decimal = "try_cast(value AS decimal(24, 9))"
+    base = counts.groupBy("column").agg(
+        F.sum("n").alias("total"), F.expr("coalesce(sum(CASE WHEN value IS NULL THEN n END), 0)").alias("nulls"), F.count("value").alias("distinct_values"), F.min("value").alias("min"), F.max("value").alias("max"),
+        F.expr("sum(CASE WHEN value IS NOT NULL THEN n END)").alias("m"), F.expr(f"coalesce(bool_and(cast({decimal} AS double) = value), true)").alias("plain"),
+        F.expr(f"cast(try_sum({decimal} * cast(n AS decimal(12, 0))) AS double)").alias("exact"), F.expr("sum(value * n)").alias("rough"),
+    ).withColumn("mean", F.expr("CASE WHEN plain AND exact IS NOT NULL THEN exact ELSE rough END / m"))
+    off = counts.join(F.broadcast(base.select("column", "mean")), "column").withColumn("d", F.col("value") - F.col("mean"))
+    powers = off.groupBy("column").agg(*[F.sum(F.expr(f"n * {' * '.join(['d'] * k)}")).alias(f"d{k}") for k in (2, 3, 4)])
+    g1, g2 = "(d3 / m) / pow(d2 / m, 1.5D)", "(d4 / m) / pow(d2 / m, 2D) - 3"
+    return base.join(F.broadcast(powers), "column").selectExpr(
+        "column", "total", "nulls", "distinct_values", "min", "max", "mean", "CASE WHEN m > 1 THEN sqrt(d2 / (m - 1)) END AS stddev",
+        f"CASE WHEN m > 2 AND d2 > 0 THEN {g1} * sqrt(m * (m - 1D)) / (m - 2) END AS skewness",
+        f"CASE WHEN m > 3 AND d2 > 0 THEN (m - 1D) / ((m - 2D) * (m - 3D)) * ((m + 1D) * ({g2}) + 6) END AS kurtosis",
+    )
+
+
 def numeric_moments(df: DataFrame, columns: list[str]) -> DataFrame:
     """Least, greatest, mean, deviation, bias-corrected skewness and kurtosis, coefficient of variation."""
-    return (
-        cells(df, columns, numeric=True).groupBy("column")
-        .agg(F.min("value").alias("min"), F.max("value").alias("max"), F.avg("value").alias("mean"), F.stddev_samp("value").alias("stddev"), sample_skewness("value").alias("skewness"), sample_kurtosis("value").alias("kurtosis"))
-        .withColumn("cv", F.try_divide("stddev", F.abs("mean")))
-    )
+    return _moments(df, columns).drop("total", "nulls", "distinct_values").withColumn("cv", F.try_divide("stddev", F.abs("mean")))
 
 
 SHARES = {"p01": 0.01, "p25": 0.25, "p50": 0.5, "p75": 0.75, "p99": 0.99}
@@ -82,27 +101,8 @@ def histogram(df: DataFrame, columns: list[str], bins: int = 20) -> DataFrame:
 
 
 def profile(df: DataFrame, columns: list[str], accuracy: int | None = None) -> DataFrame:
-    """Counts, moments and percentiles of all numeric ``columns``, one row each, from one table of value counts.
-
-    Where every value of a column has at most nine decimals, the mean is that of the exact sum, whatever
-    the order of the rows.
-    """
-    counts = value_counts(cells(df, columns, numeric=True))
-    decimal = "try_cast(value AS decimal(24, 9))"
-    base = counts.groupBy("column").agg(
-        F.sum("n").alias("total"), F.expr("coalesce(sum(CASE WHEN value IS NULL THEN n END), 0)").alias("nulls"), F.count("value").alias("distinct_values"), F.min("value").alias("min"), F.max("value").alias("max"),
-        F.expr("sum(CASE WHEN value IS NOT NULL THEN n END)").alias("m"), F.expr(f"coalesce(bool_and(cast({decimal} AS double) = value), true)").alias("plain"),
-        F.expr(f"cast(try_sum({decimal} * cast(n AS decimal(12, 0))) AS double)").alias("exact"), F.expr("sum(value * n)").alias("rough"),
-    ).withColumn("mean", F.expr("CASE WHEN plain AND exact IS NOT NULL THEN exact ELSE rough END / m"))
-    off = counts.join(F.broadcast(base.select("column", "mean")), "column").withColumn("d", F.col("value") - F.col("mean"))
-    powers = off.groupBy("column").agg(*[F.sum(F.expr(f"n * {' * '.join(['d'] * k)}")).alias(f"d{k}") for k in (2, 3, 4)])
-    out = base.join(F.broadcast(powers), "column").join(F.broadcast(percentiles(df, columns, accuracy)), "column", "left")
-    g1, g2 = "(d3 / m) / pow(d2 / m, 1.5D)", "(d4 / m) / pow(d2 / m, 2D) - 3"
-    return out.selectExpr(
-        "column", "total", "nulls", "distinct_values", "min", "max", "mean", "CASE WHEN m > 1 THEN sqrt(d2 / (m - 1)) END AS stddev",
-        f"CASE WHEN m > 2 AND d2 > 0 THEN {g1} * sqrt(m * (m - 1D)) / (m - 2) END AS skewness",
-        f"CASE WHEN m > 3 AND d2 > 0 THEN (m - 1D) / ((m - 2D) * (m - 3D)) * ((m + 1D) * ({g2}) + 6) END AS kurtosis", *SHARES,
-    )
+    """Counts, moments and percentiles of all numeric ``columns``, one row each."""
+    return _moments(df, columns).join(F.broadcast(percentiles(df, columns, accuracy)), "column", "left")
 
 
 def full_profile(df: DataFrame, columns: list[str], numeric: list[str]) -> DataFrame:
