@@ -116,9 +116,12 @@ def benjamini_hochberg(p_values: DataFrame, name: str, p: str, q: float = 0.05,
 
 def variance_reduction(df: DataFrame, measure: str, dim: str, min_rows: int = 200) -> DataFrame:
     """Share of a measure's variance between the groups of ``dim`` that have enough rows."""
-    groups = df.where(F.col(dim).isNotNull() & F.col(measure).isNotNull()).groupBy(dim).agg(F.count("*").alias("n"), F.sum(measure).alias("s"), F.sum(F.col(measure) * F.col(measure)).alias("ss")).where(F.col("n") >= min_rows)
-    total = groups.agg(F.count("*").alias("groups"), F.sum("n").alias("n"), F.sum("s").alias("s"), F.sum("ss").alias("ss"), F.sum(F.expr("s * s / n")).alias("between"))
-    return total.selectExpr("groups", "n", "CASE WHEN groups > 1 THEN try_divide(between - s * s / n, ss - s * s / n) END AS eta2")
+    own = F.col(measure).cast("double")
+    groups = df.where(F.col(dim).isNotNull() & F.col(measure).isNotNull()).groupBy(dim).agg(F.count("*").alias("n"), F.avg(own).alias("mean"), F.var_pop(own).alias("var")).where(F.col("n") >= min_rows)
+    # Means and variances of groups merge without loss; their means are taken from the middle of all groups.
+    centre = groups.agg(F.avg("mean").alias("centre"))
+    total = groups.crossJoin(F.broadcast(centre)).withColumn("d", F.col("mean") - F.col("centre")).agg(F.count("*").alias("groups"), F.sum("n").alias("n"), F.sum(F.expr("n * var")).alias("within"), F.sum(F.expr("n * d")).alias("s"), F.sum(F.expr("n * d * d")).alias("ss"))
+    return total.selectExpr("groups", "n", "CASE WHEN groups > 1 THEN try_divide(ss - s * s / n, within + ss - s * s / n) END AS eta2")
 
 
 def slice_effects(df: DataFrame, measure: str, dim: str, min_rows: int = 200) -> DataFrame:

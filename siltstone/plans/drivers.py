@@ -8,6 +8,7 @@ from siltstone.operators import crosscol as x
 from siltstone.operators import drivers as d
 from siltstone.operators import evidence as e
 from siltstone.operators import hierarchies as h
+from siltstone.operators.permutations import pair_tables
 from siltstone.plans.base import query, rounded
 
 
@@ -49,6 +50,17 @@ def _(table):
     return d.permutation_gate(d.target(table("lineitem"), "flow", "l_extendedprice"), ["l_returnflag", "l_linestatus", "l_linenumber"])
 
 
+_GAIN = (
+    "SELECT '{d}' AS dim, round(sum(n * (m - mu) ** 2) / (sum(n * (m - mu) ** 2) + sum(n * q)), 6) AS gain FROM (SELECT *, sum(n * m) OVER () / sum(n) OVER () AS mu FROM "
+    "(SELECT {d}, count(*) AS n, avg(l_extendedprice) AS m, var_pop(l_extendedprice) AS q FROM lineitem GROUP BY 1 HAVING count(*) >= 200))"
+)
+
+
+@query("d07_gains", " UNION ALL ".join(_GAIN.format(d=d) for d in ("l_returnflag", "l_linestatus", "l_linenumber")))
+def _(table):
+    return rounded(d.driver_gains(d.target(table("lineitem"), "flow", "l_extendedprice"), ["l_returnflag", "l_linestatus", "l_linenumber"]))
+
+
 @query("d08_driver_tree")
 def _(table):
     line = _line(table).withColumn("level", F.col("l_discount").cast("string"))
@@ -87,7 +99,24 @@ def _(table):
 @query("d14_rank_drivers")
 def _(table):
     both = table("lineitem").join(table("part"), F.col("l_partkey") == F.col("p_partkey"))
-    return d.rank_drivers(both, "l_extendedprice", ["p_brand", "p_type", "l_returnflag", "l_linestatus"], "l_partkey", ["l_orderkey", "l_linenumber"], permutations=200)
+    both = both.withColumn("maker", F.col("p_brand"))
+    aliases = both.sparkSession.createDataFrame([("maker", "p_brand"), ("p_brand", "p_brand")], "column string, representative string")
+    return d.rank_drivers(both, "l_extendedprice", ["p_brand", "maker", "p_type", "l_returnflag", "l_linestatus"], "l_partkey", ["l_orderkey", "l_linenumber"], permutations=200, aliases=aliases)
+
+
+_TABLE_PAIRS = [("l_returnflag", "l_linestatus"), ("l_suppkey", "l_returnflag"), ("l_suppkey", "l_linenumber")]
+_PAIR_TABLE = (
+    "SELECT '{a}' AS a, '{b}' AS b, CAST(sum(n) AS BIGINT) AS n, count(DISTINCT x) AS d_a, count(DISTINCT y) AS d_b, count(*) AS d_ab, CAST(sum(n) FILTER (WHERE px = 1) AS BIGINT) AS kept_ab, CAST(sum(n) FILTER (WHERE py = 1) AS BIGINT) AS kept_ba, "
+    "CAST(max(nx) AS BIGINT) AS mode_a, CAST(max(ny) AS BIGINT) AS mode_b, round(sum(n * ln(n)), 4) AS information, round(sum(n / nx * n / ny), 6) AS association FROM ("
+    "SELECT *, sum(n) OVER (PARTITION BY x) AS nx, sum(n) OVER (PARTITION BY y) AS ny, row_number() OVER (PARTITION BY x ORDER BY n DESC) AS px, row_number() OVER (PARTITION BY y ORDER BY n DESC) AS py FROM "
+    "(SELECT {a} AS x, {b} AS y, count(*) AS n FROM lineitem WHERE {a} IS NOT NULL AND {b} IS NOT NULL GROUP BY 1, 2))"
+)
+
+
+@query("h06_pair_tables", " UNION ALL ".join(_PAIR_TABLE.format(a=a, b=b) for a, b in _TABLE_PAIRS))
+def _(table):
+    out = pair_tables(table("lineitem"), _TABLE_PAIRS).drop("a_counts", "b_counts")
+    return rounded(out.withColumn("information", F.round("information", 4)))
 
 
 @query("h06_dependency_p")
@@ -114,7 +143,9 @@ def _(table):
 
 @query("h12_find_hierarchies")
 def _(table):
-    return h.find_hierarchies(_place(table).join(table("region"), F.col("n_regionkey") == F.col("r_regionkey")), [*_PLACE_COLUMNS, "r_name"])
+    place = _place(table).join(table("region"), F.col("n_regionkey") == F.col("r_regionkey")).withColumn("home", F.expr("CASE WHEN c_custkey % 50 = 0 AND c_mktsegment = 'BUILDING' THEN 'ELSEWHERE' ELSE n_name END"))
+    # A key and its name are known to be one dimension; nobody said so of regions.
+    return h.find_hierarchies(place, [*_PLACE_COLUMNS, "r_name", "home"], identities={("c_nationkey", "n_name"): 0.95})
 
 
 _MEMBERS = "SELECT 'drilldown' AS kind, [c_name, n_name] AS members FROM customer JOIN nation ON c_nationkey = n_nationkey"

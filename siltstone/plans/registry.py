@@ -5,12 +5,4 @@ from __future__ import annotations
 from siltstone.plans import adjudication, drivers, evidence, graphs, joins, metrics, profiles, scores, statistics, typed  # noqa: F401  they register themselves
 from siltstone.plans.base import ORACLE_SQL, QUERIES
 
-#: Names under which queries over whole tables were first registered; the plain names now do the same.
-SECOND_NAMES = {
-    "g01_all_roles": "g01_node_roles", "g02_all_topology": "g02_topology", "g05_all_hops": "g05_hop", "j05_all_joins": "j05_find_joins", "j19_all_overrides": "j19_overrides",
-    "j20_all_paths": "j20_ambiguous_paths", "t06_all_candidates": "t06_type_candidates", "x05_all_gaps": "x05_significant_gaps",
-}
-for _second, _first in SECOND_NAMES.items():
-    QUERIES[_second], ORACLE_SQL[_second] = QUERIES[_first], ORACLE_SQL[_first]
-
 __all__ = ["ORACLE_SQL", "QUERIES"]
