@@ -8,6 +8,9 @@ from itertools import combinations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from siltstone.functions.stats import chi2_tail
+from siltstone.operators.permutations import pair_tables
+
 FORMULAS = {"sum": "{a} + {b}", "product": "{a} * {b}", "difference": "{a} - {b}", "ratio": "try_divide({a}, {b})"}
 
 
@@ -49,15 +52,23 @@ def pair_counts(df: DataFrame, a: str, b: str) -> DataFrame:
     return df.groupBy(F.col(a).alias("a"), F.col(b).alias("b")).agg(F.count("*").alias("n"))
 
 
-def cramers_v(df: DataFrame, a: str, b: str) -> DataFrame:
-    """Chi-square, degrees of freedom and Cramér's V of two columns, nulls left out."""
+def cramers_v(df: DataFrame, a: str, b: str, least: int = 10) -> DataFrame:
+    """Chi-square, degrees of freedom, its p-value and Cramér's V of two columns, nulls left out.
+
+    A table of two by two is corrected for continuity.  With under ``least`` rows, or a column of one value, there is no
+    association to tell: chi-square, V and p are null.
+    """
     cells = pair_counts(df.where(F.col(a).isNotNull() & F.col(b).isNotNull()), a, b)
     rows, cols = cells.groupBy("a").agg(F.sum("n").alias("na")), cells.groupBy("b").agg(F.sum("n").alias("nb"))
-    # Empty cells add their expectation, so the sum over full cells of n^2 / (na * nb) is enough.
-    joint = cells.join(rows, "a").join(cols, "b").agg(F.sum(F.expr("n * n / (na * nb)")).alias("s"), F.sum("n").alias("total"))
+    # Empty cells add their expectation, so the sum over full cells of n^2 / (na * nb) is enough.  Of two by two, all cells are as far off.
+    joint = cells.join(rows, "a").join(cols, "b").agg(F.sum(F.expr("n * n / (na * nb)")).alias("s"), F.sum("n").alias("total"), F.max(F.struct("na", "nb", "n")).alias("one"))
     sizes = rows.agg(F.count("*").alias("r")).crossJoin(F.broadcast(cols.agg(F.count("*").alias("c"))))
-    out = joint.crossJoin(F.broadcast(sizes)).selectExpr("total", "total * (s - 1) AS chi2", "(r - 1) * (c - 1) AS df", "CASE WHEN least(r, c) > 1 THEN sqrt(greatest(s - 1, 0) / (least(r, c) - 1)) END AS v")
-    return out.withColumn("strength", F.expr("CASE WHEN v >= 0.5 THEN 'strong' WHEN v >= 0.3 THEN 'moderate' WHEN v >= 0.1 THEN 'weak' ELSE 'none' END"))
+    off = "abs(one.n - one.na * one.nb / total)"
+    corrected = f"CASE WHEN r = 2 AND c = 2 AND {off} > 0 THEN total * (s - 1) * pow(({off} - least(0.5D, {off})) / {off}, 2) ELSE total * (s - 1) END"
+    tested = f"total >= {least} AND least(r, c) > 1"
+    out = joint.crossJoin(F.broadcast(sizes)).selectExpr("total", f"CASE WHEN {tested} THEN greatest(0D, {corrected}) END AS chi2", "(r - 1) * (c - 1) AS df", "least(r, c) - 1 AS smaller")
+    rated = out.selectExpr("total", "chi2", "df", "sqrt(chi2 / (total * smaller)) AS v").withColumn("p_value", chi2_tail("chi2", "df"))
+    return rated.withColumn("strength", F.expr("CASE WHEN v >= 0.5 THEN 'strong' WHEN v >= 0.3 THEN 'moderate' WHEN v >= 0.1 THEN 'weak' ELSE 'none' END"))
 
 
 def mutual_information(df: DataFrame, a: str, b: str) -> DataFrame:
@@ -77,6 +88,22 @@ def most_informative(df: DataFrame, target: str, columns: list[str], top: int =
     return every.withColumn("informs", F.coalesce(F.col("mi") > 1e-9, F.lit(False))).orderBy(F.desc_nulls_last("fraction_of_information"), "column").limit(top)
 
 
+def dependent_pairs(df: DataFrame, columns: list[str], top: int = 5) -> DataFrame:
+    """``a, b, mi, nmi``: the ``top`` pairs of ``columns`` by normalised mutual information (over the geometric mean of both entropies).
+
+    A number only says whether it is there and not zero, so that a pair tells of presence and not of size; of other
+    columns null is a label of its own.  All pairs are counted in one shuffle; a constant column informs nothing.
+    """
+    kinds = dict(df.dtypes)
+    number = lambda t: t.startswith(("decimal", "tinyint", "smallint", "int", "bigint", "float", "double"))
+    labels = df.select(*[F.coalesce(F.col(f"`{c}`") != 0, F.lit(False)).cast("string").alias(c) if number(kinds[c]) else F.col(f"`{c}`") for c in columns])
+    tables = pair_tables(labels, list(combinations(columns, 2)), set(columns))
+    entropy = lambda side: f"(ln(n) - aggregate({side}, 0D, (s, x) -> s + x.times * x.count * ln(x.count)) / n) / ln(2)"
+    parts = tables.where("n > 0").selectExpr("a", "b", f"{entropy('a_counts')} AS h_a", f"{entropy('b_counts')} AS h_b", "(ln(n) - information / n) / ln(2) AS h_ab", "d_a", "d_b")
+    scored = parts.selectExpr("a", "b", "greatest(0D, h_a + h_b - h_ab) AS mi", "CASE WHEN d_a > 1 AND d_b > 1 THEN greatest(0D, h_a + h_b - h_ab) / sqrt(h_a * h_b) ELSE 0D END AS nmi")
+    return scored.orderBy(F.desc("nmi"), "a", "b").limit(top)
+
+
 def coverage_score(df: DataFrame, columns: list[str]) -> DataFrame:
     """How complete the columns of a dimension are, on average and at worst, over the rows of a view."""
     return null_share(df, columns).agg(F.avg(1 - F.col("null_share")).alias("mean_coverage"), F.min(1 - F.col("null_share")).alias("least_coverage"))

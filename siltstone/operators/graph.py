@@ -65,6 +65,18 @@ def bounded_walk(edges: DataFrame, depth: int = 4) -> DataFrame:
     return seen.groupBy("a", "b").agg(F.min("steps").alias("steps"))
 
 
+def _trimmed(edges: DataFrame) -> DataFrame:
+    """``edges`` without those from a node that none enters or to one that none leaves, as long as a tenth of them goes."""
+    n = edges.count()
+    while n:
+        entered, left = edges.select(F.col("b").alias("a")).distinct(), edges.select(F.col("a").alias("b")).distinct()
+        edges = stored(edges.join(entered, "a", "left_semi").join(left, "b", "left_semi").select("a", "b"))
+        n, before = edges.count(), n
+        if n > 0.9 * before:
+            break
+    return edges
+
+
 def strong_components(edges: DataFrame) -> DataFrame:
     """``node, grp`` of every node that lies on a cycle of two nodes or more, by the smallest node of its component.
 
@@ -72,7 +84,7 @@ def strong_components(edges: DataFrame) -> DataFrame:
     changes; labels halve their paths where they can, else a round is one step.  Where both agree the component is settled, and only edges
     between nodes of equal labels are looked at again.
     """
-    left = stored(edges.where("a <> b").select("a", "b").distinct())
+    left = _trimmed(stored(edges.where("a <> b").select("a", "b").distinct()))
     parts = []
     while left.take(1):
         state = stored(left.select(F.col("a").alias("node")).union(left.select("b")).distinct().selectExpr("node", "node AS lo", "node AS hi"))
@@ -89,7 +101,7 @@ def strong_components(edges: DataFrame) -> DataFrame:
         parts.append(state.where("lo = hi").select("node", F.col("lo").alias("grp")))
         open_nodes = state.where("lo <> hi")
         ends = lambda key: open_nodes.select(F.col("node").alias(key), F.struct("lo", "hi").alias(f"of_{key}"))  # noqa: E731, B023
-        left = stored(left.join(ends("a"), "a").join(ends("b"), "b").where("of_a = of_b").select("a", "b"))
+        left = _trimmed(stored(left.join(ends("a"), "a").join(ends("b"), "b").where("of_a = of_b").select("a", "b")))
     if not parts:
         return left.select(F.col("a").alias("node"), F.col("b").alias("grp"))
     found = reduce(DataFrame.union, parts)
@@ -136,3 +148,31 @@ def typed_matches(vertices: DataFrame, edges: DataFrame, kind: str, from_kind: s
     """``a, a_name, b, b_name`` of the ``kind, a, b`` edges of one kind between ``node, kind, name`` vertices of two kinds."""
     side = lambda k, c: vertices.where(F.col("kind") == k).select(F.col("node").alias(c), F.col("name").alias(f"{c}_name"))
     return edges.where(F.col("kind") == kind).select("a", "b").distinct().join(side(from_kind, "a"), "a").join(side(to_kind, "b"), "b").select("a", "a_name", "b", "b_name")
+
+
+def pattern_classes(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """``graph, v, e, c, hubs, leaves, isolated, cycles, density, pattern`` of many graphs at once.
+
+    nodes: ``graph, node``.  edges: ``graph, a, b``, directed.  Hubs have three neighbours or more, leaves one; cycles are groups of
+    nodes that reach each other.  All graphs are taken as one whose parts do not touch, so rounds grow with the
+    longest path of any of them and not with their number.
+    """
+    key = lambda c: F.concat_ws("\x1f", "graph", c)
+    own = stored(nodes.select("graph", key("node").alias("node")).distinct())
+    links = stored(edges.where("a <> b").select(key("a").alias("a"), key("b").alias("b")).distinct())
+    names = own.select("graph", F.col("node").alias("of"))
+    count = lambda df, node, name: df.join(names, F.col(node) == F.col("of")).groupBy(F.col("graph").alias(f"g_{name}"))
+    roles = node_roles(own, links)
+    sizes = own.join(roles.select(F.col("node").alias("r"), "degree"), F.col("node") == F.col("r")).groupBy("graph").agg(
+        F.count("*").alias("v"), (F.sum("degree") / 2).cast("long").alias("e"), F.count_if(F.col("degree") >= 3).alias("hubs"), F.count_if(F.col("degree") == 1).alias("leaves"), F.count_if(F.col("degree") == 0).alias("isolated")
+    )
+    parts = count(connected_components(own, links), "node", "c").agg(F.count_distinct("component").alias("c"))
+    rings = count(strong_components(links), "node", "r").agg(F.count_distinct("grp").alias("cycles"))
+    every = sizes.join(parts, F.col("graph") == F.col("g_c")).join(rings, F.col("graph") == F.col("g_r"), "left").withColumns({"cycles": F.coalesce("cycles", F.lit(0).cast("long")), "density": F.expr("coalesce(try_divide(2D * e, v * (v - 1)), 0D)")})
+    # The first that holds: a complete graph is no structure, and one in parts has none as a whole.
+    pattern = (
+        F.when(F.col("v") == 1, "single_table").when(F.col("e") == 0, "disconnected").when(F.col("density") >= 1, "complete").when(F.col("c") > 1, "disconnected").when(F.expr("isolated > v / 2"), "sparse")
+        .when(F.expr("cycles = 0 AND hubs = 1 AND leaves >= 2"), "star_schema").when(F.expr("cycles = 0 AND hubs >= 1 AND leaves >= 1"), "hub_and_spoke")
+        .when(F.expr("cycles > 0 AND hubs >= 1"), "mesh_with_cycles").when(F.col("cycles") > 0, "cyclic").when(F.expr("hubs = 0 AND e = v - 1"), "chain").otherwise("mesh")
+    )
+    return every.select("graph", "v", "e", "c", "hubs", "leaves", "isolated", "cycles", "density", pattern.alias("pattern"))

@@ -108,14 +108,26 @@ def formula_additivity(declared: DataFrame, parts: DataFrame) -> DataFrame:
 
 
 def bucket_start(ts: str, size: int, unit: str) -> str:
-    """Start of the bucket of ``size`` units: hours and days from 1 January, weeks from Monday 3 January, months to years from January 2000."""
+    """Start of the bucket of ``size`` units: seconds to days from 1 January, weeks from Monday 3 January, months to years from January 2000."""
     if unit in ("month", "quarter", "year"):
         return month_bucket(ts, size * {"month": 1, "quarter": 3, "year": 12}[unit])
-    origin, seconds = ("2000-01-03" if unit == "week" else "2000-01-01"), size * {"hour": 3600, "day": 86400, "week": 604800}[unit]
+    origin, seconds = ("2000-01-03" if unit == "week" else "2000-01-01"), size * {"second": 1, "minute": 60, "hour": 3600, "day": 86400, "week": 604800}[unit]
     n = f"timestampdiff(SECOND, timestamp_ntz'{origin} 00:00:00', cast({ts} AS timestamp_ntz))"
     return f"timestampadd(SECOND, {n} - pmod({n}, {seconds}), timestamp_ntz'{origin} 00:00:00')"
 
 
+#: The units of grain tokens such as 15m or 3M.
+GRAIN_UNITS = {"s": "second", "m": "minute", "h": "hour", "d": "day", "w": "week", "M": "month", "q": "quarter", "y": "year"}
+
+
+def grain_bucket(ts: str, grain: str) -> str:
+    """``bucket_start`` of a token: a number from 1 to 9999 without leading zeros and a unit of ``GRAIN_UNITS``, whose case counts."""
+    number, unit = grain[:-1], grain[-1:]
+    if unit not in GRAIN_UNITS or not (number.isascii() and number.isdigit()) or number[0] == "0" or len(number) > 4:
+        raise ValueError(f"no grain {grain!r}")
+    return bucket_start(ts, int(number), GRAIN_UNITS[unit])
+
+
 def drill(df: DataFrame, dims: list[str], measures: list[str], pins: dict[str, str | None] | None = None) -> DataFrame:
     """Rows and sums by dimensions; a pin of None keeps nulls."""
     for c, v in (pins or {}).items():

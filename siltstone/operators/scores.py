@@ -64,7 +64,7 @@ def opinion_pool(witnesses: DataFrame) -> DataFrame:
 
 def expected_loss(scores: DataFrame, weights: DataFrame) -> DataFrame:
     """Risk and band of ``target, score`` per intent."""
-    return scores.join(F.broadcast(weights), "dimension").groupBy("target", "intent").agg(F.least(F.sum(F.expr("weight * score")), F.lit(1.0)).alias("risk")).selectExpr("target", "intent", "risk", "CASE WHEN risk >= 0.6 THEN 'blocked' WHEN risk >= 0.3 THEN 'investigate' ELSE 'ready' END AS band")
+    return scores.join(weights, "dimension").groupBy("target", "intent").agg(F.least(F.sum(F.expr("weight * score")), F.lit(1.0)).alias("risk")).selectExpr("target", "intent", "risk", "CASE WHEN risk >= 0.6 THEN 'blocked' WHEN risk >= 0.3 THEN 'investigate' ELSE 'ready' END AS band")
 
 
 def readiness(losses: DataFrame) -> DataFrame:
@@ -79,7 +79,7 @@ def readiness_report(scores: DataFrame, weights: DataFrame, expected: DataFrame)
     """
     losses = expected_loss(scores.join(weights.select("dimension").distinct(), "dimension", "left_semi"), weights)
     worst = readiness(losses)
-    impact = scores.join(F.broadcast(weights), "dimension").groupBy("target", "dimension").agg(F.max(F.expr("weight * score")).alias("impact"))
+    impact = scores.join(weights, "dimension").groupBy("target", "dimension").agg(F.max(F.expr("weight * score")).alias("impact"))
     level = "CASE WHEN impact >= 0.6 THEN 'high' WHEN impact >= 0.3 THEN 'medium' ELSE 'low' END"
     drivers = impact.groupBy("target").agg(F.sort_array(F.collect_list(F.struct((-F.col("impact")).alias("k"), F.concat_ws(":", "dimension", F.expr(level)).alias("d")))).alias("all")).select("target", F.array_join("all.d", ",").alias("drivers"))
     seen = expected.join(scores.select("target", "dimension", F.lit(1).alias("hit")), ["target", "dimension"], "left").groupBy("target").agg(F.count("hit").alias("hits"), F.count("*").alias("wanted"))
@@ -88,27 +88,31 @@ def readiness_report(scores: DataFrame, weights: DataFrame, expected: DataFrame)
     return coverage.join(worst, "target", "left").join(drivers, "target", "left").join(direct, "target", "left").select("target", "risk", "worst_intent", "band", "drivers", "coverage", "direct")
 
 
-def evaluate_contracts(scores: DataFrame, contracts: DataFrame, margin: float = 0.2) -> DataFrame:
+def evaluate_contracts(scores: DataFrame, contracts: DataFrame, margin: float = 0.2, blocked: DataFrame | None = None) -> DataFrame:
     """``contract, mean, blocking, warnings, compliance, colour, strictest`` over ``column, dimension, score``.
 
-    contracts: ``contract, dimension, threshold, overall``.  A dimension's mean blocks beyond its threshold by twice the
-    margin and warns from a margin below it; the mean of all may not pass ``overall``.  Compliance is the share of columns
-    of which no dimension blocks.  The strictest contract that passes has the least sum of thresholds.
+    contracts: ``contract, dimension, threshold, overall``; its dimension stands for all dotted ones below it.  A dimension's mean
+    over columns (zero if no column has it) blocks beyond its threshold by twice the margin, and warns from a margin below it;
+    further, the mean of all dimensions beyond ``overall`` blocks, and so does any ``blocked`` column (a table of ``column``).
+    Compliance is the share of dimensions within their threshold.  Red: a blocked column or three blocks; orange: any block;
+    yellow: any warning.  The strictest contract is the one without a block that has the least ``overall`` (ties: the least thresholds in all).
     """
-    per_column = scores.groupBy("column", "dimension").agg(F.avg("score").alias("score")).join(F.broadcast(contracts), "dimension")
-    state = lambda x: f"CASE WHEN {x} > threshold * {1 + 2 * margin}D THEN 'blocking' WHEN {x} > threshold * {1 - margin}D THEN 'warning' ELSE 'ok' END"
-    columns = per_column.groupBy("contract", "column").agg(F.bool_or(F.expr(f"{state('score')} = 'blocking'")).alias("bad")).groupBy("contract").agg(F.avg(F.expr("CASE WHEN bad THEN 0D ELSE 1D END")).alias("compliance"))
-    means = per_column.groupBy("contract", "dimension", "threshold", "overall").agg(F.avg("score").alias("mean")).withColumn("state", F.expr(state("mean")))
-    sums = means.groupBy("contract").agg(F.avg("mean").alias("mean"), F.count_if(F.col("state") == "blocking").alias("blocking"), F.count_if(F.col("state") == "warning").alias("warnings"), F.max("overall").alias("overall"), F.sum("threshold").alias("width"))
-    out = sums.join(columns, "contract").withColumn("colour", F.expr("CASE WHEN blocking > 0 OR mean > overall THEN 'red' WHEN compliance < 1 THEN 'orange' WHEN warnings > 0 THEN 'yellow' ELSE 'green' END"))
-    passing = out.where("colour <> 'red'").agg(F.min_by("contract", F.struct("width", "contract")).alias("best"))
+    level = F.explode(F.transform(F.sequence(F.lit(1), F.size(F.split("dimension", "[.]"))), lambda i: F.array_join(F.slice(F.split("dimension", "[.]"), 1, i), ".")))
+    per_column = scores.withColumn("above", level).groupBy("above", "column").agg(F.avg("score").alias("score")).groupBy("above").agg(F.avg("score").alias("mean"))
+    means = contracts.join(per_column, F.col("dimension") == F.col("above"), "left").withColumn("mean", F.coalesce("mean", F.lit(0.0)))
+    beyond, near = F.expr(f"mean > threshold * {1 + 2 * margin}D"), F.expr(f"mean > threshold * {1 - margin}D")
+    sums = means.groupBy("contract").agg(F.avg("mean").alias("mean"), F.count_if(beyond).alias("bad"), F.count_if(near & ~beyond).alias("warnings"), F.avg(F.expr("CASE WHEN mean > threshold THEN 0D ELSE 1D END")).alias("compliance"), F.max("overall").alias("overall"), F.sum("threshold").alias("width"))
+    any_blocked = scores.sparkSession.range(1).select(F.lit(False).alias("stopped")) if blocked is None else blocked.agg((F.count("column") > 0).alias("stopped"))
+    counted = sums.crossJoin(F.broadcast(any_blocked)).withColumn("blocking", F.expr("bad + CAST(mean > overall AS INT) + CAST(stopped AS INT)"))
+    out = counted.withColumn("colour", F.expr("CASE WHEN blocking >= 3 OR stopped THEN 'red' WHEN blocking > 0 THEN 'orange' WHEN warnings > 0 THEN 'yellow' ELSE 'green' END"))
+    passing = out.where("blocking = 0").agg(F.min_by("contract", F.struct("overall", "width", "contract")).alias("best"))
     return out.crossJoin(F.broadcast(passing)).select("contract", "mean", "blocking", "warnings", "compliance", "colour", F.coalesce(F.col("contract") == F.col("best"), F.lit(False)).alias("strictest"))
 
 
 def contract(scores: DataFrame, thresholds: DataFrame, margin: float = 0.2) -> DataFrame:
     """Mean score per dimension against its threshold."""
     means = scores.groupBy("dimension").agg(F.avg("score").alias("mean"))
-    return means.join(F.broadcast(thresholds), "dimension").selectExpr("dimension", "mean", "threshold", f"CASE WHEN mean > threshold * {1 + 2 * margin}D THEN 'blocking' WHEN mean > threshold * {1 - margin}D THEN 'warning' ELSE 'ok' END AS status")
+    return means.join(thresholds, "dimension").selectExpr("dimension", "mean", "threshold", f"CASE WHEN mean > threshold * {1 + 2 * margin}D THEN 'blocking' WHEN mean > threshold * {1 - margin}D THEN 'warning' ELSE 'ok' END AS status")
 
 
 def upsert(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:

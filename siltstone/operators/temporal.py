@@ -92,6 +92,23 @@ def flow_window(df: DataFrame, ts: str, condition: str) -> DataFrame:
     return df.where(condition).agg(F.datediff(F.max(ts), F.min(ts)).alias("span"), F.count_distinct(F.to_date(ts)).alias("n")).selectExpr("span", "n", "CASE WHEN n > 1 THEN span * n / (n - 1D) END AS window_days")
 
 
+def reconciled_window(flows: list[tuple[DataFrame, str, str]], default: float, grain: str = "day") -> DataFrame:
+    """``days, derived, reason, flows``: the one period that all ``frame, time, condition`` flows of a metric span.
+
+    Each flow's window is measured on the rows that its condition keeps and corrected for the period that its last one opens.
+    If a flow has no row or a single period, or flows disagree by a thousandth of a day, ``default`` days stand, with the reason.
+    """
+    from functools import reduce
+
+    one = lambda i, df, ts, cond: df.where(cond).agg(
+        (F.unix_micros(F.max(ts).cast("timestamp")) - F.unix_micros(F.min(ts).cast("timestamp"))).alias("span_us"), F.count_distinct(F.date_trunc(grain, ts)).alias("n")
+    ).selectExpr(f"{i} AS flow", "n", "CASE WHEN n > 1 AND span_us > 0 THEN span_us / 86400e6D * n / (n - 1D) END AS days")
+    windows = reduce(DataFrame.unionByName, [one(i, *f) for i, f in enumerate(flows)])
+    both = windows.agg(F.count("*").alias("flows"), F.count("days").alias("measured"), F.count_if(F.col("n") == 0).alias("empty"), F.count_distinct(F.round("days", 3)).alias("different"), F.min_by("days", "flow").alias("first"))
+    reason = "CASE WHEN empty > 0 THEN 'a flow has no rows' WHEN measured < flows THEN 'a flow spans a single period' WHEN different > 1 THEN 'flows disagree' END"
+    return both.selectExpr(f"CASE WHEN ({reason}) IS NULL THEN first ELSE {float(default)}D END AS days", f"({reason}) IS NULL AS derived", f"{reason} AS reason", "flows")
+
+
 def profile_temporal(df: DataFrame) -> DataFrame:
     """Bounds, gap statistics and grain of every time column, one row each."""
     from functools import reduce

@@ -59,15 +59,47 @@ def cast_tests(df: DataFrame, column: str) -> DataFrame:
     return one.selectExpr("stack({}, {}) AS (pattern, type, parsed, total)".format(len(PATTERNS) + 1, ", ".join([f"'{n}', '{t}', {n}, n" for n, _, t, _ in PATTERNS] + ["'text', 'VARCHAR', n, n"])))
 
 
-def type_candidates(df: DataFrame, columns: list[str], min_match: float = 0.5, min_cast: float = 0.8, most: int | None = None) -> DataFrame:
-    """Patterns that enough values match and parse; text, with confidence 1, only where none does."""
-    parts = []
-    for c in columns:
-        both = pattern_match_rates(df, c, most).join(F.broadcast(cast_tests(df, c)), "pattern", "right")
-        rate = both.selectExpr("pattern", "type", "coalesce(rate, 0) AS match_rate", "try_divide(parsed, total) AS cast_rate")
-        parts.append(rate.where(f"(match_rate >= {min_match} AND cast_rate >= {min_cast}) OR pattern = 'text'").selectExpr(f"'{c}' AS column", "pattern", "type", "CASE WHEN pattern = 'text' THEN 1D ELSE (match_rate + cast_rate) / 2 END AS confidence"))
-    alone = F.count("*").over(Window.partitionBy("column")) == 1
-    return reduce(DataFrame.unionByName, parts).withColumn("alone", alone).where("pattern <> 'text' OR alone").drop("alone")
+def catalogue_scan(df: DataFrame, columns: list[str]) -> DataFrame:
+    """``column, pattern, type, matched, parsed, distinct_values, total`` for every text column and pattern, in one shuffle and one aggregate.
+
+    matched: distinct values that fit the pattern.  parsed: rows whose value its expression parses.  A row with the pattern
+    ``mixed`` per type of several patterns counts the rows that any matching pattern of the type parses.
+    """
+    cells = df.selectExpr(f"stack({len(columns)}, {', '.join(f'{chr(39)}{c}{chr(39)}, CAST(`{c}` AS STRING)' for c in columns)}) AS (column, v)").where("v IS NOT NULL")
+    values = cells.groupBy("column", "v").agg(F.count("*").alias("n"))
+    several = [t for t in dict.fromkeys(p[2] for p in PATTERNS) if t != "VARCHAR" and sum(p[2] == t for p in PATTERNS) > 1]
+    fits = {n: F.col("v").rlike(p) for n, p, _, _ in PATTERNS}
+    parse = {n: e.format(c="v") for n, _, _, e in PATTERNS}
+    counts = [F.count_if(fits[n]).alias(f"m_{n}") for n in fits] + [F.sum(F.expr(f"CASE WHEN ({e}) IS NOT NULL THEN n ELSE 0 END")).alias(f"p_{n}") for n, e in parse.items()]
+    # A value counts for a mixed column if a pattern that it fits also parses it.
+    mixed = lambda t: reduce(lambda x, y: x | y, [fits[n] & F.expr(f"({parse[n]}) IS NOT NULL") for n, _, kind, _ in PATTERNS if kind == t])
+    counts += [F.sum(F.when(mixed(t), F.col("n")).otherwise(0)).alias(f"p_mixed_{t}") for t in several]
+    one = values.groupBy("column").agg(F.count("*").alias("distinct_values"), F.sum("n").alias("total"), *counts)
+    rows = [f"'{n}', '{t}', m_{n}, p_{n}" for n, _, t, _ in PATTERNS] + [f"'mixed', '{t}', 0L, p_mixed_{t}" for t in several]
+    return one.selectExpr("column", "distinct_values", "total", f"stack({len(rows)}, {', '.join(rows)}) AS (pattern, type, matched, parsed)").select("column", "pattern", "type", "matched", "parsed", "distinct_values", "total")
+
+
+def type_candidates(df: DataFrame, columns: list[str], min_match: float = 0.5, min_cast: float = 0.8) -> DataFrame:
+    """``column, pattern, type, confidence``: patterns that enough values match and parse; text, with confidence 1, only where none does.
+
+    A type that no pattern alone passes may be a mix: if two patterns or more of it match some value and together parse
+    ``min_cast`` of the rows, their names joined by + are a candidate.  One scan, whatever the number of columns.
+    """
+    places = df.sparkSession.createDataFrame([(n, i) for i, (n, *_) in enumerate(PATTERNS)], "name string, place int")
+    scan = catalogue_scan(df, columns)
+    rated = scan.withColumns({"match_rate": F.expr("matched / distinct_values"), "cast_rate": F.expr("parsed / total")})
+    alone = f"pattern <> 'mixed' AND match_rate >= {min_match} AND cast_rate >= {min_cast}"
+    of_type = Window.partitionBy("column", "type")
+    named = rated.join(F.broadcast(places), F.col("pattern") == F.col("name"), "left").withColumns({
+        "passes": F.bool_or(F.expr(alone)).over(of_type), "seen": F.count_if(F.expr("pattern <> 'mixed' AND matched > 0")).over(of_type), "all_matched": F.sum("matched").over(of_type),
+        "names": F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.expr("pattern <> 'mixed' AND matched > 0"), F.struct("place", "pattern"))).over(of_type)), lambda x: x["pattern"]), "+"),
+    })
+    single = named.where(alone).selectExpr("column", "pattern", "type", "(match_rate + cast_rate) / 2 AS confidence")
+    mix = named.where(f"pattern = 'mixed' AND NOT passes AND seen >= 2 AND cast_rate >= {min_cast}").selectExpr("column", "names AS pattern", "type", "(least(1D, all_matched / distinct_values) + cast_rate) / 2 AS confidence")
+    found = single.unionByName(mix)
+    every = df.sparkSession.createDataFrame([(c,) for c in columns], "column string")
+    text = every.join(found.select("column").distinct(), "column", "left_anti").selectExpr("column", "'text' AS pattern", "'VARCHAR' AS type", "1D AS confidence")
+    return found.unionByName(text)
 
 
 def decide_types(candidates: DataFrame, overrides: DataFrame | None = None, least: float = 0.85) -> DataFrame:
@@ -77,14 +109,17 @@ def decide_types(candidates: DataFrame, overrides: DataFrame | None = None, leas
     out = best.selectExpr("column", f"CASE WHEN confidence >= {least} THEN pattern ELSE 'text' END AS pattern", f"CASE WHEN confidence >= {least} THEN type ELSE 'VARCHAR' END AS type")
     if overrides is None:
         return out
-    return out.join(F.broadcast(overrides.select("column", F.col("pattern").alias("o_pattern"), F.col("type").alias("o_type"))), "column", "left").selectExpr("column", "coalesce(o_pattern, pattern) AS pattern", "coalesce(o_type, type) AS type")
+    return out.join(overrides.select("column", F.col("pattern").alias("o_pattern"), F.col("type").alias("o_type")), "column", "left").selectExpr("column", "coalesce(o_pattern, pattern) AS pattern", "coalesce(o_type, type) AS type")
 
 
 def _parse(decisions: dict[str, str]) -> dict[str, str]:
     expr = {n: e for n, _, _, e in PATTERNS} | {"text": "{c}"}
     # mixed:TYPE stands for all patterns of a type, the first that parses a value.
     expr |= {f"mixed:{kind}": f"coalesce({', '.join(e for _, _, k, e in PATTERNS if k == kind)})" for kind in {p[2] for p in PATTERNS}}
-    return {c: expr[p].format(c=f"`{c}`") for c, p in decisions.items()}
+    # Names joined by + are a mix of just these; each only reads values that fit it.
+    fits = {n: p.replace("\\", "\\\\") for n, p, _, _ in PATTERNS}
+    mix = lambda names: f"coalesce({', '.join(f'CASE WHEN {{c}} RLIKE {chr(34)}' + fits[n].replace('{', '{{').replace('}', '}}') + f'{chr(34)} THEN {expr[n]} END' for n in names)})"
+    return {c: (mix(p.split("+")) if "+" in p else expr[p]).format(c=f"`{c}`") for c, p in decisions.items()}
 
 
 def build_typed(raw: DataFrame, decisions: dict[str, str]) -> DataFrame:

@@ -170,10 +170,10 @@ def _(table):
     return rounded(e.graph_shape(g.node_roles(nodes, edges), g.topology(nodes, edges)))
 
 
-@query("s01_csv_text", "SELECT CAST(c_custkey AS VARCHAR) AS cust_key, CASE WHEN c_custkey % 5 > 0 THEN c_name END AS name, c_mktsegment AS name_2 FROM customer")
+@query("s01_csv_text", "SELECT CAST(c_custkey AS VARCHAR) AS cust_key, CASE WHEN c_custkey % 5 > 0 THEN c_name END AS name, c_nationkey::VARCHAR AS c_2024_nation, c_mktsegment AS name_2, 'x' AS name_3, 'y' AS column_6 FROM customer")
 def _(table):
-    # The segment's column has the same safe name, and every fifth name is a placeholder.
-    df = table("customer").selectExpr("c_custkey AS `Cust Key`", "CASE WHEN c_custkey % 5 > 0 THEN c_name ELSE 'n/a' END AS ` Name`", "c_mktsegment AS `Näme!`", "1 AS `Unnamed: 0`")
+    # Three columns have the same safe name, one has none, and every fifth name is a placeholder.
+    df = table("customer").selectExpr("c_custkey AS `Cust Key`", "CASE WHEN c_custkey % 5 > 0 THEN c_name ELSE 'n/a' END AS ` Name`", "c_nationkey AS `2024 Nation`", "c_mktsegment AS `Näme!`", "1 AS `Unnamed: 0`", "'x' AS `name`", "'y' AS `??`")
     path = scratch(df.sparkSession)
     df.write.option("header", True).csv(path)
     return r.read_csv_text(df.sparkSession, path, df.columns)

@@ -86,3 +86,39 @@ def _(table):
     edges = table("orders").selectExpr("'places' AS kind", "concat('c', o_custkey) AS a", "concat('p', o_orderpriority) AS b").union(table("orders").selectExpr("'has'", "concat('o', o_orderkey)", "concat('p', o_orderpriority)"))
     vertices = table("customer").selectExpr("concat('c', c_custkey) AS node", "'customer' AS kind", "c_name AS name").union(table("orders").selectExpr("concat('p', o_orderpriority)", "'priority'", "upper(o_orderpriority)").distinct())
     return g.typed_matches(vertices, edges, "places", "customer", "priority").selectExpr("cast(substr(a, 2) AS bigint) AS a", "a_name", "substr(b, 2) AS b", "b_name")
+
+
+# Graphs of known shape made of the tables: edges, number of components, and number of groups that lie on cycles.
+_SHAPES = {
+    "star": ("SELECT 'c' || c_custkey AS a, 'all' AS b FROM customer", "1", 0),
+    "spokes": ("SELECT 'c' || c_custkey AS a, 'n' || c_nationkey AS b FROM customer UNION ALL SELECT DISTINCT 'n' || c_nationkey, 'world' FROM customer", "1", 0),
+    "apart": ("SELECT 'o' || o_orderkey AS a, 'c' || o_custkey AS b FROM orders", "count(*) FILTER (WHERE node LIKE 'c%')", 0),
+    "line": ("SELECT 'r' || r_regionkey AS a, 'r' || (r_regionkey + 1) AS b FROM region", "1", 0),
+    "ring": ("SELECT 'r' || r_regionkey AS a, 'r' || ((r_regionkey + 1) % 5) AS b FROM region", "1", 1),
+    "pairs": ("SELECT 'r' || x.r_regionkey AS a, 'r' || y.r_regionkey AS b FROM region x JOIN region y ON x.r_regionkey < y.r_regionkey", "1", 0),
+    "woven": ("SELECT 'r' || r_regionkey AS a, 'r' || ((r_regionkey + 1) % 5) AS b FROM region UNION ALL SELECT 'c' || c_custkey, 'r' || (c_nationkey % 5) FROM customer", "1", 1),
+    "loop": ("SELECT 'r' || least(r_regionkey, (r_regionkey + 1) % 5) AS a, 'r' || greatest(r_regionkey, (r_regionkey + 1) % 5) AS b FROM region", "1", 0),
+}
+_DEGREES = "(SELECT node, count(DISTINCT o) AS degree FROM (SELECT a AS node, b AS o FROM ({q}) WHERE a <> b UNION ALL SELECT b, a FROM ({q}) WHERE a <> b) GROUP BY 1)"
+_ONE = "SELECT '{g}' AS graph, count(*) AS v, CAST(sum(degree) / 2 AS BIGINT) AS e, {c} AS c, count(*) FILTER (WHERE degree >= 3) AS hubs, count(*) FILTER (WHERE degree = 1) AS leaves, 0 AS isolated, {r} AS cycles FROM " + _DEGREES
+_CLASSES = "SELECT *, round(2.0 * e / (v * (v - 1)), 9) AS density, CASE WHEN 2 * e = v * (v - 1) THEN 'complete' WHEN c > 1 THEN 'disconnected' WHEN cycles = 0 AND hubs = 1 AND leaves >= 2 THEN 'star_schema' WHEN cycles = 0 AND hubs >= 1 AND leaves >= 1 THEN 'hub_and_spoke' WHEN cycles > 0 AND hubs >= 1 THEN 'mesh_with_cycles' WHEN cycles > 0 THEN 'cyclic' WHEN hubs = 0 AND e = v - 1 THEN 'chain' ELSE 'mesh' END AS pattern FROM (" + " UNION ALL ".join(_ONE.format(g=g_, q=q, c=c, r=r) for g_, (q, c, r) in _SHAPES.items()) + ")"
+
+
+@query("g04_pattern_classes", _CLASSES)
+def _(table):
+    c, o, r = table("customer"), table("orders"), table("region")
+    link = lambda df, graph, a, b: df.selectExpr(f"'{graph}' AS graph", f"{a} AS a", f"{b} AS b")
+    of = lambda letter, e: f"concat('{letter}', {e})"
+    after = "(r_regionkey + 1) % 5"
+    edges = [
+        link(c, "star", of("c", "c_custkey"), "'all'"), link(c, "spokes", of("c", "c_custkey"), of("n", "c_nationkey")), link(c, "spokes", of("n", "c_nationkey"), "'world'"),
+        link(o, "apart", of("o", "o_orderkey"), of("c", "o_custkey")), link(r, "line", of("r", "r_regionkey"), of("r", "r_regionkey + 1")), link(r, "ring", of("r", "r_regionkey"), of("r", after)),
+        link(r.join(r.select(F.col("r_regionkey").alias("other")), F.col("r_regionkey") < F.col("other")), "pairs", of("r", "r_regionkey"), of("r", "other")),
+        link(r, "woven", of("r", "r_regionkey"), of("r", after)), link(c, "woven", of("c", "c_custkey"), of("r", "c_nationkey % 5")),
+        link(r, "loop", of("r", f"least(r_regionkey, {after})"), of("r", f"greatest(r_regionkey, {after})")),
+    ]
+    every = edges[0]
+    for e in edges[1:]:
+        every = every.unionByName(e)
+    nodes = every.select("graph", F.col("a").alias("node")).union(every.select("graph", "b"))
+    return rounded(g.pattern_classes(nodes, every), 9)

@@ -156,7 +156,7 @@ def _(table):
     return m.formula_additivity(declared, parts)
 
 
-_BUCKETS = [(6, "hour", "2000-01-01"), (10, "day", "2000-01-01"), (3, "week", "2000-01-03"), (2, "quarter", "2000-01-01"), (2, "year", "2000-01-01")]
+_BUCKETS = [(7, "second", "2000-01-01"), (15, "minute", "2000-01-01"), (7, "minute", "2000-01-01"), (6, "hour", "2000-01-01"), (10, "day", "2000-01-01"), (3, "week", "2000-01-03"), (2, "quarter", "2000-01-01"), (2, "year", "2000-01-01")]
 
 
 @query("m12_buckets", " UNION ALL ".join(f"SELECT '{n} {u}' AS size, time_bucket(INTERVAL '{n * (3 if u == 'quarter' else 1)} {'months' if u == 'quarter' else u + 's'}', ts::TIMESTAMP, TIMESTAMP '{o} 00:00:00')::TIMESTAMP AS bucket, count(*) AS rows FROM events GROUP BY 2" for n, u, o in _BUCKETS))

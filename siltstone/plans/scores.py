@@ -125,15 +125,46 @@ def _(table):
     return rounded(v.readiness_report(scores, weights, expected))
 
 
-_CONTRACTS = "(VALUES ('strict', 'nulls', 0.05, 0.2), ('strict', 'outliers', 0.1, 0.2), ('usual', 'nulls', 0.12, 0.5), ('usual', 'outliers', 0.6, 0.5), ('lax', 'nulls', 0.5, 0.9), ('lax', 'outliers', 0.9, 0.9)) k(contract, dimension, threshold, overall)"
-_COLOURS = f"WITH c AS (SELECT target AS col, dimension, score::DOUBLE AS score, contract, threshold::DOUBLE AS threshold, overall::DOUBLE AS overall FROM {_SC} JOIN {_CONTRACTS} USING (dimension)), b AS (SELECT contract, avg(CASE WHEN bad THEN 0 ELSE 1 END) AS compliance FROM (SELECT contract, col, bool_or(score > threshold * 1.4) AS bad FROM c GROUP BY 1, 2) GROUP BY 1), m AS (SELECT contract, dimension, threshold, overall, avg(score) AS mean FROM c GROUP BY 1, 2, 3, 4), s AS (SELECT contract, avg(mean) AS mean, count(*) FILTER (WHERE mean > threshold * 1.4) AS blocking, count(*) FILTER (WHERE mean > threshold * 0.8 AND mean <= threshold * 1.4) AS warnings, max(overall) AS overall, sum(threshold) AS width FROM m GROUP BY 1), o AS (SELECT *, CASE WHEN blocking > 0 OR mean > overall THEN 'red' WHEN compliance < 1 THEN 'orange' WHEN warnings > 0 THEN 'yellow' ELSE 'green' END AS colour FROM s JOIN b USING (contract))"
+_LIMITS = [
+    ("strict", 0.2, {"nulls": 0.02, "outliers": 0.1, "spread": 0.01}),
+    ("usual", 0.5, {"nulls": 0.12, "outliers": 0.6}),
+    ("lax", 0.9, {"nulls": 0.5, "outliers": 0.9}),
+    ("uneven", 0.35, {"nulls": 0.12, "outliers": 0.3, "age": 0.1}),
+]
+_CONTRACTS = "(VALUES " + ", ".join(f"('{n}', '{d}', {t}, {o})" for n, o, ts in _LIMITS for d, t in ts.items()) + ") k(contract, dimension, threshold, overall)"
+_COLOURS = f"""WITH m AS (SELECT contract, dimension, threshold::DOUBLE AS threshold, overall::DOUBLE AS overall, coalesce(avg(score), 0) AS mean FROM {_CONTRACTS} LEFT JOIN {_DIRECT} USING (dimension) GROUP BY ALL),
+x AS (SELECT {{blocked}} AS stopped), s AS (SELECT contract, avg(mean) AS mean, count(*) FILTER (WHERE mean > threshold * 1.4) AS bad, count(*) FILTER (WHERE mean > threshold * 0.8 AND mean <= threshold * 1.4) AS warnings, avg(CASE WHEN mean > threshold THEN 0 ELSE 1 END) AS compliance, max(overall) AS overall FROM m GROUP BY 1),
+o AS (SELECT *, bad + (mean > overall)::INT + stopped::INT AS blocking, CASE WHEN bad + (mean > overall)::INT + stopped::INT >= 3 OR stopped THEN 'red' WHEN bad + (mean > overall)::INT > 0 THEN 'orange' WHEN warnings > 0 THEN 'yellow' ELSE 'green' END AS colour FROM s, x)
+SELECT contract, round(mean, 6) AS mean, CAST(blocking AS BIGINT) AS blocking, warnings, round(compliance, 6) AS compliance, colour, coalesce(contract = (SELECT arg_min(contract, overall) FROM o WHERE blocking = 0), false) AS strictest FROM o"""
+
+
+def _contracts(table):
+    """Scores of two dotted dimensions and the contracts that limit them, their parent, or nothing that is measured."""
+    c = table("customer")
+    scores = _scores(table).unionByName(c.groupBy(F.col("c_mktsegment").alias("target")).agg(F.lit("spread").alias("dimension"), F.expr("avg(CASE WHEN c_acctbal > 9000 THEN 1D ELSE 0D END)").alias("score")))
+    listed = [(n, d, t, o) for n, o, ts in _LIMITS for d, t in ts.items()]
+    return scores.withColumnRenamed("target", "column"), scores.sparkSession.createDataFrame(listed, "contract string, dimension string, threshold double, overall double")
+
+
+@query("v18_contracts", _COLOURS.replace("{blocked}", "false"))
+def _(table):
+    return rounded(v.evaluate_contracts(*_contracts(table)))
+
+
+@query("v18_blocked_columns", _COLOURS.replace("{blocked}", f"(SELECT count(*) > 0 FROM (SELECT target, max(risk) AS risk FROM ({_LOSS}) GROUP BY 1) WHERE risk >= 0.4)"))
+def _(table):
+    risky = v.readiness(_losses(table)).where("risk >= 0.4").select(F.col("target").alias("column"))
+    return rounded(v.evaluate_contracts(*_contracts(table), blocked=risky))
+
+
+# A table's dimension is measured as the mean of the dotted ones below it.
+_PARENT = "WITH t AS (SELECT target, avg(score) AS score FROM {sc} GROUP BY 1) SELECT 'whole' AS contract, round(avg(score), 6) AS mean, CAST((avg(score) > 0.05 * 1.4)::INT + (avg(score) > 0.3)::INT AS BIGINT) AS blocking, CAST((avg(score) > 0.05 * 0.8 AND avg(score) <= 0.05 * 1.4)::INT AS BIGINT) AS warnings, CASE WHEN avg(score) > 0.05 THEN 0.0 ELSE 1 END::DOUBLE AS compliance, CASE WHEN avg(score) > 0.05 * 1.4 OR avg(score) > 0.3 THEN 'orange' WHEN avg(score) > 0.05 * 0.8 THEN 'yellow' ELSE 'green' END AS colour, avg(score) <= 0.05 * 1.4 AND avg(score) <= 0.3 AS strictest FROM t"
 
 
-@query("v18_contracts", f"{_COLOURS} SELECT contract, round(mean, 6) AS mean, blocking, warnings, round(compliance, 6) AS compliance, colour, coalesce(contract = (SELECT arg_min(contract, width) FROM o WHERE colour <> 'red'), false) AS strictest FROM o")
+@query("v18_parent_dimension", _PARENT.format(sc=_SC))
 def _(table):
-    scores = _scores(table).withColumnRenamed("target", "column")
-    contracts = scores.sparkSession.createDataFrame([("strict", "nulls", 0.05, 0.2), ("strict", "outliers", 0.1, 0.2), ("usual", "nulls", 0.12, 0.5), ("usual", "outliers", 0.6, 0.5), ("lax", "nulls", 0.5, 0.9), ("lax", "outliers", 0.9, 0.9)], "contract string, dimension string, threshold double, overall double")
-    return rounded(v.evaluate_contracts(scores, contracts))
+    scores = _scores(table).withColumnRenamed("target", "column").withColumn("dimension", F.concat(F.lit("value."), "dimension"))
+    return rounded(v.evaluate_contracts(scores, scores.sparkSession.createDataFrame([("whole", "value", 0.05, 0.3)], "contract string, dimension string, threshold double, overall double")))
 
 
 @query("v19_current_runs", "SELECT o_orderkey AS target, o_custkey AS run_id FROM orders WHERE o_custkey % 2 = 0")

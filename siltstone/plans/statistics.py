@@ -24,14 +24,41 @@ def _(table):
     return rounded(x.find_derived(_line(table), ["l_extendedprice", "l_discount", "net", "rebate"]))
 
 
-_V = "WITH c AS (SELECT {a} AS a, {b} AS b, count(*) AS n FROM {t} WHERE {a} IS NOT NULL AND {b} IS NOT NULL GROUP BY 1, 2), r AS (SELECT a, sum(n) AS na FROM c GROUP BY 1), k AS (SELECT b, sum(n) AS nb FROM c GROUP BY 1), j AS (SELECT sum(n * n / (na * nb)) AS s, sum(n) AS total FROM c JOIN r USING (a) JOIN k USING (b)), z AS (SELECT (SELECT count(*) FROM r) AS r, (SELECT count(*) FROM k) AS c) SELECT CAST(total AS BIGINT) AS total, round(total * (s - 1), 4) AS chi2, (r - 1) * (c - 1) AS df, round(sqrt(greatest(s - 1, 0) / (least(r, c) - 1)), 4) AS v, CASE WHEN sqrt(greatest(s - 1, 0) / (least(r, c) - 1)) >= 0.5 THEN 'strong' WHEN sqrt(greatest(s - 1, 0) / (least(r, c) - 1)) >= 0.3 THEN 'moderate' WHEN sqrt(greatest(s - 1, 0) / (least(r, c) - 1)) >= 0.1 THEN 'weak' ELSE 'none' END AS strength FROM j, z"
+_V = "WITH c AS (SELECT {a} AS a, {b} AS b, count(*) AS n FROM {t} WHERE {a} IS NOT NULL AND {b} IS NOT NULL GROUP BY 1, 2), r AS (SELECT a, sum(n) AS na FROM c GROUP BY 1), k AS (SELECT b, sum(n) AS nb FROM c GROUP BY 1), j AS (SELECT sum(n * n / (na * nb)) AS s, sum(n) AS total FROM c JOIN r USING (a) JOIN k USING (b)), z AS (SELECT (SELECT count(*) FROM r) AS r, (SELECT count(*) FROM k) AS c) SELECT CAST(total AS BIGINT) AS total, round(total * (s - 1), 4) AS chi2, (r - 1) * (c - 1) AS df, round(sqrt(greatest(s - 1, 0) / (least(r, c) - 1)), 4) AS v, CASE WHEN sqrt(greatest(s - 1, 0) / (least(r, c) - 1)) >= 0.5 THEN 'strong' WHEN sqrt(greatest(s - 1, 0) / (least(r, c) - 1)) >= 0.3 THEN 'moderate' WHEN sqrt(greatest(s - 1, 0) / (least(r, c) - 1)) >= 0.1 THEN 'weak' ELSE 'none' END AS strength, round({p}, 4) AS p_value FROM j, z"
 
 
-@query("a05_cramers_v", _V.format(a="l_returnflag", b="l_linestatus", t="lineitem"))
+# The tail of chi-square with an even number of degrees of freedom is a sum; ``half`` of them.
+_TAIL = "exp(-total * (s - 1) / 2) * (1 {more})"
+
+
+def _tail(half):
+    return _TAIL.format(more="".join(f" + pow(total * (s - 1) / 2, {k}) / gamma({k + 1})" for k in range(1, half)))
+
+
+@query("a05_cramers_v", _V.format(a="l_returnflag", b="l_linestatus", t="lineitem", p=_tail(1)))
 def _(table):
     return rounded(x.cramers_v(table("lineitem"), "l_returnflag", "l_linestatus"), 4)
 
 
+@query("a05_many_levels", _V.format(a="l_linenumber", b="l_returnflag", t="lineitem", p=_tail(6)))
+def _(table):
+    return rounded(x.cramers_v(table("lineitem"), "l_linenumber", "l_returnflag"), 4)
+
+
+_ORDER_LABELS = {"o_orderstatus": "o_orderstatus", "o_orderpriority": "o_orderpriority", "big": "CASE WHEN o_totalprice > 150000 THEN o_totalprice ELSE 0 END", "third": "CASE WHEN o_custkey % 3 = 0 THEN 'x' END", "bonus": "CASE WHEN o_custkey % 3 = 0 THEN o_orderkey % 2 END"}
+_LABEL_SQL = {c: f"CAST(coalesce({e} <> 0, false) AS VARCHAR)" if c in ("big", "bonus") else f"coalesce('=' || {e}, '-')" for c, e in _ORDER_LABELS.items()}
+_ENTROPY = "(SELECT log2(sum(n)) - sum(n * log2(n)) / sum(n) FROM (SELECT count(*) AS n FROM orders GROUP BY {}))"
+_PAIR_NMI = " UNION ALL ".join(
+    f"SELECT '{a}' AS a, '{b}' AS b, {_ENTROPY.format(_LABEL_SQL[a])} AS h_a, {_ENTROPY.format(_LABEL_SQL[b])} AS h_b, {_ENTROPY.format(_LABEL_SQL[a] + ', ' + _LABEL_SQL[b])} AS h_ab"
+    for i, a in enumerate(_ORDER_LABELS) for b in list(_ORDER_LABELS)[i + 1 :]
+)
+
+
+@query("a07_dependent_pairs", f"SELECT a, b, round(greatest(0, h_a + h_b - h_ab), 6) AS mi, round(CASE WHEN h_a * h_b > 0 THEN greatest(0, h_a + h_b - h_ab) / sqrt(h_a * h_b) ELSE 0 END, 6) AS nmi FROM ({_PAIR_NMI}) ORDER BY nmi DESC, a, b LIMIT 5")
+def _(table):
+    return rounded(x.dependent_pairs(table("orders").selectExpr(*[f"{e} AS {c}" for c, e in _ORDER_LABELS.items()]), list(_ORDER_LABELS)))
+
+
 _MI = "WITH c AS (SELECT p_brand AS a, p_type AS b, count(*) AS n FROM part GROUP BY 1, 2), e AS (SELECT (SELECT log2(sum(n)) - sum(n * log2(n)) / sum(n) FROM (SELECT sum(n) AS n FROM c GROUP BY a)) AS h_a, (SELECT log2(sum(n)) - sum(n * log2(n)) / sum(n) FROM (SELECT sum(n) AS n FROM c GROUP BY b)) AS h_b, (SELECT log2(sum(n)) - sum(n * log2(n)) / sum(n) FROM c) AS h_ab) SELECT round(h_a, 6) AS h_a, round(h_b, 6) AS h_b, round(h_a + h_b - h_ab, 6) AS mi, round((h_a + h_b - h_ab) / least(h_a, h_b), 6) AS nmi, round((h_a + h_b - h_ab) / h_b, 6) AS fraction_of_information FROM e"
 
 

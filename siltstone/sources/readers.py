@@ -18,24 +18,31 @@ JUNK_COLUMNS = ["Unnamed: 0", "Unnamed: 0.1", "Unnamed: 0.2", "column0", "column
 
 
 def safe_name(header: str, position: int = 0) -> str:
-    """Runs of letters and digits, lower-case and without accents, joined by underscores.
+    """Lower-case letters, digits and underscores: white space becomes one, accents and all else go.
 
-    A name that would be empty or begin with a digit is put behind the column's position.
+    A name that would begin with a digit gets ``c_`` before it, an empty one is ``column_`` and its position.
     """
-    kept = (" " if not c.isalnum() and not unicodedata.combining(c) else c if c.isascii() and c.isalnum() else "" for c in unicodedata.normalize("NFKD", header.casefold()))
-    name = "_".join("".join(kept).split())
-    return name if name[:1].isalpha() else "_".join([f"n{position}", *name.split()])
+    letters = unicodedata.normalize("NFD", header.strip().lower())
+    words = "".join("_" if c.isspace() else c for c in letters if c.isspace() or c == "_" or (c.isascii() and c.isalnum())).split("_")
+    name = "_".join(w for w in words if w)
+    if not name:
+        return f"column_{position}"
+    return f"c_{name}" if name[0].isdigit() else name
 
 
 def safe_names(headers: list[str]) -> list[str]:
-    """Safe names of all headers; one that is taken gets its position behind it."""
-    out: dict[str, None] = {}
+    """Safe names of all headers; the second of a name gets ``_2`` behind it, the third ``_3``, and so on."""
+    out: list[str] = []
+    times: dict[str, int] = {}
     for i, header in enumerate(headers):
-        name = safe_name(header, i)
-        while name in out:
-            name = f"{name}_{i}"
-        out[name] = None
-    return list(out)
+        first = name = safe_name(header, i)
+        # A numbered name may itself be a header's.
+        while name in out or (times.get(first, 0) and name == first):
+            times[first] = times.get(first, 1) + 1
+            name = f"{first}_{times[first]}"
+        times.setdefault(first, 1)
+        out.append(name)
+    return out
 
 
 def normalise_columns(df: DataFrame) -> DataFrame:
@@ -67,7 +74,10 @@ def read_csv_text(spark: SparkSession, path: str | list[str], header: list[str]
     reader = spark.read.option("header", True).option("mode", "FAILFAST").option("escape", '"').option("multiLine", False)
     if header is not None:
         reader = reader.schema(StructType([]) if not header else ", ".join(f"`{h}` string" for h in header))
-    return normalise_columns(drop_junk(blank_nulls(reader.csv(path))))
+    raw = reader.csv(path)
+    # Every header has its place and its number, also those that go.
+    named = [(n, h) for n, h in zip(safe_names(raw.columns), raw.columns, strict=True) if h not in JUNK_COLUMNS]
+    return drop_junk(blank_nulls(raw)).toDF(*[n for n, _ in named])
 
 
 def read_json_text(spark: SparkSession, path: str | list[str]) -> DataFrame:
@@ -81,11 +91,24 @@ def read_parquet_typed(spark: SparkSession, path: str | list[str]) -> DataFrame:
     return normalise_columns(spark.read.parquet(path))
 
 
-def read_database(spark: SparkSession, url: str, queries: dict[str, str], **options: str) -> dict[str, DataFrame]:
-    """One DataFrame per named query over JDBC; pass partitioning options to read in parallel."""
-    out = {name: normalise_columns(spark.read.format("jdbc").option("url", url).option("query", q).options(**options).load()) for name, q in queries.items()}
-    for name, df in out.items():
-        if not df.take(1):
+def read_database(spark: SparkSession, url: str, queries: dict[str, str], split: dict[str, tuple[str, int]] | None = None, **options: str) -> dict[str, DataFrame]:
+    """One DataFrame per named query over JDBC, with a warning for one without rows.
+
+    split: for a query, a column of whole numbers or times and the number of ranges that are read at the same time; their
+    bounds are asked of the database first.  Rows with a null there come with the first range.
+    """
+    reader = lambda sql: spark.read.format("jdbc").option("url", url).options(**options).option("dbtable", f"({sql}) q_")
+    out = {}
+    for name, sql in queries.items():
+        rows = reader(sql)
+        if name in (split or {}):
+            column, parts = split[name]
+            quoted = spark._jvm.org.apache.spark.sql.jdbc.JdbcDialects.get(url).quoteIdentifier(column)
+            low, high = reader(f"SELECT MIN({quoted}) AS low_value, MAX({quoted}) AS high_value FROM ({sql}) r_").load().first()
+            if low is not None and parts > 1:
+                rows = rows.option("partitionColumn", column).option("lowerBound", str(low)).option("upperBound", str(high)).option("numPartitions", str(parts))
+        out[name] = normalise_columns(rows.load())
+        if not out[name].take(1):
             warnings.warn(f"query {name!r} returned no rows", stacklevel=2)
     return out
 
