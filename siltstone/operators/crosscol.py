@@ -116,8 +116,9 @@ def null_share(df: DataFrame, columns: list[str]) -> DataFrame:
 
 def distinct_scan(df: DataFrame, columns: list[str], pairs: list[tuple[str, str]]) -> DataFrame:
     """Distinct values of columns and of pairs, nulls counted, by one grouping of long rows."""
-    parts = [f"'{c}', to_json(struct({c}))" for c in columns] + [f"'{a},{b}', to_json(struct({a}, {b}))" for a, b in pairs]
-    return df.selectExpr(f"stack({len(parts)}, {', '.join(parts)}) AS (columns, value)").distinct().groupBy("columns").agg(F.count("*").alias("distinct_values"))
+    text = lambda c: f"CAST(`{c}` AS STRING)"
+    parts = [f"'{c}', {text(c)}, CAST(NULL AS STRING)" for c in columns] + [f"'{a},{b}', {text(a)}, {text(b)}" for a, b in pairs]
+    return df.selectExpr(f"stack({len(parts)}, {', '.join(parts)}) AS (columns, x, y)").distinct().groupBy("columns").agg(F.count("*").alias("distinct_values"))
 
 
 def dependency(df: DataFrame, a: str, b: str) -> DataFrame:

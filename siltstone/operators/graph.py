@@ -24,9 +24,14 @@ def node_roles(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 def connected_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """``node, component``: the smallest node reached.  Labels flow both ways and halve their paths; each round is
     written to the shared folder, so a lost executor costs one round at most."""
-    e = undirected(edges)
+    return _components(nodes, undirected(edges))
+
+
+def _components(nodes: DataFrame, e: DataFrame) -> DataFrame:
     both = stored(e.union(e.select("b", "a")))
-    labels = stored(nodes.select("node", F.col("node").alias("component")).distinct())
+    # Labels start with the smallest neighbour.
+    first = both.groupBy("a").agg(F.min("b").alias("c"))
+    labels = stored(nodes.select("node").distinct().join(first, F.col("node") == F.col("a"), "left").select("node", F.least("node", F.coalesce("c", "node")).alias("component")))
     while True:
         near = both.join(labels.select(F.col("node").alias("b"), F.col("component").alias("c")), "b").groupBy("a").agg(F.min("c").alias("c"))
         lower = labels.join(near, labels.node == near.a, "left").select("node", F.col("component").alias("old"), F.least("component", F.coalesce("c", "component")).alias("component"))
@@ -39,10 +44,9 @@ def connected_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 def topology(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Nodes, edges, components, circuit rank and density."""
-    v = nodes.select("node").distinct().agg(F.count("*").alias("v"))
-    e = undirected(edges).agg(F.count("*").alias("e"))
-    c = connected_components(nodes, edges).agg(F.count_distinct("component").alias("c"))
-    return v.crossJoin(F.broadcast(e)).crossJoin(F.broadcast(c)).selectExpr("v", "e", "c", "e - v + c AS circuit_rank", "try_divide(2D * e, v * (v - 1)) AS density")
+    links = stored(undirected(edges))
+    sizes = _components(nodes, links).agg(F.count("*").alias("v"), F.count_distinct("component").alias("c"))
+    return sizes.crossJoin(F.broadcast(links.agg(F.count("*").alias("e")))).selectExpr("v", "e", "c", "e - v + c AS circuit_rank", "try_divide(2D * e, v * (v - 1)) AS density")
 
 
 def hop(vertices_a: DataFrame, edges: DataFrame, vertices_b: DataFrame) -> DataFrame:

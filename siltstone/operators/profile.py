@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from siltstone.functions.stats import chi2_tail_8
 from siltstone.operators.longform import cells
-from siltstone.operators.quantiles import exact_quantiles, value_counts
+from siltstone.operators.quantiles import counted_quantiles, exact_quantiles, value_counts
+from siltstone.sources.scratch import stored
 
 
 def basic_counts(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -19,13 +20,12 @@ def basic_counts(df: DataFrame, columns: list[str]) -> DataFrame:
     )
 
 
-def _moments(df: DataFrame, columns: list[str]) -> DataFrame:
+def _moments(counts: DataFrame) -> DataFrame:
     """Counts and moments per column from one table of value counts.
 
     Where every value of a column has at most nine decimals, the mean is that of the exact sum, whatever
     the order of the rows.
     """
-    counts = value_counts(cells(df, columns, numeric=True))
     decimal = "try_cast(value AS decimal(24, 9))"
     base = counts.groupBy("column").agg(
         F.sum("n").alias("total"), F.expr("coalesce(sum(CASE WHEN value IS NULL THEN n END), 0)").alias("nulls"), F.count("value").alias("distinct_values"), F.min("value").alias("min"), F.max("value").alias("max"),
@@ -44,7 +44,7 @@ def _moments(df: DataFrame, columns: list[str]) -> DataFrame:
 
 def numeric_moments(df: DataFrame, columns: list[str]) -> DataFrame:
     """Least, greatest, mean, deviation, bias-corrected skewness and kurtosis, coefficient of variation."""
-    return _moments(df, columns).drop("total", "nulls", "distinct_values").withColumn("cv", F.try_divide("stddev", F.abs("mean")))
+    return _moments(_written_counts(df, columns)).drop("total", "nulls", "distinct_values").withColumn("cv", F.try_divide("stddev", F.abs("mean")))
 
 
 SHARES = {"p01": 0.01, "p25": 0.25, "p50": 0.5, "p75": 0.75, "p99": 0.99}
@@ -52,14 +52,21 @@ SHARES = {"p01": 0.01, "p25": 0.25, "p50": 0.5, "p75": 0.75, "p99": 0.99}
 
 def percentiles(df: DataFrame, columns: list[str], accuracy: int | None = None) -> DataFrame:
     """p01, p25, p50, p75, p99 per column: interpolated and exact, or approximate within 1/accuracy."""
-    long = cells(df, columns, numeric=True)
     if accuracy is None:
-        found = exact_quantiles(long, list(SHARES.values()))
-    else:
-        found = long.groupBy("column").agg(F.expr(f"percentile_approx(value, array({', '.join(f'{s}D' for s in SHARES.values())}), {accuracy})").alias("q"))
+        return _percentiles(_written_counts(df, columns))
+    found = cells(df, columns, numeric=True).groupBy("column").agg(F.expr(f"percentile_approx(value, array({', '.join(f'{s}D' for s in SHARES.values())}), {accuracy})").alias("q"))
     return found.selectExpr("column", *[f"q[{i}] AS {name}" for i, name in enumerate(SHARES)])
 
 
+def _written_counts(df: DataFrame, columns: list[str]) -> DataFrame:
+    """Value counts of numeric columns, written: one scan of ``df`` for all that is read from them."""
+    return stored(value_counts(cells(df, columns, numeric=True)))
+
+
+def _percentiles(counts: DataFrame) -> DataFrame:
+    return counted_quantiles(counts, list(SHARES.values())).selectExpr("column", *[f"q[{i}] AS {name}" for i, name in enumerate(SHARES)])
+
+
 def _held(per_column: DataFrame) -> DataFrame:
     """A table of one row per column as a local one."""
     return per_column.sparkSession.createDataFrame(per_column.collect(), per_column.schema)
@@ -102,20 +109,45 @@ def histogram(df: DataFrame, columns: list[str], bins: int = 20) -> DataFrame:
 
 def profile(df: DataFrame, columns: list[str], accuracy: int | None = None) -> DataFrame:
     """Counts, moments and percentiles of all numeric ``columns``, one row each."""
-    return _moments(df, columns).join(F.broadcast(percentiles(df, columns, accuracy)), "column", "left")
+    counts = _written_counts(df, columns)
+    return _moments(counts).join(F.broadcast(_percentiles(counts) if accuracy is None else percentiles(df, columns, accuracy)), "column", "left")
 
 
-def full_profile(df: DataFrame, columns: list[str], numeric: list[str]) -> DataFrame:
-    """One row per column of any type: counts, text lengths, the most frequent value, and for ``numeric`` ones moments, percentiles and robust spread."""
-    counts = value_counts(cells(df, columns))
+def _histograms(counts: DataFrame, bins: int) -> DataFrame:
+    """``column, histogram``: ``bins`` equal-width bins of counted values as an array, empty bins included."""
+    found = counts.where("value IS NOT NULL AND NOT isnan(value)")
+    span = found.groupBy("column").agg(F.min("value").alias("lo"), F.max("value").alias("hi")).where("lo < hi")
+    bin_ = F.expr(f"greatest(1, least({bins}, CAST(floor((value - lo) / ((hi - lo) / {bins})) AS INT) + 1))")
+    held = found.join(F.broadcast(span.withColumnRenamed("column", "s_column")), F.col("column") == F.col("s_column")).groupBy("column", bin_.alias("bin")).agg(F.sum("n").alias("n"))
+    every = span.select("column", "lo", "hi", F.explode(F.sequence(F.lit(1), F.lit(bins))).alias("bin")).join(held, ["column", "bin"], "left")
+    width = f"(hi - lo) / {bins}"
+    cell = F.struct("bin", F.expr(f"lo + (bin - 1) * {width}").alias("low"), F.expr(f"lo + bin * {width}").alias("high"), F.coalesce("n", F.lit(0)).alias("n"))
+    return every.groupBy("column").agg(F.array_sort(F.collect_list(cell)).alias("histogram"))
+
+
+def full_profile(df: DataFrame, columns: list[str], numeric: list[str], k: int = 10, bins: int = 20) -> DataFrame:
+    """One row per column of any type: counts, text lengths, its ``k`` most frequent values, and for ``numeric`` ones moments, percentiles, robust spread and a histogram.
+
+    top_values: ``value, n`` by n and then value, as an array; histogram: ``bin, low, high, n`` of ``bins`` equal-width bins, null for a
+    column of one value.  Everything is read from value counts, which are written once.
+    """
+    counts = stored(value_counts(cells(df, columns)))
     found = counts.where("value IS NOT NULL").groupBy("column").agg(
         F.min(F.length("value")).alias("min_length"), F.max(F.length("value")).alias("max_length"), F.expr("sum(length(value) * n) / sum(n)").alias("avg_length"),
-        F.min(F.expr("struct(-n AS n, value)")).alias("top"),
     )
+    order = Window.partitionBy("column").orderBy(F.desc("n"), "value")
+    top = counts.where("value IS NOT NULL").withColumn("place", F.row_number().over(order)).where(F.col("place") <= k).groupBy("column").agg(F.array_sort(F.collect_list(F.struct("place", "value", "n"))).alias("top"))
     sizes = counts.groupBy("column").agg(F.sum("n").alias("total"), F.expr("coalesce(sum(CASE WHEN value IS NULL THEN n END), 0)").alias("nulls"), F.count("value").alias("distinct_values"))
-    numbers = profile(df, numeric).drop("total", "nulls", "distinct_values").join(F.broadcast(robust_spread(df, numeric)), "column")
-    out = sizes.join(F.broadcast(found), "column", "left").join(F.broadcast(numbers), "column", "left")
-    return out.select(*sizes.columns, "min_length", "max_length", "avg_length", F.col("top.value").alias("top_value"), (-F.col("top.n")).alias("top_count"), *[c for c in numbers.columns if c != "column"])
+    out = sizes.join(F.broadcast(found), "column", "left").join(F.broadcast(top), "column", "left")
+    names = ["min_length", "max_length", "avg_length", F.col("top")[0]["value"].alias("top_value"), F.col("top")[0]["n"].alias("top_count"), F.transform("top", lambda x: F.struct(x["value"].alias("value"), x["n"].alias("n"))).alias("top_values")]
+    if not numeric:
+        return out.select(*sizes.columns, *names)
+    numbers = stored(counts.where(F.col("column").isin(numeric)).selectExpr("column", "try_cast(value AS double) AS value", "n").groupBy("column", "value").agg(F.sum("n").alias("n")))
+    mid = counted_quantiles(numbers, [0.5]).selectExpr("column", "q[0] AS mid")
+    off = stored(numbers.where("value IS NOT NULL").join(F.broadcast(_held(mid).withColumnRenamed("column", "m_column")), F.col("column") == F.col("m_column")).selectExpr("column", "abs(value - mid) AS value", "n").groupBy("column", "value").agg(F.sum("n").alias("n")))
+    spread = counted_quantiles(off, [0.5]).selectExpr("column", "q[0] AS mad").join(F.broadcast(mid), "column").selectExpr("column", "mad", "try_divide(mad, abs(mid)) AS robust_cv")
+    told = _moments(numbers).drop("total", "nulls", "distinct_values").join(F.broadcast(_percentiles(numbers)), "column", "left").join(F.broadcast(spread), "column", "left").join(F.broadcast(_histograms(numbers, bins)), "column", "left")
+    return out.join(F.broadcast(told), "column", "left").select(*sizes.columns, *names, *[c for c in told.columns if c != "column"])
 
 
 def benford(df: DataFrame, columns: list[str], min_values: int = 100) -> DataFrame:

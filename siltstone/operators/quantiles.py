@@ -5,28 +5,44 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from siltstone.sources.scratch import stored
+
+#: Different values that a task orders, and bits of the number of ranges of a column at most.
+RANGE_VALUES, MOST_BITS = 1 << 16, 14
+
 
 def value_counts(rows: DataFrame) -> DataFrame:
     """``column, value, n`` of ``column, value`` rows."""
     return rows.groupBy("column", "value").agg(F.count("*").alias("n"))
 
 
-def exact_quantiles(rows: DataFrame, shares: list[float], bits: int = 6) -> DataFrame:
-    """``column, q``: interpolated quantiles of the non-null values of each column, one per share.
+def range_bits(values: int, range_values: int | None = None) -> int:
+    """Bits of the number of ranges that hold about ``range_values`` of so many values each."""
+    return min(MOST_BITS, max(0, -(-values // (range_values or RANGE_VALUES)) - 1).bit_length())
+
+
+def exact_quantiles(rows: DataFrame, shares: list[float], range_values: int | None = None) -> DataFrame:
+    """``column, q``: interpolated quantiles of the non-null values of each column, one per share."""
+    return counted_quantiles(stored(value_counts(rows)), shares, range_values)
+
+
+def counted_quantiles(counts: DataFrame, shares: list[float], range_values: int | None = None) -> DataFrame:
+    """As ``exact_quantiles``, of ``column, value, n``, which is read more than once: pass a written table.
 
-    A bounded sketch cuts each column into about ``2 ** bits`` ranges - as many numbers per column are
-    all that reaches the driver.  Ranges are counted; only those that hold a wanted rank are ordered,
-    each on its own, so a task sees about one part of a column's distinct values.
+    A bounded sketch cuts a column's values into ranges of about ``range_values`` different ones; as many numbers per column
+    are all that reaches the driver.  Ranges are counted; only those that hold a wanted rank are ordered, each on its own.
     """
-    parts = 2**bits
-    rows = rows.where(F.col("value").isNotNull() & ~F.isnan("value"))
-    at = ", ".join(f"{i / parts}D" for i in range(1, parts))
-    cuts = rows.groupBy("column").agg(F.expr(f"percentile_approx(value, array({at}), {20 * parts})").alias("cuts")).collect()
-    known = rows.sparkSession.createDataFrame([tuple(r) for r in cuts], "c_column string, cuts array<double>")
-    counts = value_counts(rows).join(F.broadcast(known), F.col("column") == F.col("c_column")).withColumn("part", F.lit(0))
-    for bit in reversed(range(bits)):
-        # Binary search for the number of cuts below the value.
-        counts = counts.withColumn("part", F.expr(f"part + CASE WHEN value > cuts[part + {2**bit - 1}] THEN {2**bit} ELSE 0 END"))
+    counts = counts.where(F.col("value").isNotNull() & ~F.isnan("value"))
+    sizes = {r["column"]: r["count"] for r in counts.groupBy("column").count().collect()}
+    bits = range_bits(max(sizes.values(), default=0), range_values)
+    counts = counts.withColumn("part", F.lit(0))
+    if bits:
+        at = ", ".join(f"{i / 2**bits}D" for i in range(1, 2**bits))
+        cuts = counts.groupBy("column").agg(F.expr(f"percentile_approx(value, array({at}), {20 * 2**bits})").alias("cuts")).collect()
+        known = counts.sparkSession.createDataFrame([tuple(r) for r in cuts], "c_column string, cuts array<double>")
+        counts = counts.join(F.broadcast(known), F.col("column") == F.col("c_column"))
+        for bit in reversed(range(bits)):
+            counts = counts.withColumn("part", F.expr(f"part + CASE WHEN value > cuts[part + {2**bit - 1}] THEN {2**bit} ELSE 0 END"))
     counts = counts.select("column", "value", "n", "part")
     before = F.sum("n").over(Window.partitionBy("column").orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
     sums = counts.groupBy("column", "part").agg(F.sum("n").alias("n")).select("column", "part", "n", F.coalesce(before, F.lit(0)).alias("before"), F.sum("n").over(Window.partitionBy("column")).alias("total"))

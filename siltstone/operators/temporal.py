@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from siltstone.operators.quantiles import exact_quantiles
+from siltstone.operators.quantiles import counted_quantiles, exact_quantiles, range_bits, value_counts
 from siltstone.sources.scratch import stored
 
 #: Seconds of each grain and how far the median gap may be from them.
@@ -18,31 +18,44 @@ def bounds(df: DataFrame, ts: str) -> DataFrame:
     return df.agg(F.min(ts).alias("first_ts"), F.max(ts).alias("last_ts"), F.count_distinct(ts).alias("distinct_ts")).withColumn("span_days", F.datediff("last_ts", "first_ts"))
 
 
-def gaps(df: DataFrame, ts: str) -> DataFrame:
+def gaps(df: DataFrame, ts: str, range_rows: int = 1 << 18) -> DataFrame:
     """Every distinct time with the next one and the seconds between.
 
-    The next time is found within a day; only the last time of each day looks at the next
-    day, over one row a day, so no task sees all times.
+    Times are cut into ranges of about ``range_rows`` rows by a bounded sketch, whatever days they crowd into; the next time is
+    found within a range, and only the last of a range looks at the first of the next one.
     """
-    times = df.where(F.col(ts).isNotNull()).select(F.col(ts).alias("ts")).distinct().withColumn("day", F.to_date("ts"))
-    inside = times.withColumn("next_ts", F.lead("ts").over(Window.partitionBy("day").orderBy("ts")))
-    days = times.groupBy("day").agg(F.min("ts").alias("opens")).withColumn("year", F.year("day"))
-    years = days.groupBy("year").agg(F.min("opens").alias("year_opens")).withColumn("next_year", F.lead("year_opens").over(Window.orderBy("year")))
-    follow = days.join(F.broadcast(years), "year").select("day", F.coalesce(F.lead("opens").over(Window.partitionBy("year").orderBy("day")), "next_year").alias("next_open"))
-    out = inside.join(follow, "day").select("ts", F.coalesce("next_ts", "next_open").alias("next_ts")).where("next_ts IS NOT NULL")
-    return out.withColumn("gap_s", F.unix_micros(F.col("next_ts").cast("timestamp")) / 1e6 - F.unix_micros(F.col("ts").cast("timestamp")) / 1e6)
+    seen = df.where(F.col(ts).isNotNull()).select(F.col(ts).alias("ts"))
+    bits = range_bits(seen.count(), range_rows)
+    times = seen.distinct().withColumn("part", F.lit(0))
+    if bits:
+        at = ", ".join(f"{i / 2**bits}D" for i in range(1, 2**bits))
+        cuts = seen.selectExpr("unix_micros(CAST(ts AS timestamp)) AS m").agg(F.expr(f"percentile_approx(m, array({at}), {20 * 2**bits})").alias("cuts"))
+        times = seen.distinct().crossJoin(F.broadcast(df.sparkSession.createDataFrame(cuts.collect(), cuts.schema))).withColumns({"m": F.expr("unix_micros(CAST(ts AS timestamp))"), "part": F.lit(0)})
+        for bit in reversed(range(bits)):
+            times = times.withColumn("part", F.expr(f"part + CASE WHEN m > cuts[part + {2**bit - 1}] THEN {2**bit} ELSE 0 END"))
+    times = times.select("ts", "part")
+    inside = times.withColumn("next_ts", F.lead("ts").over(Window.partitionBy("part").orderBy("ts")))
+    if bits:
+        # One row per range.
+        opens = times.groupBy("part").agg(F.min("ts").alias("opens")).select("part", F.lead("opens").over(Window.orderBy("part")).alias("next_open"))
+        inside = inside.join(F.broadcast(opens), "part").select("ts", F.coalesce("next_ts", "next_open").alias("next_ts"))
+    return inside.select("ts", "next_ts").where("next_ts IS NOT NULL").withColumn("gap_s", F.unix_micros(F.col("next_ts").cast("timestamp")) / 1e6 - F.unix_micros(F.col("ts").cast("timestamp")) / 1e6)
+
+
+def _gap_counts(found: DataFrame) -> DataFrame:
+    return stored(value_counts(found.select(F.lit("gap").alias("column"), F.col("gap_s").alias("value"))))
 
 
 def gap_statistics(df: DataFrame, ts: str) -> DataFrame:
-    found = stored(gaps(df, ts).select("gap_s"))
-    ends = found.agg(F.min("gap_s").alias("min_gap"), F.max("gap_s").alias("max_gap"), F.count("*").alias("n_gaps"))
-    return _median_gap(found).crossJoin(F.broadcast(ends)).select("median_gap", "min_gap", "max_gap", "n_gaps")
+    """Median, least and greatest gap and their number, of which the median is null and the number zero without gaps."""
+    counts = _gap_counts(gaps(df, ts))
+    ends = counts.agg(F.min("value").alias("min_gap"), F.max("value").alias("max_gap"), F.coalesce(F.sum("n"), F.lit(0)).alias("n_gaps"))
+    return _median_gap(counts).crossJoin(F.broadcast(ends)).select("median_gap", "min_gap", "max_gap", "n_gaps")
 
 
-def _median_gap(found: DataFrame) -> DataFrame:
-    """One row with the median of ``gap_s``, null without gaps."""
-    mid = exact_quantiles(found.select(F.lit("gap").alias("column"), F.col("gap_s").alias("value")), [0.5])
-    return mid.agg(F.first(F.col("q")[0]).alias("median_gap"))
+def _median_gap(counts: DataFrame) -> DataFrame:
+    """One row with the median of counted gaps, null without any."""
+    return counted_quantiles(counts, [0.5]).agg(F.first(F.col("q")[0]).alias("median_gap"))
 
 
 def granularity(df: DataFrame, ts: str) -> DataFrame:
@@ -68,16 +81,18 @@ def completeness(df: DataFrame, ts: str, grain: str) -> DataFrame:
 def significant_gaps(df: DataFrame, ts: str) -> DataFrame:
     """Every gap over twice the median, with severity and missing periods."""
     found = stored(gaps(df, ts))
-    mid = _median_gap(found).withColumnRenamed("median_gap", "mid")
+    mid = _median_gap(_gap_counts(found)).withColumnRenamed("median_gap", "mid")
     big = found.crossJoin(F.broadcast(mid)).where("gap_s > 2 * mid")
     return big.selectExpr("ts", "next_ts", "gap_s", "cast(floor(gap_s / mid) - 1 AS bigint) AS missing", "CASE WHEN gap_s >= 10 * mid THEN 'severe' WHEN gap_s >= 5 * mid THEN 'moderate' ELSE 'minor' END AS severity")
 
 
 def last_period_fill(df: DataFrame, ts: str, grain: str = "month") -> DataFrame:
     """Rows of the last period against the median of the others."""
-    per = df.where(F.col(ts).isNotNull()).groupBy(F.date_trunc(grain, ts).alias("period")).count()
-    last = per.agg(F.max(F.struct("period", "count")).alias("last"))
-    return per.crossJoin(F.broadcast(last)).groupBy("last").agg(F.expr("percentile(CASE WHEN period < last.period THEN count END, 0.5D)").alias("typical")).selectExpr("last.count AS last_rows", "typical", "last.count / typical AS fill", "last.count >= typical AS is_full")
+    per = stored(df.where(F.col(ts).isNotNull()).groupBy(F.date_trunc(grain, ts).alias("period")).count())
+    last = per.agg(F.max(F.struct("period", "count")).alias("last")).where("last IS NOT NULL")
+    before = per.crossJoin(F.broadcast(last)).where("period < last.period").select(F.lit("rows").alias("column"), F.col("count").cast("double").alias("value"))
+    typical = exact_quantiles(before, [0.5]).agg(F.first(F.col("q")[0]).alias("typical"))
+    return last.crossJoin(F.broadcast(typical)).selectExpr("last.count AS last_rows", "typical", "try_divide(last.count, typical) AS fill", "last.count >= typical AS is_full")
 
 
 def staleness(df: DataFrame, ts: str, as_of: str) -> DataFrame:

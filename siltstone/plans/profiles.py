@@ -93,6 +93,16 @@ def _(table):
     return out.select("column", "total", "nulls", "distinct_values", "min_length", "max_length", "avg_length", "top_value", "top_count", "min", "max", *[F.round(c, 4).alias(c) for c in ("mean", "stddev", "p50", "mad")])
 
 
+_LISTED = "SELECT '{c}' AS \"column\", (SELECT string_agg(v || ':' || n, ',' ORDER BY n DESC, v) FROM (SELECT CAST({c} AS VARCHAR) AS v, count(*) AS n FROM lineitem GROUP BY 1 ORDER BY n DESC, v LIMIT 3)) AS top, {h} AS histogram"
+_BINS = "(SELECT string_agg(CAST(coalesce(n, 0) AS VARCHAR), ',' ORDER BY b) FROM range(1, 6) r(b) LEFT JOIN (SELECT greatest(1, least(5, CAST(floor(({c} - lo) / ((hi - lo) / 5)) AS INT) + 1)) AS bin, count(*) AS n FROM lineitem, (SELECT min({c}) AS lo, max({c}) AS hi FROM lineitem) GROUP BY 1) ON bin = b)"
+
+
+@query("p08_lists", " UNION ALL ".join(_LISTED.format(c=c, h=_BINS.format(c=c) if n else "NULL") for c, n in _FULL.items()))
+def _(table):
+    out = p.full_profile(table("lineitem"), list(_FULL), [c for c, n in _FULL.items() if n], k=3, bins=5)
+    return out.select("column", F.array_join(F.transform("top_values", lambda x: F.concat_ws(":", x["value"], x["n"])), ",").alias("top"), F.array_join(F.transform("histogram", lambda x: x["n"].cast("string")), ",").alias("histogram"))
+
+
 _BENFORD = """WITH v AS (SELECT abs({c}) AS a FROM {t} WHERE {c} <> 0), d AS (SELECT CAST(floor(a / pow(10, floor(log10(a) + 1e-12))) AS INT) AS digit, count(*) AS n, min(a) AS lo, max(a) AS hi FROM v GROUP BY 1),
 s AS (SELECT sum(n) AS total, min(lo) AS lo, max(hi) AS hi FROM d), x AS (SELECT total, s.lo, s.hi, sum(pow(coalesce(n, 0) - total * log10(1 + 1.0 / k), 2) / (total * log10(1 + 1.0 / k))) AS chi2 FROM s, range(1, 10) r(k) LEFT JOIN d ON d.digit = k GROUP BY ALL)
 SELECT '{c}' AS "column", CAST(total AS BIGINT) AS n_values, round(chi2, 4) AS chi2, CASE WHEN total < 100 OR hi < 10 * lo THEN 'not_applicable' WHEN exp(-chi2 / 2) * (1 + chi2 / 2 + pow(chi2 / 2, 2) / 2 + pow(chi2 / 2, 3) / 6) >= 0.05 THEN 'compliant' ELSE 'violating' END AS verdict FROM x"""

@@ -119,3 +119,41 @@ def test_mixed_candidates(spark):
     built = typing.build_typed(table, decided).collect()
     assert [str(r.day) for r in built] == ["2024-05-01", "2024-05-02", "2024-05-03", "2024-05-04", "2024-05-06", "2024-05-06"]
     assert typing.type_candidates(table.limit(0), ["day"]).collect()[0].pattern == "text"
+
+
+@pytest.mark.parametrize("range_values", [7, 100, 10**6])
+def test_quantiles_by_ranges(spark, range_values):
+    from siltstone.operators.quantiles import exact_quantiles
+
+    rng = np.random.default_rng(3)
+    values = {"even": rng.normal(size=1500), "ties": rng.integers(0, 3, 900).astype(float), "one": np.array([4.0])}
+    rows = [(c, float(x)) for c, v in values.items() for x in v] + [("even", None), ("even", float("nan")), ("none", None)]
+    shares = [0.0, 0.01, 0.25, 0.5, 0.777, 1.0]
+    out = {r["column"]: r.q for r in exact_quantiles(spark.createDataFrame(rows, "column string, value double"), shares, range_values).collect()}
+    assert set(out) == set(values)
+    for c, v in values.items():
+        assert np.allclose(out[c], np.quantile(v, shares), atol=1e-12)
+
+
+@pytest.mark.parametrize("range_rows", [3, 40, 10**6])
+def test_gaps_by_ranges(spark, range_rows):
+    """Times that crowd into one day, repeat, and jump over years."""
+    rng = np.random.default_rng(9)
+    seconds = sorted({int(x) for x in [*rng.integers(0, 4000, 300), *rng.integers(10**8, 10**8 + 50, 40), 3 * 10**8]})
+    rows = [(datetime.fromtimestamp(1_500_000_000 + s),) for s in seconds for _ in range(1 + s % 3)] + [(None,)]
+    out = sorted((r.ts, r.gap_s) for r in temporal.gaps(spark.createDataFrame(rows, "ts timestamp"), "ts", range_rows).collect())
+    assert [g for _, g in out] == [float(b - a) for a, b in zip(seconds, seconds[1:], strict=False)]
+    assert temporal.gap_statistics(spark.createDataFrame([], "ts timestamp"), "ts").first().n_gaps == 0
+
+
+def test_full_profile(spark):
+    from siltstone.operators import profile
+
+    values = [1.0, 1.0, 2.0, 5.0, 5.0, 5.0, 11.0, None]
+    table = spark.createDataFrame([(v, "a" if i % 3 else "bb", 4) for i, v in enumerate(values)], "x double, t string, c int")
+    out = {r["column"]: r for r in profile.full_profile(table, ["x", "t", "c"], ["x", "c"], k=2, bins=4).collect()}
+    assert [(b.bin, b.low, b.high, b.n) for b in out["x"].histogram] == [(1, 1.0, 3.5, 3), (2, 3.5, 6.0, 3), (3, 6.0, 8.5, 0), (4, 8.5, 11.0, 1)]
+    assert [(v.value, v.n) for v in out["x"].top_values] == [("5.0", 3), ("1.0", 2)] and [(v.value, v.n) for v in out["t"].top_values] == [("a", 5), ("bb", 3)]
+    assert out["c"].histogram is None and out["t"].histogram is None and out["t"].p50 is None
+    x = np.array([v for v in values if v is not None])
+    assert (out["x"].total, out["x"].nulls, out["x"].distinct_values) == (8, 1, 4) and abs(out["x"].p50 - np.median(x)) < 1e-12 and abs(out["x"].mad - np.median(abs(x - np.median(x)))) < 1e-12
