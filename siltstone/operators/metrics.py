@@ -6,7 +6,7 @@ import ast
 import re
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from siltstone.operators.joins import full_join_null_safe
@@ -43,6 +43,11 @@ def _safe(formula: str, names: list[str]) -> str:
         raise ValueError(f"no formula: {formula!r}") from e
 
 
+def formula_column(formula: str, names: list[str]) -> Column:
+    """A formula over columns as an expression; a division by zero is null."""
+    return F.expr(_safe(formula, names))
+
+
 def evaluate_metric(steps: dict[str, DataFrame], constants: dict[str, float], formulas: dict[str, str]) -> DataFrame:
     """One row with the value of every step; formulas may use steps before them."""
     out = None

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from siltstone.operators import graph as g
+from siltstone.operators import model_graph as mg
 from siltstone.plans.base import query, rounded
 
 _E = "(SELECT DISTINCT 'o' || o_orderkey AS a, 'c' || o_custkey AS b FROM orders)"
@@ -122,3 +123,66 @@ def _(table):
         every = every.unionByName(e)
     nodes = every.select("graph", F.col("a").alias("node")).union(every.select("graph", "b"))
     return rounded(g.pattern_classes(nodes, every), 9)
+
+
+# A model graph in which parts and brands are concepts, lines ground them, suppliers are tables and what they ship are their columns.
+_VERTICES = (
+    "SELECT 'p' || p_partkey AS node, 'concept' AS kind, p_name AS name FROM part UNION ALL SELECT DISTINCT 'b' || p_brand, 'concept', p_brand FROM part UNION ALL SELECT 'g' || o_orderkey, 'grounding', 'order ' || o_orderkey FROM orders "
+    "UNION ALL SELECT DISTINCT 'c' || l_suppkey || '.' || l_linenumber, 'column', 'line ' || l_linenumber FROM lineitem UNION ALL SELECT 't' || s_suppkey, 'table', s_name FROM supplier"
+)
+_MODEL_EDGES = [
+    # kind, a, b, property and its value, table, condition
+    ("part_of", "'p' || p_partkey", "'b' || p_brand", "tolerance", "CAST(p_size AS VARCHAR)", "part", "true"),
+    ("reconciles_with", "'b' || p_brand", "'p' || p_partkey", "tolerance", "'none'", "part", "p_size = 1"),
+    ("grounded_by", "'p' || l_partkey", "'g' || l_orderkey", "by", "l_returnflag", "lineitem", "l_linenumber = 1"),
+    ("uses", "'g' || l_orderkey", "'c' || l_suppkey || '.' || l_linenumber", "role", "l_linestatus", "lineitem", "l_linenumber <= 2"),
+    ("belongs_to", "'c' || l_suppkey || '.' || l_linenumber", "'t' || l_suppkey", "by", "'supplier'", "lineitem", "true"),
+    ("references", "'c' || l_suppkey || '.' || l_linenumber", "'c' || (l_suppkey + 1) || '.' || l_linenumber", "introduces_duplicates", "CASE WHEN l_linenumber % 2 = 0 THEN 'true' ELSE 'false' END", "lineitem", "true"),
+    ("conforms", "'t' || s_suppkey", "'t' || (s_suppkey + 1)", "dimension", "CAST(s_nationkey AS VARCHAR)", "supplier", "true"),
+    ("conforms", "'t' || (s_suppkey + 1)", "'t' || s_suppkey", "dimension", "CAST(s_nationkey AS VARCHAR)", "supplier", "true"),
+    ("derived_from", "'t' || s_suppkey", "'t' || (s_suppkey // 7 + 1)", "base_role", "CASE WHEN s_nationkey % 3 = 0 THEN 'fact' ELSE 'dimension' END", "supplier", "true"),
+]
+_EDGE_SQL = " UNION ALL ".join(f"SELECT DISTINCT '{k}' AS kind, {a} AS a, {b} AS b, {v} AS v FROM {t} WHERE {c}" for k, a, b, _, v, t, c in _MODEL_EDGES)
+_GRAPH = f"WITH x AS ({_VERTICES}), e AS ({_EDGE_SQL}), ends AS (SELECT * FROM (VALUES ('part_of', 'concept', 'concept'), ('reconciles_with', 'concept', 'concept'), ('grounded_by', 'concept', 'grounding'), ('uses', 'grounding', 'column'), ('belongs_to', 'column', 'table'), ('references', 'column', 'column'), ('conforms', 'table', 'table'), ('derived_from', 'table', 'table')) y(kind, ka, kb)), m AS (SELECT e.kind, e.a, xa.name AS a_name, e.b, xb.name AS b_name, v FROM e JOIN ends USING (kind) JOIN x xa ON xa.node = a AND xa.kind = ka JOIN x xb ON xb.node = b AND xb.kind = kb)"
+
+
+def _model(table):
+    spark_of = lambda e: e.replace(" // ", " DIV ").replace("VARCHAR", "STRING")
+    part, line, supplier = table("part"), table("lineitem"), table("supplier")
+    vertices = part.selectExpr("'p' || p_partkey AS node", "'concept' AS kind", "p_name AS name").union(part.selectExpr("'b' || p_brand", "'concept'", "p_brand").distinct()).union(table("orders").selectExpr("'g' || o_orderkey", "'grounding'", "'order ' || o_orderkey"))
+    vertices = vertices.union(line.selectExpr("'c' || l_suppkey || '.' || l_linenumber", "'column'", "'line ' || l_linenumber").distinct()).union(supplier.selectExpr("'t' || s_suppkey", "'table'", "s_name"))
+    edges = None
+    for kind, a, b, name, value, t, cond in _MODEL_EDGES:
+        one = table(t).where(cond).selectExpr(f"'{kind}' AS kind", f"{spark_of(a)} AS a", f"{spark_of(b)} AS b", f"{spark_of(value)} AS v").distinct().select("kind", "a", "b", F.create_map(F.lit(name), F.col("v")).alias("props"))
+        edges = one if edges is None else edges.unionByName(one)
+    return vertices, edges
+
+
+@query("g09_concept_edges", f"{_GRAPH} SELECT a_name AS from_name, kind AS predicate, TRY_CAST(v AS DOUBLE) AS tolerance, b_name AS to_name FROM m WHERE kind IN ('part_of', 'reconciles_with')")
+def _(table):
+    return mg.concept_edges(*_model(table))
+
+
+@query("g09_column_uses", f"{_GRAPH} SELECT c.a_name AS concept, u.a_name AS grounding, u.v AS role, u.b_name AS \"column\", t.b_name AS \"table\" FROM (SELECT * FROM m WHERE kind = 'uses') u LEFT JOIN (SELECT DISTINCT b, a_name FROM m WHERE kind = 'grounded_by') c ON c.b = u.a LEFT JOIN (SELECT DISTINCT a, b_name FROM m WHERE kind = 'belongs_to') t ON t.a = u.b")
+def _(table):
+    return mg.column_uses(*_model(table))
+
+
+@query("g09_table_references", f"{_GRAPH}, h AS (SELECT DISTINCT a, b_name FROM m WHERE kind = 'belongs_to') SELECT p.b_name AS from_table, r.a_name AS from_column, q.b_name AS to_table, r.b_name AS to_column, NULL::VARCHAR AS cardinality, v::BOOLEAN AS introduces_duplicates FROM m r JOIN h p ON p.a = r.a JOIN h q ON q.a = r.b WHERE r.kind = 'references'")
+def _(table):
+    return mg.table_references(*_model(table))
+
+
+@query("g09_conformed_dimensions", f"{_GRAPH} SELECT DISTINCT least(a_name, b_name) AS table_a, greatest(a_name, b_name) AS table_b, v AS dimension, NULL::VARCHAR AS attribute FROM m WHERE kind = 'conforms' AND a <> b")
+def _(table):
+    return mg.conformed_dimensions(*_model(table))
+
+
+@query("g09_derivations", f"{_GRAPH} SELECT a_name AS view, string_agg(DISTINCT b_name, '>' ORDER BY b_name) AS bases FROM m WHERE kind = 'derived_from' AND v = 'dimension' GROUP BY 1")
+def _(table):
+    return mg.derivations(*_model(table)).withColumn("bases", F.array_join("bases", ">"))
+
+
+@query("g09_unresolved", f"{_GRAPH} SELECT kind, count(*) AS n FROM e WHERE NOT EXISTS (SELECT 1 FROM m WHERE m.kind = e.kind AND m.a = e.a AND m.b = e.b) GROUP BY 1")
+def _(table):
+    return mg.unresolved(*_model(table))

@@ -166,3 +166,55 @@ def _(table):
         one = table("events").groupBy(F.expr(f"cast({m.bucket_start('ts', n, unit)} AS timestamp_ntz)").alias("bucket")).agg(F.count("*").alias("rows")).select(F.lit(f"{n} {unit}").alias("size"), "bucket", "rows")
         out = one if out is None else out.unionByName(one)
     return out
+
+
+# A ledger made of the tables: what each row of a table posts to which concept.  Stocks are balances at the date of the last order of a customer's or supplier's rows.
+_POSTED = {
+    "lineitem": [("revenue", "l_extendedprice * (1 - l_discount)"), ("tax", "l_extendedprice * (1 - l_discount) * l_tax * 0.1"), ("operating_expense", "l_quantity * 20")],
+    "costs": [("cost_of_goods_sold", "l_quantity * p_retailprice * 0.6"), ("depreciation", "p_size * 1.0")],
+    "customer": [("accounts_receivable", "greatest(c_acctbal, 0)"), ("current_assets", "greatest(c_acctbal, 0) * 2")],
+    "supplier": [("accounts_payable", "greatest(s_acctbal, 0)"), ("current_liabilities", "greatest(s_acctbal, 0) * 1.5")],
+    "part": [("inventory", "p_retailprice * p_size")],
+}
+_FROM = {"lineitem": ("lineitem", "l_shipdate", "l_suppkey", "flow"), "costs": ("lineitem JOIN part ON l_partkey = p_partkey", "l_shipdate", "l_suppkey", "flow"), "customer": ("customer JOIN orders ON c_custkey = o_custkey", "o_orderdate", "c_custkey", "stock"), "supplier": ("supplier JOIN lineitem ON s_suppkey = l_suppkey", "l_shipdate", "s_suppkey", "stock"), "part": ("part JOIN lineitem ON p_partkey = l_partkey", "l_shipdate", "p_partkey", "stock")}
+_LEDGER = " UNION ALL ".join(f"SELECT '{c}' AS concept, CAST({x} AS DOUBLE) AS amount, '{_FROM[k][3]}' AS behaviour, {_FROM[k][1]} AS ts, {_FROM[k][2]} AS account FROM {_FROM[k][0]}" for k, posted in _POSTED.items() for c, x in posted)
+
+
+def _finance_sql():
+    from siltstone.operators.finance import CONCEPTS, METRICS
+
+    steps, last = [], "w0"
+    for i, (name, _, formula, _, _) in enumerate(METRICS):
+        if formula != name:
+            for part in ("revenue", "cost_of_goods_sold", "current_liabilities"):
+                formula = formula.replace(f"/ {part}", f"/ nullif({part}, 0)")
+            steps.append(f"w{i + 1} AS (SELECT *, {formula} AS {name} FROM {last})")
+            last = f"w{i + 1}"
+    rows = []
+    for name, unit, _, usual, labels in METRICS:
+        check = "true" if usual is None else f"{name} BETWEEN {usual[0]} AND {usual[1]}"
+        label = "CASE " + " ".join(f"WHEN {name} >= {least} THEN '{text}'" for least, text in reversed(labels)) + " END"
+        rows.append(f"SELECT '{name}' AS metric, round({name}, 4)::DOUBLE AS value, '{unit}' AS unit, CASE WHEN {name} IS NULL THEN 'inconclusive' WHEN {check} THEN 'supported' ELSE 'out_of_range' END AS status, {label} AS label FROM {last}")
+    concepts = ", ".join(f"max(value) FILTER (WHERE concept = '{c}') AS {c}" for c in CONCEPTS)
+    days = "max((epoch(hi) - epoch(lo)) / 86400.0 * n / (n - 1)) FILTER (WHERE concept = 'revenue')"
+    return f"""WITH l AS ({_LEDGER}), m AS (SELECT concept, behaviour, date_trunc('month', ts) AS month, sum(amount) AS amount, min(ts) AS lo, max(ts) AS hi FROM l GROUP BY 1, 2, 3),
+v AS (SELECT concept, CASE WHEN max(behaviour) = 'stock' THEN arg_max(amount, month) ELSE sum(amount) END AS value, min(lo) AS lo, max(hi) AS hi, count(*) AS n FROM m GROUP BY 1),
+w0 AS (SELECT {concepts}, {days} AS days_in_period, (SELECT count(*)::DOUBLE FROM l WHERE behaviour = 'flow') AS transaction_count, (SELECT count(DISTINCT account)::DOUBLE FROM l WHERE behaviour = 'flow') AS active_accounts, (SELECT avg(amount) FROM l WHERE behaviour = 'flow') AS average_transaction_value FROM v), {', '.join(steps)} {' UNION ALL '.join(rows)}"""
+
+
+@query("m05_finance_metrics", _finance_sql())
+def _(table):
+    from siltstone.operators.finance import finance_metrics
+
+    line, part = table("lineitem"), table("part")
+    frames = {
+        "lineitem": line, "costs": line.join(part, F.col("l_partkey") == F.col("p_partkey")), "customer": table("customer").join(table("orders"), F.col("c_custkey") == F.col("o_custkey")),
+        "supplier": table("supplier").join(line, F.col("s_suppkey") == F.col("l_suppkey")), "part": part.join(line, F.col("p_partkey") == F.col("l_partkey")),
+    }
+    ledger = None
+    for k, posted in _POSTED.items():
+        _, ts, account, behaviour = _FROM[k]
+        rows = ", ".join(f"'{c}', CAST({x} AS DOUBLE)" for c, x in posted)
+        one = frames[k].selectExpr(f"stack({len(posted)}, {rows}) AS (concept, amount)", f"'{behaviour}' AS behaviour", f"{ts} AS ts", f"{account} AS account")
+        ledger = one if ledger is None else ledger.unionByName(one)
+    return finance_metrics(ledger).withColumn("value", F.round("value", 4))
