@@ -104,11 +104,16 @@ def votes(aligned: DataFrame, least_periods: int = 4, most_residual: float = 0.5
     return fit.selectExpr("convention", "entity", "periods", "r_flow", "r_stock", f"CASE WHEN {fires} THEN CASE WHEN r_flow IS NULL OR r_stock < r_flow THEN 'cumulative' ELSE 'per_period' END END AS vote")
 
 
-def support(voted: DataFrame, least_voters: int = 2, least_agreement: float = 0.8) -> DataFrame:
-    """Verdict per convention, and the Wilson bound of its winning votes over the entities of all of them."""
-    entities = voted.agg(F.count_distinct("entity").alias("n_all"))
+def support(voted: DataFrame, least_voters: int = 2, least_agreement: float = 0.8, family: str | None = None) -> DataFrame:
+    """Verdict per convention, and the Wilson bound of its winning votes over the entities of all of them - of those of the same ``family``, an expression over ``convention``."""
+    if family is not None:
+        of = F.expr(family)
+        sizes = voted.groupBy(of.alias("family")).agg(F.count_distinct("entity").alias("n_all"))
+        entities = voted.select("convention").distinct().withColumn("family", of).join(sizes, "family").select(F.col("convention").alias("own"), "n_all")
+    else:
+        entities = voted.agg(F.count_distinct("entity").alias("n_all"))
     sums = voted.groupBy("convention").agg(F.count("*").alias("entities"), F.count("vote").alias("voters"), F.count_if(F.expr("vote = 'per_period'")).alias("flow"), F.count_if(F.expr("vote = 'cumulative'")).alias("stock"))
-    both = sums.crossJoin(F.broadcast(entities)).withColumn("hits", F.greatest("flow", "stock"))
+    both = (sums.crossJoin(F.broadcast(entities)) if family is None else sums.join(entities, F.col("convention") == F.col("own"))).withColumn("hits", F.greatest("flow", "stock"))
     ok = f"voters >= {least_voters} AND hits / voters >= {least_agreement}"
     return both.withColumn("lower", F.greatest(F.lit(0.0), wilson_lower("hits", "n_all"))).selectExpr("convention", "entities", "voters", f"CASE WHEN {ok} THEN CASE WHEN flow >= stock THEN 'per_period' ELSE 'cumulative' END END AS pattern", f"CASE WHEN {ok} THEN hits / entities END AS match_rate", "lower")
 

@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass, field
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from siltstone.operators.evidence import support, votes
+from siltstone.operators.evidence import convention_candidates, support, votes
+from siltstone.operators.hierarchies import shared_groupings
+from siltstone.sources.scratch import stored
 
 
 def shared_cells(measures: DataFrame, events: DataFrame) -> DataFrame:
@@ -49,3 +54,71 @@ def reconcile_measures(measures: DataFrame, conventions: DataFrame) -> DataFrame
     ready = supported.join(fit, "convention").join(terms, F.col("convention") == F.col("c")).select("measure", F.element_at(F.split("convention", "\x1f"), -1).alias("convention"), "terms", "lower", "residual", "n", "rss", "pattern")
     best = best_candidate(ready)
     return best.join(ready.select("measure", "convention", "pattern"), ["measure", "convention"]).select("measure", "convention", "terms", "pattern", "lower")
+
+
+@dataclass(frozen=True)
+class Fact:
+    """A fact table: its rows, the column of each shared dimension and role, its event times, and its numbers.
+
+    Keys are no quantities and stand in neither list of numbers.
+    """
+
+    rows: DataFrame
+    dimensions: dict[tuple[str, str], str]
+    times: list[str]
+    numbers: list[str] = field(default_factory=list)
+
+
+VERDICT = ["fact", "measure", "event_fact", "dimension", "role", "time", "event_time", "convention", "terms", "pattern", "lower"]
+
+
+def reconcile_facts(facts: dict[str, Fact], matrix: DataFrame, grain: str = "month") -> DataFrame:
+    """The verdict of each measure of every fact: by which event columns of which other fact, dimension, and times it adds up, and how.
+
+    ``fact, measure, event_fact, dimension, role, time, event_time, convention, terms, pattern, lower``.  matrix: ``fact, dimension, role`` as of
+    ``bus_matrix``; facts are compared by what they share.  Of two facts the events must be the finer one, by rows over the cells that
+    both have; only then votes are taken, entity by entity, and the best candidate over all pairs, dimensions and times
+    stands.  A measure that nothing explains has no row.  All pairs are one plan; only the names of shared dimensions reach the driver.
+    """
+    spark = matrix.sparkSession
+    empty = spark.createDataFrame([], "fact string, measure string, event_fact string, dimension string, role string, time string, event_time string, convention string, terms int, pattern string, lower double")
+    shared = [r for r in shared_groupings(matrix).collect() if r["fact_a"] in facts and r["fact_b"] in facts]
+    ways = []
+    for r in shared:
+        for a, b in ((r["fact_a"], r["fact_b"]), (r["fact_b"], r["fact_a"])):
+            key = (r["dimension"], r["role"])
+            if key in facts[a].dimensions and key in facts[b].dimensions and facts[a].numbers and facts[b].numbers:
+                ways += [(a, b, *key, s, t) for s in facts[a].times for t in facts[b].times]
+    if not ways:
+        return empty
+
+    def at(fact: Fact, key: tuple[str, str], time: str) -> DataFrame:
+        return fact.rows.where(F.col(time).isNotNull() & F.col(fact.dimensions[key]).isNotNull()).withColumns({"entity_": F.col(fact.dimensions[key]).cast("string"), "period_": F.date_trunc(grain, time)})
+
+    measures, events, sizes = [], [], []
+    for i, (a, b, dimension, role, time, event_time) in enumerate(ways):
+        own, other = at(facts[a], (dimension, role), time), at(facts[b], (dimension, role), event_time)
+        way = F.lit(str(i)).alias("way")
+        named = ", ".join(f"'{c}', CAST(`{c}` AS DOUBLE)" for c in facts[a].numbers)
+        sums = own.groupBy("entity_", "period_").agg(*[F.sum(c).alias(c) for c in facts[a].numbers])
+        measures.append(sums.select(way, F.col("entity_").alias("entity"), F.col("period_").alias("period"), F.expr(f"stack({len(facts[a].numbers)}, {named}) AS (measure, y)")))
+        events.append(convention_candidates(other, "entity_", "period_", facts[b].numbers).select(way, "entity", "period", "convention", F.col("m").cast("double").alias("m")))
+        rows = lambda df, name: df.groupBy(F.col("entity_").alias("entity"), F.col("period_").alias("period")).agg(F.count("*").alias(name))
+        sizes.append(rows(own, "rows").join(rows(other, "event_rows"), ["entity", "period"]).agg(F.sum("rows").alias("rows"), F.sum("event_rows").alias("event_rows")).select(way, "rows", "event_rows"))
+    finer = reduce(DataFrame.unionByName, sizes).where("event_rows > rows").select("way")
+    right = reduce(DataFrame.unionByName, events).join(finer, "way", "left_semi")
+    # A period without events of an entity that has some counts zero.
+    left = reduce(DataFrame.unionByName, measures).join(finer, "way", "left_semi")
+    known = right.select("way", "entity", "convention").distinct()
+    aligned = stored(left.join(known, ["way", "entity"]).join(right, ["way", "entity", "period", "convention"], "left").select(
+        F.concat_ws("\x1e", "way", "measure", "convention").alias("convention"), "entity", "period", "y", F.coalesce("m", F.lit(0.0)).alias("m"))
+    )
+    voted = stored(votes(aligned))
+    ready = support(voted, family="split(convention, '\x1e')[0]").where("pattern IS NOT NULL")
+    fit = voted.where("vote IS NOT NULL").groupBy(F.col("convention").alias("of")).agg(F.avg(F.expr("least(r_flow, r_stock)")).alias("residual"), F.count("*").alias("n"), F.sum(F.expr("pow(least(r_flow, r_stock), 2)")).alias("rss"))
+    listed = spark.createDataFrame([(str(i), *w) for i, w in enumerate(ways)], "way string, fact string, event_fact string, dimension string, role string, time string, event_time string")
+    parts = F.split("convention", "\x1e")
+    scored = ready.join(fit, F.col("convention") == F.col("of")).withColumns({"way": parts[0], "measure": parts[1], "terms": F.when(parts[2].contains(" - "), 2).otherwise(1)}).join(listed, "way")
+    keyed = scored.withColumn("target", F.concat_ws("\x1e", "fact", "measure"))
+    best = best_candidate(keyed.select(F.col("target").alias("measure"), "convention", "terms", "lower", "residual", "n", "rss")).select(F.col("measure").alias("t"), F.col("convention").alias("c"))
+    return keyed.join(best, F.expr("target = t AND convention = c")).withColumn("convention", parts[2]).select(*VERDICT)

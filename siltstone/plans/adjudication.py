@@ -72,6 +72,20 @@ def _(table):
     return rounded(_reconciled(table))
 
 
+@query("l10_reconcile_facts")
+def _(table):
+    # Monthly summaries per supplier, one of them running, and the lines that they sum up; years of shipping say nothing.
+    line = table("lineitem").withColumns({"month": F.date_trunc("month", "l_shipdate"), "net": F.expr("l_extendedprice * (1 - l_discount)"), "rebate": F.expr("l_extendedprice * l_discount")})
+    sums = line.groupBy("l_suppkey", "month").agg(F.sum("l_quantity").alias("moved"), F.sum("net").alias("sold"))
+    running = sums.withColumn("total", F.sum("sold").over(Window.partitionBy("l_suppkey").orderBy("month")))
+    facts = {
+        "summary": l.Fact(running, {("supplier", "seller"): "l_suppkey"}, ["month"], ["moved", "total"]),
+        "lines": l.Fact(line, {("supplier", "seller"): "l_suppkey"}, ["l_shipdate"], ["l_quantity", "l_extendedprice", "rebate"]),
+    }
+    matrix = line.sparkSession.createDataFrame([("summary", "supplier", "seller"), ("lines", "supplier", "seller"), ("lines", "part", "item")], "fact string, dimension string, role string")
+    return rounded(l.reconcile_facts(facts, matrix))
+
+
 @query("v10_stock_or_flow", f"{_BEST}, k(target, claim, confidence) AS (VALUES ('running_price', 'flow', 0.6), ('yearly_qty', 'flow', 0.8), ('unseen', 'stock', 0.4)) SELECT target, round(belief, 6) AS belief, round(conflict, 6) AS conflict, coalesce(CASE pattern WHEN 'per_period' THEN 'flow' WHEN 'cumulative' THEN 'stock' END, claim) AS behaviour, coalesce(CASE pattern WHEN 'per_period' THEN 'flow' WHEN 'cumulative' THEN 'stock' END <> claim, false) AS overruled FROM {_pool(chr(32).join(['SELECT target, 0.6 AS reliability, CASE claim WHEN', chr(39) + 'flow' + chr(39), 'THEN 0.5 + confidence / 2 ELSE 0.5 - confidence / 2 END AS p FROM k UNION ALL SELECT measure, 0.9, CASE pattern WHEN', chr(39) + 'per_period' + chr(39), 'THEN 0.5 + lower / 2 ELSE 0.5 - lower / 2 END FROM v']))} JOIN k USING (target) LEFT JOIN v ON measure = target")
 def _(table):
     found = _reconciled(table).select(F.col("measure").alias("target"), "pattern", "lower")
