@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from siltstone.operators.joins import full_join_null_safe
+from siltstone.operators.quantiles import exact_quantiles
 
 
 def extract(df: DataFrame, aggregate: str, where: list[str] | None = None, dims: list[str] | None = None) -> DataFrame:
@@ -167,8 +168,12 @@ def grid(df: DataFrame, filters: list[str], sort: list[tuple[str, bool]], limit:
 
 
 def chart(df: DataFrame, x: str, y: str, colour: str | None = None) -> DataFrame:
+    """Sum, mean, median, least, greatest and count of ``y`` per group; medians are exact and a large group is many tasks' work."""
     keys = [x, *([colour] if colour else [])]
-    return df.groupBy(*keys).agg(F.sum(y).alias("sum"), F.avg(y).alias("mean"), F.expr(f"percentile({y}, 0.5D)").alias("median"), F.min(y).alias("min"), F.max(y).alias("max"), F.count(y).alias("count"))
+    group = F.to_json(F.struct(*keys), {"ignoreNullFields": "false"})
+    sums = df.groupBy(*keys).agg(F.sum(y).alias("sum"), F.avg(y).alias("mean"), F.min(y).alias("min"), F.max(y).alias("max"), F.count(y).alias("count"))
+    middle = exact_quantiles(df.select(group.alias("column"), F.col(y).cast("double").alias("value")), [0.5]).select(F.col("column").alias("group_"), F.col("q")[0].alias("median"))
+    return sums.withColumn("of_", group).join(middle, F.col("of_") == F.col("group_"), "left").select(*keys, "sum", "mean", "median", "min", "max", "count")
 
 
 def fingerprint(df: DataFrame, rows: int = 200) -> DataFrame:

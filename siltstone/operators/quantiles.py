@@ -29,18 +29,16 @@ def exact_quantiles(rows: DataFrame, shares: list[float], range_values: int | No
 def counted_quantiles(counts: DataFrame, shares: list[float], range_values: int | None = None) -> DataFrame:
     """As ``exact_quantiles``, of ``column, value, n``, which is read more than once: pass a written table.
 
-    A bounded sketch cuts a column's values into ranges of about ``range_values`` different ones; as many numbers per column
-    are all that reaches the driver.  Ranges are counted; only those that hold a wanted rank are ordered, each on its own.
+    A bounded sketch cuts a column's values into ranges of about ``range_values`` different ones; only the number of values of the largest
+    column reaches the driver.  Ranges are counted; only those that hold a wanted rank are ordered, each on its own.
     """
     counts = counts.where(F.col("value").isNotNull() & ~F.isnan("value"))
-    sizes = {r["column"]: r["count"] for r in counts.groupBy("column").count().collect()}
-    bits = range_bits(max(sizes.values(), default=0), range_values)
+    bits = range_bits(counts.groupBy("column").count().agg(F.max("count")).first()[0] or 0, range_values)
     counts = counts.withColumn("part", F.lit(0))
     if bits:
         at = ", ".join(f"{i / 2**bits}D" for i in range(1, 2**bits))
-        cuts = counts.groupBy("column").agg(F.expr(f"percentile_approx(value, array({at}), {20 * 2**bits})").alias("cuts")).collect()
-        known = counts.sparkSession.createDataFrame([tuple(r) for r in cuts], "c_column string, cuts array<double>")
-        counts = counts.join(F.broadcast(known), F.col("column") == F.col("c_column"))
+        known = stored(counts.groupBy(F.col("column").alias("c_column")).agg(F.expr(f"percentile_approx(value, array({at}), {20 * 2**bits})").alias("cuts")))
+        counts = counts.join(known, F.col("column") == F.col("c_column"))
         for bit in reversed(range(bits)):
             counts = counts.withColumn("part", F.expr(f"part + CASE WHEN value > cuts[part + {2**bit - 1}] THEN {2**bit} ELSE 0 END"))
     counts = counts.select("column", "value", "n", "part")
@@ -50,7 +48,7 @@ def counted_quantiles(counts: DataFrame, shares: list[float], range_values: int
     wanted = wanted.select("column", "part", "n", "before", "place", F.expr("h - floor(h)").alias("rest"), F.explode(F.expr("array(struct(0 AS side, floor(h) AS rank), struct(1 AS side, ceil(h) AS rank))")).alias("r"))
     wanted = wanted.where("r.rank >= before AND r.rank < before + n").select(F.col("column").alias("w_column"), F.col("part").alias("w_part"), "before", "place", "rest", "r.side", "r.rank")
     # At most two wanted ranks per column and share.
-    asked = F.broadcast(wanted.groupBy("w_column", "w_part").agg(F.first("before").alias("before"), F.collect_list(F.struct("place", "rest", "side", "rank")).alias("ranks")))
+    asked = wanted.groupBy("w_column", "w_part").agg(F.first("before").alias("before"), F.collect_list(F.struct("place", "rest", "side", "rank")).alias("ranks"))
     inside = counts.join(asked, F.expr("column = w_column AND part = w_part"))
     upto = F.col("before") + F.sum("n").over(Window.partitionBy("column", "part").orderBy("value"))
     hits = inside.withColumn("upto", upto).select("column", "value", "n", "upto", F.inline("ranks")).where("rank < upto AND rank >= upto - n")

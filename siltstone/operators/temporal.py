@@ -83,7 +83,7 @@ def significant_gaps(df: DataFrame, ts: str) -> DataFrame:
     found = stored(gaps(df, ts))
     mid = _median_gap(_gap_counts(found)).withColumnRenamed("median_gap", "mid")
     big = found.crossJoin(F.broadcast(mid)).where("gap_s > 2 * mid")
-    return big.selectExpr("ts", "next_ts", "gap_s", "cast(floor(gap_s / mid) - 1 AS bigint) AS missing", "CASE WHEN gap_s >= 10 * mid THEN 'severe' WHEN gap_s >= 5 * mid THEN 'moderate' ELSE 'minor' END AS severity")
+    return big.selectExpr("ts", "next_ts", "gap_s", "cast(floor(gap_s / mid) - 1 AS bigint) AS missing", "CASE WHEN gap_s > 10 * mid THEN 'severe' WHEN gap_s > 5 * mid THEN 'moderate' ELSE 'minor' END AS severity")
 
 
 def last_period_fill(df: DataFrame, ts: str, grain: str = "month") -> DataFrame:
@@ -124,6 +124,53 @@ def reconciled_window(flows: list[tuple[DataFrame, str, str]], default: float, g
     return both.selectExpr(f"CASE WHEN ({reason}) IS NULL THEN first ELSE {float(default)}D END AS days", f"({reason}) IS NULL AS derived", f"{reason} AS reason", "flows")
 
 
+def full_temporal_profile(df: DataFrame, as_of: str, most_gaps: int = 100) -> DataFrame:
+    """One row per time column: bounds, gaps, grain and its confidence, completeness, the largest gaps, how full the last period is, and staleness at ``as_of``.
+
+    ``column, first_ts, last_ts, distinct_ts, span_days, median_gap, min_gap, max_gap, grain, confidence, present, expected, completeness,
+    gaps, n_gaps_over, largest_gap_days, last_rows, typical, is_full, age_s, stale``.  gaps: the ``most_gaps`` longest of those over twice the
+    median, as ``ts, next_ts, gap_s, missing, severity``; n_gaps_over counts all of them.  An irregular column has no
+    periods to be complete by.  Distinct times and gaps are found once per column; what follows reads the written gaps.
+    """
+    from functools import reduce
+
+    from pyspark.sql.types import DateType, TimestampNTZType, TimestampType
+
+    times = [f.name for f in df.schema if isinstance(f.dataType, (DateType, TimestampType, TimestampNTZType))]
+    if not times:
+        raise ValueError("no time column")
+    return reduce(DataFrame.unionByName, [_temporal_row(df, c, as_of, most_gaps) for c in times])
+
+
+def _temporal_row(df: DataFrame, ts: str, as_of: str, most_gaps: int) -> DataFrame:
+    spark = df.sparkSession
+    found = stored(gaps(df.select(F.col(ts).cast("timestamp").alias(ts)), ts))
+    counts = _gap_counts(found)
+    stats = counts.agg(F.min("value").alias("min_gap"), F.max("value").alias("max_gap")).crossJoin(F.broadcast(_median_gap(counts)))
+    case = " ".join(f"WHEN abs(median_gap - {s}) <= {t} THEN '{g}'" for g, (s, t) in GRAINS.items())
+    told = stats.selectExpr("*", f"CASE {case} ELSE 'irregular' END AS grain").selectExpr("*", f"CASE WHEN grain = 'irregular' THEN {IRREGULAR}D ELSE 1 - least((max_gap - min_gap) / median_gap / {2 * HALVED_AT}, 0.5D) END AS confidence")
+    # One row: the grain that later sums are by.
+    known = told.first()
+    told = spark.createDataFrame([known], told.schema)
+    seen = df.where(F.col(ts).isNotNull())
+    ends = seen.agg(F.min(F.col(ts).cast("timestamp")).alias("first_ts"), F.max(F.col(ts).cast("timestamp")).alias("last_ts"), F.count_distinct(ts).alias("distinct_ts")).withColumn("span_days", F.datediff("last_ts", "first_ts").cast("long"))
+    over = found.where(f"gap_s > 2 * {float(known['median_gap'])!r}D") if known["median_gap"] else found.where("false")
+    mid = f"{float(known['median_gap'] or 1.0)!r}D"
+    rated = over.selectExpr("ts", "next_ts", "gap_s", f"CAST(floor(gap_s / {mid}) - 1 AS bigint) AS missing", f"CASE WHEN gap_s > 10 * {mid} THEN 'severe' WHEN gap_s > 5 * {mid} THEN 'moderate' ELSE 'minor' END AS severity")
+    few = rated.orderBy(F.desc("gap_s"), "ts").limit(most_gaps).agg(F.array_sort(F.collect_list(F.struct((-F.col("gap_s")).alias("k"), "ts", "next_ts", "gap_s", "missing", "severity"))).alias("g"))
+    listed = few.select(F.transform("g", lambda x: F.struct(*[x[c].alias(c) for c in ("ts", "next_ts", "gap_s", "missing", "severity")])).alias("gaps"))
+    out = ends.crossJoin(F.broadcast(told)).crossJoin(F.broadcast(listed)).crossJoin(F.broadcast(over.agg(F.count("*").alias("n_gaps_over"), (F.max("gap_s") / 86400).alias("largest_gap_days"))))
+    if known["grain"] in STEPS:
+        full = completeness(seen, ts, known["grain"])
+        last = last_period_fill(seen, ts, known["grain"]).select("last_rows", "typical", "is_full")
+        out = out.crossJoin(F.broadcast(full)).crossJoin(F.broadcast(last))
+    else:
+        out = out.selectExpr("*", "CAST(NULL AS bigint) AS present", "CAST(NULL AS bigint) AS expected", "CAST(NULL AS double) AS completeness", "CAST(NULL AS bigint) AS last_rows", "CAST(NULL AS double) AS typical", "CAST(NULL AS boolean) AS is_full")
+    age = F.expr(f"(unix_micros(timestamp'{as_of}') - unix_micros(last_ts)) / 1e6D")
+    names = ["first_ts", "last_ts", "distinct_ts", "span_days", "median_gap", "min_gap", "max_gap", "grain", "confidence", "present", "expected", "completeness", "gaps", "n_gaps_over", "largest_gap_days", "last_rows", "typical", "is_full"]
+    return out.select(F.lit(ts).alias("column"), *names, age.alias("age_s"), (age > 2 * F.col("median_gap")).alias("stale"))
+
+
 def profile_temporal(df: DataFrame) -> DataFrame:
     """Bounds, gap statistics and grain of every time column, one row each."""
     from functools import reduce

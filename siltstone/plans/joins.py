@@ -24,6 +24,23 @@ def _keys(table):
     return {"nation": table("nation").select("n_nationkey", "n_regionkey"), "region": table("region").select("r_regionkey"), "supplier": table("supplier").select("s_suppkey", "s_nationkey"), "customer": table("customer").select("c_custkey", "c_nationkey")}
 
 
+#: All columns of six tables by the family of their type.
+_FAMILIES = {
+    "nation": {"n_nationkey": "numeric", "n_name": "string", "n_regionkey": "numeric"}, "region": {"r_regionkey": "numeric", "r_name": "string"},
+    "supplier": {"s_suppkey": "numeric", "s_name": "string", "s_nationkey": "numeric", "s_acctbal": "numeric"}, "part": {"p_partkey": "numeric", "p_name": "string", "p_brand": "string", "p_type": "string", "p_size": "numeric", "p_retailprice": "numeric"},
+    "customer": {"c_custkey": "numeric", "c_name": "string", "c_nationkey": "numeric", "c_acctbal": "numeric", "c_mktsegment": "string"},
+    "orders": {"o_orderkey": "numeric", "o_custkey": "numeric", "o_orderstatus": "string", "o_totalprice": "numeric", "o_orderdate": "temporal", "o_orderpriority": "string"},
+}
+_AS_TEXT = {"numeric": "CAST(CAST({} AS DECIMAL(38, 6)) AS VARCHAR)", "string": "{}", "temporal": "CAST({} AS VARCHAR)"}
+_CELLS = " UNION ALL ".join(f"SELECT '{t}' AS t, '{c}' AS c, '{f}:' || {_AS_TEXT[f].format(c)} AS v FROM {t}" for t, cs in _FAMILIES.items() for c, f in cs.items())
+_J5_ALL = _J5.replace(_J5[_J5.index("v AS (") : _J5.index("),\ns AS")], f"v AS ({_CELLS}")
+
+
+@query("j05_all_columns", _J5_ALL)
+def _(table):
+    return rounded(j.find_joins({t: table(t) for t in _FAMILIES}))
+
+
 @query("j05_find_joins", _J5)
 def _(table):
     return rounded(j.find_joins(_keys(table)))
@@ -138,13 +155,13 @@ def _(table):
 _HASHES = "SELECT (SELECT count(*) FROM (SELECT DISTINCT o_custkey FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer))) / (SELECT count(*) FROM (SELECT o_custkey FROM orders UNION SELECT c_custkey FROM customer)) AS jaccard"
 
 
-@query("j04_minhash_within_error", f"SELECT true AS close FROM ({_HASHES}) WHERE jaccard IS NOT NULL")
+@query("j04_minhash_within_error", f"SELECT round(jaccard, 6) AS jaccard, true AS close FROM ({_HASHES})")
 def _(table):
-    # Four standard errors of 128 minima around the exact value.
-    found = j.estimated_jaccard(j.min_hashes(table("orders"), "o_custkey"), j.min_hashes(table("customer"), "c_custkey"))
+    # The exact share, and whether the estimate is within four of its standard errors.
+    found = j.estimated_jaccard(j.min_hashes(table("orders"), "o_custkey"), j.min_hashes(table("customer"), "c_custkey")).withColumnRenamed("jaccard", "estimate")
     a, b = table("orders").select(F.col("o_custkey").alias("k")).distinct(), table("customer").select(F.col("c_custkey").alias("k")).distinct()
-    exact = a.join(b, "k").agg(F.count("*").alias("shared")).crossJoin(F.broadcast(a.union(b).distinct().agg(F.count("*").alias("every"))))
-    return found.crossJoin(F.broadcast(exact)).select((F.abs(F.col("jaccard") - F.col("shared") / F.col("every")) <= 4 * 0.5 / 128**0.5).alias("close"))
+    exact = a.join(b, "k").agg(F.count("*").alias("shared")).crossJoin(F.broadcast(a.union(b).distinct().agg(F.count("*").alias("every")))).selectExpr("shared / every AS jaccard")
+    return rounded(found.crossJoin(F.broadcast(exact)).selectExpr("jaccard", "abs(estimate - jaccard) <= 4 * sqrt(jaccard * (1 - jaccard) / 128) + 1e-9 AS close"))
 
 
 @query("j12_composite_coverage", "SELECT count(*) AS total, count(*) FILTER (WHERE hit) AS covered, round(count(*) FILTER (WHERE hit) / count(*), 6) AS coverage FROM (SELECT (l_suppkey, l_linenumber) IN (SELECT (l_suppkey, l_linenumber) FROM lineitem WHERE l_returnflag = 'N' AND l_quantity > 45) AS hit FROM lineitem WHERE l_suppkey IS NOT NULL AND l_linenumber IS NOT NULL)")

@@ -80,7 +80,7 @@ def _(table):
     return rounded(m.chart(table("lineitem"), "l_returnflag", "l_quantity", "l_linestatus"), 4)
 
 
-@query("m15_fingerprint")
+@query("m15_fingerprint", "SELECT sha256(string_agg(r, chr(10) ORDER BY r)) AS sha256, count(*) AS rows FROM (SELECT to_json({'c_custkey': c_custkey, 'c_name': c_name, 'c_nationkey': c_nationkey, 'c_acctbal': printf('%.' || (11 - floor(log10(abs(c_acctbal)))::INT)::VARCHAR || 'f', c_acctbal), 'c_mktsegment': c_mktsegment})::VARCHAR AS r FROM customer ORDER BY c_custkey, c_name, c_nationkey, c_acctbal, c_mktsegment LIMIT 200)")
 def _(table):
     return m.fingerprint(table("customer"))
 

@@ -183,7 +183,7 @@ def _(table):
     return rounded(t.completeness(table("orders"), "o_orderdate", "month"))
 
 
-@query("x05_significant_gaps", f"WITH {_EGAPS}, m AS (SELECT median(gap_s) AS mid FROM g) SELECT ts, next_ts, round(gap_s, 2) AS gap_s, CAST(floor(gap_s / mid) - 1 AS BIGINT) AS missing, CASE WHEN gap_s >= 10 * mid THEN 'severe' WHEN gap_s >= 5 * mid THEN 'moderate' ELSE 'minor' END AS severity FROM g, m WHERE gap_s > 2 * mid ")
+@query("x05_significant_gaps", f"WITH {_EGAPS}, m AS (SELECT median(gap_s) AS mid FROM g) SELECT ts, next_ts, round(gap_s, 2) AS gap_s, CAST(floor(gap_s / mid) - 1 AS BIGINT) AS missing, CASE WHEN gap_s > 10 * mid THEN 'severe' WHEN gap_s > 5 * mid THEN 'moderate' ELSE 'minor' END AS severity FROM g, m WHERE gap_s > 2 * mid ")
 def _(table):
     return rounded(t.significant_gaps(table("events"), "ts"), 2)
 
@@ -243,3 +243,17 @@ _BENFORD_P = _BENFORD.replace("round(chi2, 4) AS chi2", "chi2")
 @query("p13_all_issues", " UNION ALL ".join(f"SELECT * FROM (SELECT '{c}' AS \"column\", 'outliers' AS issue, round(count(*) FILTER (WHERE {c} < a - 1.5 * (b - a) OR {c} > b + 1.5 * (b - a)) / count(*), 6) AS value, CASE WHEN count(*) FILTER (WHERE {c} < a - 1.5 * (b - a) OR {c} > b + 1.5 * (b - a)) / count(*) >= 0.1 THEN 'critical' ELSE 'warning' END AS severity FROM orders, (SELECT quantile_cont({c}, 0.25) AS a, quantile_cont({c}, 0.75) AS b FROM orders)) WHERE value > 0.05 UNION ALL SELECT \"column\", 'benford', round({_TAIL}, 6), 'warning' FROM ({_BENFORD_P.replace('{c}', c).replace('{t}', 'orders')}) WHERE verdict = 'violating'" for c in ("o_totalprice", "o_custkey")))
 def _(table):
     return rounded(p.all_issues(table("orders"), ["o_totalprice", "o_custkey"]))
+
+
+_AS_OF = "2030-01-01 00:00:00"
+_TEMPORAL = """SELECT '{c}' AS "column", count(*) AS distinct_ts, min(t)::TIMESTAMP AS first_ts, max(t)::TIMESTAMP AS last_ts, any_value(mid) AS median_gap, CASE WHEN abs(any_value(mid) - 86400) <= 3600 THEN 'day' ELSE 'irregular' END AS grain,
+CASE WHEN abs(any_value(mid) - 86400) <= 3600 THEN count(*) END AS present, CASE WHEN abs(any_value(mid) - 86400) <= 3600 THEN date_diff('day', min(t), max(t)) + 1 END AS expected, count(*) FILTER (WHERE gap > 2 * mid) AS n_gaps_over,
+round(max(gap) FILTER (WHERE gap > 2 * mid) / 86400, 6) AS largest_gap_days, least(100, count(*) FILTER (WHERE gap > 2 * mid)) AS listed, epoch(TIMESTAMP '{as_of}') - epoch(max(t)) AS age_s, epoch(TIMESTAMP '{as_of}') - epoch(max(t)) > 2 * any_value(mid) AS stale
+FROM (SELECT *, median(gap) OVER () AS mid FROM (SELECT t, epoch(lead(t) OVER (ORDER BY t)) - epoch(t) AS gap FROM (SELECT DISTINCT {c} AS t FROM {table} WHERE {c} IS NOT NULL)))"""
+
+
+@query("x08_full_temporal", " UNION ALL ".join(_TEMPORAL.format(c=c, table=x, as_of=_AS_OF) for c, x in (("o_orderdate", "orders"), ("ts", "events"))))
+def _(table):
+    one = lambda x: t.full_temporal_profile(table(x), _AS_OF)
+    out = one("orders").unionByName(one("events"))
+    return rounded(out.select("column", "distinct_ts", "first_ts", "last_ts", "median_gap", "grain", "present", "expected", "n_gaps_over", "largest_gap_days", F.size("gaps").alias("listed"), "age_s", "stale"))

@@ -157,3 +157,24 @@ def test_full_profile(spark):
     assert out["c"].histogram is None and out["t"].histogram is None and out["t"].p50 is None
     x = np.array([v for v in values if v is not None])
     assert (out["x"].total, out["x"].nulls, out["x"].distinct_values) == (8, 1, 4) and abs(out["x"].p50 - np.median(x)) < 1e-12 and abs(out["x"].mad - np.median(abs(x - np.median(x)))) < 1e-12
+
+
+def test_full_temporal_profile(spark):
+    """Two years of days with a hole and a thin last day, beside a column of the same times that are irregular."""
+    from datetime import timedelta
+
+    start = datetime(2022, 1, 1)
+    rows = []
+    for d in range(730):
+        if not 100 <= d < 112:
+            rows += [(start + timedelta(days=d), start + timedelta(seconds=d**3), "x")] * (1 if d == 729 else 4)
+    table = spark.createDataFrame(rows, "day timestamp, odd timestamp, t string")
+    out = {r["column"]: r for r in temporal.full_temporal_profile(table, "2024-02-01 00:00:00", 1).collect()}
+    day, odd = out["day"], out["odd"]
+    assert (day.grain, day.present, day.expected, day.distinct_ts, day.last_rows, day.typical, day.is_full, day.stale) == ("day", 718, 730, 718, 1, 4.0, False, True)
+    assert [(g.gap_s, g.missing, g.severity) for g in day.gaps] == [(13 * 86400.0, 12, "severe")] and day.n_gaps_over == 1 and abs(day.largest_gap_days - 13) < 1e-12
+    assert odd.grain == "irregular" and odd.completeness is None and odd.n_gaps_over > 1 and len(odd.gaps) == 1
+    empty = temporal.full_temporal_profile(table.limit(0), "2024-02-01 00:00:00").collect()
+    assert [r.n_gaps_over for r in empty] == [0, 0] and empty[0].median_gap is None
+    with pytest.raises(ValueError, match="no time column"):
+        temporal.full_temporal_profile(table.select("t"), "2024-02-01 00:00:00")
