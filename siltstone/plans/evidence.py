@@ -187,6 +187,39 @@ def _(table):
     return r.read_json_text(df.sparkSession, path)
 
 
+@query("s11_layer_orders", "SELECT o_orderkey, o_custkey, o_totalprice FROM orders WHERE o_custkey % 2 = 0")
+def _(table):
+    # A second write of a table takes the place of the first.
+    root = scratch(table("orders").sparkSession)
+    rows = table("orders").select("o_orderkey", "o_custkey", "o_totalprice")
+    r.write_layer(rows, root, "typed", "orders")
+    return r.write_layer(rows.where("o_custkey % 2 = 0"), root, "typed", "orders")
+
+
+# Edges from a part to another of its brand and back by a third: rings of one brand's parts by size.
+@query("g03_rings_of_parts", "SELECT 'p' || p_partkey AS node, min('p' || p_partkey) OVER (PARTITION BY p_brand, p_size) AS grp FROM part QUALIFY count(*) OVER (PARTITION BY p_brand, p_size) > 1")
+def _(table):
+    from pyspark.sql import Window
+
+    w = Window.partitionBy("p_brand", "p_size")
+    key = F.concat(F.lit("p"), "p_partkey")
+    ring = table("part").select(key.alias("a"), F.first(key).over(w.orderBy("p_partkey")).alias("first"), F.lead(key).over(w.orderBy("p_partkey")).alias("next"))
+    return e.cyclic_groups(ring.select("a", F.coalesce("next", "first").alias("b")))
+
+
+@query("s03_json_values", """SELECT CAST(c_custkey AS VARCHAR) AS key, '"' || c_name || '"' AS name, CASE WHEN c_acctbal > 0 THEN 'true' WHEN c_acctbal < 0 THEN 'false' END AS owed, '[' || c_nationkey || ',' || c_custkey || ']' AS both_2, '{"segment":' || CASE WHEN c_custkey % 3 = 0 THEN 'null' ELSE '"' || c_mktsegment || '"' END || '}' AS both FROM customer""")
+def _(table):
+    df = table("customer").selectExpr(
+        "c_custkey AS Key", "c_name AS Name", "CASE WHEN c_acctbal > 0 THEN true WHEN c_acctbal < 0 THEN false END AS Owed",
+        "from_json(concat('{\"segment\":', CASE WHEN c_custkey % 3 = 0 THEN 'null' ELSE concat('\"', c_mktsegment, '\"') END, '}'), 'segment string') AS `Both`", "concat('[', c_nationkey, ',', c_custkey, ']') AS raw",
+    )
+    path = scratch(df.sparkSession)
+    # Lines as they stand in files: a list, and a name that differs by case only.
+    quoted = "to_json(struct(Key, Name, Owed, `Both`), map('ignoreNullFields', 'false'))"
+    df.selectExpr(f"concat(left({quoted}, length({quoted}) - 1), ',\"both!\":', raw, '}}') AS value").write.text(path)
+    return r.read_json_text(df.sparkSession, path)
+
+
 @query("s11_layer", "SELECT n_nationkey, n_name FROM nation")
 def _(table):
     return rounded(r.write_layer(table("nation").select("n_nationkey", "n_name"), scratch(table("nation").sparkSession), "typed", "nation"))

@@ -90,6 +90,26 @@ def _(table):
     return v.opinion_pool(rows.select("target", "w.*"))
 
 
+# Three states of a balance: what each segment shows, a common prior, and an uncertain witness.
+_STATES = "SELECT c_mktsegment AS t, avg(CASE WHEN c_acctbal < 0 THEN 1.0 ELSE 0 END) AS a, avg(CASE WHEN c_acctbal BETWEEN 0 AND 5000 THEN 1.0 ELSE 0 END) AS b, avg(CASE WHEN c_acctbal > 5000 THEN 1.0 ELSE 0 END) AS c FROM customer GROUP BY 1"
+_WITNESS = " UNION ALL ".join(f"SELECT t, {r} AS r, unnest([0, 1, 2]) AS s, unnest([{p}]) AS p FROM x" for r, p in ((0.7, "a, b, c"), (0.9, "0.2, 0.3, 0.5"), (0.2, "1.0, 0.0, 0.0")))
+
+
+@query("v08_many_states", f"""WITH x AS ({_STATES}), w AS (SELECT t, r, s, greatest(p::DOUBLE, 1e-9) AS p FROM ({_WITNESS})), l AS (SELECT t, s, exp(sum(r * ln(p))) AS z, sum(r * p) / sum(r) AS mean FROM w GROUP BY 1, 2),
+h AS (SELECT t, sum(-r * p * log2(p)) / (sum(r) / 3) AS own FROM w GROUP BY 1), m AS (SELECT t, sum(-mean * log2(mean)) AS mean_h, sum(z) AS total, max(z) FILTER (WHERE s = 0) AS z0, max(z) FILTER (WHERE s = 1) AS z1, max(z) FILTER (WHERE s = 2) AS z2 FROM l GROUP BY 1)
+SELECT t AS target, round(z0 / total, 6) AS p0, round(z1 / total, 6) AS p1, round(z2 / total, 6) AS p2, round(greatest(mean_h - own, 0) / log2(3), 6) AS conflict, round(own / log2(3), 6) AS ignorance FROM m JOIN h USING (t)""")
+def _(table):
+    share = lambda cond: F.expr(f"avg(CASE WHEN {cond} THEN 1D ELSE 0D END)")
+    x = table("customer").groupBy(F.col("c_mktsegment").alias("target")).agg(share("c_acctbal < 0").alias("a"), share("c_acctbal BETWEEN 0 AND 5000").alias("b"), share("c_acctbal > 5000").alias("c"))
+    said = [("shown", 0.7, "array(a, b, c)"), ("prior", 0.9, "array(0.2D, 0.3D, 0.5D)"), ("unsure", 0.2, "array(1D, 0D, 0D)")]
+    rows = None
+    for name, reliability, p in said:
+        one = x.selectExpr("target", f"'{name}' AS witness", f"{reliability}D AS reliability", f"{p} AS p")
+        rows = one if rows is None else rows.unionByName(one)
+    out = v.opinion_pool(rows)
+    return rounded(out.select("target", *[F.col("posterior")[i].alias(f"p{i}") for i in range(3)], "conflict", "ignorance"))
+
+
 @query("v19_upsert", "SELECT n_nationkey, CASE WHEN n_regionkey = 1 THEN upper(n_name) || '!' ELSE n_name END AS n_name FROM nation")
 def _(table):
     old = table("nation").select("n_nationkey", "n_name")
@@ -97,6 +117,13 @@ def _(table):
     return v.upsert(old, new, ["n_nationkey"])
 
 
+@query("v19_upsert_orders", "SELECT o_orderkey, o_orderstatus, CASE WHEN o_custkey % 3 = 0 THEN o_totalprice + 1 ELSE o_totalprice END AS price FROM orders UNION ALL SELECT -o_orderkey, 'N', 0.0 FROM orders WHERE o_custkey % 5 = 0")
+def _(table):
+    old = table("orders").selectExpr("o_orderkey", "o_orderstatus", "o_totalprice AS price")
+    new = table("orders").where("o_custkey % 3 = 0").selectExpr("o_orderkey", "o_orderstatus", "o_totalprice + 1 AS price").union(table("orders").where("o_custkey % 5 = 0").selectExpr("-o_orderkey", "'N'", "0D"))
+    return v.upsert(old, new, ["o_orderkey"])
+
+
 @query("v02_comparison", "SELECT l_returnflag AS leg, round(sum(abs(l_extendedprice - l_extendedprice * (1 - l_discount))), 2) AS deviation, round(sum(abs(l_extendedprice)), 2) AS magnitude FROM lineitem GROUP BY 1")
 def _(table):
     return rounded(v.comparison(table("lineitem").withColumn("net", F.expr("l_extendedprice * (1 - l_discount)")), "l_returnflag", "l_extendedprice", "net"), 2)

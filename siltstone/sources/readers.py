@@ -7,7 +7,7 @@ import warnings
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, MapType, StringType, StructType
+from pyspark.sql.types import StringType, StructType
 
 # Strings that stand for a missing value, and columns that exports leave behind.
 NULLS_ANY_CASE = ["", "NULL", "NaN", "NA", "N/A", "MISSING", "UNKNOWN", "UNDEFINED", "NOT SET", "NOT PROVIDED", "NO DATA", "NO VALUE"]
@@ -81,10 +81,11 @@ def read_csv_text(spark: SparkSession, path: str | list[str], header: list[str]
 
 
 def read_json_text(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """Every top-level field as text; nested ones as JSON."""
+    """Every top-level field as the JSON text of its value, strings in quotes; a missing one or a null is null."""
     df = spark.read.json(path)
-    nested = (ArrayType, MapType, StructType)
-    return normalise_columns(df.select(*[(F.to_json(f"`{f.name}`") if isinstance(f.dataType, nested) else F.col(f"`{f.name}`").cast("string")).alias(f.name) for f in df.schema]))
+    # A list of one value is its text in brackets.
+    text = lambda c: F.expr(f"substring(to_json(array(`{c}`), map('ignoreNullFields', 'false')), 2, length(to_json(array(`{c}`), map('ignoreNullFields', 'false'))) - 2)")
+    return normalise_columns(df.select(*[F.when(F.col(f"`{c}`").isNotNull(), text(c)).alias(c) for c in df.columns]))
 
 
 def read_parquet_typed(spark: SparkSession, path: str | list[str]) -> DataFrame:
