@@ -19,7 +19,19 @@ def _(table):
     return rounded(x.formula_match(_line(table), "net", "l_extendedprice - rebate"))
 
 
-@query("a02_find_derived", f"SELECT 'l_extendedprice' AS target, 'net' AS a, 'sum' AS op, 'rebate' AS b, round(count(*) FILTER (WHERE l_extendedprice <> 0 AND abs(l_extendedprice - (net + rebate)) < 0.01) / count(*) FILTER (WHERE l_extendedprice <> 0), 6) AS rate FROM {_LINE} UNION ALL SELECT 'rebate', 'l_extendedprice', 'product', 'l_discount', round(count(*) FILTER (WHERE rebate <> 0 AND abs(rebate - l_extendedprice * l_discount) < 0.01) / count(*) FILTER (WHERE rebate <> 0), 6) FROM {_LINE} UNION ALL SELECT 'l_discount', 'rebate', 'ratio', 'net', round(count(*) FILTER (WHERE l_discount <> 0 AND abs(l_discount - rebate / net) < 0.01) / count(*) FILTER (WHERE l_discount <> 0), 6) FROM {_LINE}")
+_DERIVED_FROM = ["l_extendedprice", "l_discount", "net", "rebate"]
+_ASKED = [
+    (t, a, op, b, rank, shape.format(a=a, b=b))
+    for t in _DERIVED_FROM for a in _DERIVED_FROM for b in _DERIVED_FROM
+    for rank, (op, shape) in enumerate({"sum": "{a} + {b}", "product": "{a} * {b}", "difference": "{a} - {b}", "ratio": "{a} / nullif({b}, 0)"}.items())
+    if len({t, a, b}) == 3 and (op in ("difference", "ratio") or a < b)
+]
+_COUNTED = ", ".join(f"count(*) FILTER (WHERE {t} <> 0 AND ({f}) IS NOT NULL) AS t{i}, count(*) FILTER (WHERE {t} <> 0 AND abs({t} - ({f})) < 0.01) AS m{i}" for i, (t, _, _, _, _, f) in enumerate(_ASKED))
+_EVERY = " UNION ALL ".join(f"SELECT '{t}' AS target, '{a}' AS a, '{op}' AS op, '{b}' AS b, {rank} AS op_rank, m{i} / nullif(t{i}, 0) AS rate FROM k" for i, (t, a, op, b, rank, _) in enumerate(_ASKED))
+
+
+# A formula whose operands may change places stands once, in the order in which the columns are asked.
+@query("a02_find_derived", f"WITH k AS (SELECT {_COUNTED} FROM {_LINE}), r AS ({_EVERY}), p(c, place) AS (VALUES ('l_extendedprice', 0), ('l_discount', 1), ('net', 2), ('rebate', 3)), o AS (SELECT target, CASE WHEN op IN ('sum', 'product') AND x.place > y.place THEN b ELSE a END AS a, op, CASE WHEN op IN ('sum', 'product') AND x.place > y.place THEN a ELSE b END AS b, op_rank, rate FROM r JOIN p x ON x.c = a JOIN p y ON y.c = b WHERE rate >= 0.8) SELECT target, a, op, b, round(rate, 6) AS rate FROM o QUALIFY row_number() OVER (PARTITION BY list_sort([target, a, b]) ORDER BY rate DESC, op_rank, target, a) = 1")
 def _(table):
     return rounded(x.find_derived(_line(table), ["l_extendedprice", "l_discount", "net", "rebate"]))
 
