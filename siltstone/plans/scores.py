@@ -117,10 +117,10 @@ def _(table):
     return v.upsert(old, new, ["n_nationkey"])
 
 
-@query("v19_upsert_orders", "SELECT o_orderkey, o_orderstatus, CASE WHEN o_custkey % 3 = 0 THEN o_totalprice + 1 ELSE o_totalprice END AS price FROM orders UNION ALL SELECT -o_orderkey, 'N', 0.0 FROM orders WHERE o_custkey % 5 = 0")
+@query("v19_upsert_orders", "SELECT o_orderkey, o_orderstatus, CASE WHEN o_custkey % 3 = 0 THEN o_totalprice + 1 ELSE o_totalprice END AS price FROM orders UNION ALL SELECT -1 - o_orderkey, 'N', 0.0 FROM orders WHERE o_custkey % 5 = 0")
 def _(table):
     old = table("orders").selectExpr("o_orderkey", "o_orderstatus", "o_totalprice AS price")
-    new = table("orders").where("o_custkey % 3 = 0").selectExpr("o_orderkey", "o_orderstatus", "o_totalprice + 1 AS price").union(table("orders").where("o_custkey % 5 = 0").selectExpr("-o_orderkey", "'N'", "0D"))
+    new = table("orders").where("o_custkey % 3 = 0").selectExpr("o_orderkey", "o_orderstatus", "o_totalprice + 1 AS price").union(table("orders").where("o_custkey % 5 = 0").selectExpr("-1 - o_orderkey", "'N'", "0D"))
     return v.upsert(old, new, ["o_orderkey"])
 
 
