@@ -9,8 +9,11 @@ document's score is the logistic sum over its clause kinds, with weights learned
 training rows around prior weights, so that isolated words never count twice.
 
 The words of the grammar are the fixed ones below and, whatever the language, those that stand
-in toxic training rows far more often than chance allows: ``learned_words`` counts every word of
-every training row by label.
+in toxic training rows far more often than chance allows: ``word_counts`` counts every word of
+every training row by label.  How much more often is decided on folds of the training rows:
+``least_ratio`` takes the bound whose words, learned on the other folds, tell toxic rows best.
+The fixed words are a parameter; held-out decisions on the shipped tables are the same without
+its insults and threats.
 
 Defined results: null and empty texts have no clauses and get the base score; rows without a
 doc_id are scored but never train; labels that are null, or not 0 or 1, are ignored; without any
@@ -60,11 +63,13 @@ PRIOR = np.array([-2.5, *KINDS.values()])
 #: Symbols that make a clause worth matching.
 MARKED = {INSULT, THREAT, LOADED}
 
-#: A learned word's least log-likelihood ratio against the share of toxic rows (one word in 10,000 by chance, and
-#: half of these on the clean side), and the lower bound of its toxic share from which it is an insult, not just loaded.
-LEAST_RATIO, INSULT_SHARE = 15.0, 0.9
-#: Learned words that a lexicon holds at most, those with the highest ratio.
-MOST_WORDS = 200_000
+#: Bounds to choose from of a learned word's log-likelihood ratio against the share of toxic rows: chi-square of one
+#: degree that a word exceeds by chance once in 1,000, 10,000, 100,000 and 1,000,000 times.
+RATIOS = (10.8, 15.1, 19.5, 23.9)
+#: The lower bound of its toxic share from which a learned word is an insult, not just loaded.
+INSULT_SHARE = 0.9
+#: Parts of the training rows, by their texts, on which the bound is chosen.
+FOLDS = 4
 
 COUNTS = StructType([StructField(f"k_{k}", IntegerType()) for k in KIND_NAMES])
 
@@ -246,42 +251,74 @@ def held_out(doc_id: Column) -> Column:
 
 
 def training_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """``text, toxic`` of every labelled document that is not held out, written once; labels grow with the documents and are never broadcast."""
+    """``text, toxic, fold`` of every labelled document that is not held out, written once; labels grow with the documents and are never broadcast."""
     train = F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))
     marked = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where(F.col("toxic").isin(0, 1) & train)
-    return written(document_columns(docs).where(train).join(marked.hint("merge"), "doc_id").select("text", "toxic"))
+    fold = F.coalesce(F.crc32(F.col("text").cast("binary")) % FOLDS, F.lit(0)).cast("int").alias("fold")
+    return written(document_columns(docs).where(train).join(marked.hint("merge"), "doc_id").select("text", "toxic", fold))
 
 
-def learned_words(training: DataFrame) -> dict[str, int]:
-    """Words that mark toxic training rows, each with its class; no fixed word among them.
+def word_counts(training: DataFrame) -> DataFrame:
+    """``word, bad_<fold>, good_<fold>``: training rows that hold each word, by label and fold; the row of the empty word holds the totals."""
 
-    Rows are counted per word and label; the row of the empty word holds the totals.
-    """
-
-    def counted(seen: tuple[Counter, Counter]) -> pa.RecordBatch:
-        parts = [(w, y, n) for y in (0, 1) for w, n in seen[y].items()]
-        return pa.RecordBatch.from_arrays([pa.array([p[k] for p in parts], t) for k, t in enumerate((pa.string(), pa.int32(), pa.int64()))], ["word", "toxic", "n"])
+    def counted(seen: Counter) -> pa.RecordBatch:
+        arrays = [pa.array([key[k] for key in seen], t) for k, t in enumerate((pa.string(), pa.int32(), pa.int32()))]
+        return pa.RecordBatch.from_arrays([*arrays, pa.array(list(seen.values()), pa.int64())], ["word", "toxic", "fold", "n"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: tuple[Counter, Counter] = (Counter(), Counter())
+        seen: Counter = Counter()
         for batch in batches:
-            for text, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                seen[toxic].update({"", *tokens_of(text)} if text else {""})
-            if len(seen[0]) + len(seen[1]) > 200_000:
-                yield counted(seen)
-                seen = (Counter(), Counter())
+            for text, toxic, fold in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
+                seen.update((w, toxic, fold) for w in ({"", *tokens_of(text)} if text else {""}))
+                if len(seen) > 200_000:
+                    yield counted(seen)
+                    seen = Counter()
         yield counted(seen)
 
-    per_word = written(training.mapInArrow(run, "word string, toxic int, n long").groupBy("word").agg(*[F.coalesce(F.sum(F.when(F.col("toxic") == y, F.col("n"))), F.lit(0)).alias(c) for y, c in ((1, "bad"), (0, "good"))]))
+    part = lambda y, k: F.coalesce(F.sum(F.when((F.col("toxic") == y) & (F.col("fold") == k), F.col("n"))), F.lit(0))
+    cells = training.select("text", "toxic", "fold").mapInArrow(run, "word string, toxic int, fold int, n long")
+    return written(cells.groupBy("word").agg(*[part(y, k).alias(f"{c}_{k}") for y, c in ((1, "bad"), (0, "good")) for k in range(FOLDS)]))
+
+
+def marked_words(counts: DataFrame, without: int | None, least: float, fixed: dict[str, int], most_words: int) -> dict[str, tuple[float, bool]]:
+    """Words that mark toxic rows outside the fold ``without``, with their ratio and whether they are insults; no fixed word among them.
+
+    most_words: size of the classifier; beyond it, it holds the words of the highest ratios.
+    """
+    kept = [k for k in range(FOLDS) if k != without]
+    per_word = counts.selectExpr("word", *[" + ".join(f"{c}_{k}" for k in kept) + f" AS {c}" for c in ("bad", "good")])
     total = per_word.where("word = ''").first()
     if total is None or not total.bad or not total.good:
         return {}
     base = total.bad / (total.bad + total.good)
-    found = per_word.where("word <> '' AND bad >= good").withColumns({"n": F.expr("bad + good"), "share": F.expr("bad / (bad + good)")})
+    found = per_word.where("word <> '' AND bad > 0 AND bad >= good").withColumns({"n": F.expr("bad + good"), "share": F.expr("bad / (bad + good)")})
     ratio = F.expr(f"2 * (bad * ln(share / {base}D) + CASE WHEN good > 0 THEN good * ln((1 - share) / (1 - {base}D)) ELSE 0 END)")
     lower = F.expr("(share + 2 / n - 2 * sqrt(share * (1 - share) / n + 1 / (n * n))) / (1 + 4 / n)")
-    rows = found.withColumn("ratio", ratio).where((F.col("share") > base) & (F.col("ratio") >= LEAST_RATIO)).orderBy(F.desc("ratio"), "word").limit(MOST_WORDS).select("word", (lower >= INSULT_SHARE).alias("strong")).collect()
-    return {r.word: INSULT if r.strong else LOADED for r in rows if r.word not in CLASS_OF and r.word.isalpha()}
+    rows = found.withColumn("ratio", ratio).where((F.col("share") > base) & (F.col("ratio") >= least)).orderBy(F.desc("ratio"), "word").limit(most_words).select("word", "ratio", (lower >= INSULT_SHARE).alias("strong")).collect()
+    return {r.word: (r.ratio, r.strong) for r in rows if r.word not in fixed and r.word.isalpha()}
+
+
+def least_ratio(training: DataFrame, counts: DataFrame, fixed: dict[str, int], most_words: int) -> float:
+    """The bound of ``RATIOS`` with the fewest training rows misjudged by words learned on the other folds; ties to the highest.
+
+    A row counts as found if it holds a learned word of at least that ratio.
+    """
+    lexicons = [{w: r for w, (r, _) in marked_words(counts, k, min(RATIOS), fixed, most_words).items()} for k in range(FOLDS)]
+
+    @F.pandas_udf("double")
+    def highest(texts: pd.Series, folds: pd.Series) -> pd.Series:
+        return pd.Series([max(map(lexicons[k].get, lexicons[k].keys() & set(tokens_of(t)) if t else ()), default=0.0) for t, k in zip(texts, folds, strict=True)], dtype="float64")
+
+    judged = training.select(highest("text", "fold").alias("r"), "toxic")
+    wrong = judged.agg(*[F.count_if((F.col("r") >= bound) != (F.col("toxic") == 1)).alias(f"w_{i}") for i, bound in enumerate(RATIOS)]).first()
+    return max(zip(RATIOS, wrong, strict=True), key=lambda x: (-x[1], x[0]))[0]
+
+
+def learned_words(training: DataFrame, fixed: dict[str, int] = CLASS_OF, most_words: int = 200_000) -> dict[str, int]:
+    """Words that mark toxic training rows, each with its class; no fixed word among them."""
+    counts = word_counts(training)
+    found = marked_words(counts, None, least_ratio(training, counts, fixed, most_words), fixed, most_words)
+    return {w: INSULT if strong else LOADED for w, (_, strong) in found.items()}
 
 
 def _feature(column: str) -> str:
@@ -324,23 +361,26 @@ def score_of(weights: np.ndarray, prefix: str = "") -> Column:
     return F.lit(1.0) / (F.lit(1.0) + F.exp(-z))
 
 
-def fitted(docs: DataFrame, labels: DataFrame) -> tuple[dict[str, int], np.ndarray]:
+def fitted(docs: DataFrame, labels: DataFrame, fixed: dict[str, int] = CLASS_OF, most_words: int = 200_000) -> tuple[dict[str, int], np.ndarray]:
     """The classes of fixed and learned words, and the weights."""
     training = training_rows(docs, labels)
-    class_of = learned_words(training) | CLASS_OF
+    class_of = learned_words(training, fixed, most_words) | fixed
     return class_of, fit(training, class_of)
 
 
-def score_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """``doc_id, held_out, score, predicted`` of every document; only training texts are shuffled and read again."""
-    class_of, weights = fitted(docs, labels)
+def score_documents(docs: DataFrame, labels: DataFrame, fixed: dict[str, int] = CLASS_OF, most_words: int = 200_000) -> DataFrame:
+    """``doc_id, held_out, score, predicted`` of every document; only training texts are shuffled and read again.
+
+    fixed: classes of words that need no label.  most_words: learned words that the classifier holds at most.
+    """
+    class_of, weights = fitted(docs, labels, fixed, most_words)
     counts = document_columns(docs).select("doc_id", clause_counts(class_of, "text"))
     out = counts.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), score_of(weights, "k.").alias("score"))
     return out.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 
-def kept_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
+def kept_documents(docs: DataFrame, labels: DataFrame, fixed: dict[str, int] = CLASS_OF, most_words: int = 200_000) -> DataFrame:
     """The rows of ``docs`` that score under 0.5, all columns, never shuffled whole."""
-    class_of, weights = fitted(docs, labels)
+    class_of, weights = fitted(docs, labels, fixed, most_words)
     whole = docs.select(F.struct("*").alias("row"), clause_counts(class_of, "text"))
     return whole.where(score_of(weights, "k.") < 0.5).select("row.*")

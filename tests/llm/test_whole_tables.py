@@ -30,18 +30,31 @@ def _held_out(doc_id):
 def _toxicity(docs, labels):
     """``doc_id -> score`` from the words of training rows, clause kinds by looking around each match, and a Newton fit."""
     fst = toxicity_fst
-    training = [(_tokens(docs[i]), y) for i, y in labels if y in (0, 1) and i in docs and not _held_out(i)]
-    seen = {y: collections.Counter(w for tokens, label in training if label == y for w in set(tokens)) for y in (0, 1)}
-    bad_rows = sum(y for _, y in training)
-    base = bad_rows / len(training)
-    class_of = {}
-    for word, bad in seen[1].items():
-        good, n = seen[0][word], bad + seen[0][word]
-        share = bad / n
-        ratio = 2 * (bad * math.log(share / base) + (good * math.log((1 - share) / (1 - base)) if good else 0))
-        if bad >= good and share > base and ratio >= fst.LEAST_RATIO and word.isalpha():
-            lower = (share + 2 / n - 2 * math.sqrt(share * (1 - share) / n + 1 / n**2)) / (1 + 4 / n)
-            class_of[word] = fst.INSULT if lower >= fst.INSULT_SHARE else fst.LOADED
+    rows = [(docs[i] or "", y) for i, y in labels if y in (0, 1) and i in docs and not _held_out(i)]
+    training = [(_tokens(t), y) for t, y in rows]
+    fold_of = [zlib.crc32(t.encode()) % fst.FOLDS for t, _ in rows]
+
+    def marked(part, least):
+        seen = {y: collections.Counter(w for tokens, label in part if label == y for w in set(tokens)) for y in (0, 1)}
+        base, found = sum(y for _, y in part) / len(part), {}
+        for word, bad in seen[1].items():
+            good, n = seen[0][word], bad + seen[0][word]
+            share = bad / n
+            ratio = 2 * (bad * math.log(share / base) + (good * math.log((1 - share) / (1 - base)) if good else 0))
+            if bad >= good and share > base and ratio >= least and word.isalpha() and word not in fst.CLASS_OF:
+                lower = (share + 2 / n - 2 * math.sqrt(share * (1 - share) / n + 1 / n**2)) / (1 + 4 / n)
+                found[word] = ratio, fst.INSULT if lower >= fst.INSULT_SHARE else fst.LOADED
+        return found
+
+    wrong = dict.fromkeys(fst.RATIOS, 0)
+    for k in range(fst.FOLDS):
+        lexicon = marked([t for t, f in zip(training, fold_of, strict=True) if f != k], 0)
+        for (tokens, y), f in zip(training, fold_of, strict=True):
+            top = max((lexicon[w][0] for w in set(tokens) if w in lexicon), default=0)
+            for bound in wrong:
+                wrong[bound] += f == k and (top >= bound) != (y == 1)
+    least = max(r for r in wrong if wrong[r] == min(wrong.values()))
+    class_of = {w: c for w, (_, c) in marked(training, least).items()}
     class_of |= fst.CLASS_OF
 
     def features(tokens):
@@ -82,6 +95,29 @@ def test_op4_whole_table(spark, sf_dir):
     assert toxicity_fst.learned_words(training) | toxicity_fst.CLASS_OF == class_of
 
 
+@pytest.mark.parametrize("sf_dir", ["/root/testdata/sf0.01", "/root/testdata/sf0.1"])
+def test_fixed_insults_can_go(spark, sf_dir):
+    """Held-out decisions are the same without the fixed insults and threats: the labels show them."""
+    docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
+    bare = {w: c for w, c in toxicity_fst.CLASS_OF.items() if c not in (toxicity_fst.INSULT, toxicity_fst.THREAT)}
+    known = labels.where("toxic IN (0, 1)").select("doc_id", "toxic")
+    counts = []
+    for fixed in (toxicity_fst.CLASS_OF, bare):
+        judged = toxicity_fst.score_documents(docs, labels, fixed).where("held_out").join(known, "doc_id")
+        counts.append(sorted((r.toxic, r.predicted, r["count"]) for r in judged.groupBy("toxic", "predicted").count().collect()))
+    assert counts[0] == counts[1]
+
+
+def test_words_of_a_small_classifier(spark):
+    """A classifier of few words holds those of the highest ratio."""
+    rows = [(i, f"plain words here {'vilo' if i % 2 else 'neat'}{' grumo' if i % 4 == 1 else ''}", i % 2) for i in range(400)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    training = toxicity_fst.training_rows(table, table.select("doc_id", "toxic"))
+    assert set(toxicity_fst.learned_words(training, {})) == {"vilo", "grumo"}
+    assert set(toxicity_fst.learned_words(training, {}, most_words=1)) == {"vilo"}
+    assert set(toxicity_fst.learned_words(training, {"vilo": toxicity_fst.TARGET})) == {"grumo"}
+
+
 def test_equal_texts_score_alike(spark):
     """Ties: repeated rows and texts that differ in white space and digits only have one score."""
     text = "You are a worthless idiot. He said you are trash!"
