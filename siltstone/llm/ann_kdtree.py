@@ -10,9 +10,10 @@ kd-tree, and each one met is verified on the original vectors.
 That bound holds for any number of dimensions; which one costs least depends on the data, so it
 is chosen on the sample: vectors with structure in few dimensions need few, while among nearly
 uniform ones (as in the shipped tables, whose tenth neighbour is at three quarters of the usual
-distance) few dimensions leave most vectors to verify.  Each query reports how many it verified.
+distance) few dimensions leave most vectors to verify.  Each query reports how many it verified,
+and in how many rows of opened leaves it computed projected distances.
 
-On Spark the top of the kd-tree is fitted on a bounded sample of projections (``sample_rows``)
+On Spark the top of the kd-tree is fitted on a sample of about ``sample_rows`` projections
 and cuts space into cells; every row is indexed.  A query first searches its own cell, then, with
 the distance found there, every cell whose box the same chi-square test does not exclude.  Cells
 are salted into blocks of about ``block_rows`` rows; each block builds its own tree in one task.
@@ -97,14 +98,15 @@ class KDTree:
         d = np.maximum(np.maximum(low - q, q - high), 0.0)
         return float(d @ d)
 
-    def search(self, q: np.ndarray, verify, k: int, bound: float, ratio: float) -> tuple[list[tuple[float, int]], int]:
-        """The best ``k`` of ``verify(rows) -> (distances, ids)``, given that ``bound`` is already reached, and how many were verified.
+    def search(self, q: np.ndarray, verify, k: int, bound: float, ratio: float) -> tuple[list[tuple[float, int]], int, int]:
+        """The best ``k`` of ``verify(rows) -> (distances, ids)``, given that ``bound`` is already reached, how many
+        were verified, and how many rows the opened leaves held.
 
         Stops once the projected squared distance of the next neighbour exceeds ``ratio`` times
         the square of the k-th distance.
         """
         best: list[tuple[float, int]] = []  # negated, the worst first
-        limit, verified = bound, 0
+        limit, verified, projected = bound, 0, 0
         # Nodes by the gap of their box; rows of an opened leaf by their own projected distance.
         heap: list[tuple[float, int, int, np.ndarray | None, np.ndarray | None]] = [(self._gap(0, q), 0, 0, None, None)]
         tick = 0
@@ -121,6 +123,7 @@ class KDTree:
                     continue
                 d = self.points[inside] - q
                 gaps = (d * d).sum(1)
+                projected += len(gaps)
                 order = gaps.argsort(kind="stable")
                 own, rows = gaps[order], inside[order]
             else:
@@ -140,7 +143,7 @@ class KDTree:
             if len(own):
                 tick += 1
                 heapq.heappush(heap, (float(own[0]), tick, node, own, rows))
-        return sorted((-d, -i) for d, i in best), verified
+        return sorted((-d, -i) for d, i in best), verified, projected
 
 
 def usable_vectors(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding") -> DataFrame:
@@ -182,22 +185,23 @@ def _cell_of(points: np.ndarray, cuts: list[tuple[int, float]]) -> np.ndarray:
 
 
 def nearest(vectors: DataFrame, is_query: Column, k: int = 10, confidence: float = 0.95, block_rows: int = 4096, most_cells: int = 1024, sample_rows: int = 16_384, vec_id: str = "vec_id", embedding: str = "embedding") -> DataFrame:
-    """``query_id, rank, vec_id, score, verified``: for each row that ``is_query`` selects (an expression over
+    """``query_id, rank, vec_id, score, verified, projected``: for each row that ``is_query`` selects (an expression over
     ``vec_id``), its ``k`` nearest other rows by Euclidean distance, ties to the smaller vec_id.
 
     confidence: least probability that a neighbour is met before the search stops.  most_cells: cells of
-    the top of the tree, whose boxes the driver holds; beyond, cells have more blocks.
+    the top of the tree, whose boxes the driver holds; beyond, cells have more blocks.  sample_rows: rows
+    expected in the sample that fits the top of the tree, chosen by a hash of the vec_id.
     """
     spark = vectors.sparkSession
     rows = written(usable_vectors(vectors, vec_id, embedding))
-    result = "query_id long, rank int, vec_id long, score double, verified long"
+    result = "query_id long, rank int, vec_id long, score double, verified long, projected long"
     sizes = rows.groupBy(F.size("v").alias("size")).count().orderBy(F.desc("count"), "size").first()
     if sizes is None:
         return spark.createDataFrame([], result)
     size, total = sizes["size"], sizes["count"]
     rows = rows.where(F.size("v") == size)
     depth = max(0, min(most_cells, -(-total // block_rows)) - 1).bit_length()
-    sample = _matrix(rows.orderBy(F.xxhash64("vec_id")).limit(sample_rows).select("v").toPandas().v)
+    sample = _matrix(rows.where(F.pmod(F.xxhash64("vec_id"), F.lit(total)) < sample_rows).select("v").toPandas().v)
     dims = cheapest_dims(sample, k, confidence)
     matrix, ratio = projection(size, dims), chi_square(dims, confidence)
     cuts = _fit_cells(sample @ matrix, depth)
@@ -220,7 +224,7 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 10, confidence: float
     queries = placed.where(is_query).select(F.col("vec_id").alias("query_id"), F.col("v").alias("q"), F.col("p").alias("qp"), "cell")
 
     def search(key: tuple, own: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
-        out: list[tuple[int, int | None, float | None, int]] = []
+        out: list[tuple[int, int | None, float | None, int, int]] = []
         if len(own) and len(asked):
             v, who = _matrix(own.v), own.vec_id.to_numpy()
             tree = KDTree(_matrix(own.p))
@@ -232,16 +236,16 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 10, confidence: float
                     d = v[found] - q
                     return np.sqrt((d * d).sum(1)), who[found]
 
-                found, verified = tree.search(np.asarray(qp), verify, k, bound, ratio)
-                out += [(query_id, i, d, 0) for d, i in found]
-                out.append((query_id, None, None, verified))
-        ids, others, scores, verified = zip(*out, strict=True) if out else ((), (), (), ())
-        return pd.DataFrame({"query_id": pd.Series(ids, dtype="int64"), "vec_id": pd.Series(others, dtype="Int64"), "score": pd.Series(scores, dtype="float64"), "verified": pd.Series(verified, dtype="int64")})
+                found, verified, projected = tree.search(np.asarray(qp), verify, k, bound, ratio)
+                out += [(query_id, i, d, 0, 0) for d, i in found]
+                out.append((query_id, None, None, verified, projected))
+        ids, others, scores, verified, projected = zip(*out, strict=True) if out else ((), (), (), (), ())
+        return pd.DataFrame({"query_id": pd.Series(ids, dtype="int64"), "vec_id": pd.Series(others, dtype="Int64"), "score": pd.Series(scores, dtype="float64"), "verified": pd.Series(verified, dtype="int64"), "projected": pd.Series(projected, dtype="int64")})
 
     def run(asked: DataFrame) -> DataFrame:
         """Search blocks for rows of ``query_id, q, qp, cell, bound``; queries go to every block of a cell in lots."""
         spread = asked.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), block_count[F.col("cell")].cast("long") - 1)))
-        return written(salted.groupBy("cell", "block").cogroup(spread.groupBy("cell", "block")).applyInPandas(search, "query_id long, vec_id long, score double, verified long"))
+        return written(salted.groupBy("cell", "block").cogroup(spread.groupBy("cell", "block")).applyInPandas(search, "query_id long, vec_id long, score double, verified long, projected long"))
 
     best = Window.partitionBy("query_id").orderBy("score", "vec_id")
     top = lambda df: df.where("vec_id IS NOT NULL").withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
@@ -261,6 +265,6 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 10, confidence: float
             yield df.iloc[who].assign(cell=ids[where])
 
     others = run(asked.mapInPandas(route, "query_id long, q array<double>, qp array<double>, cell long, bound double"))
-    work = at_home.unionByName(others).groupBy(F.col("query_id").alias("w_id")).agg(F.sum("verified").alias("verified"))
+    work = at_home.unionByName(others).groupBy(F.col("query_id").alias("w_id")).agg(*[F.sum(c).alias(c) for c in ("verified", "projected")])
     found = top(home.unionByName(others.select("query_id", "vec_id", "score"))).join(work, F.col("query_id") == F.col("w_id"))
-    return found.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score", "verified")
+    return found.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score", "verified", "projected")

@@ -41,7 +41,8 @@ def test_nearest_verifies_few_of_structured_vectors(spark):
         d[q] = np.inf
         hits += len(set(d.argsort()[:10]) & set(own.vec_id))
     assert hits >= 0.9 * 200
-    assert out.groupby("query_id").verified.first().mean() < 0.2 * len(v)
+    work = out.groupby("query_id")[["verified", "projected"]].first().mean()
+    assert work.verified < 0.2 * len(v) and work.verified <= work.projected < 0.6 * len(v)
 
 
 def test_chi_square_quantiles():
@@ -55,10 +56,10 @@ def test_tree_meets_neighbours_in_order():
     q = rng.standard_normal(4)
     seen = []
     tree = ann_kdtree.KDTree(points, 64)
-    found, verified = tree.search(q, lambda rows: (seen.extend(rows.tolist()), (((points[rows] - q) ** 2).sum(1) ** 0.5, rows))[1], 10, float("inf"), 1.0)
+    found, verified, projected = tree.search(q, lambda rows: (seen.extend(rows.tolist()), (((points[rows] - q) ** 2).sum(1) ** 0.5, rows))[1], 10, float("inf"), 1.0)
     d = ((points - q) ** 2).sum(1) ** 0.5
     assert [i for _, i in found] == d.argsort(kind="stable")[:10].tolist()
-    assert verified == len(seen) < 1000
+    assert verified == len(seen) <= projected < 1500
 
 
 def test_preference_pairs(spark):
