@@ -34,6 +34,27 @@ def join_statistics(cells: DataFrame) -> DataFrame:
     return cells.groupBy("table", "column", "family").agg(F.count("*").alias("distinct_values"), F.sum("n").alias("non_null")).withColumn("uniqueness", F.col("distinct_values") / F.col("non_null"))
 
 
+def _with_sides(pairs: DataFrame, stats: DataFrame, max_ratio: float, key_at: float) -> DataFrame:
+    """Pairs ``a, b`` of columns with ``d_*``, ``u_*`` and cardinality; of very unequal ones only those whose larger side is a key."""
+    side = lambda s: stats.select(F.struct("table", "column").alias(s), F.col("distinct_values").alias(f"d_{s}"), F.col("uniqueness").alias(f"u_{s}"))
+    out = pairs.join(F.broadcast(side("a")), "a").join(F.broadcast(side("b")), "b")
+    larger_is_key = F.expr(f"CASE WHEN d_a >= d_b THEN u_a ELSE u_b END >= {key_at}")
+    cardinality = F.expr(f"concat(CASE WHEN u_a >= {key_at} THEN '1' ELSE 'n' END, ':', CASE WHEN u_b >= {key_at} THEN '1' ELSE CASE WHEN u_a >= {key_at} THEN 'n' ELSE 'm' END END)")
+    return out.where((F.expr(f"greatest(d_a, d_b) / least(d_a, d_b) <= {max_ratio}")) | larger_is_key).withColumn("cardinality", cardinality)
+
+
+def _named(pairs: DataFrame, *more: str) -> DataFrame:
+    return pairs.select(*[F.col(f"{s}.{c}").alias(f"{c}_{s}") for s in "ab" for c in ("table", "column")], *more)
+
+
+def _exact_pairs(cells: DataFrame, stats: DataFrame, min_score: float, max_ratio: float, key_at: float, within: bool) -> DataFrame:
+    live = cells.join(F.broadcast(stats.select("table", "column")), ["table", "column"])
+    per_value = live.groupBy("family", "value").agg(F.sort_array(F.collect_set(F.struct("table", "column"))).alias("at")).where(F.size("at") > 1)
+    pairs = per_value.select(F.explode("at").alias("a"), "at").select("a", F.explode("at").alias("b")).where("a < b" if within else "a < b AND a.table <> b.table").groupBy("a", "b").agg(F.count("*").alias("shared"))
+    contained = F.expr(f"greatest(CASE WHEN u_b >= {key_at} AND shared / d_a >= 0.95 THEN shared / d_a ELSE 0 END, CASE WHEN u_a >= {key_at} AND shared / d_b >= 0.95 THEN shared / d_b ELSE 0 END)")
+    return _with_sides(pairs, stats, max_ratio, key_at).withColumn("score", F.greatest(F.expr("shared / (d_a + d_b - shared)"), contained)).where(F.col("score") >= min_score)
+
+
 def find_joins(tables: dict[str, DataFrame], min_score: float = 0.5, max_ratio: float = 100, key_at: float = 0.95, within: bool = True) -> DataFrame:
     """Column pairs by shared values: Jaccard, or containment in a key; also pairs ``within`` one table.
 
@@ -42,17 +63,31 @@ def find_joins(tables: dict[str, DataFrame], min_score: float = 0.5, max_ratio:
     """
     cells = join_cells(tables)
     stats = join_statistics(cells).where("distinct_values > 1")
-    live = cells.join(F.broadcast(stats.select("table", "column")), ["table", "column"])
-    per_value = live.groupBy("family", "value").agg(F.sort_array(F.collect_set(F.struct("table", "column"))).alias("at")).where(F.size("at") > 1)
-    pairs = per_value.select(F.explode("at").alias("a"), "at").select("a", F.explode("at").alias("b")).where("a < b" if within else "a < b AND a.table <> b.table").groupBy("a", "b").agg(F.count("*").alias("shared"))
-    side = lambda s: stats.select(F.struct("table", "column").alias(s), F.col("distinct_values").alias(f"d_{s}"), F.col("uniqueness").alias(f"u_{s}"))
-    out = pairs.join(F.broadcast(side("a")), "a").join(F.broadcast(side("b")), "b")
-    larger_is_key = F.expr(f"CASE WHEN d_a >= d_b THEN u_a ELSE u_b END >= {key_at}")
-    out = out.where((F.expr(f"greatest(d_a, d_b) / least(d_a, d_b) <= {max_ratio}")) | larger_is_key)
-    contained = F.expr(f"greatest(CASE WHEN u_b >= {key_at} AND shared / d_a >= 0.95 THEN shared / d_a ELSE 0 END, CASE WHEN u_a >= {key_at} AND shared / d_b >= 0.95 THEN shared / d_b ELSE 0 END)")
-    out = out.withColumn("score", F.greatest(F.expr("shared / (d_a + d_b - shared)"), contained)).where(F.col("score") >= min_score)
-    cardinality = F.expr(f"concat(CASE WHEN u_a >= {key_at} THEN '1' ELSE 'n' END, ':', CASE WHEN u_b >= {key_at} THEN '1' ELSE CASE WHEN u_a >= {key_at} THEN 'n' ELSE 'm' END END)")
-    return out.select(F.col("a.table").alias("table_a"), F.col("a.column").alias("column_a"), F.col("b.table").alias("table_b"), F.col("b.column").alias("column_b"), "shared", "score", cardinality.alias("cardinality"))
+    return _named(_exact_pairs(cells, stats, min_score, max_ratio, key_at, within), "shared", "score", "cardinality")
+
+
+def find_joins_adaptive(tables: dict[str, DataFrame], estimate_from: int = 1_000_000, min_score: float = 0.5, max_ratio: float = 100, key_at: float = 0.95, within: bool = True, size: int = 128) -> DataFrame:
+    """``find_joins`` that estimates pairs with a column of at least ``estimate_from`` distinct values, with ``algorithm`` and ``confidence``.
+
+    The values of such a column are hashed once and never meet another column's: of each column only
+    ``size`` minima are joined, place by place, and the share of equal ones estimates the Jaccard
+    score (the confidence is one less its standard error).  Containment cannot be told from minima,
+    so a small column inside a large key is found by ``find_joins`` alone.
+    """
+    cells = join_cells(tables)
+    stats = join_statistics(cells).where("distinct_values > 1")
+    exact = _exact_pairs(cells, stats.where(F.col("distinct_values") < estimate_from), min_score, max_ratio, key_at, within)
+    # Only types that have a large column at all need minima.
+    asked = stats.join(F.broadcast(stats.where(F.col("distinct_values") >= estimate_from).select("family").distinct()), "family", "left_semi")
+    hashed = cells.join(F.broadcast(asked.select("table", "column")), ["table", "column"])
+    minima = hashed.groupBy("family", "table", "column").agg(F.array(*[F.min(F.xxhash64(F.lit(i), "value")) for i in range(size)]).alias("minima"))
+    places = minima.select("family", F.struct("table", "column").alias("at"), F.posexplode("minima").alias("place", "least"))
+    met = places.withColumnRenamed("at", "a").join(places.withColumnRenamed("at", "b"), ["family", "place", "least"]).where("a < b" if within else "a < b AND a.table <> b.table")
+    score = F.col("same") / size
+    estimated = _with_sides(met.groupBy("a", "b").agg(F.count("*").alias("same")), stats, max_ratio, key_at).where(F.greatest("d_a", "d_b") >= estimate_from).withColumn("score", score).where(score >= min_score)
+    error = F.when(score < 1, F.sqrt(score * (1 - score) / size)).otherwise(1 / size**0.5)
+    ends = ("score", "cardinality", "algorithm", "confidence")
+    return _named(exact.withColumns({"algorithm": F.lit("exact"), "confidence": F.lit(1.0)}), *ends).unionByName(_named(estimated.withColumns({"algorithm": F.lit("minhash"), "confidence": 1 - error}), *ends))
 
 
 def min_hashes(df: DataFrame, column: str, size: int = 128) -> DataFrame:

@@ -46,6 +46,17 @@ def _(table):
     return rounded(j.find_joins(_keys(table)))
 
 
+@query("j05_adaptive", f"SELECT *, 'exact' AS algorithm, CAST(1 AS DOUBLE) AS confidence FROM ({_J5_ALL.replace(' AS table_b, cb AS column_b, shared,', ' AS table_b, cb AS column_b,')})")
+def _(table):
+    return rounded(j.find_joins_adaptive({t: table(t) for t in _FAMILIES}))
+
+
+@query("j05_estimated")
+def _(table):
+    """Every pair with a column of more than twenty distinct values by its minima."""
+    return rounded(j.find_joins_adaptive({t: table(t) for t in _FAMILIES}, estimate_from=20))
+
+
 @query("j04_minhash")
 def _(table):
     return j.estimated_jaccard(j.min_hashes(table("orders"), "o_custkey"), j.min_hashes(table("customer"), "c_custkey"))

@@ -178,3 +178,33 @@ def test_full_temporal_profile(spark):
     assert [r.n_gaps_over for r in empty] == [0, 0] and empty[0].median_gap is None
     with pytest.raises(ValueError, match="no time column"):
         temporal.full_temporal_profile(table.select("t"), "2024-02-01 00:00:00")
+
+
+def test_estimated_joins(spark):
+    """Estimates lie within four standard errors of the exact scores of all columns, and no pair clearly above the bound is lost."""
+    from siltstone.operators import joins
+    from siltstone.plans.joins import _FAMILIES
+
+    tables = {t: spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in _FAMILIES}
+    names = ("table_a", "column_a", "table_b", "column_b")
+    cells = joins.join_cells(tables)
+    stats = joins.join_statistics(cells).where("distinct_values > 1")
+    d = {(r.table, r.column): r.distinct_values for r in stats.collect()}
+    # Jaccard alone: with keys out of reach nothing is contained.
+    exact = {tuple(r[n] for n in names): r.score for r in joins._named(joins._exact_pairs(cells, stats, 0.0, 100, 2.0, True), "score").collect()}
+    got = {tuple(r[n] for n in names): r for r in joins.find_joins_adaptive(tables, estimate_from=20, min_score=0.05, key_at=2.0).collect()}
+    large = {p for p in exact if max(d[p[:2]], d[p[2:]]) >= 20}
+    for p, r in got.items():
+        j = exact[p]
+        assert r.algorithm == ("minhash" if p in large else "exact")
+        assert abs(r.score - j) <= (4 * max(j * (1 - j) / 128, 1e-9) ** 0.5 if p in large else 1e-12), p
+        assert r.confidence == 1 if p not in large else 0.9 < r.confidence < 1
+    sure = {p for p in exact if exact[p] >= (0.05 + 4 * (exact[p] * (1 - exact[p]) / 128) ** 0.5 if p in large else 0.05)}
+    assert sure <= set(got) and len(sure & large) >= 5
+    # No large column: the rows of the exact search, which none is above.
+    same = joins.find_joins(tables).drop("shared")
+    small = joins.find_joins_adaptive(tables)
+    assert set(small.columns) == {*same.columns, "algorithm", "confidence"}
+    assert sorted(map(tuple, small.select(same.columns).collect())) == sorted(map(tuple, same.collect()))
+    empty = {t: df.limit(0) for t, df in tables.items()}
+    assert joins.find_joins_adaptive(empty, estimate_from=1).count() == 0
