@@ -81,23 +81,61 @@ def _trimmed(edges: DataFrame) -> DataFrame:
     return edges
 
 
+def _chains(edges: DataFrame, start: str, end: str) -> DataFrame:
+    """``node, to, low, ring`` of every node: its way from ``start`` to ``end`` as long as each node on it has one way only.
+
+    to: where the way ends.  low: the smallest node on it.  ring: whether the node lies on a ring of such nodes, of which low is
+    the smallest.  Ways double each round, so rounds grow with the logarithm of the longest one.
+    """
+    one = edges.groupBy(F.col(start).alias("from")).agg(F.min(end).alias("next"), F.count("*").alias("n")).where("n = 1")
+    nodes = edges.select(F.col("a").alias("node")).union(edges.select("b")).distinct()
+    at = stored(nodes.join(one, F.col("node") == F.col("from"), "left").selectExpr("node", "coalesce(next, node) AS to", "least(node, coalesce(next, node)) AS low", "next IS NOT NULL AS on"))
+    reached = None
+    while True:
+        further = at.selectExpr("node AS at", "to AS next", "low AS next_low")
+        new = stored(at.join(further, F.col("to") == F.col("at")).selectExpr("node", "next AS to", "least(low, next_low) AS low", "on", "low AS old_low"))
+        n, lower = new.agg(F.count_distinct("to"), F.count_if(F.expr("low <> old_low"))).first()
+        at = new.drop("old_low")
+        # Once the nodes where ways end are no fewer than before, only rings and ends are left of them.
+        if n == reached and not lower:
+            break
+        reached = n
+    ends = at.select(F.col("to").alias("end")).distinct()
+    return stored(at.join(ends, F.col("node") == F.col("end"), "left").selectExpr("node", "to", "low", "on AND end IS NOT NULL AS ring"))
+
+
 def strong_components(edges: DataFrame) -> DataFrame:
     """``node, grp`` of every node that lies on a cycle of two nodes or more, by the smallest node of its component.
 
-    Each node learns the smallest node that reaches it and the smallest it reaches, until nothing
-    changes; labels halve their paths where they can, else a round is one step.  Where both agree the component is settled, and only edges
-    between nodes of equal labels are looked at again.
+    Rings whose nodes have one way on, or one way in, are settled at once.  In what is left each node learns the smallest node that
+    reaches it and the smallest it reaches, until nothing changes.  Labels start with the smallest on the node's chain and pass
+    whole chains, so a round is one step between nodes that fork or meet.  Where both agree the component is settled, and only
+    edges between nodes of equal labels are looked at again.
     """
     left = _trimmed(stored(edges.where("a <> b").select("a", "b").distinct()))
     parts = []
     while left.take(1):
-        state = stored(left.select(F.col("a").alias("node")).union(left.select("b")).distinct().selectExpr("node", "node AS lo", "node AS hi"))
+        chains = {}
+        for way in (("a", "b"), ("b", "a")):
+            chains[way[0]] = _chains(left, *way)
+            rings = chains[way[0]].where("ring").select("node", F.col("low").alias("grp"))
+            if rings.take(1):
+                break
+        else:
+            rings = None
+        if rings is not None:
+            parts.append(rings)
+            left = _trimmed(stored(left.join(rings.select(F.col("node").alias("a")), "a", "left_anti").join(rings.select(F.col("node").alias("b")), "b", "left_anti").select("a", "b")))
+            continue
+        ahead, behind = chains["a"], chains["b"]
+        state = stored(behind.select("node", F.col("low").alias("lo")).join(ahead.select("node", F.col("low").alias("hi")), "node"))
+        near = stored(left.union(ahead.where("node <> to").select("node", "to")).union(behind.where("node <> to").select("to", "node")).distinct())
         moved = True
         while moved:
             at = lambda key, label: state.select(F.col("node").alias(key), F.col(label).alias("label"))  # noqa: E731, B023
             none = lambda c: F.lit(None).cast(state.schema["node"].dataType).alias(c)  # noqa: E731, B023
-            lower = left.join(at("a", "lo"), "a").select(F.col("b").alias("node"), "label").union(state.select("node", "lo").join(at("lo", "lo"), "lo").select("node", "label"))
-            higher = left.join(at("b", "hi"), "b").select(F.col("a").alias("node"), "label").union(state.select("node", "hi").join(at("hi", "hi"), "hi").select("node", "label"))
+            lower = near.join(at("a", "lo"), "a").select(F.col("b").alias("node"), "label").union(state.select("node", "lo").join(at("lo", "lo"), "lo").select("node", "label"))
+            higher = near.join(at("b", "hi"), "b").select(F.col("a").alias("node"), "label").union(state.select("node", "hi").join(at("hi", "hi"), "hi").select("node", "label"))
             every = state.selectExpr("node", "lo", "hi", "lo AS old_lo", "hi AS old_hi").union(lower.select("node", F.col("label").alias("lo"), none("hi"), none("old_lo"), none("old_hi"))).union(higher.select("node", none("lo"), F.col("label").alias("hi"), none("old_lo"), none("old_hi")))
             new = stored(every.groupBy("node").agg(*[F.min(c).alias(c) for c in ("lo", "hi", "old_lo", "old_hi")]))
             moved = bool(new.where("lo <> old_lo OR hi <> old_hi").take(1))
