@@ -32,3 +32,12 @@ def test_long_rings_take_few_rounds(spark, monkeypatch):
     got = {r.node: r.grp for r in g.strong_components(spark.createDataFrame(ring + forked, "a string, b string")).collect()}
     assert got == {f"{x}{i:03}": f"{x}000" for x in "rs" for i in range(n)}
     assert len(written) < 70
+
+
+def test_gaps_are_differences_of_whole_microseconds(spark, tmp_path):
+    start = datetime.datetime(2024, 1, 1)
+    steps = [0] + [137] * 40 + [274, 275, 685, 686, 1370, 1371, 411, 548]
+    times = [start + datetime.timedelta(microseconds=sum(steps[: i + 1])) for i in range(len(steps))]
+    got, want = _agrees(spark, tmp_path, "x05_significant_gaps", events=spark.createDataFrame([(t,) for t in times], "ts timestamp_ntz"))
+    assert got == want
+    assert len(got) == 7
