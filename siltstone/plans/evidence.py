@@ -230,7 +230,8 @@ def _(table):
     return r.blank_nulls(table("orders").selectExpr("o_orderkey", "CASE o_orderkey % 4 WHEN 1 THEN ' missing ' WHEN 2 THEN '--' WHEN 3 THEN '#n/a' ELSE o_orderstatus END AS status"))
 
 
-@query("s08_sentinels", "SELECT o_orderkey, CASE WHEN o_orderkey % 3 > 0 THEN CAST(o_custkey AS VARCHAR) END AS customer, CASE WHEN o_orderkey % 5 > 0 THEN strftime(o_orderdate, '%Y-%m-%d') END AS day FROM orders")
+# True values that are written like a placeholder are blanked as well: nothing tells them apart.
+@query("s08_sentinels", "SELECT o_orderkey, CASE WHEN o_orderkey % 3 > 0 AND CAST(o_custkey AS VARCHAR) NOT IN ('-999', '-9999', '9999') THEN CAST(o_custkey AS VARCHAR) END AS customer, CASE WHEN o_orderkey % 5 > 0 AND strftime(o_orderdate, '%Y-%m-%d') NOT IN ('0000-00-00', '1900-01-01', '1970-01-01') THEN strftime(o_orderdate, '%Y-%m-%d') END AS day FROM orders")
 def _(table):
     soiled = table("orders").selectExpr("o_orderkey", "CASE WHEN o_orderkey % 3 = 0 THEN '-9999' ELSE cast(o_custkey AS string) END AS customer", "CASE WHEN o_orderkey % 5 = 0 THEN '0000-00-00' ELSE date_format(o_orderdate, 'yyyy-MM-dd') END AS day")
     return r.blank_sentinels(soiled, ["customer"], ["day"])

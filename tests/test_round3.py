@@ -41,3 +41,10 @@ def test_gaps_are_differences_of_whole_microseconds(spark, tmp_path):
     got, want = _agrees(spark, tmp_path, "x05_significant_gaps", events=spark.createDataFrame([(t,) for t in times], "ts timestamp_ntz"))
     assert got == want
     assert len(got) == 7
+
+
+def test_true_values_written_like_a_placeholder(spark, tmp_path):
+    rows = [(1, 9999, datetime.datetime(1970, 1, 1)), (2, 7, datetime.datetime(1900, 1, 1)), (3, 8, datetime.datetime(1995, 5, 5)), (4, 9998, datetime.datetime(1995, 5, 6))]
+    got, want = _agrees(spark, tmp_path, "s08_sentinels", orders=spark.createDataFrame(rows, "o_orderkey bigint, o_custkey bigint, o_orderdate timestamp_ntz"))
+    assert got == want
+    assert sum(r.count(None) for r in got) == 4
