@@ -66,7 +66,7 @@ _PAIR_NMI = " UNION ALL ".join(
 )
 
 
-@query("a07_dependent_pairs", f"SELECT a, b, round(greatest(0, h_a + h_b - h_ab), 6) AS mi, round(CASE WHEN h_a * h_b > 0 THEN greatest(0, h_a + h_b - h_ab) / sqrt(h_a * h_b) ELSE 0 END, 6) AS nmi FROM ({_PAIR_NMI}) ORDER BY nmi DESC, a, b LIMIT 5")
+@query("a07_dependent_pairs", f"SELECT a, b, round(mi, 6) AS mi, round(full_nmi, 6) AS nmi FROM (SELECT a, b, greatest(0, h_a + h_b - h_ab) AS mi, CASE WHEN h_a * h_b > 0 THEN greatest(0, h_a + h_b - h_ab) / sqrt(h_a * h_b) ELSE 0 END AS full_nmi FROM ({_PAIR_NMI})) ORDER BY round(full_nmi, 12) DESC, a, b LIMIT 5")
 def _(table):
     return rounded(x.dependent_pairs(table("orders").selectExpr(*[f"{e} AS {c}" for c, e in _ORDER_LABELS.items()]), list(_ORDER_LABELS)))
 

@@ -48,3 +48,13 @@ def test_true_values_written_like_a_placeholder(spark, tmp_path):
     got, want = _agrees(spark, tmp_path, "s08_sentinels", orders=spark.createDataFrame(rows, "o_orderkey bigint, o_custkey bigint, o_orderdate timestamp_ntz"))
     assert got == want
     assert sum(r.count(None) for r in got) == 4
+
+
+def test_near_ties_of_dependent_pairs_are_ranked_before_rounding(spark, tmp_path):
+    # All combinations twenty times, and a few rows more: scores far below what six digits show.
+    made = [(6 * i + k, k % 3, s, 1000.0 + 200000.0 * big, p) for i in range(20) for k in range(6) for s in "FOP" for big in (0, 1) for p in "12345"]
+    made += [(6, 0, "P", 201000.0, "5"), (7, 1, "P", 201000.0, "5"), (6, 0, "O", 1000.0, "5")]
+    orders = spark.createDataFrame(made, "o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_totalprice double, o_orderpriority string")
+    got, want = _agrees(spark, tmp_path, "a07_dependent_pairs", orders=orders)
+    assert got == want
+    assert len(got) == 5
