@@ -8,21 +8,23 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import NullType
 
-_DAY = "cast(coalesce(try_to_timestamp({c}, '%s'), try_to_timestamp({c}, '%s')) AS date)"
+# A failed parse costs far more than a look for the sign that its format cannot do without.
+_DAY = "CASE WHEN contains({c}, '%s') THEN cast(coalesce(try_to_timestamp({c}, '%s'), try_to_timestamp({c}, '%s')) AS date) END"
+_DATED = "CASE WHEN contains({c}, '-') THEN cast(try_to_timestamp(%s, '%s') AS date) END"
 _NUMBER = "try_cast(regexp_replace(%s, '[^0-9.+-]', '') AS double)"
 
 # Name, pattern and type of every format of the catalogue, and the expression that parses a value ({c}).
 PATTERNS = [
-    ("iso_date", r"^\d{4}-\d{2}-\d{2}$", "DATE", "cast(try_to_timestamp({c}, 'yyyy-MM-dd') AS date)"),
+    ("iso_date", r"^\d{4}-\d{2}-\d{2}$", "DATE", _DATED % ("{c}", "yyyy-MM-dd")),
     ("iso_datetime", r"^\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}:\d{2}", "TIMESTAMP", "CASE WHEN length({c}) >= 19 THEN try_cast({c} AS timestamp_ntz) END"),
-    ("us_date", r"^\d{1,2}/\d{1,2}/\d{2,4}$", "DATE", _DAY % ("M/d/yyyy", "M/d/yy")),
-    ("eu_slash_date", r"^\d{1,2}/\d{1,2}/\d{2,4}$", "DATE", _DAY % ("d/M/yyyy", "d/M/yy")),
-    ("eu_date", r"^\d{1,2}\.\d{1,2}\.\d{2,4}$", "DATE", _DAY % ("d.M.yyyy", "d.M.yy")),
-    ("dd_mon_yy", r"^\d{1,2}-[A-Za-z]{3}-\d{2}$", "DATE", "cast(try_to_timestamp(initcap({c}), 'd-MMM-yy') AS date)"),
-    ("dd_mon_yyyy", r"^\d{1,2}-[A-Za-z]{3}-\d{4}$", "DATE", "cast(try_to_timestamp(initcap({c}), 'd-MMM-yyyy') AS date)"),
-    ("period_yyyy_mm", r"^\d{4}-\d{2}$", "DATE", "cast(try_to_timestamp(concat({c}, '-01'), 'yyyy-MM-dd') AS date)"),
+    ("us_date", r"^\d{1,2}/\d{1,2}/\d{2,4}$", "DATE", _DAY % ("/", "M/d/yyyy", "M/d/yy")),
+    ("eu_slash_date", r"^\d{1,2}/\d{1,2}/\d{2,4}$", "DATE", _DAY % ("/", "d/M/yyyy", "d/M/yy")),
+    ("eu_date", r"^\d{1,2}\.\d{1,2}\.\d{2,4}$", "DATE", _DAY % (".", "d.M.yyyy", "d.M.yy")),
+    ("dd_mon_yy", r"^\d{1,2}-[A-Za-z]{3}-\d{2}$", "DATE", _DATED % ("initcap({c})", "d-MMM-yy")),
+    ("dd_mon_yyyy", r"^\d{1,2}-[A-Za-z]{3}-\d{4}$", "DATE", _DATED % ("initcap({c})", "d-MMM-yyyy")),
+    ("period_yyyy_mm", r"^\d{4}-\d{2}$", "DATE", _DATED % ("concat({c}, '-01')", "yyyy-MM-dd")),
     ("period_yyyy_qq", r"^\d{4}-?[Qq][1-4]$", "DATE", "CASE WHEN {c} RLIKE '^[0-9]{{4}}-?[Qq][1-4]$' THEN make_date(cast(left({c}, 4) AS int), (cast(right({c}, 1) AS int) - 1) * 3 + 1, 1) END"),
-    ("time_only", r"^\d{1,2}:\d{2}(:\d{2})?$", "TIME", "CASE WHEN try_to_timestamp(concat('2000-01-01 ', {c}), 'yyyy-MM-dd H:mm[:ss]') IS NOT NULL THEN {c} END"),
+    ("time_only", r"^\d{1,2}:\d{2}(:\d{2})?$", "TIME", "CASE WHEN contains({c}, ':') AND try_to_timestamp(concat('2000-01-01 ', {c}), 'yyyy-MM-dd H:mm[:ss]') IS NOT NULL THEN {c} END"),
     ("uuid", r"^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$", "VARCHAR", "CASE WHEN {c} RLIKE '^[0-9a-fA-F]{{8}}(-[0-9a-fA-F]{{4}}){{3}}-[0-9a-fA-F]{{12}}$' THEN {c} END"),
     ("email", r"^[^@\s]+@[^@\s]+\.[^@\s]+$", "VARCHAR", "CASE WHEN {c} RLIKE '^[^@ ]+@[^@ ]+[.][^@ ]+$' THEN {c} END"),
     ("phone_intl", r"^\+\d{1,3}[\d\s\-]{7,}$", "VARCHAR", "CASE WHEN {c} RLIKE '^[+][0-9]{{1,3}}[0-9 -]{{7,}}$' THEN {c} END"),
@@ -68,13 +70,13 @@ def catalogue_scan(df: DataFrame, columns: list[str]) -> DataFrame:
     cells = df.selectExpr(f"stack({len(columns)}, {', '.join(f'{chr(39)}{c}{chr(39)}, CAST(`{c}` AS STRING)' for c in columns)}) AS (column, v)").where("v IS NOT NULL")
     values = cells.groupBy("column", "v").agg(F.count("*").alias("n"))
     several = [t for t in dict.fromkeys(p[2] for p in PATTERNS) if t != "VARCHAR" and sum(p[2] == t for p in PATTERNS) > 1]
-    fits = {n: F.col("v").rlike(p) for n, p, _, _ in PATTERNS}
-    parse = {n: e.format(c="v") for n, _, _, e in PATTERNS}
-    counts = [F.count_if(fits[n]).alias(f"m_{n}") for n in fits] + [F.sum(F.expr(f"CASE WHEN ({e}) IS NOT NULL THEN n ELSE 0 END")).alias(f"p_{n}") for n, e in parse.items()]
+    # Each value is matched and parsed once, before anything is counted.
+    told = values.select("column", "n", *[F.col("v").rlike(p).alias(f"f_{n}") for n, p, _, _ in PATTERNS], *[F.expr(f"({e.format(c='v')}) IS NOT NULL").alias(f"k_{n}") for n, _, _, e in PATTERNS])
+    counts = [F.count_if(f"f_{n}").alias(f"m_{n}") for n, *_ in PATTERNS] + [F.sum(F.when(F.col(f"k_{n}"), F.col("n")).otherwise(0)).alias(f"p_{n}") for n, *_ in PATTERNS]
     # A value counts for a mixed column if a pattern that it fits also parses it.
-    mixed = lambda t: reduce(lambda x, y: x | y, [fits[n] & F.expr(f"({parse[n]}) IS NOT NULL") for n, _, kind, _ in PATTERNS if kind == t])
+    mixed = lambda t: reduce(lambda x, y: x | y, [F.col(f"f_{n}") & F.col(f"k_{n}") for n, _, kind, _ in PATTERNS if kind == t])
     counts += [F.sum(F.when(mixed(t), F.col("n")).otherwise(0)).alias(f"p_mixed_{t}") for t in several]
-    one = values.groupBy("column").agg(F.count("*").alias("distinct_values"), F.sum("n").alias("total"), *counts)
+    one = told.groupBy("column").agg(F.count("*").alias("distinct_values"), F.sum("n").alias("total"), *counts)
     rows = [f"'{n}', '{t}', m_{n}, p_{n}" for n, _, t, _ in PATTERNS] + [f"'mixed', '{t}', 0L, p_mixed_{t}" for t in several]
     return one.selectExpr("column", "distinct_values", "total", f"stack({len(rows)}, {', '.join(rows)}) AS (pattern, type, matched, parsed)").select("column", "pattern", "type", "matched", "parsed", "distinct_values", "total")
 

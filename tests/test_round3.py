@@ -58,3 +58,19 @@ def test_near_ties_of_dependent_pairs_are_ranked_before_rounding(spark, tmp_path
     got, want = _agrees(spark, tmp_path, "a07_dependent_pairs", orders=orders)
     assert got == want
     assert len(got) == 5
+
+
+def test_each_value_is_parsed_once_and_only_where_it_may_be_a_date(spark):
+    from siltstone.operators import typing as t
+
+    odd = ["", " 2020-01-02", "2020-1-2", "+2020-01-02", "-2020-01-02", "1/2/20", "1/2/2020", "1.2.2020", "1.2.20", "3-jan-20", "3-JAN-2020", "2020-03", "12:30", "9:30:15", "12345", "n/a", "7 EUR"]
+    df = spark.createDataFrame([(v,) for v in odd], "v string")
+    whole = {"iso_date": "v, 'yyyy-MM-dd'", "dd_mon_yy": "initcap(v), 'd-MMM-yy'", "dd_mon_yyyy": "initcap(v), 'd-MMM-yyyy'", "period_yyyy_mm": "concat(v, '-01'), 'yyyy-MM-dd'"}
+    parse = {n: e.format(c="v") for n, _, _, e in t.PATTERNS}
+    day = lambda x, y: f"cast(coalesce(try_to_timestamp(v, '{x}'), try_to_timestamp(v, '{y}')) AS date)"
+    plain = {n: f"cast(try_to_timestamp({a}) AS date)" for n, a in whole.items()} | {"us_date": day("M/d/yyyy", "M/d/yy"), "eu_slash_date": day("d/M/yyyy", "d/M/yy"), "eu_date": day("d.M.yyyy", "d.M.yy")}
+    plain["time_only"] = "CASE WHEN try_to_timestamp(concat('2000-01-01 ', v), 'yyyy-MM-dd H:mm[:ss]') IS NOT NULL THEN v END"
+    assert df.where(" OR ".join(f"NOT ({parse[n]} <=> {e})" for n, e in plain.items())).count() == 0
+    assert df.where(f"{parse['eu_date']} IS NOT NULL").count() == 2
+    plan = t.catalogue_scan(df, ["v"])._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("d.M.yyyy") == 1
