@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, DateType, NumericType, StringType, TimestampNTZType, TimestampType
 
+from siltstone.sources.scratch import stored
+
 
 def family(dtype) -> str | None:
     """Type family for joins; booleans and nested types join nothing."""
@@ -131,15 +133,21 @@ def evaluate_candidates(tables: dict[str, DataFrame], candidates: list[tuple[str
     return every.withColumn("best", F.row_number().over(order) == 1)
 
 
-def _per_key(df: DataFrame, keys: list[str], name: str) -> DataFrame:
-    return df.dropna(subset=keys).groupBy(*[F.col(k).alias(f"k{i}") for i, k in enumerate(keys)]).agg(F.count("*").alias(name))
+def spread(df: DataFrame, keys: list[str], rows: int, each: int = 1 << 20) -> DataFrame:
+    """``df`` of about so many ``rows`` by ``keys``, in as many parts as keep ``each`` rows to a task, however large it is."""
+    return df.repartition(max(1, -(-rows // each)), *keys)
+
 
+def measured_cardinality(left: DataFrame, right: DataFrame, left_keys: list[str], right_keys: list[str], rows: int | None = None) -> DataFrame:
+    """Most matches each way, from counts per key; the join itself is never made.
 
-def measured_cardinality(left: DataFrame, right: DataFrame, left_keys: list[str], right_keys: list[str]) -> DataFrame:
-    """Most matches each way, from counts per key; the join itself is never made."""
+    Both sides are counted in one aggregate; with the number of their ``rows`` in parts of bounded size.
+    """
     on = [f"k{i}" for i in range(len(left_keys))]
-    both = _per_key(left, left_keys, "n_left").join(_per_key(right, right_keys, "n_right"), on)
-    return both.agg(F.max("n_left").alias("max_left"), F.max("n_right").alias("max_right")).selectExpr("max_left", "max_right", "concat(CASE WHEN max_left = 1 THEN '1' ELSE 'n' END, ':', CASE WHEN max_right = 1 THEN '1' WHEN max_left = 1 THEN 'n' ELSE 'm' END) AS cardinality")
+    side = lambda df, keys, *ones: df.dropna(subset=keys).select(*[F.col(k).alias(n) for k, n in zip(keys, on, strict=True)], *[F.lit(x).cast("long").alias(n) for x, n in zip(ones, ("l", "r"), strict=True)])
+    both = side(left, left_keys, 1, 0).unionByName(side(right, right_keys, 0, 1))
+    counts = (both if rows is None else spread(both, on, rows)).groupBy(*on).agg(F.sum("l").alias("n_left"), F.sum("r").alias("n_right")).where("n_left > 0 AND n_right > 0")
+    return counts.agg(F.max("n_left").alias("max_left"), F.max("n_right").alias("max_right")).selectExpr("max_left", "max_right", "concat(CASE WHEN max_left = 1 THEN '1' ELSE 'n' END, ':', CASE WHEN max_right = 1 THEN '1' WHEN max_left = 1 THEN 'n' ELSE 'm' END) AS cardinality")
 
 
 def join_coverage(left: DataFrame, right: DataFrame, left_key: str, right_key: str) -> DataFrame:
@@ -162,9 +170,17 @@ def surrogate_key(df: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def composite_key(left: DataFrame, right: DataFrame, first: tuple[str, str], more: list[tuple[str, str]], most: int = 4) -> tuple[list[tuple[str, str]], str]:
-    """Add column pairs until a side of the join is unique; tests only the few given pairs."""
+    """Add column pairs until a side of the join is unique; tests only the few given pairs.
+
+    The columns of each side are written once, whatever made them.
+    """
     chosen, rest = [first], list(more)
-    worst = lambda pairs: measured_cardinality(left, right, [a for a, _ in pairs], [b for _, b in pairs]).first()
+    own, others = ([p[i] for p in (first, *more)] for i in (0, 1))
+    same = left is right
+    left = stored(left.select(*dict.fromkeys(own + others if same else own)))
+    right = left if same else stored(right.select(*dict.fromkeys(others)))
+    rows = left.count() + right.count()
+    worst = lambda pairs: measured_cardinality(left, right, [a for a, _ in pairs], [b for _, b in pairs], rows).first()
     now = worst(chosen)
     while now["cardinality"] == "n:m" and rest and len(chosen) < most:
         options = [(worst([*chosen, x]), x) for x in rest]

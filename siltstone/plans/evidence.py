@@ -70,7 +70,9 @@ def _(table):
 
 @query("j12_composite_key", "SELECT 'l_orderkey,l_linenumber' AS columns, CASE WHEN max(n) = 1 THEN '1:1' ELSE 'n:m' END AS cardinality FROM (SELECT count(*) AS n FROM (SELECT l_orderkey, l_linenumber, max(l_returnflag) FROM lineitem GROUP BY 1, 2) GROUP BY l_orderkey, l_linenumber)")
 def _(table):
-    left = table("lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.max("l_returnflag").alias("l_returnflag"))
+    keys = ["l_orderkey", "l_linenumber"]
+    line = table("lineitem").select(*keys, "l_returnflag")
+    left = j.spread(line, keys, line.count()).groupBy(*keys).agg(F.max("l_returnflag").alias("l_returnflag"))
     pairs, cardinality = j.composite_key(left, left, ("l_orderkey", "l_orderkey"), [("l_returnflag", "l_returnflag"), ("l_linenumber", "l_linenumber")])
     return left.sparkSession.createDataFrame([(",".join(a for a, _ in pairs), cardinality)], "columns string, cardinality string")
 

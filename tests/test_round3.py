@@ -74,3 +74,13 @@ def test_each_value_is_parsed_once_and_only_where_it_may_be_a_date(spark):
     assert df.where(f"{parse['eu_date']} IS NOT NULL").count() == 2
     plan = t.catalogue_scan(df, ["v"])._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("d.M.yyyy") == 1
+
+
+def test_composite_key_counts_in_parts_of_bounded_size(spark):
+    from siltstone.operators import joins as j
+
+    left = spark.createDataFrame([(1, "a", 1), (1, "a", 2), (2, "b", 1), (2, None, 2), (None, "c", 3)], "x int, y string, z int")
+    right = spark.createDataFrame([(1, "a", 1), (1, "a", 3), (2, "b", 1), (3, "d", 1)], "u bigint, v string, w int")
+    assert j.composite_key(left, right, ("x", "u"), [("y", "v"), ("z", "w")]) == ([("x", "u"), ("z", "w")], "1:1")
+    assert j.measured_cardinality(left, right, ["x", "y"], ["u", "v"], 4).first()[:] == (2, 2, "n:m")
+    assert j.spread(left, ["x"], 5 << 20).rdd.getNumPartitions() == 5
