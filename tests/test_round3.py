@@ -72,7 +72,9 @@ def test_each_value_is_parsed_once_and_only_where_it_may_be_a_date(spark):
     plain["time_only"] = "CASE WHEN try_to_timestamp(concat('2000-01-01 ', v), 'yyyy-MM-dd H:mm[:ss]') IS NOT NULL THEN v END"
     assert df.where(" OR ".join(f"NOT ({parse[n]} <=> {e})" for n, e in plain.items())).count() == 0
     assert df.where(f"{parse['eu_date']} IS NOT NULL").count() == 2
+    spark.conf.set("spark.sql.debug.maxToStringFields", "10000")
     plan = t.catalogue_scan(df, ["v"])._jdf.queryExecution().optimizedPlan().toString()
+    spark.conf.unset("spark.sql.debug.maxToStringFields")
     assert plan.count("d.M.yyyy") == 1
 
 
