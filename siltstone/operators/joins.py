@@ -68,6 +68,12 @@ def find_joins(tables: dict[str, DataFrame], min_score: float = 0.5, max_ratio:
     return _named(_exact_pairs(cells, stats, min_score, max_ratio, key_at, within), "shared", "score", "cardinality")
 
 
+def permuted(x: str, y: str, size: int) -> list[str]:
+    """SQL of so many hashes of a value, of the first and the second 28 bits of its digest."""
+    prime = (1 << 31) - 1
+    return [f"(({pow(16807, 7 * i + 1, prime)} * {x} + {pow(48271, 5 * i + 3, prime)} * {y}) % {prime})" for i in range(size)]
+
+
 def find_joins_adaptive(tables: dict[str, DataFrame], estimate_from: int = 1_000_000, min_score: float = 0.5, max_ratio: float = 100, key_at: float = 0.95, within: bool = True, size: int = 128) -> DataFrame:
     """``find_joins`` that estimates pairs with a column of at least ``estimate_from`` distinct values, with ``algorithm`` and ``confidence``.
 
@@ -81,8 +87,9 @@ def find_joins_adaptive(tables: dict[str, DataFrame], estimate_from: int = 1_000
     exact = _exact_pairs(cells, stats.where(F.col("distinct_values") < estimate_from), min_score, max_ratio, key_at, within)
     # Only types that have a large column at all need minima.
     asked = stats.join(F.broadcast(stats.where(F.col("distinct_values") >= estimate_from).select("family").distinct()), "family", "left_semi")
-    hashed = cells.join(F.broadcast(asked.select("table", "column")), ["table", "column"])
-    minima = hashed.groupBy("family", "table", "column").agg(F.array(*[F.min(F.xxhash64(F.lit(i), "value")) for i in range(size)]).alias("minima"))
+    digest = "md5(concat(family, ':', value))"
+    hashed = cells.join(F.broadcast(asked.select("table", "column")), ["table", "column"]).selectExpr("family", "table", "column", f"cast(conv(substr({digest}, 1, 7), 16, 10) AS bigint) AS x", f"cast(conv(substr({digest}, 8, 7), 16, 10) AS bigint) AS y")
+    minima = hashed.groupBy("family", "table", "column").agg(F.array(*[F.expr(f"min({h})") for h in permuted("x", "y", size)]).alias("minima"))
     places = minima.select("family", F.struct("table", "column").alias("at"), F.posexplode("minima").alias("place", "least"))
     met = places.withColumnRenamed("at", "a").join(places.withColumnRenamed("at", "b"), ["family", "place", "least"]).where("a < b" if within else "a < b AND a.table <> b.table")
     score = F.col("same") / size

@@ -46,7 +46,22 @@ def _(table):
     return rounded(j.find_joins(_keys(table)))
 
 
-@query("j05_adaptive", f"SELECT *, 'exact' AS algorithm, CAST(1 AS DOUBLE) AS confidence FROM ({_J5_ALL.replace(' AS table_b, cb AS column_b, shared,', ' AS table_b, cb AS column_b,')})")
+_J5_PAIRS = _J5_ALL[: _J5_ALL.index("\nSELECT ta AS table_a")]
+_J5_ENDS = _J5_ALL[_J5_ALL.index("(CASE WHEN ua") : _J5_ALL.index(" FROM q WHERE")]
+_J5_NEAR = _J5_ALL[_J5_ALL.rindex("(greatest(da, db)") :]
+_LARGE = "greatest(da, db) >= 1000000"
+# From a million distinct values on a column is estimated, by the same 128 hashes of the same digest.
+_J5_ADAPTIVE = f"""{_J5_PAIRS},
+f AS (SELECT t, c, split_part(any_value(v), ':', 1) AS f FROM x GROUP BY 1, 2), l AS (SELECT DISTINCT f FROM f JOIN s USING (t, c) WHERE d >= 1000000),
+h AS (SELECT t, c, f, ('0x' || md5(v)[1:7])::BIGINT AS hx, ('0x' || md5(v)[8:14])::BIGINT AS hy FROM x JOIN s USING (t, c) JOIN f USING (t, c) JOIN l USING (f)),
+m AS (SELECT t, c, f, unnest(mins) AS least, unnest(range(128)) AS place FROM (SELECT t, c, f, [{', '.join(f'min({e})' for e in j.permuted('hx', 'hy', 128))}] AS mins FROM h GROUP BY ALL)),
+e AS (SELECT a.t AS ta, a.c AS ca, b.t AS tb, b.c AS cb, count(*) / 128 AS score FROM m a JOIN m b ON a.f = b.f AND a.place = b.place AND a.least = b.least AND (a.t < b.t OR (a.t = b.t AND a.c < b.c)) GROUP BY ALL),
+r AS (SELECT e.*, a.d AS da, a.u AS ua, b.d AS db, b.u AS ub FROM e JOIN s a ON a.t = ta AND a.c = ca JOIN s b ON b.t = tb AND b.c = cb)
+SELECT ta AS table_a, ca AS column_a, tb AS table_b, cb AS column_b, round(score, 6) AS score, {_J5_ENDS}, 'exact' AS algorithm, CAST(1 AS DOUBLE) AS confidence FROM q WHERE NOT {_LARGE} AND score >= 0.5 AND {_J5_NEAR}
+UNION ALL SELECT ta, ca, tb, cb, round(score, 6), {_J5_ENDS}, 'minhash', round(1 - CASE WHEN score < 1 THEN sqrt(score * (1 - score) / 128) ELSE 1 / sqrt(128) END, 6) FROM r WHERE {_LARGE} AND score >= 0.5 AND {_J5_NEAR}"""
+
+
+@query("j05_adaptive", _J5_ADAPTIVE)
 def _(table):
     return rounded(j.find_joins_adaptive({t: table(t) for t in _FAMILIES}))
 

@@ -86,3 +86,21 @@ def test_composite_key_counts_in_parts_of_bounded_size(spark):
     assert j.composite_key(left, right, ("x", "u"), [("y", "v"), ("z", "w")]) == ([("x", "u"), ("z", "w")], "1:1")
     assert j.measured_cardinality(left, right, ["x", "y"], ["u", "v"], 4).first()[:] == (2, 2, "n:m")
     assert j.spread(left, ["x"], 5 << 20).rdd.getNumPartitions() == 5
+
+
+def test_estimates_equal_their_sql(spark):
+    from siltstone.operators import joins as j
+    from siltstone.plans.base import rounded
+    from siltstone.plans.joins import _FAMILIES
+
+    data = "/root/testdata/sf0.01"
+    con = duckdb.connect()
+    for t in _FAMILIES:
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{data}/{t}.parquet'")
+    # As for a million distinct values, from twenty on.
+    want = con.execute(ORACLE_SQL["j05_adaptive"].replace("1000000", "20"))
+    columns = [d[0] for d in want.description]
+    got = rounded(j.find_joins_adaptive({t: spark.read.parquet(f"{data}/{t}.parquet") for t in _FAMILIES}, estimate_from=20))
+    rows = _rows(got.columns, [tuple(r) for r in got.collect()])
+    assert rows == _rows(columns, want.fetchall())
+    assert {r[0] for r in rows} == {"exact", "minhash"}
