@@ -192,24 +192,51 @@ def typed_matches(vertices: DataFrame, edges: DataFrame, kind: str, from_kind: s
     return edges.where(F.col("kind") == kind).select("a", "b").distinct().join(side(from_kind, "a"), "a").join(side(to_kind, "b"), "b").select("a", "a_name", "b", "b_name")
 
 
+def _degrees(nodes: DataFrame, pairs: DataFrame) -> DataFrame:
+    """``node, graph, degree`` of ``graph, node`` rows and of all ends of ``graph, a, b`` pairs, without a join."""
+    end = lambda df, c, n: df.select(F.col(c).alias("node"), "graph", F.lit(n).alias("n"))
+    return end(pairs, "a", 1).union(end(pairs, "b", 1)).union(end(nodes, "node", 0)).groupBy("node", "graph").agg(F.sum("n").alias("degree"))
+
+
+def _cores(ends: DataFrame, pairs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """What is left of ``ends`` and ``pairs`` once leaves are cut off, as long as a tenth of the pairs goes, and ``graph, n`` rows that add up to the components cut off.
+
+    A component with a node of two neighbours or more stays one without its leaves.  The others are single nodes and pairs of leaves;
+    of these there are as many as leaves, less all pairs, plus those between other nodes.
+    """
+    whole, n = [], pairs.count()
+    while n:
+        inner = ends.where("degree > 1").select("node", "graph")
+        core = stored(pairs.join(inner.withColumnRenamed("node", "b"), ["b", "graph"], "left_semi").join(inner.withColumnRenamed("node", "a"), ["a", "graph"], "left_semi").select(*pairs.columns))
+        whole += [ends.groupBy("graph").agg(F.expr("count_if(degree < 2) - sum(degree) DIV 2 AS n")), core.groupBy("graph").agg(F.count("*").alias("n"))]
+        ends, pairs = stored(_degrees(inner, core)), core
+        n, before = pairs.count(), n
+        if n > 0.9 * before:
+            break
+    whole.append(ends.where("degree = 0").groupBy("graph").agg(F.count("*").alias("n")))
+    return ends.where("degree > 0"), pairs, reduce(DataFrame.union, whole)
+
+
 def pattern_classes(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """``graph, v, e, c, hubs, leaves, isolated, cycles, density, pattern`` of many graphs at once.
 
-    nodes: ``graph, node``.  edges: ``graph, a, b``, directed.  Hubs have three neighbours or more, leaves one; cycles are groups of
-    nodes that reach each other.  All graphs are taken as one whose parts do not touch, so rounds grow with the
-    longest path of any of them and not with their number.
+    nodes: ``graph, node``; ends of edges are nodes as well.  edges: ``graph, a, b``, directed.  Hubs have three neighbours or more,
+    leaves one; cycles are groups of nodes that reach each other.  All graphs are taken as one whose parts do not touch, so rounds grow
+    with the longest path of any of them and not with their number.  Only what is left without leaves, and pairs linked
+    both ways, goes through rounds.
     """
-    key = lambda c: F.concat_ws("\x1f", "graph", c)
-    own = stored(nodes.select("graph", key("node").alias("node")).distinct())
-    links = stored(edges.where("a <> b").select(key("a").alias("a"), key("b").alias("b")).distinct())
-    names = own.select("graph", F.col("node").alias("of"))
-    count = lambda df, node, name: df.join(names, F.col(node) == F.col("of")).groupBy(F.col("graph").alias(f"g_{name}"))
-    roles = node_roles(own, links)
-    sizes = own.join(roles.select(F.col("node").alias("r"), "degree"), F.col("node") == F.col("r")).groupBy("graph").agg(
-        F.count("*").alias("v"), (F.sum("degree") / 2).cast("long").alias("e"), F.count_if(F.col("degree") >= 3).alias("hubs"), F.count_if(F.col("degree") == 1).alias("leaves"), F.count_if(F.col("degree") == 0).alias("isolated")
-    )
-    parts = count(connected_components(own, links), "node", "c").agg(F.count_distinct("component").alias("c"))
-    rings = count(strong_components(links), "node", "r").agg(F.count_distinct("grp").alias("cycles"))
+    ordered = edges.where("graph IS NOT NULL AND a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "graph", F.expr("a < b AS ahead"))
+    pairs = stored(ordered.groupBy("a", "b", "graph").agg(F.bool_or("ahead").alias("ahead"), F.bool_or(~F.col("ahead")).alias("back")))
+    ends = stored(_degrees(nodes.where("graph IS NOT NULL"), pairs))
+    sizes = ends.groupBy("graph").agg(F.count("*").alias("v"), F.expr("sum(degree) DIV 2 AS e"), F.count_if(F.col("degree") >= 3).alias("hubs"), F.count_if(F.col("degree") == 1).alias("leaves"), F.count_if(F.col("degree") == 0).alias("isolated"))
+    rest, core, cut = _cores(ends, pairs)
+    key = lambda c: F.struct(F.col(c).alias("node"), "graph").alias(c)
+    joined = _components(rest.select(key("node")), core.select(key("a"), key("b"))).groupBy("component.graph").agg(F.count_distinct("component").alias("n"))
+    parts = cut.union(joined).groupBy(F.col("graph").alias("g_c")).agg(F.sum("n").alias("c"))
+    # A cycle of three nodes or more lies in the core, one of two is a pair linked both ways.
+    able = core.union(pairs.where("ahead AND back"))
+    ways = able.where("ahead").select(key("a"), key("b")).union(able.where("back").select(key("b"), key("a")))
+    rings = strong_components(ways).groupBy(F.col("grp.graph").alias("g_r")).agg(F.count_distinct("grp").alias("cycles"))
     every = sizes.join(parts, F.col("graph") == F.col("g_c")).join(rings, F.col("graph") == F.col("g_r"), "left").withColumns({"cycles": F.coalesce("cycles", F.lit(0).cast("long")), "density": F.expr("coalesce(try_divide(2D * e, v * (v - 1)), 0D)")})
     # The first that holds: a complete graph is no structure, and one in parts has none as a whole.
     pattern = (
