@@ -78,13 +78,18 @@ def cited_values(df: DataFrame, column: str, cited: DataFrame) -> DataFrame:
 
 def convention_candidates(events: DataFrame, entity: str, period: str, columns: list[str], most: int = 8) -> DataFrame:
     """Sums per entity and period of each event column and of each ordered difference of two."""
-    if len(columns) > most:
-        raise ValueError(f"at most {most} event columns")
+    forms = convention_forms(columns, most)
     sums = events.groupBy(F.expr(entity).alias("entity"), F.expr(period).alias("period")).agg(*[F.sum(c).alias(c) for c in columns])
-    forms = {c: c for c in columns} | {f"{a} - {b}": f"{a} - {b}" for a in columns for b in columns if a != b}
     return sums.selectExpr("entity", "period", "stack({}, {}) AS (convention, m)".format(len(forms), ", ".join(f"'{n}', {e}" for n, e in forms.items())))
 
 
+def convention_forms(columns: list[str], most: int = 8) -> dict[str, str]:
+    """Each event column and each ordered difference of two: its name and its expression."""
+    if len(columns) > most:
+        raise ValueError(f"at most {most} event columns")
+    return {c: c for c in columns} | {f"{a} - {b}": f"{a} - {b}" for a in columns for b in columns if a != b}
+
+
 def votes(aligned: DataFrame, least_periods: int = 4, most_residual: float = 0.5) -> DataFrame:
     """Residuals and vote per ``convention, entity`` of ``convention, entity, period, y, m`` rows.
 
@@ -93,7 +98,12 @@ def votes(aligned: DataFrame, least_periods: int = 4, most_residual: float = 0.5
     from pyspark.sql import Window
 
     step = aligned.withColumn("dy", F.col("y") - F.lag("y").over(Window.partitionBy("convention", "entity").orderBy("period")))
-    fit = step.groupBy("convention", "entity").agg(
+    return votes_of_steps(step, ["convention", "entity"], least_periods, most_residual)
+
+
+def votes_of_steps(step: DataFrame, keys: list[str], least_periods: int = 4, most_residual: float = 0.5) -> DataFrame:
+    """Residuals and vote per ``keys`` of ``y, dy, m`` rows, dy being the change of y since the period before."""
+    fit = step.groupBy(*keys).agg(
         F.count("*").alias("periods"),
         F.sum(F.abs("y")).alias("size_y"),
         F.sum(F.abs("m")).alias("size_m"),
@@ -101,7 +111,7 @@ def votes(aligned: DataFrame, least_periods: int = 4, most_residual: float = 0.5
         F.expr("try_divide(sum(abs(dy - m)), sum(CASE WHEN dy IS NOT NULL THEN abs(m) END))").alias("r_stock"),
     )
     fires = f"periods >= {least_periods} AND size_y > 0 AND size_m > 0 AND least(r_flow, r_stock) <= {most_residual}"
-    return fit.selectExpr("convention", "entity", "periods", "r_flow", "r_stock", f"CASE WHEN {fires} THEN CASE WHEN r_flow IS NULL OR r_stock < r_flow THEN 'cumulative' ELSE 'per_period' END END AS vote")
+    return fit.selectExpr(*keys, "periods", "r_flow", "r_stock", f"CASE WHEN {fires} THEN CASE WHEN r_flow IS NULL OR r_stock < r_flow THEN 'cumulative' ELSE 'per_period' END END AS vote")
 
 
 def support(voted: DataFrame, least_voters: int = 2, least_agreement: float = 0.8, family: str | None = None) -> DataFrame:

@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from siltstone.operators.evidence import convention_candidates, support, votes
+from siltstone.operators.evidence import convention_forms, support, votes, votes_of_steps
 from siltstone.operators.hierarchies import shared_groupings
 from siltstone.sources.scratch import stored
 
@@ -78,7 +78,8 @@ def reconcile_facts(facts: dict[str, Fact], matrix: DataFrame, grain: str = "mon
     ``fact, measure, event_fact, dimension, role, time, event_time, convention, terms, pattern, lower``.  matrix: ``fact, dimension, role`` as of
     ``bus_matrix``; facts are compared by what they share.  Of two facts the events must be the finer one, by rows over the cells that
     both have; only then votes are taken, entity by entity, and the best candidate over all pairs, dimensions and times
-    stands.  A measure that nothing explains has no row.  All pairs are one plan; only the names of shared dimensions reach the driver.
+    stands.  A measure that nothing explains has no row.  Each fact is summed up once per dimension and time; only the names of shared dimensions,
+    and which ways have the finer events, reach the driver.
     """
     spark = matrix.sparkSession
     empty = spark.createDataFrame([], "fact string, measure string, event_fact string, dimension string, role string, time string, event_time string, convention string, terms int, pattern string, lower double")
@@ -92,28 +93,40 @@ def reconcile_facts(facts: dict[str, Fact], matrix: DataFrame, grain: str = "mon
     if not ways:
         return empty
 
-    def at(fact: Fact, key: tuple[str, str], time: str) -> DataFrame:
-        return fact.rows.where(F.col(time).isNotNull() & F.col(fact.dimensions[key]).isNotNull()).withColumns({"entity_": F.col(fact.dimensions[key]).cast("string"), "period_": F.date_trunc(grain, time)})
-
-    measures, events, sizes = [], [], []
-    for i, (a, b, dimension, role, time, event_time) in enumerate(ways):
-        own, other = at(facts[a], (dimension, role), time), at(facts[b], (dimension, role), event_time)
-        way = F.lit(str(i)).alias("way")
-        named = ", ".join(f"'{c}', CAST(`{c}` AS DOUBLE)" for c in facts[a].numbers)
-        sums = own.groupBy("entity_", "period_").agg(*[F.sum(c).alias(c) for c in facts[a].numbers])
-        measures.append(sums.select(way, F.col("entity_").alias("entity"), F.col("period_").alias("period"), F.expr(f"stack({len(facts[a].numbers)}, {named}) AS (measure, y)")))
-        events.append(convention_candidates(other, "entity_", "period_", facts[b].numbers).select(way, "entity", "period", "convention", F.col("m").cast("double").alias("m")))
-        rows = lambda df, name: df.groupBy(F.col("entity_").alias("entity"), F.col("period_").alias("period")).agg(F.count("*").alias(name))
-        sizes.append(rows(own, "rows").join(rows(other, "event_rows"), ["entity", "period"]).agg(F.sum("rows").alias("rows"), F.sum("event_rows").alias("event_rows")).select(way, "rows", "event_rows"))
-    finer = reduce(DataFrame.unionByName, sizes).where("event_rows > rows").select("way")
-    right = reduce(DataFrame.unionByName, events).join(finer, "way", "left_semi")
-    # A period without events of an entity that has some counts zero.
-    left = reduce(DataFrame.unionByName, measures).join(finer, "way", "left_semi")
-    known = right.select("way", "entity", "convention").distinct()
-    aligned = stored(left.join(known, ["way", "entity"]).join(right, ["way", "entity", "period", "convention"], "left").select(
-        F.concat_ws("\x1e", "way", "measure", "convention").alias("convention"), "entity", "period", "y", F.coalesce("m", F.lit(0.0)).alias("m"))
-    )
-    voted = stored(votes(aligned))
+    # Too many event columns are an error whichever way turns out to be the finer one.
+    conventions = [list(convention_forms(facts[b].numbers)) for _, b, *_ in ways]
+    written: dict[tuple, DataFrame] = {}
+
+    def cells(name: str, key: tuple[str, str], time: str) -> DataFrame:
+        """``entity, period, rows, n0, n1, ...``: rows and sums of all numbers, written once for all ways that a fact takes part in."""
+        if (name, key, time) not in written:
+            fact = facts[name]
+            present = fact.rows.where(F.col(time).isNotNull() & F.col(fact.dimensions[key]).isNotNull())
+            by = present.select(F.col(fact.dimensions[key]).cast("string").alias("entity"), F.date_trunc(grain, time).alias("period"), *[F.col(c).alias(f"n{i}") for i, c in enumerate(fact.numbers)])
+            written[name, key, time] = stored(by.groupBy("entity", "period").agg(F.count("*").alias("rows"), *[F.sum(f"n{i}").alias(f"n{i}") for i in range(len(fact.numbers))]))
+        return written[name, key, time]
+
+    sides = [(cells(a, (dimension, role), time), cells(b, (dimension, role), event_time)) for a, b, dimension, role, time, event_time in ways]
+    rows = lambda df, name: df.select("entity", "period", F.col("rows").alias(name))
+    shares = [rows(own, "rows").join(rows(other, "event_rows"), ["entity", "period"]).agg(F.sum("rows").alias("rows"), F.sum("event_rows").alias("event_rows")).select(F.lit(i).alias("way"), "rows", "event_rows") for i, (own, other) in enumerate(sides)]
+    finer = sorted(r["way"] for r in reduce(DataFrame.unionByName, shares).where("event_rows > rows").select("way").collect())
+    if not finer:
+        return empty
+    ballots = []
+    for i in finer:
+        (own, other), (a, b) = sides[i], ways[i][:2]
+        measures, forms = facts[a].numbers, convention_forms([f"e{k}" for k in range(len(facts[b].numbers))])
+        events = other.select("entity", "period", *[F.col(f"n{k}").alias(f"e{k}") for k in range(len(facts[b].numbers))])
+        # A period without events of an entity that has some counts zero.
+        known = own.drop("rows").join(events.select("entity").distinct(), "entity", "left_semi").join(events, ["entity", "period"], "left")
+        # Changes are taken on one row per period; measures and conventions are spread only within a task that holds their entity.
+        before = Window.partitionBy("entity").orderBy("period")
+        series = known.withColumns({f"n{k}": F.col(f"n{k}").cast("double") for k in range(len(measures))}).withColumns({f"d{k}": F.col(f"n{k}") - F.lag(f"n{k}").over(before) for k in range(len(measures))})
+        spread = series.selectExpr("*", f"stack({len(measures)}, {', '.join(f'{k}, n{k}, d{k}' for k in range(len(measures)))}) AS (place, y, dy)")
+        steps = spread.selectExpr("entity", "place", "y", "dy", f"stack({len(forms)}, {', '.join(f'{k}, coalesce(CAST({e} AS DOUBLE), 0D)' for k, e in enumerate(forms.values()))}) AS (form, m)")
+        names = lambda values, at: F.element_at(F.array(*[F.lit(v) for v in values]), F.col(at) + 1)
+        ballots.append(votes_of_steps(steps, ["entity", "place", "form"]).withColumn("convention", F.concat_ws("\x1e", F.lit(str(i)), names(measures, "place"), names(conventions[i], "form"))).drop("place", "form"))
+    voted = stored(reduce(DataFrame.unionByName, ballots))
     ready = support(voted, family="split(convention, '\x1e')[0]").where("pattern IS NOT NULL")
     fit = voted.where("vote IS NOT NULL").groupBy(F.col("convention").alias("of")).agg(F.avg(F.expr("least(r_flow, r_stock)")).alias("residual"), F.count("*").alias("n"), F.sum(F.expr("pow(least(r_flow, r_stock), 2)")).alias("rss"))
     listed = spark.createDataFrame([(str(i), *w) for i, w in enumerate(ways)], "way string, fact string, event_fact string, dimension string, role string, time string, event_time string")
